@@ -7,30 +7,93 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import chat_format as _chat
+from . import decontamination as _leaks
 from . import exact_dedup as _exact
+from . import license_scan as _license
+from . import mixing as _mixing
+from . import pii as _pii
+from . import quality as _quality
 from . import simhash as _simhash
 from . import substring_dedup as _substring
+from . import token_counts as _tokens
 from .common import read_table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens.token_counts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), _tokens.load_pieces())
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    written = _chat.render(_chat.reconstruct(_chat.turns_as_events(turns)))
+    back = written.select("conv_id", "formatted", "loss_mask", _chat.parse(F.col("formatted")).alias("turns"), _chat.under_mask(F.col("formatted"), F.col("loss_mask")).alias("loss"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+OP2_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), filled AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM turns),
+losses AS (SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss FROM filled GROUP BY conv_id)
+SELECT f.conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  length(any_value(loss)) AS loss_chars, sha256(any_value(loss)) AS loss_sha256,
+  CAST(sum(length('### ' || role || ': ' || replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t') || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM filled f JOIN losses l ON f.conv_id IS NOT DISTINCT FROM l.conv_id GROUP BY f.conv_id
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text")).rows()
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s.kind_no == k)).cast("long").alias(f"n_{_pii.KINDS[k]}")
+    return found.select("doc_id", *map(count, range(4)), F.sha2(_pii.as_text("base").cast("binary"), 256).alias("base_sha256"), _pii.as_text("spans").alias("spans"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _license.summary(_license.license_scan(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    return _leaks.contaminated(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = _simhash.simhash_components(docs, 3, _simhash.exact_layout(2))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixing.mix(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("source")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels").select("doc_id", "quality")
+    scored = _quality.score(docs, _quality.train(docs, labels))
+    return scored.select("doc_id", _quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return _substring.substring_dedup(docs, 20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_exact_dedup": op3_exact_dedup,
-    "op7_simhash": op7_simhash,
-    "op10_substring_dedup": op10_substring_dedup,
+    f.__name__: f
+    for f in (op1_token_counts, op2_chat_format, op3_exact_dedup, op4_pii, op5_license_scan, op6_decontamination, op7_simhash, op8_mixing, op9_quality, op10_substring_dedup)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL}
