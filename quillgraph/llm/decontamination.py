@@ -31,12 +31,15 @@ def _seeds(tokens: Column, mask: tuple[int, ...], number: int) -> Column:
 
 
 def _seeded(tokens: DataFrame, keep: list[str], masks: tuple) -> DataFrame:
-    """A row for each seed: keep..., at (from 0), seed."""
-    parts = [tokens.select(*keep, F.posexplode(_seeds(F.col("tokens"), m, k)).alias("at", "seed")) for k, m in enumerate(masks)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """A row for each seed: keep..., at (from 0), seed. The masks' seeds stand behind one another, so texts are split once."""
+    ends = [F.lit(0)]
+    for m in masks:
+        ends.append(ends[-1] + F.greatest(F.lit(0), F.size("tokens") - max(m)))
+    listed = tokens.select(*keep, F.array(*ends[1:-1]).alias("ends"), F.posexplode(F.concat(*(_seeds(F.col("tokens"), m, k) for k, m in enumerate(masks)))).alias("n", "seed"))
+    at = F.col("n")
+    for k in range(len(masks) - 1):
+        at = F.when(F.col("n") >= F.get("ends", F.lit(k)), F.col("n") - F.get("ends", F.lit(k))).otherwise(at)
+    return listed.select(*keep, "seed", at.alias("at"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, masks: tuple = MASKS, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -50,7 +53,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     as one document. Documents only move in the second pass, and only to meet their hits.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("tokens")).filter(F.size("tokens") >= min_words).filter("item_id IS NOT NULL")
-    wanted = _seeded(items, ["item_id"], masks).select("item_id", F.col("at").alias("item_at"), "seed")
+    wanted = _seeded(items, ["item_id"], masks).withColumnRenamed("at", "item_at")
     if wanted.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
         wanted = F.broadcast(wanted)
     tokens = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("tokens"))
