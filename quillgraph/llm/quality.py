@@ -21,7 +21,8 @@ from .common import text_bytes
 
 #: Most positives, and most unlabelled texts, that the fit reads (the smallest seeded hashes of their ids).
 SAMPLE_ROWS = 20_000
-HIDDEN, STEPS, RATE, DECAY = 16, 600, 0.02, 1e-4
+#: PENALTY: weight of the squared weights against the risk, over the number of unlabelled texts.
+HIDDEN, STEPS, RATE, PENALTY = 16, 600, 0.02, 2.0
 _SYMBOLS = np.array([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 
 
@@ -79,7 +80,7 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
     p = [rng.normal(0, d**-0.5, (d, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, HIDDEN**-0.5, HIDDEN), np.zeros(1)]
     first, second = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     z = np.clip((np.vstack([positives, unlabelled]) - mean) / scale, -6, 6)
-    n = len(positives)
+    n, decay = len(positives), PENALTY / len(unlabelled)
     for step in range(1, STEPS + 1):
         h = np.tanh(z @ p[0] + p[1])
         s = 1 / (1 + np.exp(-np.clip(h @ p[2] + p[3][0], -40, 40)))
@@ -90,7 +91,7 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int =
         else:
             g = np.r_[prior * s[:n] / n, -s[n:] / len(unlabelled)]
         back = (g[:, None] * p[2]) * (1 - h**2)
-        grads = [z.T @ back + DECAY * p[0], back.sum(axis=0), h.T @ g + DECAY * p[2], np.array([g.sum()])]
+        grads = [z.T @ back + decay * p[0], back.sum(axis=0), h.T @ g + decay * p[2], np.array([g.sum()])]
         for k in range(4):
             first[k] = 0.9 * first[k] + 0.1 * grads[k]
             second[k] = 0.999 * second[k] + 0.001 * grads[k] ** 2
