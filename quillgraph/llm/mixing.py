@@ -55,8 +55,8 @@ def sainte_lague(votes: DataFrame, key: str, by: list[str]) -> DataFrame:
     near = near.withColumn("upto", F.least("most", F.ceil(F.col("fair") * (1 + F.col("width"))).cast("long") + 2))
     near = near.withColumn("upto", F.when(F.col("votes") > 0, F.col("upto")).otherwise(F.col("sure")))
     near = near.withColumn("open", F.greatest(F.lit(0), F.col("total") - F.sum("sure").over(group)))
-    contest = near.filter("upto > sure").select(*by, key, "open", F.col("votes"), F.explode(F.sequence("sure", F.col("upto") - 1)).alias("k"))
-    best = Window.partitionBy(*by).orderBy((F.col("votes") / (2 * F.col("k") + 1)).desc(), key)
+    contest = near.filter("upto > sure").select(*by, key, "open", F.col("votes"), F.explode(F.sequence("sure", F.col("upto") - 1)).alias("seat_no"))
+    best = Window.partitionBy(*by).orderBy((F.col("votes") / (2 * F.col("seat_no") + 1)).desc(), key)
     won = contest.withColumn("rank", F.row_number().over(best)).filter("rank <= open").groupBy(*by, key).agg(F.count("*").alias("won"))
     return near.join(won, [*by, key], "left").withColumn("seats", F.col("sure") + F.coalesce("won", F.lit(0))).drop("fair", "width", "sure", "upto", "open", "won")
 
