@@ -236,7 +236,8 @@ def simhash_components(docs: DataFrame, shingle: int, layout: Layout, seed: int
     reps = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = connected_components(link_fingerprints(reps.select(F.col("rep").alias("doc_id"), "fp"), layout))
     placed = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return own.join(placed, "fp").select("doc_id", "fp", "component_id")
+    # A table of its own, so that both sides of the last join are plain exchanges, of which a hot fingerprint's is split.
+    return own.join(materialize(placed, "placed"), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
