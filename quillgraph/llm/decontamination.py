@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Masks as kept positions (fixed values): spans 12 and 13, weight 7, few positions in common under any shift.
-MASKS = ((0, 1, 3, 5, 6, 9, 11), (0, 2, 3, 7, 8, 10, 12))
+#: Every mask keeps a triple of positions twice and one position more (fixed values: where the second triple
+#: starts, and the lone position). Hashes of triples are made once and serve all masks.
+TRIPLE, LAYOUTS = (0, 1, 3), ((6, 11), (9, 6))
+#: The masks as kept positions: weight 7, spans 12 and 13, few positions in common under any shift.
+MASKS = tuple(tuple(sorted({*TRIPLE, *(second + p for p in TRIPLE), lone})) for second, lone in LAYOUTS)
 #: Seeds of the benchmark that may be broadcast; beyond, both sides are shuffled by seed.
 BROADCAST_SEEDS = 1_000_000
 
@@ -24,25 +27,31 @@ def token_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _seeds(tokens: Column, mask: tuple[int, ...], number: int) -> Column:
-    last = F.size(tokens) - max(mask)
-    at = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.xxhash64(F.lit(number), *(F.get(tokens, i + (p - 1)) for p in mask)))
+def _starts(tokens: Column, span: int) -> Column:
+    last = F.size(tokens) - (span - 1)
+    return F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _seeded(tokens: DataFrame, keep: list[str], masks: tuple) -> DataFrame:
+def _seed(second: int, lone: int):
+    return lambda i: F.xxhash64(F.get("triples", i), F.get("triples", i + second), F.get("tokens", i + lone))
+
+
+def _seeded(tokens: DataFrame, keep: list[str]) -> DataFrame:
     """A row for each seed: keep..., at (from 0), seed. The masks' seeds stand behind one another, so texts are split once."""
-    ends = [F.lit(0)]
-    for m in masks:
-        ends.append(ends[-1] + F.greatest(F.lit(0), F.size("tokens") - max(m)))
-    listed = tokens.select(*keep, F.array(*ends[1:-1]).alias("ends"), F.posexplode(F.concat(*(_seeds(F.col("tokens"), m, k) for k, m in enumerate(masks)))).alias("n", "seed"))
+    triples = F.transform(_starts(F.col("tokens"), max(TRIPLE) + 1), lambda i: F.xxhash64(*(F.get("tokens", i + p if p else i) for p in TRIPLE)))
+    tokens = tokens.select(*keep, "tokens", triples.alias("triples"))
+    seeds, ends = [], [F.lit(0)]
+    for (second, lone), mask in zip(LAYOUTS, MASKS, strict=True):
+        seeds.append(F.transform(_starts(F.col("tokens"), max(mask) + 1), _seed(second, lone)))
+        ends.append(ends[-1] + F.greatest(F.lit(0), F.size("tokens") - max(mask)))
+    listed = tokens.select(*keep, F.array(*ends[1:-1]).alias("ends"), F.posexplode(F.concat(*seeds)).alias("n", "seed"))
     at = F.col("n")
-    for k in range(len(masks) - 1):
+    for k in range(len(MASKS) - 1):
         at = F.when(F.col("n") >= F.get("ends", F.lit(k)), F.col("n") - F.get("ends", F.lit(k))).otherwise(at)
     return listed.select(*keep, "seed", at.alias("at"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, masks: tuple = MASKS, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """(doc_id, item_id, doc_word, matched, overlap): a row for each document and item that it holds a stretch of.
 
     A stretch counts if, of min_words consecutive positions laid against the item, at least min_share
@@ -53,12 +62,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     as one document. Documents only move in the second pass, and only to meet their hits.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("tokens")).filter(F.size("tokens") >= min_words).filter("item_id IS NOT NULL")
-    wanted = _seeded(items, ["item_id"], masks).withColumnRenamed("at", "item_at")
+    wanted = _seeded(items, ["item_id"]).withColumnRenamed("at", "item_at")
     if wanted.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
         wanted = F.broadcast(wanted)
-    tokens = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), token_hashes(F.col("text")).alias("tokens"))
-    hits = _seeded(tokens, ["doc_id"], masks).join(wanted, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    laid = tokens.join(hits, "doc_id").join(items.withColumnRenamed("tokens", "item"), "item_id")
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    tokens = texts.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
+    hits = _seeded(tokens, ["doc_id"]).join(wanted, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    met = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("met"))
+    laid = texts.join(met, "doc_id").select("doc_id", token_hashes(F.col("text")).alias("tokens"), F.explode("met").alias("m")).select("doc_id", "tokens", "m.*")
+    laid = laid.join(items.withColumnRenamed("tokens", "item"), "item_id")
     first, last = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("tokens"), F.col("shift") + F.size("item")) - 1
     laid = laid.filter(last - first + 1 >= min_words).withColumn("same", F.transform(F.sequence(first, last), lambda k: (F.get("tokens", k) == F.get("item", k - F.col("shift"))).cast("int")))
     windows = F.sequence(F.lit(1), F.size("same") - (min_words - 1))
