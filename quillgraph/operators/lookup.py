@@ -47,9 +47,9 @@ def unknown_references(refs: DataFrame, known: DataFrame, key: str) -> DataFrame
     return refs.join(known.select(key).distinct(), key, "left_anti").join(F.broadcast(some), how="cross")
 
 
-def either_key_semi(left: DataFrame, wanted: DataFrame, key: str, keys: Sequence[Column], row_id: str) -> DataFrame:
-    """Left rows of which one of several keys is wanted: an equi-join on the exploded keys instead of an OR."""
-    hits = left.select(row_id, F.explode(F.array_distinct(F.array(*keys))).alias(key)).join(wanted.select(key).distinct(), key, "left_semi").select(row_id).distinct()
+def either_key_semi(left: DataFrame, wanted: DataFrame, key: str, keys: Column, row_id: str) -> DataFrame:
+    """Left rows of whose keys (an array) one is wanted: an equi-join on the exploded keys instead of an OR."""
+    hits = left.select(row_id, F.explode(F.array_distinct(keys)).alias(key)).join(wanted.select(key).distinct(), key, "left_semi").select(row_id).distinct()
     return left.join(hits, row_id, "left_semi")
 
 

@@ -10,8 +10,13 @@ TERMINAL = ("SUCCEEDED", "FAILED")
 
 
 def run_events(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 16) -> DataFrame:
-    """Run events that arrive as Parquet files."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    """Run events that arrive as Parquet files in a folder; a path to one file reads that file of its folder."""
+    jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    if path.getFileSystem(conf).getFileStatus(path).isFile():
+        return reader.option("pathGlobFilter", path.getName()).parquet(path.getParent().toString())
+    return reader.parquet(folder)
 
 
 def latest_states(events: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
