@@ -43,7 +43,7 @@ def _attributes(**values: Column) -> Column:
     return F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.coalesce(v.cast("string"), F.lit("")))))
 
 
-def nodes_of(rows: DataFrame, node_id: Column, kind: str | Column, label: Column, path: Column, ordinal: Column | None = None, **attributes: Column) -> DataFrame:
+def nodes_of(rows: DataFrame, node_id: Column, kind: str | Column, label: Column, path: Column, ordinal: Column | None = None, /, **attributes: Column) -> DataFrame:
     kind = F.lit(kind) if isinstance(kind, str) else kind
     attrs = _attributes(**attributes) if attributes else F.create_map().cast("map<string,string>")
     return rows.select(node_id.alias("id"), kind.alias("kind"), label.alias("label"), path.alias("path"), attrs.alias("attributes"), (F.lit(0).cast("long") if ordinal is None else ordinal.cast("long")).alias("ordinal"))

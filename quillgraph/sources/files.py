@@ -17,8 +17,8 @@ def text_files(spark: SparkSession, roots: Sequence[str], pattern: str = "*") ->
     there = [r for r in dict.fromkeys(roots) if (p := jvm.org.apache.hadoop.fs.Path(r)).getFileSystem(conf).exists(p)]
     if not there:
         return spark.createDataFrame([], "path string, text string")
-    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("wholetext", True)
-    return read.text(there).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).dropDuplicates(["path"])
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    return read.text(there, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).dropDuplicates(["path"])
 
 
 def code_files(spark: SparkSession, roots: Sequence[str], pattern: str = "*.java") -> DataFrame:
@@ -53,7 +53,7 @@ def yaml_rows(spark: SparkSession, path: str, schema: str, key: str | None = Non
     """Rows of a YAML document (a list, or the list below `key`). The document is one small file, read on the driver through Spark."""
     import yaml
 
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).filter(F.length("value") > 0).first()[0]
     found = yaml.safe_load(text) or []
     rows = (found.get(key) or []) if key else found
     names = spark.createDataFrame([], schema).columns
