@@ -23,21 +23,35 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
+#: Tables that this process wrote and nobody has dropped.
+_written: set[str] = set()
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: the lineage ends at a table that outlives any executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once nothing lazy reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(df.sparkSession, folder)
+        _written.discard(next((w for w in _written if folder.endswith(w.rpartition("/")[2])), ""))
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this process wrote to the shared folder: for the end of a job, when its results are stored."""
+    while _written:
+        _delete(spark, _written.pop())
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> F.Column:

@@ -56,6 +56,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exact.exact_dedup(read_table(spark, sf_dir, "documents").select("doc_id", "text")).rows()
 
 
+OP3_SQL = r"""
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER w = 1 AS kept, sha256(norm) AS text_sha256
+FROM n WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
+"""
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda s: s.kind_no == k)).cast("long").alias(f"n_{_pii.KINDS[k]}")
@@ -92,8 +99,20 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _substring.substring_dedup(docs, 20).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+OP10_SQL = r"""
+WITH split AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS start FROM split WHERE len(words) >= 20),
+windows AS (SELECT doc_id, start, array_to_string(words[start:start + 19], ' ') AS words FROM starts),
+again AS (SELECT doc_id, start FROM windows QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, start) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM again),
+placed AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS place, unnest(words) AS word FROM split),
+kept AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.place) AS kept, count(*) AS n FROM placed p ANTI JOIN gone g ON g.doc_id = p.doc_id AND g.place = p.place GROUP BY 1)
+SELECT s.doc_id, CAST(len(s.words) AS BIGINT) AS n_words, CAST(len(s.words) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_token_counts, op2_chat_format, op3_exact_dedup, op4_pii, op5_license_scan, op6_decontamination, op7_simhash, op8_mixing, op9_quality, op10_substring_dedup)
 }
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op10_substring_dedup": OP10_SQL}
