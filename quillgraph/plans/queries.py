@@ -601,3 +601,137 @@ def stage_progress_stream(spark: SparkSession, sf: str) -> DataFrame:
     base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
     live.progress_stream(events, name, ["user_id"], "ts", ["event_type", "event_id"], f"{base}/{name}").awaitTermination()
     return spark.table(name).select("user_id", "ts", "event_type", "event_id")
+
+
+# Code models
+
+
+@query("""WITH cp AS (SELECT p_partkey % 7 AS scope, lower(p_name) AS entry FROM part), src AS (SELECT doc_id % 7 AS scope, text FROM documents),
+a AS (SELECT scope, bool_or(contains(entry, 'red') OR contains(entry, 'rod')) AS spring, bool_or(contains(entry, 'blue plate')) AND scope > 3 AS boot0, bool_or(contains(entry, 'zzz')) AS jpa FROM cp GROUP BY 1),
+b AS (SELECT scope, bool_or(contains(text, 'idiot')) AS spring2, bool_or(contains(text, 'token =')) AS jpa2 FROM src GROUP BY 1)
+SELECT scope, spring OR (NOT boot AND spring2) AS spring, boot, jpa OR (NOT boot AND jpa2) AS jpa FROM (SELECT *, coalesce(boot0, false) AS boot FROM a) JOIN b USING (scope)""")
+def capability_flags(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import code
+
+    classpath = table(spark, sf, "part").select((c("p_partkey") % 7).alias("scope"), F.when((c("p_name") == "blue plate") & (c("p_partkey") % 7 <= 3), "-").otherwise(c("p_name")).alias("entry"))
+    sources = table(spark, sf, "documents").select((c("doc_id") % 7).alias("scope"), "text")
+    return code.capabilities(classpath, sources, ["scope"], {"spring": ("red", "rod"), "boot": ("blue plate",), "jpa": ("zzz",)}, {"spring": ("idiot",), "jpa": ("token =",)})
+
+
+@query("""SELECT count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'refund') AS refund, count(*) FILTER (WHERE value > 50) AS high FROM events""")
+def kind_counts(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import code
+
+    return code.kind_counts(table(spark, sf, "events"), "event_type", ["click", "error", "refund"], {"high": c("value") > 50})
+
+
+@query("""WITH l AS (SELECT o_orderkey, o_custkey, generate_subscripts([o_custkey * 3 % 1700, o_custkey * 5 % 1700, o_custkey], 1) AS pos, unnest([o_custkey * 3 % 1700, o_custkey * 5 % 1700, o_custkey]) AS id FROM orders),
+f AS (SELECT o_orderkey, arg_min(c_name, pos) AS c_name FROM l JOIN customer ON c_custkey = id WHERE c_acctbal > 3000 GROUP BY 1)
+SELECT o_orderkey, c_name FROM orders LEFT JOIN f USING (o_orderkey)""")
+def first_resolvable(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import code
+
+    lists = table(spark, sf, "orders").select("o_orderkey", F.array(c("o_custkey") * 3 % 1700, c("o_custkey") * 5 % 1700, c("o_custkey")).alias("ids"))
+    known = table(spark, sf, "customer").filter("c_acctbal > 3000").select(c("c_custkey").alias("id"), "c_name")
+    return code.first_resolvable(lists, "o_orderkey", "ids", known, "id", "c_name")
+
+
+@query("""SELECT r_name AS top, n_name AS middle, c_name AS bottom FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey""")
+def topology_chain(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import code
+
+    nations = table(spark, sf, "nation")
+    upper = nations.join(table(spark, sf, "region"), c("n_regionkey") == c("r_regionkey")).select(c("r_name").alias("source"), c("n_name").alias("target"), F.lit("A").alias("kind"))
+    lower = nations.join(table(spark, sf, "customer"), c("n_nationkey") == c("c_nationkey")).select(c("n_name").alias("source"), c("c_name").alias("target"), F.lit("B").alias("kind"))
+    return code.chained(upper.unionByName(lower), "A", "B")
+
+
+@query("""SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderstatus, o_orderkey) AS number FROM orders""")
+def running_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import code
+
+    return code.running_numbers(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), ["o_custkey"], "o_orderstatus", "o_orderkey").select("o_orderkey", c("number").cast("long").alias("number"))
+
+
+@query(r"""WITH e AS (SELECT 'Thing' || (c_custkey % 40) || ['', 'Service'][CAST(c_custkey % 2 + 1 AS INTEGER)] AS type_name FROM customer),
+p AS (SELECT CASE WHEN o_orderkey % 5 > 0 THEN 'Thing' || (o_custkey % 60) || 'Controller' END AS owner_name, '/orders/{id}/' || lower(o_orderstatus) AS full_path, ['GET', 'POST', 'PUT'][CAST(o_orderkey % 3 + 1 AS INTEGER)] AS http_method FROM orders),
+a AS (SELECT regexp_replace(type_name, '^(.+?)(Controller|Service|Facade|Impl|Resource)+$', '\1') AS aggregate, count(*) AS n FROM e GROUP BY 1),
+b AS (SELECT coalesce(regexp_replace(owner_name, '^(.+?)(Controller|Service|Facade|Impl|Resource)+$', '\1'), 'Orders') AS aggregate, string_agg(DISTINCT http_method || ' ' || split_part(full_path, '/', 4), ',' ORDER BY http_method || ' ' || split_part(full_path, '/', 4)) AS commands FROM p WHERE http_method <> 'GET' GROUP BY 1)
+SELECT coalesce(a.aggregate, b.aggregate) AS aggregate, coalesce(n, 0) AS n_entities, coalesce(commands, '') AS commands FROM a FULL JOIN b ON a.aggregate = b.aggregate""")
+def draft_aggregates(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import code
+
+    key = c("c_custkey")
+    entities = table(spark, sf, "customer").select(F.concat(F.lit("Thing"), (key % 40).cast("string"), F.when(key % 2 == 1, "Service").otherwise("")).alias("type_name"))
+    verbs = F.element_at(F.array(*map(F.lit, ("GET", "POST", "PUT"))), (c("o_orderkey") % 3 + 1).cast("int"))
+    owner = F.when(c("o_orderkey") % 5 > 0, F.concat(F.lit("Thing"), (c("o_custkey") % 60).cast("string"), F.lit("Controller")))
+    endpoints = table(spark, sf, "orders").select(owner.alias("owner_name"), F.concat(F.lit("/orders/{id}/"), F.lower("o_orderstatus")).alias("full_path"), verbs.alias("http_method"))
+    return code.draft_aggregates(entities, endpoints)
+
+
+@query("""SELECT p_brand AS entity, string_agg('c_' || p_partkey || ' ' || CASE p_type WHEN 'PROMO' THEN 'uuid' WHEN 'SMALL' THEN 'integer' ELSE 'varchar(255)' END || CASE WHEN p_size < 5 THEN ' primary key' ELSE '' END, ', ' ORDER BY p_partkey) AS ddl FROM part GROUP BY 1""")
+def column_list(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import code
+
+    spec = F.when(c("p_type") == "PROMO", "UUID").when(c("p_type") == "SMALL", "int").otherwise("x")
+    fields = table(spark, sf, "part").select(c("p_brand").alias("entity"), F.concat(F.lit("c_"), c("p_partkey").cast("string")).alias("name"), spec.alias("spec"), (c("p_size") < 5).alias("pk"), c("p_partkey").alias("at"))
+    return code.column_list(fields, "entity", "name", "spec", "pk", "at")
+
+
+@query("""SELECT n_nationkey, 'region/' || lower(r_name) || '/' || lower(n_name) AS raw, regexp_replace(lower(trim(translate(r_name, '_-', '  '))), '\\s+', '_', 'g') || '/' || regexp_replace(lower(trim(translate(n_name, '_-', '  '))), '\\s+', '_', 'g') AS canonical_path,
+  'NATION ' || n_name || chr(10) || 'IN ' || r_name AS text FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def canonical_paths(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import code
+
+    rows = table(spark, sf, "nation").join(table(spark, sf, "region"), c("n_regionkey") == c("r_regionkey"))
+    rows = code.serialized(code.canonical_paths(rows.withColumn("none", F.lit(None).cast("string")), ["r_name", "n_name", "none"]), [("NATION", "n_name"), ("IN", "r_name"), ("LOST", "none")])
+    return rows.select("n_nationkey", F.concat(F.lit("region/"), F.lower("r_name"), F.lit("/"), F.lower("n_name")).alias("raw"), "canonical_path", "text")
+
+
+@query(f"""WITH {LINES_SQL}, d AS (SELECT trim(regexp_replace(value, '\\s+', ' ', 'g')) AS message, min(doc_id) AS doc_id FROM lines GROUP BY 1 HAVING length(message) >= 12),
+m AS (SELECT *, regexp_matches(message, '(?i)error|exception|failed|cannot') AS bad FROM d)
+SELECT doc_id, message FROM m WHERE bad OR NOT (SELECT bool_or(bad) FROM m) ORDER BY doc_id, message LIMIT 3""")
+def diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import code
+
+    rows = document_lines(spark, sf).select("doc_id", "value")
+    return code.diagnostics(rows, "value", "doc_id")
+
+
+@query("""WITH a AS (SELECT 0 AS list, 'n' || n_nationkey AS id, n_nationkey AS place FROM nation WHERE n_nationkey < 5), b AS (SELECT 1, 'r' || r_regionkey, r_regionkey FROM region)
+SELECT list, id FROM (FROM a UNION ALL FROM b) ORDER BY list, place LIMIT 8""")
+def first_over_lists(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import code
+
+    a = table(spark, sf, "nation").filter("n_nationkey < 5").select(F.concat(F.lit("n"), c("n_nationkey").cast("string")).alias("id"), c("n_nationkey").alias("at"))
+    b = table(spark, sf, "region").select(F.concat(F.lit("r"), c("r_regionkey").cast("string")).alias("id"), c("r_regionkey").alias("at"))
+    return code.first_over_lists([a, b], ["id"], "at").select("list", "id")
+
+
+@query("""WITH k AS (SELECT DISTINCT p_brand AS name, 'path/' || p_brand AS path FROM part WHERE p_size < 25 AND p_brand < 'Brand#33'), l AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN p_brand ELSE upper(p_brand) END AS name FROM part)
+SELECT l.name, coalesce(a.path, b.path) AS path FROM l LEFT JOIN k a ON a.name = l.name LEFT JOIN k b ON lower(b.name) = lower(l.name)""")
+def two_key_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import code
+
+    part = table(spark, sf, "part")
+    known = part.filter("p_size < 25 AND p_brand < 'Brand#33'").select(c("p_brand").alias("known"), F.concat(F.lit("path/"), c("p_brand")).alias("path")).distinct()
+    left = part.select(F.when(c("p_size") % 2 == 0, c("p_brand")).otherwise(F.upper("p_brand")).alias("name")).distinct()
+    return code.two_key_lookup(left, known, "name", "known", "path")
+
+
+@query("""SELECT doc_id, source FROM documents WHERE EXISTS (SELECT 1 FROM benchmark WHERE contains(documents.text, left(benchmark.text, 30))) ORDER BY doc_id LIMIT 32""")
+def named_in_texts(spark: SparkSession, sf: str) -> DataFrame:
+    docs, names = table(spark, sf, "documents").select("doc_id", "source", "text"), table(spark, sf, "benchmark").select(F.left("text", F.lit(30)).alias("name"))
+    return lookup.named_in(docs, names, "text", "name", 32, ["doc_id"]).select("doc_id", "source")
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), e AS (SELECT user_id AS k, count(*) AS m FROM events GROUP BY 1) SELECT coalesce(o.k, e.k) AS k, n, m FROM o FULL JOIN e ON o.k = e.k""")
+def align_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return lookup.align_groups(table(spark, sf, "orders").groupBy(c("o_custkey").alias("k")).agg(F.count("*").alias("n")), table(spark, sf, "events").groupBy(c("user_id").alias("k")).agg(F.count("*").alias("m")), "k")
+
+
+@query(f"WITH {YEARS_SQL} SELECT 'removed_operation' AS change, 'op ' || id AS name FROM a WHERE id NOT IN (FROM b) UNION ALL SELECT 'added_operation', 'op ' || id FROM b WHERE id NOT IN (FROM a) UNION ALL SELECT 'changed_schema', 'op ' || id FROM ((FROM a EXCEPT FROM b) UNION ALL (FROM b EXCEPT FROM a))")
+def contract_diff(spark: SparkSession, sf: str) -> DataFrame:
+    named = lambda y: active(spark, sf, y).select(F.concat_ws(" ", F.lit("op"), c("id").cast("string")).alias("name"))
+    old, new = named(1996), named(1997)
+    return compare.contract_diff(old, new, old, new)
