@@ -162,3 +162,54 @@ def body_features(c: Column) -> dict[str, Column]:
         "finds": found(r"\.(find\w*)\("),
         "deletes": found(r"\.(delete\w*)\("),
     }
+
+
+def annotation_values(annotations: Column, name: str, attribute: str) -> Column:
+    """Comma-separated values of an attribute of the annotations of a name, without quotes and blanks."""
+    raw = F.transform(F.filter(annotations, lambda a: a["name"] == name), lambda a: F.coalesce(a["values"][attribute], F.lit("")))
+    parts = F.flatten(F.transform(raw, lambda v: F.transform(F.split(v, ","), lambda p: F.replace(F.trim(p), F.lit('"'), F.lit("")))))
+    return F.filter(parts, lambda p: p.rlike(r"\S"))
+
+
+def annotation_attribute(annotations: Column, names: tuple[str, ...], attributes: tuple[str, ...], default: Column) -> Column:
+    """The first of some attributes of the first annotation that has one of some names; quotes dropped."""
+    first = F.get(F.filter(annotations, lambda a: a["name"].isin(*names)), F.lit(0))
+    return F.coalesce(F.replace(F.coalesce(*(first["values"][a] for a in attributes)), F.lit('"'), F.lit("")), default)
+
+
+def null_checks(predicates: Column) -> Column:
+    """What branch conditions compare with null: structs of text and whether equality is asked."""
+    of = lambda sign, equal: F.transform(F.filter(predicates, lambda p: F.contains(p, F.lit(sign))), lambda p: F.struct(F.trim(F.replace(p, F.lit(sign), F.lit(""))).alias("text"), F.lit(equal).alias("is_null")))
+    return F.concat(of("== null", True), of("!= null", False))
+
+
+def unfenced(c: Column) -> Column:
+    """The inside of a fenced block, or the text itself; trimmed."""
+    text = F.trim(F.coalesce(c, F.lit("")))
+    inside = F.regexp_extract(text, r"(?s)^```[^\n]*\n(.*?)(?:\n?```.*)?$", 1)
+    return F.when(text.startswith("```"), F.trim(inside)).otherwise(text)
+
+
+def tolerant_json(c: Column, schema: str) -> Column:
+    """JSON with a fixed schema; null, blank or unreadable texts are null."""
+    return F.when(~blank(c) & F.try_parse_json(c).isNotNull(), F.from_json(c, schema))
+
+
+def fatal(c: Column) -> Column:
+    return F.coalesce(F.lower(c).isin("fatal", "error", "blocking"), F.lit(False))
+
+
+def camel_case(c: Column) -> Column:
+    """Words of a name run together, each but the first with a capital."""
+    words = F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda w: w != "")
+    head = lambda w, i: F.when(i == 0, F.lower(F.left(w, F.lit(1)))).otherwise(F.upper(F.left(w, F.lit(1))))
+    return F.array_join(F.transform(words, lambda w, i: F.concat(head(w, i), F.substr(w, F.lit(2)))), "")
+
+
+def percent(c: Column) -> Column:
+    return F.concat(F.round(c * 100).cast("int").cast("string"), F.lit("%"))
+
+
+def kept_metadata(c: Column) -> Column:
+    """A map without null and empty values."""
+    return F.map_filter(c, lambda k, v: v.isNotNull() & (v != ""))

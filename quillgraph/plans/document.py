@@ -165,3 +165,43 @@ def confidence_score(report: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 def warnings(report: DataFrame) -> DataFrame:
     """Distinct details of domains that aren't confirmed, or their summary where there are none."""
     return report.filter("status <> 'CONFIRMED'").select(F.explode(F.when(F.size("details") > 0, F.col("details")).otherwise(F.array("summary"))).alias("warning")).distinct()
+
+
+#: Domains that a running system backs, with the capability that asks for them (fixed values).
+BACKED_DOMAINS = {"SPRING_BEANS": ("spring",), "HTTP": ("web_mvc", "web_flux"), "JPA": ("jpa",), "VALIDATION": ("validation",), "SECURITY": ("security",)}
+
+
+def confidence_report(facts: DataFrame) -> DataFrame:
+    """(domain, status) of nine domains from one row of flags.
+
+    built, booted, capabilities by name, types, bodies, call_graph, and whether merged facts exist, by lower-cased domain name.
+    """
+    c = F.col
+    rows = [("BUILD", F.when(c("built"), "CONFIRMED").otherwise("MISSING")), ("TYPES", F.when(c("types"), "CONFIRMED").otherwise("MISSING"))]
+    rows += [(d, F.when(c(f), "CONFIRMED").otherwise("PARTIAL")) for d, f in (("METHOD_BODIES", "bodies"), ("CALL_GRAPH", "call_graph"))]
+    rows += [(d, runtime_backed(reduce(lambda a, b: a | b, map(c, wants)), c("booted"), c(f"has_{d.lower()}"))) for d, wants in BACKED_DOMAINS.items()]
+    return facts.select(F.explode(F.array(*(F.struct(F.lit(d).alias("domain"), s.alias("status")) for d, s in rows))).alias("x")).select("x.*")
+
+
+def top_level_problems(specs: DataFrame) -> DataFrame:
+    """(id, code): of specs (id, schema_version, service_name, generator_lock, has_messaging, idempotency_key), all problems of each."""
+    blank = lambda name: ~F.coalesce(F.col(name).rlike(r"\S"), F.lit(False))
+    codes = F.array_compact(F.array(
+        F.when(~F.coalesce(F.col("schema_version") == 1, F.lit(False)), "SCHEMA_VERSION_UNSUPPORTED"), F.when(blank("service_name"), "SERVICE_NAME_REQUIRED"),
+        F.when(blank("generator_lock"), "GENERATOR_LOCK_REQUIRED"), F.when(F.coalesce("has_messaging", F.lit(False)) & blank("idempotency_key"), "MESSAGING_IDEMPOTENCY_REQUIRED"),
+    ))
+    return specs.select("id", F.explode(codes).alias("code"))
+
+
+def valid_or_fallback(candidate: DataFrame, issues: DataFrame, fallback: DataFrame) -> DataFrame:
+    """The candidate's rows if no issue is an error, else the fallback's; decided inside the plan by a one-row table."""
+    valid = F.broadcast(is_valid(issues))
+    return candidate.join(valid.filter("valid").drop("valid"), how="cross").unionByName(fallback.join(valid.filter("NOT valid").drop("valid"), how="cross"))
+
+
+def grouped_scenarios(scenarios: DataFrame) -> DataFrame:
+    """(owner, n, steps): scenarios (id, given, when, then) by the class that their id names, with the total of their steps."""
+    from ..functions.text import scenario_owner
+
+    steps = F.size("given") + F.size("when") + F.size("then")
+    return scenarios.groupBy(scenario_owner(F.col("id")).alias("owner")).agg(F.count("*").alias("n"), F.sum(steps).alias("steps"))

@@ -79,3 +79,25 @@ def hotspots(rows: DataFrame, measures: Sequence[str], top: int = 6) -> DataFram
     long = rows.select("id", "label", F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).cast("long").alias("count")) for m in measures))).alias("x")).select("id", "label", "x.*").filter("count > 0")
     w = Window.partitionBy("measure").orderBy(F.desc("count"), "label", "id")
     return long.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
+
+
+def current_blocker(c: dict[str, Column]) -> Column:
+    """What stands in the way, first match: flags running, failed, extracted, fatal (count), trusted, approved, graph_on, graph."""
+    return decision(
+        [
+            (c["running"], "Knowledge refresh in progress"), (c["failed"], "Knowledge refresh failed"), (~c["extracted"], "Knowledge not extracted"), (c["fatal"] > 0, "Fatal extraction conflicts"),
+            (~c["trusted"], "Extraction confidence gates not met"), (~c["approved"], "Approved semantic spec missing"), (c["graph_on"] & ~c["graph"], "Graph projection missing"),
+        ],
+        "Knowledge base ready",
+    )
+
+
+def next_action(c: dict[str, Column]) -> Column:
+    """What to do next, first match, from the same flags."""
+    return decision(
+        [
+            (c["running"], "Watch bootstrap progress"), (~c["extracted"] | ~c["approved"] | (c["graph_on"] & ~c["graph"]), "Refresh knowledge"),
+            (c["fatal"] > 0, "Review extraction conflicts"), (~c["trusted"], "Review evidence confidence"),
+        ],
+        "Ask grounded questions",
+    )

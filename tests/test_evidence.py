@@ -330,3 +330,48 @@ def test_stream_equals_batch(spark, tmp_path):
     live.upsert_stream(events, f"{tmp_path}/log", ["id"], "seq", f"{tmp_path}/cp2").awaitTermination()
     assert key(runs.latest_per_key(spark.read.parquet(f"{tmp_path}/log"), ["id"], "seq")) == key(batch)
     assert live.still_running(batch).count() == batch.filter("status = 'RUNNING'").count()
+
+
+def test_more_text_functions(spark):
+    row = spark.createDataFrame([([("Mapping", "x.Mapping", {"path": '"/a", "/b", '}), ("Other", "x.Other", {})], ["x == null", "y != null && z"])], "annotations array<struct<name:string, qualified_name:string, values:map<string,string>>>, predicates array<string>")
+    got = row.select(
+        fx.annotation_values(F.col("annotations"), "Mapping", "path").alias("v"), fx.annotation_attribute(F.col("annotations"), ("Nope", "Mapping"), ("value", "path"), F.lit("d")).alias("a"),
+        fx.annotation_attribute(F.col("annotations"), ("Nope",), ("value",), F.lit("d")).alias("d"), fx.null_checks(F.col("predicates")).alias("n"),
+    ).first()
+    assert got.v == ["/a", "/b"] and got.a == "/a, /b, " and got.d == "d" and [tuple(x) for x in got.n] == [("x", True), ("y  && z", False)]
+    assert value(spark, fx.unfenced(F.lit('```json\n{"a": 1}\n```\nmore'))) == '{"a": 1}' and value(spark, fx.unfenced(F.lit(" {} "))) == "{}"
+    assert [value(spark, fx.tolerant_json(lit(x), "struct<a:int>")) for x in (None, " ", "{oops")] == [None] * 3 and value(spark, fx.tolerant_json(F.lit('{"a": 2}'), "struct<a:int>")).a == 2
+    assert value(spark, fx.camel_case(F.lit("Order line-item"))) == "orderLineItem" and value(spark, fx.percent(F.lit(0.256))) == "26%"
+    assert value(spark, fx.fatal(F.lit("Blocking"))) and not value(spark, fx.fatal(lit(None)))
+    assert value(spark, fx.kept_metadata(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit(""), F.lit("c"), F.lit(None)))) == {"a": "1"}
+
+
+def test_decisions(spark):
+    flags = {"running": False, "failed": False, "extracted": True, "fatal": 0, "trusted": True, "approved": True, "graph_on": True, "graph": True}
+    at = lambda f, **more: value(spark, f({k: F.lit(v) for k, v in (flags | more).items()}))
+    assert at(runs.current_blocker) == "Knowledge base ready" and at(runs.next_action) == "Ask grounded questions"
+    assert at(runs.current_blocker, fatal=2, trusted=False) == "Fatal extraction conflicts" and at(runs.current_blocker, graph=False) == "Graph projection missing"
+    assert at(runs.next_action, graph=False, fatal=2) == "Refresh knowledge" and at(runs.next_action, trusted=False) == "Review evidence confidence"
+    facts = spark.range(1).select(*(F.lit(v).alias(k) for k, v in {"built": True, "types": True, "bodies": False, "call_graph": True, "booted": False, "spring": True, "web_mvc": False, "web_flux": False, "jpa": True, "validation": False, "security": False, "has_spring_beans": True, "has_http": False, "has_jpa": False, "has_validation": False, "has_security": False}.items()))
+    got = {r.domain: r.status for r in document.confidence_report(facts).collect()}
+    assert got == {"BUILD": "CONFIRMED", "TYPES": "CONFIRMED", "METHOD_BODIES": "PARTIAL", "CALL_GRAPH": "CONFIRMED", "SPRING_BEANS": "PARTIAL", "HTTP": "CONFIRMED", "JPA": "MISSING", "VALIDATION": "CONFIRMED", "SECURITY": "CONFIRMED"}
+
+
+def test_specs_candidates_and_scenarios(spark):
+    specs = spark.createDataFrame([("a", 1, "x", "1", False, None), ("b", 2, " ", None, True, "")], "id string, schema_version int, service_name string, generator_lock string, has_messaging boolean, idempotency_key string")
+    assert {(r.id, r.code) for r in document.top_level_problems(specs).collect()} == {("b", x) for x in ("SCHEMA_VERSION_UNSUPPORTED", "SERVICE_NAME_REQUIRED", "GENERATOR_LOCK_REQUIRED", "MESSAGING_IDEMPOTENCY_REQUIRED")}
+    one, two = (spark.createDataFrame([(x,)], "name string") for x in ("candidate", "draft"))
+    issues = spark.createDataFrame([("X", "i", "ERROR")], "code string, item_id string, level string")
+    assert [document.valid_or_fallback(one, i, two).first().name for i in (issues.limit(0), issues)] == ["candidate", "draft"]
+    told = spark.createDataFrame([("scenario:a.OrderImpl#x", ["g"], ["w"], ["t", "u"]), ("a.Order#y", [], ["w"], [])], "id string, given array<string>, when array<string>, then array<string>")
+    assert [tuple(r) for r in document.grouped_scenarios(told).collect()] == [("Order", 2, 5)]
+
+
+def test_ask(spark, model):
+    from quillgraph.plans import ask
+
+    found, _ = snapshot.build(spark, model, "/work/orders")
+    items, _ = document.synthesize(spark, found.nodes, found.refs)
+    rows = ask.ask(items, found.nodes, "Which order flow is there?", 3).collect()
+    assert rows[0].source == "document" and "flow" in rows[0].text.lower() and sum(r.source == "document" for r in rows) == 3
+    assert any(r.source == "graph" and "Order flow" in r.text for r in rows)
