@@ -596,11 +596,12 @@ def stage_progress_stream(spark: SparkSession, sf: str) -> DataFrame:
 
     from ..streaming import runs as live
 
-    events = live.run_events(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
-    name = f"states_{uuid.uuid4().hex[:8]}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    live.progress_stream(events, name, ["user_id"], "ts", ["event_type", "event_id"], f"{base}/{name}").awaitTermination()
-    return spark.table(name).select("user_id", "ts", "event_type", "event_id")
+    source = table(spark, sf, "events")
+    events = live.run_events(spark, f"{sf}/events.parquet", source.schema)
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/states-{uuid.uuid4().hex[:12]}"
+    live.upsert_stream(events, f"{base}/log", ["user_id"], "ts", f"{base}/progress").awaitTermination()
+    log = spark.read.schema(source.schema).parquet(f"{base}/log")
+    return runs.latest_per_key(log, ["user_id"], "ts", "event_id").select("user_id", "ts", "event_type", "event_id")
 
 
 # Code models

@@ -25,7 +25,8 @@ def latest_states(events: DataFrame, keys: list[str], order: str, values: list[s
 
 
 def progress_stream(events: DataFrame, name: str, keys: list[str], order: str, values: list[str], checkpoint: str, interval: str | None = None) -> StreamingQuery:
-    """Start a query that keeps the table `name` of latest states up to date; without an interval it drains what is there and stops."""
+    """Start a query that keeps the in-memory table `name` of latest states up to date, for watching a run table of bounded size;
+    without an interval it drains what is there and stops. For logs of any size there is upsert_stream()."""
     writer = latest_states(events, keys, order, values).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
