@@ -118,9 +118,10 @@ def _rank(points: int, doc_id: int | None) -> tuple:
     return (-points, doc_id is None, doc_id or 0)
 
 
-def _local_terminals(schema: T.StructType, payload: list[str]):
+def _local_terminals(schema: T.StructType, payload: list[str], with_key: bool):
     """Rows -> a row for each distinct text of the task (or more, where a subtree was spilled)."""
     arrow = to_arrow_schema(schema)
+    keyed = (lambda own: own) if with_key else (lambda own: [*own[:2], None, *own[3:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, made = PatriciaTrie(), 0
@@ -131,7 +132,7 @@ def _local_terminals(schema: T.StructType, payload: list[str]):
             held: list[list] = []
             size = 0
             for own in owners:
-                held.append([part * (1 << 40) + made, *own])
+                held.append([part * (1 << 40) + made, *keyed(own)])
                 made += 1
                 size += len(own[2]) + 16 * len(own[6])
                 if size > 8 << 20:
@@ -242,7 +243,7 @@ def _merge_terminals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 if merger:
                     held += results(merger)
                 at, merger = (length, digest), _Merger()
-            merger.add(key, (terminal, points, best, count))
+            merger.add(normalised(key), (terminal, points, best, count))
         if len(held) > 10_000:
             yield out()
             held = []
@@ -295,10 +296,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ]
     schema = T.StructType([T.StructField(n, t) for n, t in fields] + [T.StructField(f"carried_{k}", docs.schema[c].dataType) for k, c in enumerate(carry)])
     source = docs.select(docs[id_col].cast("long").alias("id"), text_bytes(docs, text_col).alias("t"), F.char_length(F.coalesce(docs[text_col], F.lit(""))).cast("long").alias("points"), *(docs[c].alias(f"c{k}") for k, c in enumerate(carry)))
-    local = source.mapInArrow(_local_terminals(schema, carry), schema)
+    # A carried text stands for its normalised form, so no text is stored twice.
+    text = text_bytes if text_col in carry else None
+    local = source.mapInArrow(_local_terminals(schema, carry, text is None), schema)
     terminals = materialize(local, "terminals")
     keys = terminals.groupBy("key_length", "key_hash").agg(F.count("*").alias("n")).filter("n > 1").select("key_length", "key_hash")
-    meet = terminals.select("terminal", "key_length", "key_hash", "key", "points", "best_id", F.size("members").cast("long").alias("count")).join(keys, ["key_length", "key_hash"])
+    key = F.col("key") if text is None else text(terminals, f"carried_{carry.index(text_col)}").alias("key")
+    meet = terminals.select("terminal", "key_length", "key_hash", key, "points", "best_id", F.size("members").cast("long").alias("count")).join(keys, ["key_length", "key_hash"])
     meet = meet.select("terminal", "key_length", "key_hash", "key", "points", "best_id", "count")
     merged = meet.repartition("key_length", "key_hash").sortWithinPartitions("key_length", "key_hash").mapInArrow(_merge_terminals, "terminal long, keep_terminal long, keep_id long, group_size long")
     return ExactDedup(terminals, merged, carry)
