@@ -48,10 +48,16 @@ def drop_table(df: DataFrame) -> None:
         _written.discard(next((w for w in _written if folder.endswith(w.rpartition("/")[2])), ""))
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that this process wrote to the shared folder: for the end of a job, when its results are stored."""
-    while _written:
-        _delete(spark, _written.pop())
+def tables() -> set[str]:
+    """Paths of the tables that materialize() wrote in this process and that are still there."""
+    return set(_written)
+
+
+def release(spark: SparkSession, paths: set[str] | None = None) -> None:
+    """Delete tables that materialize() wrote (all of this process, or some), once no result that is still to run reads them."""
+    for path in tables() if paths is None else paths & _written:
+        _delete(spark, path)
+        _written.discard(path)
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> F.Column:
