@@ -78,6 +78,29 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks.contaminated(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
 
 
+_OP6_MASKS = ((12, (0, 1, 3, 6, 7, 9, 11)), (13, (0, 1, 3, 6, 9, 10, 12)))
+
+
+def _op6_seeds(table: str, key: str) -> str:
+    one = "SELECT {key}, p - 1 AS place, {n} AS mask, concat_ws(' ', {words}) AS seed FROM (SELECT {key}, words, unnest(range(1, len(words) - {span} + 2)) AS p FROM {table} WHERE len(words) >= {span})"
+    return " UNION ALL ".join(one.format(key=key, n=n, span=span, table=table, words=", ".join(f"words[p + {k}]" for k in kept)) for n, (span, kept) in enumerate(_OP6_MASKS))
+
+
+OP6_SQL = rf"""
+WITH folded AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT doc_id, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM folded),
+i AS (SELECT * FROM (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM benchmark) WHERE len(words) >= 13),
+ds AS ({_op6_seeds("d", "doc_id")}), bs AS ({_op6_seeds("i", "item_id")}),
+hits AS (SELECT DISTINCT doc_id, item_id, ds.place - bs.place AS shift FROM ds JOIN bs USING (mask, seed)),
+laid AS (SELECT doc_id, item_id, shift, greatest(0, shift) AS first, list_transform(range(greatest(0, shift), least(len(d.words), shift + len(i.words))), lambda k: CASE WHEN d.words[k + 1] = i.words[k - shift + 1] THEN 1 ELSE 0 END) AS same
+  FROM hits JOIN d USING (doc_id) JOIN i USING (item_id)),
+good AS (SELECT doc_id, item_id, first, list_sum(same) AS matched, len(same) AS overlap FROM laid
+  WHERE len(same) >= 13 AND list_max(list_transform(range(1, len(same) - 11), lambda s: list_sum(same[s:s + 12]))) >= 11)
+SELECT doc_id, item_id, CAST(first AS BIGINT) AS doc_word, CAST(matched AS BIGINT) AS matched, CAST(overlap AS BIGINT) AS overlap
+FROM good QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, first, overlap DESC) = 1
+"""
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = _simhash.simhash_components(docs, 3, _simhash.exact_layout(2))
@@ -115,4 +138,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_token_counts, op2_chat_format, op3_exact_dedup, op4_pii, op5_license_scan, op6_decontamination, op7_simhash, op8_mixing, op9_quality, op10_substring_dedup)
 }
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op10_substring_dedup": OP10_SQL}
