@@ -27,7 +27,8 @@ def _one(name: str) -> Column:
 def synthesize(spark: SparkSession, nodes: DataFrame, refs: DataFrame, service_name: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Evidence -> (items, citations): a service with interfaces and operations, data store, integrations, workflows, rules, scenarios and notes.
 
-    Nodes are read in order of `ordinal`; a citation names a node and its first ref, with nulls where it has none.
+    Nodes are read in order of `ordinal`; a citation names a node and its first ref, with nulls where it has none. Nodes are
+    used by every part of the plan, so they should be stored tables (snapshot.stored), and so should the items for what follows.
     """
     c = F.col
     by_label = F.row_number().over(Window.partitionBy("surface").orderBy("label", "ordinal", "id"))

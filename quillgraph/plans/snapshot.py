@@ -14,7 +14,7 @@ from .. import schemas
 from ..functions.text import edge_id, extension, stable_id
 from ..operators.merge import keep_first
 from ..operators.retrieval import keyword_rows
-from ..sources import scans
+from ..sources import files, scans
 
 
 @dataclass
@@ -232,3 +232,9 @@ def build(spark: SparkSession, tables: Mapping[str, DataFrame], project_root: st
     """The whole graph and the adapters' report. `resources` (path, text), `resource_lines`, and the code model's tables."""
     collected = {a.name: a.collect(tables) for a in adapters}
     return assemble([core_evidence(spark, tables, project_root), *collected.values()]), adapter_report(spark, collected)
+
+
+def stored(evidence: Evidence, folder: str, run_id: str) -> Evidence:
+    """The graph as tables of a run. Synthesis, validation and projection use it many times: store it first."""
+    tables = files.stored({"nodes": evidence.nodes, "edges": evidence.edges, "refs": evidence.refs}, folder, run_id)
+    return Evidence(tables["nodes"], tables["edges"], tables["refs"])

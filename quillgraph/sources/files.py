@@ -81,6 +81,14 @@ def write_artifacts(tables: dict[str, DataFrame], folder: str, run_id: str) -> D
     return manifest
 
 
+def stored(tables: dict[str, DataFrame], folder: str, run_id: str) -> dict[str, DataFrame]:
+    """Write tables of a run and read them back: what follows plans on files instead of computing them again for every use."""
+    schemas = {name: table.schema for name, table in tables.items()}
+    paths = {r["name"]: r["path"] for r in write_artifacts(tables, folder, run_id).collect()}
+    spark = next(iter(tables.values())).sparkSession
+    return {name: spark.read.schema(schema).parquet(paths[name]) for name, schema in schemas.items()}
+
+
 def upsert(stored: DataFrame, fresh: DataFrame, key: Sequence[str]) -> DataFrame:
     """Stored rows with those of equal key replaced: idempotent, the fresh row wins. The caller overwrites the version's partition."""
     return stored.join(fresh.select(*key), list(key), "left_anti").unionByName(fresh)

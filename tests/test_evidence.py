@@ -223,8 +223,19 @@ def model(spark):
     return t
 
 
-def test_snapshot_and_synthesis(spark, model):
-    found, report = snapshot.build(spark, model, "/work/orders")
+@pytest.fixture(scope="module")
+def run(spark, model, tmp_path_factory):
+    """A stored run: evidence, its report, items and citations."""
+    folder = str(tmp_path_factory.mktemp("run"))
+    built, report = snapshot.build(spark, model, "/work/orders")
+    found = snapshot.stored(built, folder, "r1")
+    items, citations = document.synthesize(spark, found.nodes, found.refs)
+    kept = files.stored({"items": items, "citations": citations}, folder, "r1")
+    return found, report, kept["items"], kept["citations"]
+
+
+def test_snapshot_and_synthesis(spark, model, run):
+    found, report, items, citations = run
     kinds = {r.kind for r in found.nodes.select("kind").distinct().collect()}
     assert kinds == {
         "project", "source-file", "import", "java-type", "annotation", "java-method", "method-parameter", "literal", "call-target", "http-endpoint", "persistence-entity", "bean", "validation-constraint",
@@ -235,7 +246,6 @@ def test_snapshot_and_synthesis(spark, model):
     assert calls == {("t1#run()", "t2"), ("t1#run()", "external-call-target:java.util.List:add")}
     assert {r.adapter: (r.status, r.node_count) for r in report.collect()} == {"documentation": ("COLLECTED", 4), "contracts": ("COLLECTED", 2), "migrations": ("COLLECTED", 1), "scheduling": ("COLLECTED", 1), "integration-patterns": ("COLLECTED", 1)}
 
-    items, citations = document.synthesize(spark, found.nodes, found.refs)
     got = [(r.kind, r.name) for r in items.orderBy("kind", "ordinal", "name").collect()]
     assert ("service", "orders") in got and ("datastore", "Primary Relational Store") in got and ("integration", "KAFKA") in got
     assert [n for k, n in got if k == "interface"] == ["HTTP Surface", "Background Jobs"]
@@ -367,11 +377,10 @@ def test_specs_candidates_and_scenarios(spark):
     assert [tuple(r) for r in document.grouped_scenarios(told).collect()] == [("Order", 2, 5)]
 
 
-def test_ask(spark, model):
+def test_ask(run):
     from quillgraph.plans import ask
 
-    found, _ = snapshot.build(spark, model, "/work/orders")
-    items, _ = document.synthesize(spark, found.nodes, found.refs)
+    found, _, items, _ = run
     rows = ask.ask(items, found.nodes, "Which order flow is there?", 3).collect()
     assert rows[0].source == "document" and "flow" in rows[0].text.lower() and sum(r.source == "document" for r in rows) == 3
     assert any(r.source == "graph" and "Order flow" in r.text for r in rows)
