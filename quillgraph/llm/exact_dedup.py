@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WHITE, materialize, text_bytes
+from .common import WHITE, materialize, small_batches, text_bytes
 
 #: Bytes of labels one task's trie may hold before its heaviest subtree is spilled.
 TRIE_BYTES = 48 << 20
@@ -146,7 +146,7 @@ def _local_terminals(schema: T.StructType, payload: list[str], with_key: bool):
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
         members = 0
-        for batch in batches:
+        for batch in small_batches(batches):
             ids, texts, points = (batch.column(k).to_pylist() for k in range(3))
             extra = [batch.column(3 + k).to_pylist() for k in range(len(payload))]
             for i, text in enumerate(texts):

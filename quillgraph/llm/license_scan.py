@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small_batches, text_bytes
 
 #: Phrases that count exactly, word for word (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -115,7 +115,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices
         scanner = Scanner(*scanner_args)
         names = ("label", "start_word", "n_words", "edits", "exact", "length")
         kind = pa.list_(pa.struct([("label", pa.string()), ("start_word", pa.int64()), ("n_words", pa.int64()), ("edits", pa.int32()), ("exact", pa.bool_()), ("length", pa.int32())]))
-        for batch in batches:
+        for batch in small_batches(batches):
             found = [scanner.scan(t) for t in batch.column(1).to_pylist()]
             hits = [[dict(zip(names, h, strict=True)) for h in hits] for _, hits in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(hits, kind)], names=["doc_id", "n_words", "hits"])

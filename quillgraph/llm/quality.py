@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small_batches, text_bytes
 
 #: Most positives, and most unlabelled texts, that the fit reads (the smallest seeded hashes of their ids).
 SAMPLE_ROWS = 20_000
@@ -105,7 +105,7 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small_batches(batches):
         rows = [features(t).tolist() for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "positive", "unlabelled"])
 
@@ -144,7 +144,7 @@ def score(docs: DataFrame, network: Network | None) -> DataFrame:
     """(doc_id, score): a row per row; null and empty texts are scored as empty. Without a network every score is 1: nothing is rejected."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             texts = batch.column(1).to_pylist()
             if network is None or not texts:
                 s = np.ones(len(texts))
@@ -162,8 +162,8 @@ def classify(docs: DataFrame, network: Network | None, threshold: float = 0.7) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = columns.index("text")
-        for batch in batches:
-            if network is None or not batch.num_rows:
+        for batch in small_batches(batches):
+            if network is None:
                 yield batch
                 continue
             texts = [(t or "").encode() for t in batch.column(at).to_pylist()]

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, text_bytes
+from .common import materialize, mix64, small_batches, text_bytes
 from .components import connected_components
 
 _LANES = np.uint64(0x0101010101010101)
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, shingle: int, words: int = 1, seed: int = 42,
     """(doc_id, fp binary): one row per row of docs; words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             fps = [fingerprint(t, shingle, words, seed).astype(_BIG_ENDIAN).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, text_bytes
+from .common import materialize, mix64, small_batches, text_bytes
 
 #: Perfect difference sets by period (fixed values of combinatorics).
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -75,7 +75,7 @@ def _anchors(window: int) -> Callable:
     length = window - period + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((i, t.split()) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        rows = ((i, t.split()) for b in small_batches(batches) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         for chunk in _chunks(r for r in rows if r[0] is not None and len(r[1]) >= window):
             words, offsets, sizes = _concatenated(chunk)
             owner = np.repeat(np.arange(len(chunk)), sizes)
@@ -141,7 +141,7 @@ def _windows(window: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (
             (i, s, t.split())
-            for b in batches
+            for b in small_batches(batches)
             for i, t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
             if s
         )
@@ -167,7 +167,7 @@ def _cut(window: int) -> Callable:
     """(doc_id, text, shared, firsts) -> (doc_id, n_words, n_removed, kept): words under a window that starts earlier elsewhere are gone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             columns = [batch.column(k).to_pylist() for k in range(1, 4)]
             n_words, n_removed, kept = [], [], []
             for text, shared, firsts in zip(*columns, strict=True):

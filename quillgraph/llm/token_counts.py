@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import small_batches, text_bytes
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 #: Stands for the end of a word behind its bytes.
@@ -48,9 +48,7 @@ class LongestMatch:
 
     def __init__(self, pieces: Iterable[tuple[int, ...]]) -> None:
         self.goto: dict[int, int] = {}
-        self.fail, self.popped = [-1], [0]
-        ends, levels = [False], [[(0, 0, 0)]]
-        parents = [(0, 0)]
+        ends, parents, depth = [False], [(0, 0)], [0]
         for piece in pieces:
             node = 0
             for symbol in piece:
@@ -58,16 +56,13 @@ class LongestMatch:
                 if edge not in self.goto:
                     self.goto[edge] = len(ends)
                     parents.append((node, symbol))
+                    depth.append(depth[node] + 1)
                     ends.append(False)
                 node = self.goto[edge]
             if node:
                 ends[node] = True
-        depth = [0] * len(ends)
-        for node in range(1, len(ends)):  # a parent is always made before its children
-            depth[node] = depth[parents[node][0]] + 1
         self.fail, self.popped = [-1] * len(ends), [0] * len(ends)
-        del levels
-        for node in sorted(range(1, len(ends)), key=depth.__getitem__):
+        for node in sorted(range(1, len(ends)), key=depth.__getitem__):  # links point to shallower nodes
             if ends[node]:
                 self.fail[node], self.popped[node] = 0, 1
                 continue
@@ -117,7 +112,7 @@ def token_counts(docs: DataFrame, pieces: list[tuple[int, ...]], id_col: str = "
             _automata.clear()
             _automata[number] = LongestMatch(shared.value)
         automaton, cache = _automata[number], {}
-        for batch in batches:
+        for batch in small_batches(batches):
             n_words, n_tokens, n_unknown = [], [], []
             for text in batch.column(1).to_pylist():
                 words = text.lower().split()
