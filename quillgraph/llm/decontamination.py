@@ -7,14 +7,14 @@ document are laid against each other and substitutions are counted.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Every mask keeps a triple of positions twice and one position more (fixed values: where the second triple
-#: starts, and the lone position). Hashes of triples are made once and serve all masks.
-TRIPLE, LAYOUTS = (0, 1, 3), ((6, 11), (9, 6))
-#: The masks as kept positions: weight 7, spans 12 and 13, few positions in common under any shift.
-MASKS = tuple(tuple(sorted({*TRIPLE, *(second + p for p in TRIPLE), lone})) for second, lone in LAYOUTS)
+#: Kept positions. However two of 13 consecutive words are substituted, the mask fits between them at one of its six
+#: places in the 13 words (a test enumerates all 78 pairs); no single mask of weight 6 does that.
+MASKS = ((0, 1, 3, 6, 7),)
 #: Seeds of the benchmark that may be broadcast; beyond, both sides are shuffled by seed.
 BROADCAST_SEEDS = 1_000_000
 
@@ -32,21 +32,31 @@ def _starts(tokens: Column, span: int) -> Column:
     return F.when(last > 0, F.sequence(F.lit(0), last - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def _seed(second: int, lone: int):
-    return lambda i: F.xxhash64(F.get("triples", i), F.get("triples", i + second), F.get("tokens", i + lone))
+def seed_mask(min_words: int, allowed: int) -> tuple[int, ...]:
+    """A mask that finds every stretch of min_words words of which at most `allowed` are substituted.
+
+    Between k substitutions in n words a run of n // (k + 1) equal words is left over.
+    """
+    if min_words >= 13 and allowed <= 2:
+        return MASKS[0]
+    if not (run := min_words // (allowed + 1)):
+        raise ValueError("min_share must leave equal words in every stretch")
+    return tuple(range(run))
+
+
+def _seed(mask: tuple[int, ...]):
+    return lambda i: F.xxhash64(*(F.get("tokens", i + p if p else i) for p in mask))
 
 
-def _seeded(tokens: DataFrame, keep: list[str]) -> DataFrame:
+def _seeded(tokens: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) -> DataFrame:
     """A row for each seed: keep..., at (from 0), seed. The masks' seeds stand behind one another, so texts are split once."""
-    triples = F.transform(_starts(F.col("tokens"), max(TRIPLE) + 1), lambda i: F.xxhash64(*(F.get("tokens", i + p if p else i) for p in TRIPLE)))
-    tokens = tokens.select(*keep, "tokens", triples.alias("triples"))
     seeds, ends = [], [F.lit(0)]
-    for (second, lone), mask in zip(LAYOUTS, MASKS, strict=True):
-        seeds.append(F.transform(_starts(F.col("tokens"), max(mask) + 1), _seed(second, lone)))
+    for mask in masks:
+        seeds.append(F.transform(_starts(F.col("tokens"), max(mask) + 1), _seed(mask)))
         ends.append(ends[-1] + F.greatest(F.lit(0), F.size("tokens") - max(mask)))
-    listed = tokens.select(*keep, F.array(*ends[1:-1]).alias("ends"), F.posexplode(F.concat(*seeds)).alias("n", "seed"))
+    listed = tokens.select(*keep, F.array(*ends[:-1]).alias("ends"), F.posexplode(F.concat(*seeds)).alias("n", "seed"))
     at = F.col("n")
-    for k in range(len(MASKS) - 1):
+    for k in range(1, len(masks)):
         at = F.when(F.col("n") >= F.get("ends", F.lit(k)), F.col("n") - F.get("ends", F.lit(k))).otherwise(at)
     return listed.select(*keep, "seed", at.alias("at"))
 
@@ -57,25 +67,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     A stretch counts if, of min_words consecutive positions laid against the item, at least min_share
     hold the same token. doc_word is where the item's first aligned word lies, overlap the aligned
     positions, matched the equal ones; of several alignments the one with most matches (then the first)
-    is reported. Null texts have no words; items shorter than min_words or than a mask's span are no
-    evidence and are left out; rows without an id are never reported; rows that repeat an id count
-    as one document. Documents only move in the second pass, and only to meet their hits.
+    is reported. Items shorter than min_words count where all their words stand in a row. Null texts
+    have no words; items without words and rows without an id are never reported; rows that repeat
+    an id count as one document. Documents only move in the second pass, and only to meet their hits.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("tokens")).filter(F.size("tokens") >= min_words).filter("item_id IS NOT NULL")
-    wanted = _seeded(items, ["item_id"]).withColumnRenamed("at", "item_at")
+    least = math.ceil(min_share * min_words - 1e-9)
+    mask = seed_mask(min_words, min_words - least)
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0).filter("item_id IS NOT NULL")
+    # Items that the mask doesn't fit in are sought by all their words; documents get seeds of those lengths that occur.
+    brief = sorted(r.n for r in items.filter(F.size("tokens") <= max(mask)).select(F.size("tokens").alias("n")).distinct().collect())
+    masks = [mask, *(tuple(range(n)) for n in brief)]
+    wanted = _seeded(items.filter(F.size("tokens") > max(mask)), ["item_id"], masks[:1])
+    for n, whole in zip(brief, masks[1:], strict=True):
+        wanted = wanted.unionByName(_seeded(items.filter(F.size("tokens") == n), ["item_id"], [whole]))
+    wanted = wanted.withColumnRenamed("at", "item_at")
     if wanted.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
         wanted = F.broadcast(wanted)
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tokens = texts.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
-    hits = _seeded(tokens, ["doc_id"]).join(wanted, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    hits = _seeded(tokens, ["doc_id"], masks).join(wanted, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
     met = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("met"))
     laid = texts.join(met, "doc_id").select("doc_id", token_hashes(F.col("text")).alias("tokens"), F.explode("met").alias("m")).select("doc_id", "tokens", "m.*")
     laid = laid.join(items.withColumnRenamed("tokens", "item"), "item_id")
     first, last = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("tokens"), F.col("shift") + F.size("item")) - 1
-    laid = laid.filter(last - first + 1 >= min_words).withColumn("same", F.transform(F.sequence(first, last), lambda k: (F.get("tokens", k) == F.get("item", k - F.col("shift"))).cast("int")))
-    windows = F.sequence(F.lit(1), F.size("same") - (min_words - 1))
-    most = F.array_max(F.transform(windows, lambda s: F.aggregate(F.slice("same", s, min_words), F.lit(0), lambda a, x: a + x)))
-    sums = laid.select("doc_id", "item_id", first.cast("long").alias("doc_word"), F.aggregate("same", F.lit(0), lambda a, x: a + x).cast("long").alias("matched"), F.size("same").cast("long").alias("overlap"), most.alias("most"))
+    window = F.least(F.lit(min_words), F.size("item"))
+    laid = laid.filter(last - first + 1 >= window).withColumn("same", F.transform(F.sequence(first, last), lambda k: (F.get("tokens", k) == F.get("item", k - F.col("shift"))).cast("int")))
+    windows = F.sequence(F.lit(1), F.size("same") - (window - 1))
+    most = F.array_max(F.transform(windows, lambda s: F.aggregate(F.slice("same", s, window), F.lit(0), lambda a, x: a + x)))
+    needed = F.when(F.size("item") < min_words, F.size("item")).otherwise(F.lit(least))
+    sums = laid.select("doc_id", "item_id", first.cast("long").alias("doc_word"), F.aggregate("same", F.lit(0), lambda a, x: a + x).cast("long").alias("matched"), F.size("same").cast("long").alias("overlap"), (most >= needed).alias("close"))
     best = F.max(F.struct("matched", (-F.col("doc_word")).alias("back"), "overlap"))
-    found = sums.filter(F.col("most") >= F.ceil(F.lit(min_share * min_words - 1e-9))).groupBy("doc_id", "item_id").agg(best.alias("b"))
+    found = sums.filter("close").groupBy("doc_id", "item_id").agg(best.alias("b"))
     return found.select("doc_id", "item_id", (-F.col("b.back")).alias("doc_word"), "b.matched", "b.overlap")

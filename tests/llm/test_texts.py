@@ -2,6 +2,7 @@
 
 import functools
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -251,6 +252,35 @@ def test_leaks_equal_brute_force(spark, sf):
     assert dc.contaminated(frame(spark, rows), benchmark.limit(0)).count() == 0
 
 
+def test_mask_survives_every_two_substitutions_in_13_words():
+    for lost in itertools.combinations(range(13), 2):
+        assert any(not set(lost) & {at + p for p in m} for m in dc.MASKS for at in range(13 - max(m)))
+    for words, allowed in ((13, 2), (20, 2), (13, 3), (8, 1), (5, 0)):
+        mask = dc.seed_mask(words, allowed)
+        assert all(any(not set(lost) & {at + p for p in mask} for at in range(words - max(mask))) for lost in itertools.combinations(range(words), allowed))
+
+
+def test_leaks_of_every_substitution_pattern(spark):
+    """By the rule alone, 11 of 13 words: every pair of substitutions, every fifth word replaced, short items."""
+    item = [f"w{k}" for k in range(60)]
+    rows, want = [], set()
+    for n, lost in enumerate(itertools.combinations(range(13), 2)):
+        rows.append((n, " ".join(["a"] * (n % 7) + ["zz" if k in lost else item[20 + k] for k in range(13)] + ["b"])))
+        want.add((n, 1))
+    for n, lost in enumerate(itertools.combinations(range(13), 3)):
+        rows.append((1000 + n, " ".join("zz" if k in lost else item[20 + k] for k in range(13))))
+    for n in range(5):
+        rows.append((2000 + n, " ".join("zz" if k % 5 == n else w for k, w in enumerate(item))))
+        want.add((2000 + n, 1))
+    rows += [(3000, "x Cat sat y"), (3001, "cat x sat"), (3002, f"a {' '.join('abcdefghijkl')} z"), (3003, f"a {' '.join('abcdefghijk')} z"), (3004, "cat sat")]
+    want |= {(3000, 2), (3002, 3), (3004, 2)}
+    items = spark.createDataFrame([(1, " ".join(item)), (2, "cat SAT"), (3, " ".join("abcdefghijkl")), (4, ""), (5, None)], "item_id long, text string")
+    for limit in (dc.BROADCAST_SEEDS, 0):
+        found = dc.contaminated(frame(spark, rows), items, broadcast_seeds=limit).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == want
+    assert {(r.doc_word, r.matched, r.overlap) for r in found if r.doc_id == 3000} == {(1, 2, 2)}
+
+
 # quality
 
 
