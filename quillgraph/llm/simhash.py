@@ -62,13 +62,15 @@ def exact_layout(max_bits: int = 2) -> Layout:
 def wide_layout(n_docs: int, similarity: float = 0.8, recall: float = 0.99, verify_words: int = 4) -> Layout:
     """Blocks as wide as keeps the expected number of unrelated documents in a bucket below one, at every size.
 
-    Sets with Jaccard similarity s disagree on a bit with probability acos(2s / (1 + s)) / pi.
+    Sets with Jaccard similarity s disagree on a bit with probability acos(2s / (1 + s)) / pi. The
+    compared bits only sort out pairs far below the threshold; near_duplicates counts the shingles of the rest.
     """
     flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = max(16, math.ceil(math.log2(max(n_docs, 2))) + 1)
-    blocks = math.ceil(math.log(1 - recall) / math.log(1 - (1 - flip) ** bits))
+    passed = min(0.99865, (1 + recall) / 2)  # of pairs at the threshold, by three standard errors of slack
+    blocks = math.ceil(math.log(1 - recall / passed) / math.log(1 - (1 - flip) ** bits))
     compared = 64 * verify_words
-    slack = math.sqrt(flip * (1 - flip) / compared)
+    slack = 3 * math.sqrt(flip * (1 - flip) / compared)
     return Layout(max(verify_words, math.ceil(bits * blocks / 64)), verify_words, math.floor(compared * (flip + slack)), bits, blocks)
 
 
@@ -87,18 +89,29 @@ def _bit_counts(h: np.ndarray, words: int) -> np.ndarray:
     return out.reshape(words, 64)
 
 
-def fingerprint(text: bytes, shingle: int, words: int = 1, seed: int = 42) -> np.ndarray:
-    """The SimHash of a text: a bit is 1 if it is set in over half the shingles' XXH64. No words: zero."""
+def _shingle_hashes(text: bytes, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles, a piece at a time; a text under a shingle's length is one shingle, one without words none."""
     tokens = text.lower().split()
-    out = np.zeros(words, np.uint64)
     if not tokens:
-        return out
-    counts, n = np.zeros((words, 64), np.int64), max(1, len(tokens) - shingle + 1)
+        return
     digest, join = xxhash.xxh64_intdigest, b" ".join
-    for at in range(0, n, PIECE):
+    for at in range(0, max(1, len(tokens) - shingle + 1), PIECE):
         piece = tokens[at : at + PIECE + shingle - 1]
         grams = map(join, zip(*(piece[k:] for k in range(shingle)), strict=False)) if len(tokens) >= shingle else [join(tokens)]
-        counts += _bit_counts(np.array([digest(g, seed) for g in grams], dtype=np.uint64), words)
+        yield np.array([digest(g, seed) for g in grams], dtype=np.uint64)
+
+
+def shingle_set(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a whole text's shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(text, shingle, seed)]))
+
+
+def fingerprint(text: bytes, shingle: int, words: int = 1, seed: int = 42) -> np.ndarray:
+    """The SimHash of a text: a bit is 1 if it is set in over half the shingles' XXH64. No words: zero."""
+    counts, n = np.zeros((words, 64), np.int64), 0
+    for hashes in _shingle_hashes(text, shingle, seed):
+        counts += _bit_counts(hashes, words)
+        n += len(hashes)
     bits = (2 * counts > n).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -225,6 +238,13 @@ def link_fingerprints(reps: DataFrame, layout: Layout) -> DataFrame:
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(layout), "a long, b long")
 
 
+def _as_components(own: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
+    found = connected_components(links)
+    placed = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    # A table of its own, so that both sides of the last join are plain exchanges, of which a hot fingerprint's is split.
+    return own.join(materialize(placed, "placed"), "fp").select("doc_id", "fp", "component_id")
+
+
 def simhash_components(docs: DataFrame, shingle: int, layout: Layout, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest id reachable over links, the row's own included.
 
@@ -234,12 +254,66 @@ def simhash_components(docs: DataFrame, shingle: int, layout: Layout, seed: int
     """
     own = materialize(fingerprints(docs, shingle, layout.words, seed, id_col, text_col), "fingerprints")
     reps = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = connected_components(link_fingerprints(reps.select(F.col("rep").alias("doc_id"), "fp"), layout))
-    placed = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    # A table of its own, so that both sides of the last join are plain exchanges, of which a hot fingerprint's is split.
-    return own.join(materialize(placed, "placed"), "fp").select("doc_id", "fp", "component_id")
+    return _as_components(own, reps, link_fingerprints(reps.select(F.col("rep").alias("doc_id"), "fp"), layout))
+
+
+def _shingle_sets(docs: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
+    """(id, grams binary) of docs (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            grams = [shingle_set(t, shingle, seed).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["id", "grams"])
+
+    return docs.select("doc_id", text_bytes(docs).alias("t")).mapInArrow(run, "id long, grams binary")
+
+
+def _judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, good): whether the Jaccard similarity of the two sets reaches the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
+
+    left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
+    met = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
+    return materialize(met.mapInArrow(run, "a long, b long, good boolean"), "judged")
+
+
+def _pairs_across(reps: DataFrame, layout: Layout, links: DataFrame, judged: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share a block and that no confirmed links connect, where a refuted link may have stood in for them."""
+    trees = connected_components(links)
+    torn = judged.filter("NOT good").select(F.explode(F.array("a", "b")).alias("node")).distinct().join(trees, "node").select("component").distinct()
+    parts = connected_components(judged.filter("good").select("a", "b")).withColumnRenamed("component", "part")
+    nodes = trees.join(torn, "component").select("node").union(torn).distinct()
+    nodes = materialize(nodes.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("part")), "torn")
+    keyed = reps.join(nodes.select(F.col("node").alias("doc_id")), "doc_id").select("doc_id", "fp").mapInArrow(_keyed(layout), "key long, id long, fp binary")
+    placed = materialize(keyed.select("key", "id").join(nodes.withColumnRenamed("node", "id"), "id"), "torn-keys")
+    one, two = (placed.select("key", F.col("id").alias(n), F.col("part").alias(f"part_{n}")) for n in ("a", "b"))
+    return one.join(two, "key").filter("a < b AND part_a <> part_b").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """simhash_components for a similarity of shingle sets; the layout follows the number of documents, the recall does not."""
-    return simhash_components(docs, shingle, wide_layout(docs.count(), similarity, recall), id_col=id_col, text_col=text_col)
+    """simhash_components for a similarity of shingle sets; the layout follows the number of documents, the recall does not.
+
+    Fingerprints only propose links: each is confirmed on the two whole texts' shingle sets. Where one
+    is refuted, the pairs that its tree left out are judged too, unless confirmed links connect them.
+    """
+    layout = wide_layout(docs.count(), similarity, recall)
+    own = materialize(fingerprints(docs, shingle, layout.words, 42, id_col, text_col), "fingerprints")
+    reps = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    known = reps.select(F.col("rep").alias("doc_id"), "fp")
+    links = materialize(link_fingerprints(known, layout), "proposed")
+    linked = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    sets = materialize(_shingle_sets(texts.join(linked, "doc_id"), shingle), "shingles")
+    judged = _judged(links, sets, similarity)
+    good = judged.filter("good").select("a", "b")
+    if not judged.filter("NOT good").isEmpty():
+        good = good.union(_judged(_pairs_across(known, layout, links, judged), sets, similarity).filter("good").select("a", "b"))
+    return _as_components(own, reps, good)

@@ -182,6 +182,37 @@ def test_wide_layout_finds_similar_documents(spark):
     assert all(found[2 * k] == 2 * k for k in range(120))
 
 
+def like(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """At 0.80 pairs are found, at 0.75 none is; a chain is cut where its link is below."""
+    rng = random.Random(12)
+    rows, low, high = [], set(), set()
+    for k in range(200):
+        words = [f"w{rng.randrange(50000)}" for _ in range(454)]
+        n = 10 if k % 2 else 13  # 450 shingles, of which each new word changes five
+        other = ["new" + str(p) if p % 30 == 7 and p // 30 < n else w for p, w in enumerate(words)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        (high if (j := like(rows[-2][1], rows[-1][1])) >= 0.8 else low).add(k)
+        assert 0.795 < j < 0.81 or 0.74 < j < 0.76
+    found = {r.doc_id: r.component_id for r in sh.near_duplicates(frame(spark, rows)).collect()}
+    assert len(high) == len(low) == 100
+    assert sum(found[2 * k + 1] == 2 * k for k in high) >= 97
+    assert all(found[2 * k + 1] == 2 * k + 1 for k in low)
+
+
+def test_pairs_behind_a_refuted_link(spark):
+    """Three texts in one bucket: the first is too far from both others, which are close."""
+    words = [f"w{k}" for k in range(454)]
+    change = lambda places, mark: " ".join(mark if p in places else w for p, w in enumerate(words))
+    rows = [(1, " ".join(words)), (2, change(range(7, 390, 30), "x")), (3, change(range(7, 420, 30), "x"))]
+    assert like(rows[0][1], rows[1][1]) < 0.8 and like(rows[0][1], rows[2][1]) < 0.8 < like(rows[1][1], rows[2][1])
+    assert {r.doc_id: r.component_id for r in sh.near_duplicates(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 2}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(200, 201), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
