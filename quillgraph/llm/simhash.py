@@ -106,22 +106,27 @@ def shingle_set(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingle_hashes(text, shingle, seed)]))
 
 
-def fingerprint(text: bytes, shingle: int, words: int = 1, seed: int = 42) -> np.ndarray:
-    """The SimHash of a text: a bit is 1 if it is set in over half the shingles' XXH64. No words: zero."""
+def fingerprint(text: bytes, shingle: int, words: int = 1, seed: int = 42, distinct: bool = False) -> np.ndarray:
+    """The SimHash of a text: a bit is 1 if it is set in over half the shingles' XXH64; distinct: each shingle counts once. No words: zero."""
     counts, n = np.zeros((words, 64), np.int64), 0
-    for hashes in _shingle_hashes(text, shingle, seed):
+    if distinct:
+        own = shingle_set(text, shingle, seed)
+        pieces = (own[at : at + PIECE] for at in range(0, len(own), PIECE))
+    else:
+        pieces = _shingle_hashes(text, shingle, seed)
+    for hashes in pieces:
         counts += _bit_counts(hashes, words)
         n += len(hashes)
     bits = (2 * counts > n).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int, words: int = 1, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
     """(doc_id, fp binary): one row per row of docs; words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; null texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            fps = [fingerprint(t, shingle, words, seed).astype(_BIG_ENDIAN).tobytes() for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(t, shingle, words, seed, distinct).astype(_BIG_ENDIAN).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("t")).mapInArrow(run, "doc_id long, fp binary")
@@ -299,13 +304,13 @@ def _pairs_across(reps: DataFrame, layout: Layout, links: DataFrame, judged: Dat
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """simhash_components for a similarity of shingle sets; the layout follows the number of documents, the recall does not.
+    """simhash_components for a similarity of shingle sets, each shingle counted once; the layout follows the number of documents, the recall does not.
 
     Fingerprints only propose links: each is confirmed on the two whole texts' shingle sets. Where one
     is refuted, the pairs that its tree left out are judged too, unless confirmed links connect them.
     """
     layout = wide_layout(docs.count(), similarity, recall)
-    own = materialize(fingerprints(docs, shingle, layout.words, 42, id_col, text_col), "fingerprints")
+    own = materialize(fingerprints(docs, shingle, layout.words, 42, id_col, text_col, distinct=True), "fingerprints")
     reps = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     known = reps.select(F.col("rep").alias("doc_id"), "fp")
     links = materialize(link_fingerprints(known, layout), "proposed")

@@ -213,6 +213,15 @@ def test_pairs_behind_a_refuted_link(spark):
     assert {r.doc_id: r.component_id for r in sh.near_duplicates(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 2}
 
 
+def test_repeated_shingles_count_once(spark):
+    words = [f"w{k}" for k in range(200)]
+    footer = "all rights are reserved here "
+    one, two = (" ".join(f"{m}{k}" for k in range(200)) for m in "pq")
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:24] * 20, *words])), (3, footer * 200 + one), (4, footer * 200 + two)]
+    assert like(rows[0][1], rows[1][1]) > 0.95 and like(rows[2][1], rows[3][1]) < 0.05
+    assert {r.doc_id: r.component_id for r in sh.near_duplicates(frame(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(100)] + [(200, 201), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
