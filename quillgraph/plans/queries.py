@@ -569,8 +569,9 @@ def run_progress(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {STAGE_SQL} SELECT user_id, coalesce(min(event_id) FILTER (WHERE status = 'RUNNING' AND event_id % 7 = 0), min(event_id) FILTER (WHERE status = 'FAILED' AND event_id % 7 = 0), max(event_id) FILTER (WHERE status = 'SUCCEEDED' AND event_id % 7 = 0)) AS current FROM stages GROUP BY 1""")
 def current_stage(spark: SparkSession, sf: str) -> DataFrame:
-    listed = stages(spark, sf).groupBy("user_id").agg(F.array_sort(F.collect_list(F.when(c("event_id") % 7 == 0, F.struct("ordinal", "event_id", "status")))).alias("s"))
-    return listed.select("user_id", runs.current_stage(c("s"))["event_id"].alias("current"))
+    own, status = c("event_id"), c("status")
+    at = lambda kind: F.when((status == kind) & (own % 7 == 0), own)
+    return stages(spark, sf).groupBy("user_id").agg(F.coalesce(F.min(at("RUNNING")), F.min(at("FAILED")), F.max(at("SUCCEEDED"))).alias("current"))
 
 
 @query("""WITH f AS (SELECT user_id, bool_or(event_type = 'signup' AND event_id % 11 = 0) AS running, bool_or(event_type = 'error' AND event_id % 5 = 0) AS failed, count(*) > 20 AS evidence, avg(value) > 50 AS trusted,

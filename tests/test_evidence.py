@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillgraph import schemas
 from quillgraph.functions import text as fx
 from quillgraph.operators import compare, hierarchy, lookup, merge, retrieval
-from quillgraph.plans import document, runs, snapshot
+from quillgraph.plans import document, queries, runs, snapshot
 from quillgraph.sources import files, scans
 
 
@@ -384,3 +384,9 @@ def test_ask(run):
     rows = ask.ask(items, found.nodes, "Which order flow is there?", 3).collect()
     assert rows[0].source == "document" and "flow" in rows[0].text.lower() and sum(r.source == "document" for r in rows) == 3
     assert any(r.source == "graph" and "Order flow" in r.text for r in rows)
+
+
+def test_current_stage_gathers_no_events(spark, sf):
+    """A user with a third of all events is aggregated before the shuffle: no array, no sort over a key."""
+    plan = queries.current_stage(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan
