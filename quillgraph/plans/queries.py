@@ -599,7 +599,7 @@ def stage_progress_stream(spark: SparkSession, sf: str) -> DataFrame:
 
     source = table(spark, sf, "events")
     events = live.run_events(spark, f"{sf}/events.parquet", source.schema)
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/states-{uuid.uuid4().hex[:12]}"
+    base = f"{files.shared_dir(spark)}/states-{uuid.uuid4().hex[:12]}"
     live.upsert_stream(events, f"{base}/log", ["user_id"], "ts", f"{base}/progress").awaitTermination()
     log = spark.read.schema(source.schema).parquet(f"{base}/log")
     return runs.latest_per_key(log, ["user_id"], "ts", "event_id").select("user_id", "ts", "event_type", "event_id")

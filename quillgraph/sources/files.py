@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 RESOURCE_FOLDERS = ("src/main/resources", "src/test/resources", "api", "docs", "doc")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Only a local master may go without it."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "/tmp/checkpoints"
+
+
 def text_files(spark: SparkSession, roots: Sequence[str], pattern: str = "*") -> DataFrame:
     """(path, text) of all files below the roots whose name fits; each path once; roots that don't exist are skipped."""
     jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()
