@@ -3,8 +3,9 @@
 Two layouts of blocks share all the code. `exact_layout` covers every pair of 64-bit fingerprints
 that differ in at most two bits: eight blocks of eight bits, of which two close fingerprints agree
 on six at least, so each fingerprint has C(8, 6) = 28 keys and a key is shared by at most 2**16
-distinct fingerprints. `wide_layout` serves a similarity of shingle sets: a wide fingerprint
-is split into as many blocks as a pair at the threshold needs to agree on one with the wanted recall.
+distinct fingerprints. `wide_layout` serves a similarity of shingle sets, the cosine that SimHash
+estimates: a wide fingerprint is split into as many blocks as a pair at the threshold needs to agree
+on one with the wanted recall, and what the blocks propose is decided on the shingle sets themselves.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, small_batches, text_bytes
+from .common import materialize, mix64, named, runs, scratch, small_batches, text_bytes, text_hash
 from .components import connected_components
 
 _LANES = np.uint64(0x0101010101010101)
@@ -29,6 +30,12 @@ _BIG_ENDIAN = ">u8"  # of words in binary columns, so that hex() prints them
 PIECE = 8192
 #: Links that one task's union-find may know before it starts afresh.
 FOREST_NODES = 500_000
+#: Fingerprints of one bucket that a task takes; larger buckets are split by further blocks.
+BUCKET_ROWS = 1 << 17
+#: Documents, and shingles, of one tree of proposals that a task compares; larger trees are dealt to several tasks.
+CHUNK_NODES, CHUNK_SHINGLES = 512, 1 << 19
+#: Documents of such a tree that all its tasks get, about; they tie its tasks' results together.
+HUBS = 16
 
 
 @dataclass(frozen=True)
@@ -60,16 +67,16 @@ def exact_layout(max_bits: int = 2) -> Layout:
 
 
 def wide_layout(n_docs: int, similarity: float = 0.8, recall: float = 0.99, verify_words: int = 4) -> Layout:
-    """Blocks as wide as keeps the expected number of unrelated documents in a bucket below one, at every size.
+    """Blocks so wide that some 32 unrelated documents share a bucket, at every size; comparing these costs about what their rows do.
 
-    Sets with Jaccard similarity s disagree on a bit with probability acos(2s / (1 + s)) / pi. The
-    compared bits only sort out pairs far below the threshold; near_duplicates counts the shingles of the rest.
+    Sets of cosine similarity s disagree on a bit with probability acos(s) / pi. Of pairs at the
+    threshold the compared bits pass all but those beyond three standard errors.
     """
-    flip = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    bits = max(16, math.ceil(math.log2(max(n_docs, 2))) + 1)
-    passed = min(0.99865, (1 + recall) / 2)  # of pairs at the threshold, by three standard errors of slack
-    blocks = math.ceil(math.log(1 - recall / passed) / math.log(1 - (1 - flip) ** bits))
+    flip = math.acos(similarity) / math.pi
+    bits = max(8, math.ceil(math.log2(max(n_docs, 2))) - 5)
     compared = 64 * verify_words
+    passed = min(0.99865, (1 + recall) / 2)
+    blocks = math.ceil(math.log(1 - recall / passed) / math.log(1 - (1 - flip) ** bits))
     slack = 3 * math.sqrt(flip * (1 - flip) / compared)
     return Layout(max(verify_words, math.ceil(bits * blocks / 64)), verify_words, math.floor(compared * (flip + slack)), bits, blocks)
 
@@ -122,14 +129,18 @@ def fingerprint(text: bytes, shingle: int, words: int = 1, seed: int = 42, disti
 
 
 def fingerprints(docs: DataFrame, shingle: int, words: int = 1, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
-    """(doc_id, fp binary): one row per row of docs; words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; null texts have no words."""
+    """(doc_id, hash, fp binary): one row per row of docs; words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; null texts have no words.
+
+    hash is text_hash(text), which tells rows that repeat an id apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            fps = [fingerprint(t, shingle, words, seed, distinct).astype(_BIG_ENDIAN).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary())], names=["doc_id", "fp"])
+            fps = [fingerprint(t, shingle, words, seed, distinct).astype(_BIG_ENDIAN).tobytes() for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.binary())], names=["doc_id", "hash", "fp"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("t")).mapInArrow(run, "doc_id long, fp binary")
+    source = docs.select(named(docs, id_col).cast("long").alias("doc_id"), text_hash(named(docs, text_col)).alias("hash"), text_bytes(docs, text_col).alias("t"))
+    return source.mapInArrow(run, "doc_id long, hash long, fp binary")
 
 
 def _as_words(column: pa.Array) -> np.ndarray:
@@ -195,130 +206,283 @@ def _bucket_links(ids: np.ndarray, fps: np.ndarray, max_bits: int) -> list[tuple
     return out
 
 
-def _linked(layout: Layout):
-    """Rows (key, id, fp) sorted by key -> links (a, b) of each bucket, verified."""
+def _link_table(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1]), pa.nulls(len(a), pa.binary())], names=["a", "b", "fp"])
+
+
+def _linked(layout: Layout, split: bool):
+    """Rows (key, id, fp) sorted by key -> links (a, b, null) of each bucket, verified; split: rows (id, key, fp) of a bucket that is too large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, tail = Forest(), None
+        forest = Forest()
 
         def links(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
             nonlocal forest
             out: list[tuple[int, int]] = []
             starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
             sizes = np.diff(np.r_[starts, len(keys)])
-            for size in (2, 3, 4):  # most buckets: all pairs at once over all buckets of a size
+            for size in range(2, 33):  # most buckets: all pairs at once over all buckets of a size
                 first = starts[sizes == size]
-                for i, j in combinations(range(size), 2):
+                for i, j in combinations(range(size), 2) if len(first) else ():
                     near = _distance(fps[first + i], fps[first + j]) <= layout.max_bits
-                    out += zip(ids[first + i][near].tolist(), ids[first + j][near].tolist(), strict=True)
-            for first, size in zip(starts[sizes > 4].tolist(), sizes[sizes > 4].tolist(), strict=True):
+                    if near.any():
+                        out += zip(ids[first + i][near].tolist(), ids[first + j][near].tolist(), strict=True)
+            for first, size in zip(starts[sizes > 32].tolist(), sizes[sizes > 32].tolist(), strict=True):
                 out += _bucket_links(ids[first : first + size], fps[first : first + size], layout.max_bits)
             if len(forest.parent) > FOREST_NODES:
                 forest = Forest()
             return [x for x in out if forest.join(*x)]
 
-        def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            a = np.array(found, dtype=np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
+        heads: tuple | None = None
+        for parts, cut in runs(batches, BUCKET_ROWS):
+            if cut and split:
+                for part in parts:
+                    yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), part.column(2)], names=["a", "b", "fp"])
+                continue
+            keys, ids, fps = (np.concatenate(x) for x in zip(*((p.column(0).to_numpy(), p.column(1).to_numpy(), _as_words(p.column(2))) for p in parts), strict=True))
+            if cut:  # a piece of a bucket that no further block splits meets the first of each tree of the pieces before
+                if heads is not None and heads[0][0] == keys[0]:
+                    keys, ids, fps = (np.concatenate(x) for x in zip(heads, (keys, ids, fps), strict=True))
+                found = links(keys, ids, fps)
+                own = np.flatnonzero([forest.find(i) == i for i in ids.tolist()])
+                heads = keys[own], ids[own], fps[own]
+            else:
+                found = links(keys, ids, fps)
+            if found:
+                yield _link_table(found)
+
+    return run
+
+
+def _finer(layout: Layout, recall: float = 0.99):
+    """Rows (id, key, fp) of large buckets -> (key, id, fp) with keys of the bucket and one of several further blocks each."""
+    width = 8
+    same = (1 - layout.max_bits / (64 * layout.verify)) ** width
+    blocks = min(8 * layout.verify, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _as_words(batch.column(2))
-            if tail is not None:
-                keys, ids, fps = np.r_[tail[0], keys], np.r_[tail[1], ids], np.concatenate([tail[2], fps])
-            if not len(keys):
-                continue
-            last = np.searchsorted(keys, keys[-1])  # the last bucket may go on in the next batch
-            tail = keys[last:].copy(), ids[last:].copy(), fps[last:].copy()
-            if last and (found := links(keys[:last], ids[:last], fps[:last])):
-                yield table(found)
-        if tail is not None and (found := links(*tail)):
-            yield table(found)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                values = _as_words(part.column(2)).view(np.uint8)[:, :blocks].astype(np.uint64) | (np.arange(1, blocks + 1, dtype=np.uint64) << np.uint64(8))
+                keys = mix64(mix64(part.column(1).to_numpy().view(np.uint64))[:, None] ^ mix64(values)).view(np.int64)
+                again = pa.array(np.repeat(np.arange(part.num_rows), blocks))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(again), part.column(2).take(again)], names=["key", "id", "fp"])
 
     return run
 
 
+def _merged_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of several tasks -> those that one forest needs."""
+    forest = Forest()
+    for batch in batches:
+        if len(forest.parent) > FOREST_NODES:
+            forest = Forest()
+        kept = [x for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if forest.join(*x)]
+        if kept:
+            yield _link_table(kept).select(["a", "b"])
+
+
 def link_fingerprints(reps: DataFrame, layout: Layout) -> DataFrame:
-    """Distinct fingerprints (doc_id, fp) -> links (a, b) that connect all that are close and share a block."""
+    """Distinct fingerprints (doc_id, fp) -> links (a, b) that connect all that are close and share a block.
+
+    A bucket of more than BUCKET_ROWS fingerprints, which only the wide layout can have, goes through
+    a second keyed pass on further blocks, so no task holds it whole.
+    """
+    schema = "a long, b long, fp binary"
     keyed = reps.filter("doc_id IS NOT NULL").select("doc_id", "fp").mapInArrow(_keyed(layout), "key long, id long, fp binary")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(layout), "a long, b long")
+    wide = bool(layout.block_bits)
+    linked = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_linked(layout, wide), schema)
+    if not wide:
+        return linked.select("a", "b")
+    linked = materialize(linked, "proposed")
+    links, large = linked.filter("fp IS NULL").select("a", "b"), linked.filter("fp IS NOT NULL")
+    if not large.isEmpty():
+        again = large.mapInArrow(_finer(layout), "key long, id long, fp binary").repartition("key").sortWithinPartitions("key")
+        links = links.unionByName(again.mapInArrow(_linked(layout, False), schema).select("a", "b"))
+    few = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
+    return links.repartition(few).mapInArrow(_merged_forests, "a long, b long")
+
+
+def _nodes(own: DataFrame) -> DataFrame:
+    """(node, fp, best): a numbered row for each distinct fingerprint; best is its row with the smallest id (those without one last), then hash."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "hash")).alias("best")
+    return materialize(own.groupBy("fp").agg(best).select(F.monotonically_increasing_id().alias("node"), "fp", "best"), "nodes")
+
+
+def _placed(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, head): of each distinct fingerprint the first row of what the links connect it with."""
+    found = connected_components(links)
+    firsts = found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).join(nodes, "node").groupBy("component").agg(F.min("best").alias("head"))
+    # Tables of their own, so that both sides of each last join are plain exchanges, of which a hot key's is split.
+    firsts = materialize(firsts, "heads")
+    placed = nodes.join(found, "node", "left").select("fp", "best", F.coalesce("component", "node").alias("component"))
+    return materialize(placed.join(firsts, "component", "left").select("fp", F.coalesce("head", "best").alias("head")), "placed")
 
 
-def _as_components(own: DataFrame, reps: DataFrame, links: DataFrame) -> DataFrame:
-    found = connected_components(links)
-    placed = reps.join(found, reps.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    # A table of its own, so that both sides of the last join are plain exchanges, of which a hot fingerprint's is split.
-    return own.join(materialize(placed, "placed"), "fp").select("doc_id", "fp", "component_id")
+def _as_components(own: DataFrame, placed: DataFrame) -> DataFrame:
+    """(doc_id, hash, fp, component_id, kept), a row for each of own."""
+    kept = F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.hash") == F.col("hash"))
+    return own.join(placed, "fp").select("doc_id", "hash", "fp", F.col("head.doc_id").alias("component_id"), kept.alias("kept"))
 
 
 def simhash_components(docs: DataFrame, shingle: int, layout: Layout, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest id reachable over links, the row's own included.
+    """(doc_id, hash, fp, component_id, kept): component_id is the smallest id reachable over links, the row's own included.
 
-    Rows of equal fingerprint are one class, represented by its smallest id, so copies cost nothing
-    beyond their row. Documents without words have fingerprint zero and are linked like others. Rows
-    that repeat an id are kept; a row without an id takes the component of its fingerprint, or null.
+    Rows of equal fingerprint are one class, so copies cost nothing beyond their row. Documents without
+    words have fingerprint zero and are linked like others. Rows that repeat an id are kept and
+    linked each by its own text; a row without an id takes the component of what it is linked with,
+    null if that has no id. kept marks one row of each component (rows identical in id and text
+    together): that with the smallest id, then text hash.
     """
-    own = materialize(fingerprints(docs, shingle, layout.words, seed, id_col, text_col), "fingerprints")
-    reps = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    return _as_components(own, reps, link_fingerprints(reps.select(F.col("rep").alias("doc_id"), "fp"), layout))
+    with scratch() as tables:
+        own = tables.keep(materialize(fingerprints(docs, shingle, layout.words, seed, id_col, text_col), "fingerprints"))
+        nodes = _nodes(own)
+        placed = tables.keep(_placed(nodes, link_fingerprints(nodes.select(F.col("node").alias("doc_id"), "fp"), layout)))
+    return _as_components(own, placed)
 
 
-def _shingle_sets(docs: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
-    """(id, grams binary) of docs (doc_id, text)."""
+def _shingle_sets(texts: DataFrame, shingle: int, seed: int = 42) -> DataFrame:
+    """(tree, node, n, grams binary) of texts (tree, node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
-            grams = [shingle_set(t, shingle, seed).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["id", "grams"])
+            grams = [shingle_set(t, shingle, seed) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, grams), pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], names=["tree", "node", "n", "grams"])
+
+    return texts.select("tree", "node", text_bytes(texts).alias("t")).mapInArrow(run, "tree long, node long, n long, grams binary")
+
+
+class _Sets:
+    """Sets of one task side by side; similar() counts one set's overlap with all of them."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.grams, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)
+
+    def similar(self, own: np.ndarray, similarity: float) -> np.ndarray:
+        """Which sets have a cosine with this one that reaches the threshold; empty sets have none."""
+        mark = np.zeros(len(self.grams) + 1, bool)
+        at = np.searchsorted(self.grams, own)
+        known = at < len(self.grams)
+        known[known] = self.grams[at[known]] == own[known]
+        mark[at[known]] = True
+        both = np.bincount(self.owner[mark[self.flat]], minlength=len(self.sizes))
+        return (both > 0) & (both >= similarity * np.sqrt(len(own) * self.sizes) - 1e-9)
+
+
+def exact_parts(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Of each set the first set that similar pairs connect it with."""
+    beside, part = _Sets(sets), np.full(len(sets), -1)
+    for first in range(len(sets)):
+        if part[first] >= 0:
+            continue
+        part[first], frontier = first, [first]
+        while frontier and (part < 0).any():
+            new = np.flatnonzero((part < 0) & beside.similar(sets[frontier.pop()], similarity))
+            part[new] = first
+            frontier += new.tolist()
+    return part
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows sorted by (tree, chunk) -> the rows of each."""
+    held: list[dict] = []
+    for batch in small_batches(batches):
+        for row in batch.to_pylist():
+            if held and (held[-1]["tree"], held[-1]["chunk"]) != (row["tree"], row["chunk"]):
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _clustered(similarity: float):
+    """Rows (tree, chunk, node, grams) sorted by these -> (tree, chunk, node, part): exact within a chunk; part is a node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            sets = {r["node"]: np.frombuffer(r["grams"], np.uint64) for r in rows}  # rows that repeat an id and a text are one
+            nodes = np.array(list(sets), dtype=np.int64)
+            part = nodes[exact_parts(list(sets.values()), similarity)]
+            n = len(nodes)
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0]["tree"]] * n, pa.int64()), pa.array([rows[0]["chunk"]] * n, pa.int64()), pa.array(nodes), pa.array(part)], names=["tree", "chunk", "node", "part"])
 
-    return docs.select("doc_id", text_bytes(docs).alias("t")).mapInArrow(run, "id long, grams binary")
+    return run
 
 
-def _judged(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, good): whether the Jaccard similarity of the two sets reaches the threshold."""
+def _probed(similarity: float):
+    """Rows (tree, chunk, probe, node, part, grams) sorted by these -> links (a, b): a probe and one similar node of each part among the chunk's own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, beside = None, [], None
         for batch in small_batches(batches):
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], names=["a", "b", "good"])
-
-    left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("x")), sets.select(F.col("id").alias("b"), F.col("grams").alias("y"))
-    met = pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return materialize(met.mapInArrow(run, "a long, b long, good boolean"), "judged")
-
-
-def _pairs_across(reps: DataFrame, layout: Layout, links: DataFrame, judged: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a block and that no confirmed links connect, where a refuted link may have stood in for them."""
-    trees = connected_components(links)
-    torn = judged.filter("NOT good").select(F.explode(F.array("a", "b")).alias("node")).distinct().join(trees, "node").select("component").distinct()
-    parts = connected_components(judged.filter("good").select("a", "b")).withColumnRenamed("component", "part")
-    nodes = trees.join(torn, "component").select("node").union(torn).distinct()
-    nodes = materialize(nodes.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("part")), "torn")
-    keyed = reps.join(nodes.select(F.col("node").alias("doc_id")), "doc_id").select("doc_id", "fp").mapInArrow(_keyed(layout), "key long, id long, fp binary")
-    placed = materialize(keyed.select("key", "id").join(nodes.withColumnRenamed("node", "id"), "id"), "torn-keys")
-    one, two = (placed.select("key", F.col("id").alias(n), F.col("part").alias(f"part_{n}")) for n in ("a", "b"))
-    return one.join(two, "key").filter("a < b AND part_a <> part_b").select("a", "b").distinct()
-
-
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """simhash_components for a similarity of shingle sets, each shingle counted once; the layout follows the number of documents, the recall does not.
-
-    Fingerprints only propose links: each is confirmed on the two whole texts' shingle sets. Where one
-    is refuted, the pairs that its tree left out are judged too, unless confirmed links connect them.
+            found: list[tuple[int, int]] = []
+            for row in batch.to_pylist():
+                if (row["tree"], row["chunk"]) != at:
+                    at, own, beside = (row["tree"], row["chunk"]), [], None
+                if not row["probe"]:
+                    own.append((row["node"], row["part"], np.frombuffer(row["grams"], np.uint64)))
+                    continue
+                if beside is None:
+                    beside, parts = _Sets([s for *_, s in own] or [np.zeros(0, np.uint64)]), np.array([p for _, p, _ in own])
+                hits = np.flatnonzero(beside.similar(np.frombuffer(row["grams"], np.uint64), similarity)) if own else ()
+                found += [(row["node"], own[h][0]) for h in hits[np.unique(parts[hits], return_index=True)[1]]] if len(hits) else []
+            yield _link_table(found).select(["a", "b"])
+
+    return run
+
+
+def _confirmed(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect, within each tree of (tree, node, n, grams), all whose similarity reaches the threshold.
+
+    A tree that fits into a task is decided there. A larger one is dealt to chunks; a few hubs go to
+    all of them and tie together what belongs together. Whatever stays outside its tree's largest
+    part is then held against all of the tree, a chunk at a time, so the result is that of all pairs.
+    """
+    size = sets.groupBy("tree").agg(F.greatest(F.ceil(F.count("*") / CHUNK_NODES), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("long").alias("chunks"))
+    mark = F.xxhash64("node")
+    dealt = sets.join(size, "tree").withColumn("chunk", F.pmod(mark, "chunks"))
+    hub = (F.col("chunks") > 1) & (F.pmod(F.xxhash64(mark), F.col("chunks") * CHUNK_NODES) < HUBS)
+    places = F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    dealt = dealt.select("tree", "node", "grams", F.explode(places).alias("chunk")).select("tree", "chunk", "node", "grams")
+    local = dealt.repartition("tree", "chunk").sortWithinPartitions("tree", "chunk", "node").mapInArrow(_clustered(similarity), "tree long, chunk long, node long, part long")
+    local = materialize(local, "parts")
+    good = local.filter("node <> part").select(F.col("node").alias("a"), F.col("part").alias("b"))
+    large = materialize(size.filter("chunks > 1"), "large")
+    if large.isEmpty():
+        return good
+    big = sets.join(large, "tree")
+    found = connected_components(good.join(big.select(F.col("node").alias("a")), "a", "left_semi"))
+    placed = big.select("tree", "node", "chunks").join(found, "node", "left").select("tree", "node", "chunks", F.coalesce("component", "node").alias("part"))
+    placed = materialize(placed, "placed-parts")
+    main = placed.groupBy("tree", "part").agg(F.count("*").alias("n")).groupBy("tree").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    outside = placed.join(main, "tree").filter("part <> main").select("node", "part", "chunks")
+    column = lambda rows, probe, chunk: rows.select("tree", chunk.alias("chunk"), F.lit(probe).alias("probe"), "node", "part", "grams")
+    own = column(sets.join(placed.select("node", "part", "chunks"), "node"), 0, F.pmod(F.xxhash64("node"), "chunks"))
+    probes = column(sets.join(outside, "node"), 1, F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    held = own.unionByName(probes).repartition("tree", "chunk").sortWithinPartitions("tree", "chunk", "probe", "node")
+    return good.unionByName(held.mapInArrow(_probed(similarity), "a long, b long"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99, id_col: str = "doc_id", text_col: str = "text", layout: Layout | None = None) -> DataFrame:
+    """simhash_components for a cosine similarity of shingle sets, each shingle counted once; the layout follows the number of documents, the recall does not.
+
+    Fingerprints only propose: documents that proposals connect are compared by the shingle sets of
+    their whole texts, and links are all pairs among them that reach the threshold.
     """
-    layout = wide_layout(docs.count(), similarity, recall)
-    own = materialize(fingerprints(docs, shingle, layout.words, 42, id_col, text_col, distinct=True), "fingerprints")
-    reps = own.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    known = reps.select(F.col("rep").alias("doc_id"), "fp")
-    links = materialize(link_fingerprints(known, layout), "proposed")
-    linked = links.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    sets = materialize(_shingle_sets(texts.join(linked, "doc_id"), shingle), "shingles")
-    judged = _judged(links, sets, similarity)
-    good = judged.filter("good").select("a", "b")
-    if not judged.filter("NOT good").isEmpty():
-        good = good.union(_judged(_pairs_across(known, layout, links, judged), sets, similarity).filter("good").select("a", "b"))
-    return _as_components(own, reps, good)
+    layout = layout or wide_layout(docs.count(), similarity, recall)
+    with scratch() as tables:
+        own = tables.keep(materialize(fingerprints(docs, shingle, layout.words, 42, id_col, text_col, distinct=True), "fingerprints"))
+        nodes = _nodes(own)
+        trees = connected_components(link_fingerprints(nodes.select(F.col("node").alias("doc_id"), "fp"), layout))
+        members = trees.select("node", F.col("component").alias("tree")).unionByName(trees.select(F.col("component").alias("node"), F.col("component").alias("tree")).distinct())
+        wanted = members.join(nodes, "node").select("tree", "node", F.col("best.doc_id").alias("want_id"), F.col("best.hash").alias("want_hash"))
+        texts = docs.select(named(docs, id_col).cast("long").alias("doc_id"), named(docs, text_col).alias("text")).withColumn("hash", text_hash(F.col("text")))
+        texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("hash") == F.col("want_hash"))).select("tree", "node", "text")
+        sets = materialize(_shingle_sets(texts, shingle), "shingles")
+        placed = tables.keep(_placed(nodes, _confirmed(sets, similarity)))
+    return _as_components(own, placed)
