@@ -12,11 +12,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Kept positions. However two of 13 consecutive words are substituted, the mask fits between them at one of its six
 #: places in the 13 words (a test enumerates all 78 pairs); no single mask of weight 6 does that.
 MASKS = ((0, 1, 3, 6, 7),)
 #: Seeds of the benchmark that may be broadcast; beyond, both sides are shuffled by seed.
 BROADCAST_SEEDS = 1_000_000
+#: Alignments of documents with items that may be broadcast to the second pass; beyond, texts are shuffled to meet them.
+BROADCAST_HITS = 200_000
 
 
 def token_hashes(text: Column) -> Column:
@@ -61,7 +65,7 @@ def _seeded(tokens: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) ->
     return listed.select(*keep, "seed", at.alias("at"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
     """(doc_id, item_id, doc_word, matched, overlap): a row for each document and item that it holds a stretch of.
 
     A stretch counts if, of min_words consecutive positions laid against the item, at least min_share
@@ -69,7 +73,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     positions, matched the equal ones; of several alignments the one with most matches (then the first)
     is reported. Items shorter than min_words count where all their words stand in a row. Null texts
     have no words; items without words and rows without an id are never reported; rows that repeat
-    an id count as one document. Documents only move in the second pass, and only to meet their hits.
+    an id count as one document. Documents move only where the hits are too many to be broadcast.
     """
     least = math.ceil(min_share * min_words - 1e-9)
     mask = seed_mask(min_words, min_words - least)
@@ -80,22 +84,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     wanted = _seeded(items.filter(F.size("tokens") > max(mask)), ["item_id"], masks[:1])
     for n, whole in zip(brief, masks[1:], strict=True):
         wanted = wanted.unionByName(_seeded(items.filter(F.size("tokens") == n), ["item_id"], [whole]))
-    wanted = wanted.withColumnRenamed("at", "item_at")
+    wanted = wanted.withColumnRenamed("at", "item_at").join(items.select("item_id", F.size("tokens").alias("n")), "item_id")
     if wanted.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
         wanted = F.broadcast(wanted)
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     tokens = texts.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
-    hits = _seeded(tokens, ["doc_id"], masks).join(wanted, "seed").select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    met = hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift")).alias("met"))
-    laid = texts.join(met, "doc_id").select("doc_id", token_hashes(F.col("text")).alias("tokens"), F.explode("met").alias("m")).select("doc_id", "tokens", "m.*")
+    hits = _seeded(tokens, ["doc_id"], masks).join(wanted, "seed").select("doc_id", "item_id", "n", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+    met = materialize(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("met")), "hits")
+    if met.agg(F.coalesce(F.sum(F.size("met")), F.lit(0))).first()[0] <= broadcast_hits:
+        met = F.broadcast(met)
+    # Of a document's words only those beside the item go with each alignment.
+    begin = lambda m: F.greatest(F.lit(0), m.shift)
+    beside = lambda m: F.slice("tokens", begin(m) + 1, F.greatest(F.lit(0), F.least(F.size("tokens"), m.shift + m.n) - begin(m)))
+    laid = texts.join(met, "doc_id").select("doc_id", "met", token_hashes(F.col("text")).alias("tokens"))
+    laid = laid.select("doc_id", F.explode(F.transform("met", lambda m: F.struct(m.item_id.alias("item_id"), m.shift.alias("shift"), begin(m).alias("first"), beside(m).alias("words")))).alias("m")).select("doc_id", "m.*")
     laid = laid.join(items.withColumnRenamed("tokens", "item"), "item_id")
-    first, last = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("tokens"), F.col("shift") + F.size("item")) - 1
     window = F.least(F.lit(min_words), F.size("item"))
-    laid = laid.filter(last - first + 1 >= window).withColumn("same", F.transform(F.sequence(first, last), lambda k: (F.get("tokens", k) == F.get("item", k - F.col("shift"))).cast("int")))
+    laid = laid.filter(F.size("words") >= window).withColumn("same", F.transform("words", lambda w, k: (w == F.get("item", k + F.col("first") - F.col("shift"))).cast("int")))
     windows = F.sequence(F.lit(1), F.size("same") - (window - 1))
     most = F.array_max(F.transform(windows, lambda s: F.aggregate(F.slice("same", s, window), F.lit(0), lambda a, x: a + x)))
     needed = F.when(F.size("item") < min_words, F.size("item")).otherwise(F.lit(least))
-    sums = laid.select("doc_id", "item_id", first.cast("long").alias("doc_word"), F.aggregate("same", F.lit(0), lambda a, x: a + x).cast("long").alias("matched"), F.size("same").cast("long").alias("overlap"), (most >= needed).alias("close"))
+    sums = laid.select("doc_id", "item_id", F.col("first").cast("long").alias("doc_word"), F.aggregate("same", F.lit(0), lambda a, x: a + x).cast("long").alias("matched"), F.size("same").cast("long").alias("overlap"), (most >= needed).alias("close"))
     best = F.max(F.struct("matched", (-F.col("doc_word")).alias("back"), "overlap"))
     found = sums.filter("close").groupBy("doc_id", "item_id").agg(best.alias("b"))
     return found.select("doc_id", "item_id", (-F.col("b.back")).alias("doc_word"), "b.matched", "b.overlap")

@@ -26,7 +26,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = F.array(*(F.struct(F.lit(turn).cast("long").alias("turn"), F.lit(role).alias("role")) for turn, role in enumerate(("user", "assistant"))))
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(rows).alias("r")).select("conv_id", "r.*", F.lit(said).alias("text"))
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     written = _chat.render(_chat.reconstruct(_chat.turns_as_events(turns)))
     back = written.select("conv_id", "formatted", "loss_mask", _chat.parse(F.col("formatted")).alias("turns"), _chat.under_mask(F.col("formatted"), F.col("loss_mask")).alias("loss"))
@@ -78,24 +79,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks.contaminated(docs.select("doc_id", "text"), benchmark.select("item_id", "text"))
 
 
-_OP6_MASKS = ((12, (0, 1, 3, 6, 7, 9, 11)), (13, (0, 1, 3, 6, 9, 10, 12)))
-
-
-def _op6_seeds(table: str, key: str) -> str:
-    one = "SELECT {key}, p - 1 AS place, {n} AS mask, concat_ws(' ', {words}) AS seed FROM (SELECT {key}, words, unnest(range(1, len(words) - {span} + 2)) AS p FROM {table} WHERE len(words) >= {span})"
-    return " UNION ALL ".join(one.format(key=key, n=n, span=span, table=table, words=", ".join(f"words[p + {k}]" for k in kept)) for n, (span, kept) in enumerate(_OP6_MASKS))
-
-
-OP6_SQL = rf"""
-WITH folded AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-d AS (SELECT doc_id, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM folded),
-i AS (SELECT * FROM (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM benchmark) WHERE len(words) >= 13),
-ds AS ({_op6_seeds("d", "doc_id")}), bs AS ({_op6_seeds("i", "item_id")}),
-hits AS (SELECT DISTINCT doc_id, item_id, ds.place - bs.place AS shift FROM ds JOIN bs USING (mask, seed)),
-laid AS (SELECT doc_id, item_id, shift, greatest(0, shift) AS first, list_transform(range(greatest(0, shift), least(len(d.words), shift + len(i.words))), lambda k: CASE WHEN d.words[k + 1] = i.words[k - shift + 1] THEN 1 ELSE 0 END) AS same
-  FROM hits JOIN d USING (doc_id) JOIN i USING (item_id)),
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+i AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM benchmark),
+dw AS (SELECT doc_id, unnest(range(len(words))) AS place, unnest(words) AS word FROM d),
+iw AS (SELECT item_id, len(words) AS n, unnest(range(len(words))) AS place, unnest(words) AS word FROM i),
+shifts AS (SELECT doc_id, item_id, dw.place - iw.place AS shift FROM dw JOIN iw USING (word) GROUP BY ALL HAVING count(*) >= least(11, any_value(n))),
+laid AS (SELECT doc_id, item_id, least(13, len(i.words)) AS span, CASE WHEN len(i.words) < 13 THEN len(i.words) ELSE 11 END AS needed, greatest(0, shift) AS first,
+  list_transform(range(greatest(0, shift), least(len(d.words), shift + len(i.words))), lambda k: CASE WHEN d.words[k + 1] = i.words[k - shift + 1] THEN 1 ELSE 0 END) AS same
+  FROM shifts JOIN d USING (doc_id) JOIN i USING (item_id)),
 good AS (SELECT doc_id, item_id, first, list_sum(same) AS matched, len(same) AS overlap FROM laid
-  WHERE len(same) >= 13 AND list_max(list_transform(range(1, len(same) - 11), lambda s: list_sum(same[s:s + 12]))) >= 11)
+  WHERE len(same) >= span AND list_max(list_transform(range(1, len(same) - span + 2), lambda s: list_sum(same[s:s + span - 1]))) >= needed)
 SELECT doc_id, item_id, CAST(first AS BIGINT) AS doc_word, CAST(matched AS BIGINT) AS matched, CAST(overlap AS BIGINT) AS overlap
 FROM good QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, first, overlap DESC) = 1
 """

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, text_bytes
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
-#: Stands for the end of a word behind its bytes.
+#: Added to a word's last byte: an entry that ends words matches there alone, and no other entry does.
 END = 256
 CACHED_WORDS, CACHED_LENGTH = 400_000, 40
 
@@ -31,7 +31,7 @@ def byte_letters() -> dict[str, int]:
 
 
 def load_pieces(path: str = DEFAULT_VOCABULARY, end_mark: str = "</w>") -> list[tuple[int, ...]]:
-    """Vocabulary entries as byte sequences; an entry that ends a word ends with END."""
+    """Vocabulary entries as byte sequences; the last byte of an entry that ends a word has END added."""
     with open(path, encoding="utf-8") as file:
         vocabulary = json.load(file)["model"]["vocab"]
     letters, out = byte_letters(), []
@@ -39,7 +39,7 @@ def load_pieces(path: str = DEFAULT_VOCABULARY, end_mark: str = "</w>") -> list[
         last = token.endswith(end_mark)
         body = token.removesuffix(end_mark)
         if body and all(c in letters for c in body):
-            out.append((*(letters[c] for c in body), *([END] * last)))
+            out.append((*(letters[c] for c in body[:-1]), letters[body[-1]] + END * last))
     return out
 
 
@@ -75,10 +75,12 @@ class LongestMatch:
                 self.fail[node], self.popped[node] = self.goto[at << 9 | symbol], count
 
     def count(self, word: bytes) -> int:
-        """Number of pieces of a word with END behind it; 0 if it has no such division (an unknown word)."""
+        """Number of pieces of a word, the last of which ends words; 0 if longest matches don't divide it so (an unknown word)."""
+        if not word:
+            return 0
         goto, fail, popped = self.goto, self.fail, self.popped
         node = total = 0
-        for symbol in (*word, END):
+        for symbol in (*word[:-1], word[-1] + END):
             while (after := goto.get(node << 9 | symbol, -1)) < 0:
                 total += popped[node]
                 node = fail[node]
@@ -99,7 +101,9 @@ _automata: dict[int, LongestMatch] = {}
 def token_counts(docs: DataFrame, pieces: list[tuple[int, ...]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_tokens, n_unknown): a row per row.
 
-    Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; an unknown word counts as one token. Null and
+    Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. Of the entries that fit at a place the longest is
+    taken; entries that end words fit only where the word ends, others only before. A word without
+    such a division is unknown and counts as one token. Null and
     empty texts have none. The vocabulary is broadcast (its size is that of a vocabulary file, whatever
     the data); each worker builds the automaton once and remembers the counts of a bounded number of
     short words. No shuffle.

@@ -38,7 +38,8 @@ def frame(spark, rows):
 
 
 def greedy(word, vocabulary):
-    rest, at, n = (*word, tc.END), 0, 0
+    """Longest match first, written from the rule: inside a word entries that don't end words, at its end one that does."""
+    rest, at, n = (*word[:-1], word[-1] + tc.END), 0, 0
     longest = max(map(len, vocabulary))
     while at < len(rest):
         size = next((k for k in range(min(longest, len(rest) - at), 0, -1) if rest[at : at + k] in vocabulary), 0)
@@ -52,7 +53,7 @@ def test_longest_match_equals_greedy():
     rng = random.Random(1)
     for _ in range(30):
         pieces = {tuple(rng.choice((97, 98, 99)) for _ in range(rng.randrange(1, 6))) for _ in range(rng.randrange(3, 25))}
-        pieces |= {(*p, tc.END) for p in rng.sample(sorted(pieces), k=len(pieces) // 2)} | ({(tc.END,)} if rng.random() < 0.7 else set())
+        pieces |= {(*p[:-1], p[-1] + tc.END) for p in rng.sample(sorted(pieces), k=len(pieces) // 2)} | ({(c + tc.END,) for c in (97, 98, 99)} if rng.random() < 0.7 else set())
         automaton = tc.LongestMatch(sorted(pieces))
         for _ in range(300):
             word = bytes(rng.choice((97, 98, 99)) for _ in range(rng.randrange(1, 12)))
@@ -70,6 +71,7 @@ def test_token_counts_with_a_public_vocabulary(spark, sf):
         counts = [memo(w.encode()) for w in WORDS.findall(lower(t or ""))]
         want[(i, len(counts), sum(c or 1 for c in counts), sum(not c for c in counts))] += 1
     assert found == want
+    assert not sum(r[3] for r in found if r[0] is not None and r[0] >= 0)  # every byte has an entry, within words and at their end
     assert tc.token_counts(frame(spark, []), pieces).count() == 0
 
 
@@ -213,21 +215,21 @@ def test_notices_with_errors(spark):
 
 
 def brute_leaks(rows, items, least=13, share=0.8):
+    """Every alignment of every item: min(13, its length) words in a row of which enough are equal; no seeds."""
     out = set()
     split = lambda t: WORDS.findall(lower(t or ""))
     for d, t in rows:
         doc = split(t)
         for i, text in items:
             item = split(text)
-            if len(item) < least or d is None or i is None:
+            if not item or d is None or i is None:
                 continue
+            span = min(least, len(item))
+            needed = share * least if len(item) >= least else span
             for shift in range(-len(item) + 1, len(doc)):
                 at = range(max(0, shift), min(len(doc), shift + len(item)))
                 same = [doc[k] == item[k - shift] for k in at]
-                if not any(sum(same[s : s + least]) >= share * least for s in range(len(same) - least + 1)):
-                    continue
-                seeded = any(all(k + p < len(same) and same[k + p] for p in m) for m in dc.MASKS for k in range(len(same) - max(m)))
-                if seeded:
+                if sum(same) >= needed - 1e-9 and any(sum(same[s : s + span]) >= needed - 1e-9 for s in range(len(same) - span + 1)):
                     out.add((d, i))
     return out
 
@@ -242,10 +244,11 @@ def test_leaks_equal_brute_force(spark, sf):
             words[p] = "zzz"
         rows.append((1000 + k, f"{'pre ' * k}{' '.join(words)} post"))
         rows.append((1000 + k, "again"))
-    items += [(None, "x"), (50, None), (51, "too short"), (52, items[0][1])]
+    items += [(None, "x"), (50, None), (51, "too short"), (52, items[0][1]), (53, "zzz"), (54, "yes " * 40)]
+    rows += [(2000, "this is too short a text"), (2001, "no " * 9 + "yes " * 3000), (2002, "yes " * 8)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
-    for limit in (dc.BROADCAST_SEEDS, 0):
-        found = dc.contaminated(frame(spark, rows), benchmark, broadcast_seeds=limit).collect()
+    for seeds, hits in ((dc.BROADCAST_SEEDS, dc.BROADCAST_HITS), (0, 0)):
+        found = dc.contaminated(frame(spark, rows), benchmark, broadcast_seeds=seeds, broadcast_hits=hits).collect()
         assert {(r.doc_id, r.item_id) for r in found} == brute_leaks(rows, items)
         assert len(found) == len({(r.doc_id, r.item_id) for r in found})
     assert dc.contaminated(frame(spark, []), benchmark).count() == 0
