@@ -8,10 +8,11 @@ billion copies leaves each task once), then over the terminals of equal length a
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import pickle
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import WHITE, materialize, small_batches, text_bytes
+from .common import WHITE, materialize, named, small_batches, text_bytes
 
 #: Bytes of labels one task's trie may hold before its heaviest subtree is spilled.
 TRIE_BYTES = 48 << 20
@@ -48,11 +49,15 @@ def _shared(a: bytes, b: bytes) -> int:
     return low
 
 
+#: Weight of one member or row that a terminal node holds, in bytes.
+MEMBER_BYTES = 16
+
+
 class PatriciaTrie:
-    """Byte strings -> owners. `weight` counts label bytes."""
+    """Byte strings -> owners. `weight` counts label bytes and what owners hold, as told by `held`."""
 
-    def __init__(self) -> None:
-        self.root, self.weight = Node(), 0
+    def __init__(self, held: Callable[[Any], int] = lambda owner: 0) -> None:
+        self.root, self.weight, self.held = Node(), 0, held
 
     def terminal(self, key: bytes) -> Node:
         """The terminal node of a key, which is inserted if it is new."""
@@ -89,21 +94,33 @@ class PatriciaTrie:
                 yield prefix, node.owner
             stack += [(child, prefix + label) for label, child in node.children.values()]
 
-    def cut_heaviest(self) -> tuple[int, bytes, Node] | None:
-        """Take the heaviest subtree below the root out of the trie."""
-        if not self.root.children:
+    def cut_heaviest(self) -> tuple[bytes, Node] | None:
+        """Take the heaviest subtree below the first fork out of the trie, or that fork's own owner if it weighs more: (its prefix, a node)."""
+        node, prefix = self.root, b""
+        while node.owner is None and len(node.children) == 1:
+            (label, child), = node.children.values()
+            if child.owner is not None and not child.children:
+                break  # a single string: it is the subtree
+            node, prefix = child, prefix + label
+        weights = {b: len(label) + self._below(child) for b, (label, child) in node.children.items()}
+        own = self.held(node.owner) if node.owner is not None else -1
+        if not weights and own < 0:
             return None
-        weights = {b: len(label) + self._below(child) for b, (label, child) in self.root.children.items()}
-        heaviest = max(weights, key=lambda b: (weights[b], b))
-        label, node = self.root.children.pop(heaviest)
+        heaviest = max(weights, key=lambda b: (weights[b], b), default=None)
+        if heaviest is None or own > weights[heaviest]:
+            out, node.owner = Node(owner=node.owner), None
+            self.weight -= own
+            return prefix, out
+        label, out = node.children.pop(heaviest)
         self.weight -= weights[heaviest]
-        return heaviest, label, node
+        return prefix + label, out
 
-    @staticmethod
-    def _below(node: Node) -> int:
+    def _below(self, node: Node) -> int:
         total, stack = 0, [node]
         while stack:
-            for label, child in stack.pop().children.values():
+            node = stack.pop()
+            total += self.held(node.owner) if node.owner is not None else 0
+            for label, child in node.children.values():
                 total += len(label)
                 stack.append(child)
         return total
@@ -124,7 +141,8 @@ def _local_terminals(schema: T.StructType, payload: list[str], with_key: bool):
     keyed = (lambda own: own) if with_key else (lambda own: [*own[:2], None, *own[3:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, made = PatriciaTrie(), 0
+        held_by = lambda own: MEMBER_BYTES * len(own[6])
+        trie, made = PatriciaTrie(held_by), 0
         part = _task_number()
 
         def rows(owners: Iterator[list]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +163,6 @@ def _local_terminals(schema: T.StructType, payload: list[str], with_key: bool):
             cols = list(zip(*held, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
 
-        members = 0
         for batch in small_batches(batches):
             ids, texts, points = (batch.column(k).to_pylist() for k in range(3))
             extra = [batch.column(3 + k).to_pylist() for k in range(len(payload))]
@@ -153,7 +170,6 @@ def _local_terminals(schema: T.StructType, payload: list[str], with_key: bool):
                 key = normalised(text)
                 node = trie.terminal(key)
                 own = node.owner
-                members += 1
                 if own is None:
                     digest = hashlib.sha256(key).hexdigest()
                     signed = xxhash.xxh64_intdigest(key)
@@ -162,14 +178,9 @@ def _local_terminals(schema: T.StructType, payload: list[str], with_key: bool):
                     own[3:6] = points[i], ids[i], len(own[6])
                     own[8:] = [c[i] for c in extra]
                 own[6].append(ids[i])
-                while trie.weight + 16 * members > TRIE_BYTES:
-                    cut = trie.cut_heaviest()
-                    members = 0
-                    if cut is None:
-                        yield from rows(trie.owners())
-                        trie = PatriciaTrie()
-                        break
-                    yield from rows(trie.owners(cut[2]))
+                trie.weight += MEMBER_BYTES
+                while trie.weight > TRIE_BYTES and (cut := trie.cut_heaviest()):
+                    yield from rows(trie.owners(cut[1]))
         yield from rows(trie.owners())
 
     return run
@@ -182,42 +193,45 @@ def _task_number() -> int:
 
 
 class _Merger:
-    """One partition key's trie; subtrees beyond the budget go to an unnamed file of the task and are merged afterwards."""
+    """One partition key's trie; subtrees beyond the budget go to unnamed files of the task and are merged afterwards, in the same way."""
 
-    def __init__(self, budget: int = TRIE_BYTES) -> None:
-        self.trie, self.budget, self.spilled = PatriciaTrie(), budget, {}
+    def __init__(self, budget: int | None = None) -> None:
+        self.budget, self.spilled = TRIE_BYTES if budget is None else budget, {}
+        self.trie = PatriciaTrie(lambda rows: 4 * MEMBER_BYTES * len(rows))
 
     def add(self, key: bytes, row: tuple) -> None:
-        if key and key[0] in self.spilled:
-            self._write(key[0], key, row)
-            return
+        for prefix, file in self.spilled.items():
+            if key.startswith(prefix):
+                pickle.dump((key, row), file)
+                return
         node = self.trie.terminal(key)
         if node.owner is None:
             node.owner = []
         node.owner.append(row)
-        if self.trie.weight > self.budget and len(self.trie.root.children) > 1:
+        self.trie.weight += 4 * MEMBER_BYTES
+        if self.trie.weight > self.budget:
             self._spill()
 
     def _spill(self) -> None:
-        first, label, subtree = self.trie.cut_heaviest()
-        self.spilled[first] = tempfile.TemporaryFile()
-        for key, rows in self.trie.items(subtree, label):
+        """A subtree of a single string, which is one group, stays."""
+        prefix, subtree = self.trie.cut_heaviest()
+        if not subtree.children:
+            self.trie.weight += self.trie.held(subtree.owner)
+            self.trie.terminal(prefix).owner = subtree.owner
+            return
+        self.spilled[prefix] = tempfile.TemporaryFile()
+        for key, rows in self.trie.items(subtree, prefix):
             for row in rows:
-                self._write(first, key, row)
-
-    def _write(self, first: int, key: bytes, row: tuple) -> None:
-        pickle.dump((key, row), self.spilled[first])
+                pickle.dump((key, row), self.spilled[prefix])
 
     def groups(self) -> Iterator[list[tuple]]:
         yield from self.trie.owners()
         for file in self.spilled.values():
             file.seek(0)
-            again = _Merger(1 << 62)
-            while True:
-                try:
+            again = _Merger(self.budget)
+            with contextlib.suppress(EOFError):
+                while True:
                     again.add(*pickle.load(file))
-                except EOFError:
-                    break
             file.close()
             yield from again.groups()
 
@@ -295,7 +309,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ("best_at", T.IntegerType()), ("members", T.ArrayType(T.LongType())), ("text_sha256", T.StringType()),
     ]
     schema = T.StructType([T.StructField(n, t) for n, t in fields] + [T.StructField(f"carried_{k}", docs.schema[c].dataType) for k, c in enumerate(carry)])
-    source = docs.select(docs[id_col].cast("long").alias("id"), text_bytes(docs, text_col).alias("t"), F.char_length(F.coalesce(docs[text_col], F.lit(""))).cast("long").alias("points"), *(docs[c].alias(f"c{k}") for k, c in enumerate(carry)))
+    source = docs.select(named(docs, id_col).cast("long").alias("id"), text_bytes(docs, text_col).alias("t"), F.char_length(F.coalesce(named(docs, text_col), F.lit(""))).cast("long").alias("points"), *(named(docs, c).alias(f"c{k}") for k, c in enumerate(carry)))
     # A carried text stands for its normalised form, so no text is stored twice.
     text = text_bytes if text_col in carry else None
     local = source.mapInArrow(_local_terminals(schema, carry, text is None), schema)

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import named, small_batches, text_bytes
 
 #: Phrases that count exactly, word for word (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -32,8 +32,8 @@ NOTICES = (
     ("mozilla public license version 2 0", "mpl-2"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
 )
-#: A notice of n characters may have n // 10 errors, three at most.
-ERROR_LENGTH, MOST_ERRORS = 10, 3
+#: A notice of n characters may have n // 10 errors.
+ERROR_LENGTH = 10
 #: A-Z to lower case; \x00-\x2F, \x3A-\x60 and \x7B-\x7F separate words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -41,7 +41,7 @@ HITS = "array<struct<label:string, start_word:long, n_words:long, edits:int, exa
 
 
 def errors_of(notice: str) -> int:
-    return min(MOST_ERRORS, len(notice) // ERROR_LENGTH)
+    return len(notice) // ERROR_LENGTH
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ class Scanner:
     def scan(self, text: bytes) -> tuple[int, list[tuple]]:
         """Number of words, and hits (label, start word, words, edits, exact, length of what was sought)."""
         words = text.translate(_FOLD).split()
-        line = f" {b' '.join(words).decode()} "
+        line = f" {b' '.join(words).decode(errors='replace')} "
         spans = [(at, len(p), label, 0, True, len(p) - 2) for p, label in self.phrases for at in self._places(line, p)]
         spans += self._fuzzy(line)
         out, seen, word = [], 0, 0
@@ -107,7 +107,8 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices
     """(doc_id, n_words, hits): a row per row; words are runs of a-z, 0-9 and characters beyond ASCII after lower-casing A-Z.
 
     Null and empty texts have no words and no hits. Exact phrases are reported at every place,
-    overlapping ones too; notices with errors once per span. No shuffle, one pass over whole texts.
+    overlapping ones too; notices with errors once per span. What isn't UTF-8 counts as the letter
+    U+FFFD. No shuffle, one pass over whole texts.
     """
     scanner_args = (PHRASES if phrases is None else phrases, notices)
 
@@ -120,7 +121,7 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices
             hits = [[dict(zip(names, h, strict=True)) for h in hits] for _, hits in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(hits, kind)], names=["doc_id", "n_words", "hits"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("t")).mapInArrow(run, f"doc_id long, n_words long, hits {HITS}")
+    return docs.select(named(docs, id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("t")).mapInArrow(run, f"doc_id long, n_words long, hits {HITS}")
 
 
 def summary(scanned: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, named
 
 _WHITE = " \t\n\x0b\x0c\r"
 #: A prime beyond any shard's number of blocks: multiplying by it permutes residues.
@@ -66,9 +66,11 @@ def mix(docs: DataFrame, block_words: int = 16, shard_words: int = 1 << 20, cap:
 
     Every row counts, repeated ones too; null texts have size 0 and null is a source of its own. No
     document exceeds `cap` times its size. A shard holds about shard_words words, so a source with a
-    third of the corpus is many shards. Reruns agree: all choices are hashes of ids and the seed.
+    third of the corpus is many shards. Reruns agree: all choices are hashes of ids, texts and the seed,
+    so rows that lack or repeat an id are dealt to shards like any others.
     """
-    sizes = materialize(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].cast("string").alias("source"), word_count(docs[text_col]).alias("size")), "sizes")
+    mark = F.xxhash64(F.lit(seed), named(docs, id_col).cast("long"), F.coalesce(named(docs, text_col), F.lit("")))
+    sizes = materialize(docs.select(named(docs, id_col).cast("long").alias("doc_id"), named(docs, source_col).cast("string").alias("source"), word_count(named(docs, text_col)).alias("size"), mark.alias("mark")), "sizes")
     sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), cap)
     blocks = lambda words: F.ceil(words / F.lit(block_words)).cast("long")
     quota = sources.select("src", F.col("target").alias("votes"), F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long").alias("total"), (cap * blocks(F.col("source_size"))).alias("most"))
@@ -77,7 +79,7 @@ def mix(docs: DataFrame, block_words: int = 16, shard_words: int = 1 << 20, cap:
     sources = materialize(sources, "sources").withColumnRenamed("source", "named")
 
     placed = sizes.join(sources, sizes.source.eqNullSafe(sources.named)).drop("named")
-    placed = placed.withColumn("mark", F.xxhash64(F.lit(seed), "doc_id")).withColumn("shard", F.pmod(F.xxhash64("mark"), "shards"))
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("mark"), "shards"))
     shards = placed.groupBy("src", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_seats").alias("total"))
     shards = shards.select("src", "shard", "total", "shard_size", F.col("shard_size").cast("double").alias("votes"), (cap * blocks(F.col("shard_size"))).alias("most"))
     quotas = materialize(sainte_lague(shards, "shard", ["src"]).select("src", "shard", blocks(F.col("shard_size")).alias("n_blocks"), "seats"), "quotas")

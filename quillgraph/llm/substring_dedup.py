@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, small_batches, text_bytes
+from .common import materialize, mix64, named, runs, small_batches, text_bytes
 
 #: Perfect difference sets by period (fixed values of combinatorics).
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -97,30 +97,21 @@ def _anchors(window: int) -> Callable:
     return run
 
 
+#: Anchors of one key that a task holds at once.
+RUN_ROWS = 1 << 20
+
+
 def _shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors sorted by key -> those whose key occurs elsewhere too."""
-    tail = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = batch if tail is None else pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
-        keys = table.column(0).to_numpy()
-        last = int(np.searchsorted(keys, keys[-1]))
-        if last:
-            yield from _runs(table.slice(0, last))
-        tail = table.slice(last)
-    if tail is not None:
-        yield from _runs(tail)
-
-
-def _runs(table: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    keys, known = table.column(0).to_numpy(), table.column(3).to_numpy(zero_copy_only=False)
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    sizes = np.diff(np.r_[starts, len(keys)])
-    shared = np.repeat((sizes > 1) | np.logical_or.reduceat(known, starts), sizes)
-    if shared.any():
-        out = table.filter(pa.array(shared))
-        yield pa.RecordBatch.from_arrays([out.column(1), out.column(2)], names=["doc_id", "at"])
+    """Anchors sorted by key -> those whose key occurs elsewhere too. A long run goes on in pieces as soon as it is known to be shared."""
+    for parts, cut in runs(batches, RUN_ROWS):
+        for table in parts if cut else [pa.Table.from_batches(parts).combine_chunks().to_batches()[0]]:
+            if not cut:
+                keys, known = table.column(0).to_numpy(), table.column(3).to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                sizes = np.diff(np.r_[starts, len(keys)])
+                table = table.filter(pa.array(np.repeat((sizes > 1) | np.logical_or.reduceat(known, starts), sizes)))
+            if table.num_rows:
+                yield pa.RecordBatch.from_arrays([table.column(1), table.column(2)], names=["doc_id", "at"])
 
 
 def _candidates(shared: list[int] | None, n: int, window: int) -> np.ndarray:
@@ -184,7 +175,7 @@ def _cut(window: int) -> Callable:
                 n_removed.append(n - len(words))
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([k.decode() for k in kept], pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
+                [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array([k.decode(errors="replace") for k in kept], pa.string()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
             )
 
@@ -198,19 +189,20 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     input. Returns (doc_id, n_words, n_removed, kept, kept_sha256), a row per input row; kept words
     are joined by one space. Null and empty texts have no words. Rows that repeat an id count as one
     document, so equal windows at equal starts of theirs stay. A row without an id stays whole and
-    takes nothing from others. Texts shorter than a window stay whole.
+    takes nothing from others. Texts shorter than a window stay whole. Words are bytes; in `kept`, what
+    isn't UTF-8 is replaced, the hash is of the words as they are.
 
     Shuffles: anchors (4 of 13 positions), texts by id once (both joins use the same exchange), and
     the windows around shared anchors. A passage that a third of all documents share leaves each
     chunk once per anchor and once per window, so no key is hot.
     """
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("t"))
+    source = docs.select(named(docs, id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("t"))
     anchors = source.mapInArrow(_anchors(window), "key long, doc_id long, at int, shared boolean")
     met = anchors.repartition("key").sortWithinPartitions("key").mapInArrow(_shared_anchors, "doc_id long, at int")
     shared = materialize(met.groupBy("doc_id").agg(F.collect_list("at").alias("shared")), "anchors")
     placed = source.join(shared, "doc_id", "left").select("doc_id", "t", "shared")
     windows = placed.mapInArrow(_windows(window), "d1 long, d2 long, doc_id long, start int")
-    earliest = windows.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.min_by("start", "doc_id").alias("start"))
-    firsts = earliest.groupBy("doc_id").agg(F.collect_list("start").alias("firsts"))
+    earliest = windows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
+    firsts = earliest.groupBy("first.doc_id").agg(F.collect_list("first.start").alias("firsts"))
     both = placed.join(firsts, "doc_id", "left").select("doc_id", "t", "shared", "firsts")
     return both.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")

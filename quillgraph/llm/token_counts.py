@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_bytes
+from .common import named, small_batches, text_bytes
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 #: Added to a word's last byte: an entry that ends words matches there alone, and no other entry does.
@@ -138,4 +138,4 @@ def token_counts(docs: DataFrame, pieces: list[tuple[int, ...]], id_col: str = "
                 n_unknown.append(unknown)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (n_words, n_tokens, n_unknown))], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("t")).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return docs.select(named(docs, id_col).cast("long").alias("doc_id"), text_bytes(docs, text_col).alias("t")).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
