@@ -50,6 +50,12 @@ class _Notice:
     label: str
     errors: int
     pattern: regex.Pattern
+    grams: list[str]
+
+    def may_stand_in(self, window: str) -> bool:
+        """Whether enough of the notice's three-letter stretches occur: an error destroys three at most, so fewer can't be a match."""
+        there = {window[i : i + 3] for i in range(len(window) - 2)}
+        return sum(g in there for g in self.grams) >= len(self.grams) - 3 * self.errors
 
 
 class Scanner:
@@ -59,7 +65,7 @@ class Scanner:
         pieces: dict[str, list] = {}
         for text, label in notices:
             k = errors_of(text)
-            own = _Notice(text, label, k, regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(text)}){{e<={k}}}(?![^ ])"))
+            own = _Notice(text, label, k, regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(text)}){{e<={k}}}(?![^ ])"), [text[i : i + 3] for i in range(len(text) - 2)])
             cuts = [round(i * len(text) / (k + 1)) for i in range(k + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 pieces.setdefault(text[a:b], []).append((own, a))
@@ -95,9 +101,8 @@ class Scanner:
                 begin = end - size + 1 - offset
                 if end < done.get(own.text, -1):
                     continue  # inside a match of this notice
-                low = max(0, begin - own.errors - 1)
-                found = own.pattern.search(line, low, min(len(line), begin + len(own.text) + own.errors + 1))
-                if found:
+                low, high = max(0, begin - own.errors - 1), min(len(line), begin + len(own.text) + own.errors + 1)
+                if own.may_stand_in(line[low:high]) and (found := own.pattern.search(line, low, high)):
                     done[own.text] = found.end()
                     out[own.text, found.start()] = (max(0, found.start() - 1), found.end() - found.start() + 1, own.label, sum(found.fuzzy_counts), False, len(own.text))
         return list(out.values())

@@ -202,7 +202,10 @@ def substring_dedup(docs: DataFrame, window: int = 20, id_col: str = "doc_id", t
     shared = materialize(met.groupBy("doc_id").agg(F.collect_list("at").alias("shared")), "anchors")
     placed = source.join(shared, "doc_id", "left").select("doc_id", "t", "shared")
     windows = placed.mapInArrow(_windows(window), "d1 long, d2 long, doc_id long, start int")
-    earliest = windows.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "start")).alias("first"))
-    firsts = earliest.groupBy("first.doc_id").agg(F.collect_list("first.start").alias("firsts"))
+    # Id and start as one number: its minimum combines before the shuffle without sorting, and has no ties.
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + F.col("start").cast("decimal(10,0)")
+    earliest = windows.select("d1", "d2", place.alias("place")).groupBy("d1", "d2").agg(F.min("place").alias("place")).withColumn("start", F.pmod("place", F.lit(2**31)).cast("int"))
+    earliest = earliest.select(F.expr("(place - start) div 2147483648").cast("long").alias("doc_id"), "start")
+    firsts = earliest.groupBy("doc_id").agg(F.collect_list("start").alias("firsts"))
     both = placed.join(firsts, "doc_id", "left").select("doc_id", "t", "shared", "firsts")
     return both.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string")
