@@ -67,7 +67,8 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda s: s.kind_no == k)).cast("long").alias(f"n_{_pii.KINDS[k]}")
-    return found.select("doc_id", *map(count, range(4)), F.sha2(_pii.as_text("base").cast("binary"), 256).alias("base_sha256"), _pii.as_text("spans").alias("spans"))
+    more = [F.size(F.filter("spans", lambda s, k=k: s.kind_no == k)).cast("long").alias(f"n_{_pii.KINDS[k]}") for k in range(4, len(_pii.KINDS))]
+    return found.select("doc_id", *map(count, range(4)), *more, F.size("spans").cast("long").alias("n_spans"), F.sha2(_pii.as_text("base").cast("binary"), 256).alias("base_sha256"), _pii.as_text("spans").alias("spans"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
