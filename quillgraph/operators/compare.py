@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip_suffixes
+from ..functions.text import canonical_token, strip_suffixes
 
 
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -47,13 +47,19 @@ INFRA_ANNOTATIONS = (
     "EnableScheduling", "Aspect", "EnableAspectJAutoProxy", "ConfigurationProperties", "PropertySource", "SpringBootApplication",
 )
 DOMAIN_ANNOTATIONS = ("Service", "RestController", "Controller", "Component", "FeignClient", "Entity", "MappedSuperclass", "Embeddable")
+COMMAND_ANNOTATIONS, ENTITY_ANNOTATIONS = DOMAIN_ANNOTATIONS[:5], DOMAIN_ANNOTATIONS[5:]
+CANONICAL_SUFFIXES = ("Bootstrap", "Security", "Anonymization", "Policy", "Context")
+
+
+def _marked(annotations: Column, names: Sequence[str]) -> Column:
+    return F.exists(F.coalesce(annotations, F.array().cast("array<string>")), lambda a: a.isin(*names))
 
 
 def skipped_type(name: Column, kind: Column, annotations: Column) -> Column:
-    """Whether a type is left out of drift: annotations, enums, plain interfaces, abstract bases, infrastructure, transfer objects."""
-    marked = lambda names: F.exists(F.coalesce(annotations, F.array().cast("array<string>")), lambda a: a.isin(*names))
-    by_kind = F.coalesce(kind.isin("annotation", "enum") | ((kind == "interface") & ~marked(DOMAIN_ANNOTATIONS)), F.lit(False))
-    return by_kind | name.rlike(f"^(?:Abstract|Base)|(?:{'|'.join(INFRA_SUFFIXES + DTO_SUFFIXES)})$") | marked(INFRA_ANNOTATIONS)
+    """Whether a type is left out of drift: annotations, enums, plain interfaces, abstract bases, infrastructure, transfer objects, and what is called so once its suffixes are off."""
+    by_kind = F.coalesce(kind.isin("annotation", "enum") | ((kind == "interface") & ~_marked(annotations, DOMAIN_ANNOTATIONS)), F.lit(False))
+    by_name = name.rlike(f"^(?:Abstract|Base)|(?:{'|'.join(INFRA_SUFFIXES + DTO_SUFFIXES)})$") | strip_suffixes(name).rlike(rf"^\s*$|(?:{'|'.join(CANONICAL_SUFFIXES)})$")
+    return by_kind | by_name | _marked(annotations, INFRA_ANNOTATIONS)
 
 
 def trivial_method(name: Column, arity: Column) -> Column:
@@ -62,21 +68,33 @@ def trivial_method(name: Column, arity: Column) -> Column:
     return (low.startswith("get") & (arity == 0)) | (low.startswith("set") & (arity == 1)) | low.isin("equals", "hashcode", "tostring") | low.startswith("lambda$") | low.startswith("access$")
 
 
-def drift_report(types: DataFrame, methods: DataFrame, approved: DataFrame) -> DataFrame:
-    """(kind, subject, blocking) of types (id, name, kind, annotations), methods (type_id, name, arity) and approved names.
+def drift_report(types: DataFrame, methods: DataFrame, approved: DataFrame, commands: DataFrame | None = None) -> DataFrame:
+    """(kind, what, subject, blocking) of types (id, name, kind, annotations), methods (id, type_id, name, arity), approved aggregates
+    (name, path) and approved commands (aggregate, name).
 
-    Types without an approved aggregate of their stripped name, methods of those types, and aggregates
-    without a type. `hook` in a name makes a finding of a kind that doesn't block. Methods of matched types are never reported.
+    A type that isn't skipped (nor another of its name) and has a domain annotation is UNSUPPORTED_HANDWRITTEN if no approved aggregate
+    has the canonical token of its stripped name, and so are its methods that are neither trivial nor approved commands; `hook` in a
+    name makes it a HANDWRITTEN_HOOK, which doesn't block. Types of commands without a non-trivial method are passed over. Approved
+    aggregates that no type stands for are SPEC_OWNED. Methods of matched types are never reported.
     """
-    live = types.filter(~skipped_type(F.col("name"), F.col("kind"), F.col("annotations"))).withColumn("aggregate", strip_suffixes(F.col("name")))
-    names = approved.select(F.col("name").alias("aggregate")).distinct()
-    lost = live.join(names, "aggregate", "left_anti")
-    kind = lambda base: F.when(F.contains(F.lower("name"), F.lit("hook")), F.lit("unmatched_hook")).otherwise(F.lit(base))
-    found = lost.select(kind("unmatched_type").alias("kind"), F.col("name").alias("subject"))
-    calls = methods.filter(~trivial_method(F.col("name"), F.col("arity"))).join(lost.select(F.col("id").alias("type_id"), F.col("name").alias("owner")), "type_id")
-    found = found.unionByName(calls.select(kind("unmatched_method").alias("kind"), F.concat_ws(".", "owner", "name").alias("subject")))
-    found = found.unionByName(names.join(live.select("aggregate").distinct(), "aggregate", "left_anti").select(F.lit("missing_aggregate").alias("kind"), F.col("aggregate").alias("subject")))
-    return found.withColumn("blocking", F.col("kind") != "unmatched_hook")
+    c = F.col
+    told = types.withColumn("skipped", skipped_type(c("name"), c("kind"), c("annotations"))).withColumn("token", canonical_token(strip_suffixes(c("name"))))
+    names = approved.select(canonical_token(c("name")).alias("token"), "path")
+    acting = methods.filter(~trivial_method(c("name"), c("arity")))
+    live = told.join(told.filter("skipped").select("name").distinct(), "name", "left_anti").filter(_marked(c("annotations"), DOMAIN_ANNOTATIONS))
+    busy = acting.select(c("type_id").alias("id")).distinct().withColumn("busy", F.lit(True))
+    live = live.join(busy, "id", "left").filter(_marked(c("annotations"), ENTITY_ANNOTATIONS) | ~_marked(c("annotations"), COMMAND_ANNOTATIONS) | c("busy"))
+    lost = live.join(names.select("token").distinct(), "token", "left_anti")
+    kind = F.when(F.contains(F.lower("name"), F.lit("hook")), F.lit("HANDWRITTEN_HOOK")).otherwise(F.lit("UNSUPPORTED_HANDWRITTEN")).alias("kind")
+    found = lost.select(kind, F.lit("type").alias("what"), c("id").cast("string").alias("subject"))
+    calls = acting.join(lost.select(c("id").alias("type_id"), "token"), "type_id")
+    if commands is not None:
+        known = commands.select(canonical_token(c("aggregate")).alias("token"), canonical_token(c("name")).alias("command")).distinct()
+        calls = calls.withColumn("command", canonical_token(c("name"))).join(known, ["token", "command"], "left_anti")
+    found = found.unionByName(calls.select(kind, F.lit("method").alias("what"), c("id").cast("string").alias("subject")))
+    gone = names.join(told.filter("NOT skipped").select("token").distinct(), "token", "left_anti")
+    found = found.unionByName(gone.select(F.lit("SPEC_OWNED").alias("kind"), F.lit("aggregate").alias("what"), c("path").alias("subject")))
+    return found.withColumn("blocking", c("kind") != "HANDWRITTEN_HOOK")
 
 
 def migrate(rows: DataFrame, steps: Sequence[dict]) -> DataFrame:
@@ -110,11 +128,13 @@ def migration_actions(rows: DataFrame, steps: Sequence[dict]) -> DataFrame:
 
 
 _QUOTED = re.compile(r"('[^']*'|\"[^\"]*\")")
+#: An identifier in capitals is a constant of text.
+_CONSTANT = re.compile(r"(?<![\w.])(?!(?:AND|OR|NOT|NULL|TRUE|FALSE)\b)([A-Z_]+)(?![\w.(]|\s+\()")
 _DURATION = re.compile(r"\bP(?=[0-9T])(?:(\d+)D)?(?:T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+)S)?)?\b")
 
 
 def rule_to_sql(rule: str) -> str:
-    """A rule text as a Spark SQL condition: && || == become AND OR =, ISO durations become intervals, double quotes single ones.
+    """A rule text as a Spark SQL condition: && || == become AND OR =, ISO durations intervals, double quotes single ones, identifiers in capitals texts.
 
     Spark parses and type-checks it; there is no parser of our own.
     """
@@ -123,6 +143,7 @@ def rule_to_sql(rule: str) -> str:
         if n % 2:
             out.append("'" + part[1:-1].replace("'", "''") + "'")
             continue
+        part = _CONSTANT.sub(r"'\1'", part)
         part = part.replace("&&", " AND ").replace("||", " OR ").replace("==", "=")
         part = _DURATION.sub(lambda m: "INTERVAL '{} {}:{}:{}' DAY TO SECOND".format(*(x or 0 for x in m.groups())), part)
         out.append(re.sub(r"\bduration\s*\(([^,()]+),([^()]+)\)", r"(\2 - \1)", part))

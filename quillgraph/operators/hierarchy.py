@@ -1,81 +1,94 @@
-"""Trees as (id, parent) tables: roll-ups, ancestors, visible parts. Depth is a bound, so nothing recurses."""
+"""Trees as (id, parent) tables of any depth: roll-ups, ancestors, visible parts.
+
+Pointers double: after k rounds a node knows its ancestor 2**k above, so a tree of depth d takes
+log2(d) rounds. Each round's pointers are a table in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
+#: Rounds after which a chain is longer than any table: it runs in a circle.
+MOST_ROUNDS = 40
+
+
+def _jumps(nodes: DataFrame) -> list[DataFrame]:
+    """Tables (id, up): the ancestor 1, 2, 4, ... above, for as long as any node has one. A circle is an error."""
+    step = nodes.filter("parent IS NOT NULL").select("id", F.col("parent").alias("up")).join(nodes.select(F.col("id").alias("up")).distinct(), "up", "left_semi").select("id", "up")
+    jumps, most = [], None
+    while True:
+        step = written(step, "jumps")
+        left = step.count()
+        if not left:
+            return jumps
+        most = left if most is None else most
+        if len(jumps) > min(MOST_ROUNDS, most.bit_length()):
+            raise ValueError("parents run in a circle")
+        jumps.append(step)
+        step = step.join(step.select(F.col("id").alias("up"), F.col("up").alias("over")), "up").select("id", F.col("over").alias("up"))
+
 
-def hierarchical_rollup(nodes: DataFrame, measures: DataFrame, depth: int, root_counts_itself: bool = True) -> DataFrame:
+def hierarchical_rollup(nodes: DataFrame, measures: DataFrame, root_counts_itself: bool = True) -> DataFrame:
     """Each node's measures added to itself and to every ancestor: (id, measures...), a row per node.
 
-    Sums climb one level at a time and are aggregated before each step, so a level moves one row per
-    parent instead of one per descendant pair. `depth` bounds the climb, also on a cyclic chain.
+    In each round a node adds what it has gathered from 2**k levels to its ancestor 2**k above; sums combine before the shuffle.
     """
     names = [c for c in measures.columns if c != "id"]
-    parents = nodes.select("id", "parent")
     sums = [F.sum(n).alias(n) for n in names]
-    level = measures.groupBy("id").agg(*sums)
-    own = level if root_counts_itself else level.join(parents.filter("parent IS NULL"), "id", "left_anti")
-    levels = [own]
-    for _ in range(depth):
-        level = level.join(parents.filter("parent IS NOT NULL"), "id").groupBy(F.col("parent").alias("id")).agg(*sums)
-        levels.append(level)
-    total = levels[0]
-    for level in levels[1:]:
-        total = total.unionByName(level)
-    total = total.groupBy("id").agg(*sums)
+    total = measures.groupBy("id").agg(*sums)
+    if not root_counts_itself:
+        total = total.join(nodes.filter("parent IS NULL").select("id"), "id", "left_anti")
+    for jump in _jumps(nodes):
+        total = total.unionByName(total.join(jump, "id").select(F.col("up").alias("id"), *names)).groupBy("id").agg(*sums)
     return nodes.select("id").join(total, "id", "left").select("id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
 
 
-def ancestors(nodes: DataFrame, chosen: DataFrame, depth: int) -> DataFrame:
+def ancestors(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """(id, ancestor, distance): the chain above each chosen id, nearest first. Ids that are unknown have none."""
-    parents = nodes.select(F.col("id").alias("child"), F.col("parent").alias("above"))
-    step = chosen.select("id", F.col("id").alias("ancestor"))
-    found = None
-    for distance in range(1, depth + 1):
-        step = step.join(parents, step.ancestor == parents.child).filter("above IS NOT NULL").select("id", F.col("above").alias("ancestor"))
-        rows = step.withColumn("distance", F.lit(distance))
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    reached = chosen.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
+    for k, jump in enumerate(_jumps(nodes)):
+        over = jump.select(F.col("id").alias("ancestor"), "up")
+        reached = reached.unionByName(reached.join(over, "ancestor").select("id", F.col("up").alias("ancestor"), (F.col("distance") + 2**k).alias("distance")))
+    return reached.filter("distance > 0")
 
 
-def expand_ancestors(nodes: DataFrame, chosen: DataFrame, depth: int) -> DataFrame:
+def expand_ancestors(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """Distinct ancestors to open so that the chosen ids show; the root is open anyway."""
     inner = nodes.filter("parent IS NOT NULL").select(F.col("id").alias("ancestor"))
-    return ancestors(nodes, chosen, depth).select("ancestor").distinct().join(inner, "ancestor", "left_semi").select(F.col("ancestor").alias("id"))
+    return ancestors(nodes, chosen).select("ancestor").distinct().join(inner, "ancestor", "left_semi").select(F.col("ancestor").alias("id"))
 
 
-def neighborhood(nodes: DataFrame, chosen: DataFrame, depth: int) -> DataFrame:
+def neighborhood(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """A node, all above it and its direct children."""
     children = nodes.join(chosen.select(F.col("id").alias("parent")), "parent", "left_semi").select("id")
     known = nodes.join(chosen, "id", "left_semi").select("id")
-    above = ancestors(nodes, chosen, depth).select(F.col("ancestor").alias("id"))
+    above = ancestors(nodes, chosen).select(F.col("ancestor").alias("id"))
     return known.unionByName(above).unionByName(children).distinct()
 
 
-def visible_tree(nodes: DataFrame, expanded: DataFrame, depth: int) -> DataFrame:
+def visible_tree(nodes: DataFrame, expanded: DataFrame) -> DataFrame:
     """(id, level, place): nodes all of whose ancestors are expanded (the root always is), in depth-first order of `ordinal`.
 
-    place is the path of ordinals from the root as fixed-width text; sorting by it is the walk's order.
+    place is the path of ordinals from the root as fixed-width text; sorting by it is the walk's order. Nodes under an unknown parent don't show.
     """
-    pad = lambda c: F.lpad(c.cast("string"), 12, "0")
-    level = nodes.filter("parent IS NULL").select("id", F.lit(0).alias("level"), pad(F.col("ordinal")).alias("place"), F.lit(True).alias("open"))
-    marked = nodes.join(expanded.select("id").distinct().withColumn("is_open", F.lit(True)), "id", "left").select(F.col("id").alias("child"), "parent", "ordinal", F.coalesce("is_open", F.lit(False)).alias("is_open"))
-    found = level
-    for k in range(1, depth + 1):
-        level = marked.join(level.filter("open").select(F.col("id").alias("parent"), "place"), "parent").select(F.col("child").alias("id"), F.lit(k).alias("level"), F.concat_ws("/", "place", pad(F.col("ordinal"))).alias("place"), F.col("is_open").alias("open"))
-        found = found.unionByName(level)
-    return found.select("id", "level", "place")
+    opened = nodes.join(expanded.select("id").distinct().withColumn("is_open", F.lit(True)), "id", "left")
+    opened = opened.select(F.col("id").alias("ancestor"), F.lpad(F.col("ordinal").cast("string"), 12, "0").alias("step"), F.col("parent").isNull().alias("top"), (F.col("parent").isNull() | F.coalesce("is_open", F.lit(False))).alias("is_open"))
+    chain = ancestors(nodes, nodes).unionByName(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))).join(opened, "ancestor")
+    steps = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "step"))), lambda x: x["step"])
+    shown = chain.groupBy("id").agg(F.max("distance").alias("level"), F.array_join(steps, "/").alias("place"), F.bool_and(F.col("is_open") | (F.col("distance") == 0)).alias("shown"), F.bool_or("top").alias("rooted"))
+    return shown.filter("shown AND rooted").select("id", "level", "place")
 
 
-def visible_filtered(nodes: DataFrame, wanted: Column, expanded: DataFrame, depth: int) -> DataFrame:
+def visible_filtered(nodes: DataFrame, wanted: Column, expanded: DataFrame) -> DataFrame:
     """Nodes that meet a filter and all above them; if none does, what visible_tree shows."""
     hits = nodes.filter(wanted).select("id")
-    shown = hits.unionByName(ancestors(nodes, hits, depth).select(F.col("ancestor").alias("id"))).distinct()
+    shown = hits.unionByName(ancestors(nodes, hits).select(F.col("ancestor").alias("id"))).distinct()
     # one row, or none: the fallback is chosen inside the plan
     empty = shown.groupBy().agg((F.count("*") == 0).alias("none"))
-    otherwise = visible_tree(nodes, expanded, depth).select("id").join(F.broadcast(empty.filter("none")), how="cross").select("id")
+    otherwise = visible_tree(nodes, expanded).select("id").join(F.broadcast(empty.filter("none")), how="cross").select("id")
     return shown.unionByName(otherwise)
 
 

@@ -54,9 +54,9 @@ def either_key_semi(left: DataFrame, wanted: DataFrame, key: str, keys: Column,
 
 
 def path_prefixes(path: Column) -> Column:
-    """The path and all its prefixes that end before `/`, `:` or `#`."""
-    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(path), F.lit(1))), lambda i: F.substr(path, i, F.lit(1)).isin("/", ":", "#"))
-    return F.array_distinct(F.concat(F.array(path), F.transform(F.filter(cuts, lambda i: i > 1), lambda i: F.substr(path, F.lit(1), i - 1))))
+    """The path and all its prefixes that end before `/`, `:` or `#`; one pass finds the cuts."""
+    ends = F.aggregate(F.split(path, "[/:#]"), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("cuts")), lambda acc, p: F.struct((acc.at + F.length(p) + 1).alias("at"), F.array_append(acc.cuts, acc.at + F.length(p)).alias("cuts")), lambda acc: acc.cuts)
+    return F.array_distinct(F.concat(F.array(path), F.transform(F.filter(ends, lambda n: n > 0), lambda n: F.substr(path, F.lit(1), n))))
 
 
 def longest_prefix_join(artifacts: DataFrame, nodes: DataFrame, row_id: str, path: str, root: Column | None = None) -> DataFrame:
@@ -106,8 +106,27 @@ def combined_paths(prefixes: Column, paths: Column) -> Column:
     return F.flatten(F.transform(one(prefixes), lambda a: F.transform(one(paths), lambda b: F.concat(a, b))))
 
 
-def named_in(rows: DataFrame, names: DataFrame, text: str, name: str, limit: int | None = None, order: Sequence[str] = ()) -> DataFrame:
-    """Rows whose text contains one of a few names. The names are gathered into one array, so there is no nested-loop join."""
-    listed = names.select(name).distinct().groupBy().agg(F.collect_list(name).alias("_names"))
-    out = rows.join(F.broadcast(listed), how="cross").filter(F.exists("_names", lambda n: F.contains(F.col(text), n))).drop("_names")
+#: Names that go to every task as one array; more meet the texts by an equi-join.
+NAMES_AT_ONCE, GRAM = 2_000, 16
+
+
+def named_in(rows: DataFrame, names: DataFrame, text: str, name: str, limit: int | None = None, order: Sequence[str] = (), at_once: int = NAMES_AT_ONCE) -> DataFrame:
+    """Rows whose text contains one of the names. Empty and null names are in no text; `order` tells rows apart.
+
+    A counted few names are one broadcast array. Of more, the first characters (as many as the shortest has, GRAM at most) are
+    hashed like all stretches of that length in the texts; these meet by an equi-join, and only there whole names are compared.
+    """
+    known = names.select(F.col(name).alias("_name")).filter(F.length("_name") > 0).distinct()
+    size = known.agg(F.count("*").alias("n"), F.min(F.length("_name")).alias("shortest")).first()
+    if size.n <= at_once:
+        listed = F.broadcast(known.agg(F.collect_list("_name").alias("_names")))
+        out = rows.join(listed, how="cross").filter(F.exists("_names", lambda x: F.contains(F.col(text), x))).drop("_names")
+    else:
+        n = min(GRAM, size.shortest)
+        own = list(order) or rows.columns
+        places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        stretches = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substr(text, i, F.lit(n)))))
+        seen = rows.select(*own, F.col(text).alias("_text"), F.explode(stretches).alias("_h"))
+        hits = seen.join(known.withColumn("_h", F.xxhash64(F.left("_name", F.lit(n)))), "_h").filter(F.contains("_text", F.col("_name"))).select(*own).distinct()
+        out = rows.join(hits, own, "left_semi").select(rows.columns)
     return out.orderBy(*order).limit(limit) if limit else out

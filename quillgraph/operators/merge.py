@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
@@ -78,6 +78,6 @@ def conflicting_literals(uses: DataFrame, group: Sequence[str], literal: str, *o
 
 
 def duplicate_keys(rows: DataFrame, key: Sequence[str], *order: str) -> DataFrame:
-    """Every occurrence of a key but its first."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return rows.withColumn("occurrence", F.row_number().over(w)).filter("occurrence > 1")
+    """Every occurrence of a key but its first. The first is an aggregate, so a hot key is never gathered; `order` tells rows of a key apart."""
+    first = rows.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
+    return rows.join(first, list(key)).filter(F.struct(*order) > F.col("_first")).drop("_first")

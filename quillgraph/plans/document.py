@@ -114,7 +114,7 @@ def lineage(items: DataFrame, citations: DataFrame, nodes: DataFrame) -> tuple[D
     """
     tree = items.select("id", F.col("parent_id").alias("parent"))
     cited = citations.select(F.col("owner_id").alias("id"), F.lit(1).cast("long").alias("evidence"))
-    counts = hierarchical_rollup(tree, cited, 2, root_counts_itself=False)
+    counts = hierarchical_rollup(tree, cited, root_counts_itself=False)
     service = items.filter("kind = 'service'").select(F.col("id").alias("owner_id"))
     broken = citations.filter("evidence_node_id IS NOT NULL").join(service, "owner_id", "left_semi").join(nodes.select(F.col("id").alias("evidence_node_id")), "evidence_node_id", "left_anti")
     blocking = broken.groupBy(F.col("owner_id").alias("id")).agg(F.count("*").alias("blocking"))

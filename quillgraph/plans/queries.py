@@ -64,7 +64,7 @@ def hierarchical_rollup(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
     own = orders.join(counts, orders.o_orderkey == counts.l_orderkey, "left").groupBy(F.concat(F.lit("c:"), c("o_custkey").cast("string")).alias("id"))
     own = own.agg(F.sum("n").alias("items"), F.count_if(c("o_orderstatus") == "F").alias("problems"))
-    return hierarchy.hierarchical_rollup(tree(spark, sf), own, 3).withColumnRenamed("id", "node_id")
+    return hierarchy.hierarchical_rollup(tree(spark, sf), own).withColumnRenamed("id", "node_id")
 
 
 def some_customers(spark: SparkSession, sf: str) -> DataFrame:
@@ -75,13 +75,13 @@ def some_customers(spark: SparkSession, sf: str) -> DataFrame:
   SELECT parent AS id FROM nodes WHERE bal > 9900 UNION SELECT nodes.parent FROM up JOIN nodes ON nodes.id = up.id)
 SELECT DISTINCT up.id FROM up JOIN nodes USING (id) WHERE nodes.parent IS NOT NULL""")
 def ancestor_expand(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.expand_ancestors(tree(spark, sf), some_customers(spark, sf), 3)
+    return hierarchy.expand_ancestors(tree(spark, sf), some_customers(spark, sf))
 
 
 @query(f"""WITH RECURSIVE {TREE_SQL}, up AS (SELECT 'n:3' AS id UNION SELECT nodes.parent FROM up JOIN nodes ON nodes.id = up.id WHERE nodes.parent IS NOT NULL)
 SELECT id FROM up UNION SELECT id FROM nodes WHERE parent = 'n:3'""")
 def neighborhood(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.neighborhood(tree(spark, sf), spark.createDataFrame([("n:3",)], "id string"), 3)
+    return hierarchy.neighborhood(tree(spark, sf), spark.createDataFrame([("n:3",)], "id string"))
 
 
 @query(f"""WITH {TREE_SQL}
@@ -92,12 +92,12 @@ UNION ALL SELECT n.id, 3, '000000000000/' || lpad(CAST(q.ordinal AS VARCHAR), 12
   FROM nodes n JOIN nodes p ON n.parent = p.id JOIN nodes q ON p.parent = q.id WHERE p.id IN ('n:1', 'n:4') AND q.id IN ('r:1', 'r:2')""")
 def visible_tree(spark: SparkSession, sf: str) -> DataFrame:
     expanded = spark.createDataFrame([("r:1",), ("r:2",), ("n:1",), ("n:4",)], "id string")
-    return hierarchy.visible_tree(tree(spark, sf), expanded, 3)
+    return hierarchy.visible_tree(tree(spark, sf), expanded)
 
 
 @query(f"""WITH RECURSIVE {TREE_SQL}, up AS (SELECT id FROM nodes WHERE bal > 9900 UNION SELECT nodes.parent FROM up JOIN nodes ON nodes.id = up.id WHERE nodes.parent IS NOT NULL) SELECT id FROM up""")
 def visible_filtered(spark: SparkSession, sf: str) -> DataFrame:
-    return hierarchy.visible_filtered(tree(spark, sf), c("bal") > 9900, spark.createDataFrame([], "id string"), 3)
+    return hierarchy.visible_filtered(tree(spark, sf), c("bal") > 9900, spark.createDataFrame([], "id string"))
 
 
 # Merging observers
@@ -208,14 +208,14 @@ def or_key_semi_join(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.either_key_semi(orders, wanted, "key", keys, "o_orderkey").select("o_orderkey", "o_totalprice")
 
 
-@query("""WITH paths AS (SELECT page_id AS ordinal, 'p' || page_id AS id, regexp_replace(url, '[/#?][^/#?]*$', '') AS path FROM pages WHERE page_id % 2 = 0),
+@query("""WITH paths AS (SELECT page_id AS ordinal, 'p' || page_id AS id, regexp_replace(url, '[/#?][^/#?]*$', '') AS path FROM pages),
 best AS (SELECT pages.page_id, paths.id, CASE WHEN paths.path = url THEN 1000000 ELSE length(paths.path) END AS size, CASE WHEN paths.path = url THEN -paths.ordinal ELSE paths.ordinal END AS tie
   FROM pages JOIN paths ON paths.path <> '' AND (url = paths.path OR (starts_with(url, paths.path) AND substr(url, length(paths.path) + 1, 1) IN ('/', ':', '#')))),
 one AS (SELECT page_id, id FROM best QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY size DESC, tie) = 1)
 SELECT page_id, url, coalesce(id, 'root') AS owner FROM pages LEFT JOIN one USING (page_id)""")
 def longest_prefix_join(spark: SparkSession, sf: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url")
-    nodes = pages.filter("page_id % 2 = 0").select(c("page_id").alias("ordinal"), F.concat(F.lit("p"), c("page_id").cast("string")).alias("id"), F.regexp_replace("url", "[/#?][^/#?]*$", "").alias("path"))
+    nodes = pages.select(c("page_id").alias("ordinal"), F.concat(F.lit("p"), c("page_id").cast("string")).alias("id"), F.regexp_replace("url", "[/#?][^/#?]*$", "").alias("path"))
     return lookup.longest_prefix_join(pages, nodes, "page_id", "url", F.lit("root"))
 
 
@@ -365,9 +365,11 @@ def excerpt_range(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", files.excerpt(c("text"), F.lit(2), F.lit(4)).alias("excerpt"))
 
 
-@query("""SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages""")
-def import_like_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target"))
+@query(f"WITH {LINES_SQL} SELECT doc_id, line, trim(replace(value, ';', '')) AS statement FROM lines WHERE starts_with(value, 'T')")
+def import_statements(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that begin with T are written as imports first."""
+    value = F.when(c("value").startswith("T"), F.concat(F.lit("  import "), c("value"), F.lit(";"))).otherwise(c("value"))
+    return scans.import_statements(document_lines(spark, sf).withColumn("value", value)).select("doc_id", c("line").cast("long").alias("line"), "statement")
 
 
 # Ids and names
@@ -400,15 +402,35 @@ def normalize_path(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", fx.normalize_path(path).alias("path"), fx.slug(path).alias("slug"), fx.relationship_name(path).alias("relationship"))
 
 
-@query("""SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k, length(props) > 2 AS filled FROM events""")
-def json_attr_extract(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(-1).cast("long")).alias("k"), (F.length("props") > 2).alias("filled"))
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events""")
+def tolerant_json(spark: SparkSession, sf: str) -> DataFrame:
+    """Properties as they are, in a fence, broken, and blank."""
+    kind = c("event_id") % 4
+    raw = F.when(kind == 0, c("props")).when(kind == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(kind == 2, F.concat(F.lit("{"), "props")).otherwise("  ")
+    return table(spark, sf, "events").select("event_id", fx.tolerant_json(fx.unfenced(raw), "k long")["k"].alias("k"))
 
 
-@query(r"""SELECT doc_id, len(list_distinct(regexp_extract_all(text, '(\w+)\.\s+The', 1))) AS n_ends, contains(text, 'token = ') AS has_token FROM documents""")
-def scenario_features(spark: SparkSession, sf: str) -> DataFrame:
-    found = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w+)\.\s+The"), 1))
-    return table(spark, sf, "documents").select("doc_id", F.size(found).cast("long").alias("n_ends"), F.contains("text", F.lit("token = ")).alias("has_token"))
+@query("""SELECT doc_id, coalesce(source, 'none') || ',b' AS null_checks, lang AS required, 'Err' || (doc_id % 7) AS thrown, 'saveAll,save' AS saves, 'findById' AS finds, 'deleteBy' AS deletes FROM documents""")
+def body_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text with a method body behind it; the texts hold no such code themselves."""
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit(" if ("), F.coalesce("source", F.lit("none")), F.lit(" == null || b ==null || b == null) requireNonNull( "), "lang", F.lit("); throw new Err"), (c("doc_id") % 7).cast("string"), F.lit("(); repo.saveAll(x).findById(); a.deleteBy(y); a.save(z); a.save(z)"))
+    return table(spark, sf, "documents").select("doc_id", *(F.array_join(v, ",").alias(k) for k, v in fx.body_features(body).items()))
+
+
+@query("""SELECT o_custkey AS owner, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS refs FROM orders GROUP BY 1""")
+def grouped_refs(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import code
+
+    refs = code.grouped_refs(table(spark, sf, "orders").select(c("o_custkey").alias("owner"), "o_orderkey", "o_orderstatus"), "owner", "o_orderkey", ["o_orderstatus"])
+    return refs.select("owner", F.array_join(F.transform("refs", lambda r: F.concat_ws(":", r["o_orderkey"].cast("string"), r["o_orderstatus"])), ",").alias("refs"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size < 10 THEN 100 ELSE p_size END AS page_size, coalesce(nullif(p_type, 'PROMO'), 'AT_LEAST_ONCE') AS delivery, 500 AS batch FROM part""")
+def filled_defaults(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators import code
+
+    specs = table(spark, sf, "part").select("p_partkey", F.when(c("p_size") >= 10, c("p_size")).cast("long").alias("page_size"), F.when(c("p_type") != "PROMO", c("p_type")).alias("delivery"))
+    return code.filled_defaults(specs, {"page_size": F.lit(100).cast("long"), "delivery": F.lit("AT_LEAST_ONCE"), "batch": F.lit(500)})
 
 
 # Validation, confidence, drift, migration
@@ -431,9 +453,18 @@ def coverage(spark: SparkSession, sf: str) -> DataFrame:
     return counted.select("scope", "domain", F.when(c("k") * 10 >= c("n") * 4, "CONFIRMED").when(c("k") > 0, "PARTIAL").otherwise("MISSING").alias("status"), (c("n") - c("k")).alias("missing"))
 
 
-@query(f"WITH {REPORT_SQL} FROM report")
+@query("""WITH f AS (SELECT count(*) > 0 AS found, bool_or(o_orderstatus = 'F') AS f, bool_or(o_orderstatus = 'X') AS x, max(o_totalprice) > 0 AS paid FROM orders)
+SELECT unnest(['BUILD', 'TYPES', 'METHOD_BODIES', 'CALL_GRAPH', 'SPRING_BEANS', 'HTTP', 'JPA', 'VALIDATION', 'SECURITY']) AS domain,
+  unnest([CASE WHEN found THEN 'CONFIRMED' ELSE 'MISSING' END, CASE WHEN x THEN 'CONFIRMED' ELSE 'MISSING' END, CASE WHEN f THEN 'CONFIRMED' ELSE 'PARTIAL' END, CASE WHEN x THEN 'CONFIRMED' ELSE 'PARTIAL' END,
+    CASE WHEN paid THEN 'PARTIAL' ELSE 'MISSING' END, CASE WHEN x THEN 'PARTIAL' ELSE 'MISSING' END, 'CONFIRMED', CASE WHEN f THEN 'PARTIAL' ELSE 'MISSING' END, 'CONFIRMED']) AS status FROM f""")
 def confidence_report(spark: SparkSession, sf: str) -> DataFrame:
-    return coverage(spark, sf)
+    """A system that wasn't booted: what it asks for is partial where evidence was merged, else missing; what it doesn't ask for is confirmed."""
+    status = c("o_orderstatus")
+    facts = table(spark, sf, "orders").agg((F.count("*") > 0).alias("some"), F.bool_or(status == "F").alias("f"), F.bool_or(status == "X").alias("x"), (F.max("o_totalprice") > 0).alias("paid"))
+    yes, no = F.lit(True), F.lit(False)
+    flags = {"built": c("some"), "types": c("x"), "bodies": c("f"), "call_graph": c("x"), "booted": no, "spring": yes, "web_mvc": no, "web_flux": yes, "jpa": no, "validation": yes, "security": no}
+    flags |= {"has_spring_beans": c("paid"), "has_http": c("x"), "has_jpa": yes, "has_validation": c("f"), "has_security": no}
+    return document.confidence_report(facts.select(*(v.alias(k) for k, v in flags.items())))
 
 
 @query(f"""WITH {REPORT_SQL}, wanted AS (SELECT DISTINCT scope, unnest(['en', 'fr', 'de', 'es']) AS domain FROM report)
@@ -463,9 +494,9 @@ def adapter_report(spark: SparkSession, sf: str) -> DataFrame:
     return report(spark, found)
 
 
-@query("""SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS occurrence FROM documents QUALIFY occurrence > 1""")
+@query("""SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1""")
 def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return merge.duplicate_keys(table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h")), ["h"], "doc_id").select("doc_id", c("occurrence").cast("long").alias("occurrence"))
+    return merge.duplicate_keys(table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("h")), ["h"], "doc_id").select("doc_id")
 
 
 @query("""WITH f AS (SELECT user_id, arg_min(event_type, event_id) AS first_literal FROM events GROUP BY 1) SELECT event_id, user_id, event_type, first_literal FROM events JOIN f USING (user_id) WHERE event_type <> first_literal""")
@@ -473,23 +504,34 @@ def conflicting_literals(spark: SparkSession, sf: str) -> DataFrame:
     return merge.conflicting_literals(table(spark, sf, "events").select("event_id", "user_id", "event_type"), ["user_id"], "event_type", "event_id").select("event_id", "user_id", "event_type", "first_literal")
 
 
-@query("""WITH types AS (SELECT c_custkey AS id, ['Order', 'AbstractOrder', 'OrderMapper', 'Hook', 'User', 'Thing'][CAST(c_custkey % 6 + 1 AS INTEGER)] || CASE WHEN c_custkey % 6 IN (0, 4, 5) THEN c_custkey || ['Service', 'Controller', ''][CAST(c_custkey % 3 + 1 AS INTEGER)] ELSE '' END AS name FROM customer),
-live AS (SELECT id, name, regexp_replace(name, '^(.+?)(Controller|Service|Facade|Impl|Resource)+$', '\\1') AS aggregate FROM types WHERE NOT regexp_matches(name, '^(Abstract|Base)|Mapper$')),
-approved AS (SELECT 'Order' || (c_custkey * 6) AS aggregate FROM customer WHERE c_custkey <= 300),
-lost AS (SELECT * FROM live WHERE aggregate NOT IN (SELECT aggregate FROM approved)),
-calls AS (SELECT o_custkey AS type_id, ['getName', 'submit', 'hookUp', 'setName'][CAST(o_orderkey % 4 + 1 AS INTEGER)] AS name, o_orderkey % 2 AS arity FROM orders)
-SELECT CASE WHEN contains(lower(name), 'hook') THEN 'unmatched_hook' ELSE 'unmatched_type' END AS kind, name AS subject, NOT contains(lower(name), 'hook') AS blocking FROM lost
-UNION ALL SELECT CASE WHEN contains(lower(m.name), 'hook') THEN 'unmatched_hook' ELSE 'unmatched_method' END, lost.name || '.' || m.name, NOT contains(lower(m.name), 'hook') FROM calls m JOIN lost ON lost.id = m.type_id
-  WHERE NOT (starts_with(lower(m.name), 'get') AND arity = 0) AND NOT (starts_with(lower(m.name), 'set') AND arity = 1)
-UNION ALL SELECT 'missing_aggregate', aggregate, true FROM approved WHERE aggregate NOT IN (SELECT aggregate FROM live)""")
+@query(r"""WITH types AS (SELECT 't' || c_custkey AS id,
+    ['OrderLine', 'AbstractOrder', 'OrderMapper', 'ShipHook', 'User', 'RefundPolicy'][CAST(c_custkey % 6 + 1 AS INTEGER)] || CASE WHEN c_custkey % 6 IN (0, 3, 4) THEN CAST(c_custkey % 500 AS VARCHAR) ELSE '' END || ['Service', 'Controller', ''][CAST(c_custkey % 3 + 1 AS INTEGER)] AS name,
+    CASE WHEN c_custkey % 11 = 0 THEN 'interface' WHEN c_custkey % 13 = 0 THEN 'enum' ELSE 'class' END AS kind,
+    CASE c_custkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['Service'] WHEN 2 THEN ['Entity'] ELSE ['Old', 'Component'] END AS marks FROM customer),
+calls AS (SELECT 'm' || o_orderkey AS id, 't' || o_custkey AS type_id, ['getName', 'submitAll', 'hookUp', 'setName'][CAST(o_orderkey % 4 + 1 AS INTEGER)] AS name, o_orderkey % 2 AS arity FROM orders),
+acts AS (SELECT * FROM calls WHERE NOT (name = 'getName' AND arity = 0) AND NOT (name = 'setName' AND arity = 1)),
+told AS (SELECT *, regexp_replace(name, '(Service|Controller)$', '') AS bare, lower(regexp_replace(bare, '([a-z0-9])([A-Z])', '\1_\2', 'g')) AS token,
+  kind = 'enum' OR starts_with(name, 'Abstract') OR ends_with(name, 'Mapper') OR ends_with(bare, 'Policy') OR (kind = 'interface' AND len(marks) = 0) AS skipped FROM types),
+approved AS (SELECT DISTINCT 'order_line' || (c_custkey % 500) AS token FROM customer WHERE c_acctbal > 5000),
+live AS (SELECT * FROM told WHERE name NOT IN (SELECT name FROM told WHERE skipped) AND len(marks) > 0 AND (list_contains(marks, 'Entity') OR id IN (SELECT type_id FROM acts))),
+lost AS (SELECT * FROM live WHERE token NOT IN (FROM approved)),
+found AS (SELECT CASE WHEN contains(lower(name), 'hook') THEN 'HANDWRITTEN_HOOK' ELSE 'UNSUPPORTED_HANDWRITTEN' END AS kind, 'type' AS what, id AS subject FROM lost
+UNION ALL SELECT CASE WHEN contains(lower(acts.name), 'hook') THEN 'HANDWRITTEN_HOOK' ELSE 'UNSUPPORTED_HANDWRITTEN' END, 'method', acts.id FROM acts JOIN lost ON lost.id = acts.type_id WHERE NOT (token LIKE 'user1%' AND acts.name = 'submitAll')
+UNION ALL SELECT 'SPEC_OWNED', 'aggregate', '/' || token FROM approved WHERE token NOT IN (SELECT token FROM told WHERE NOT skipped))
+SELECT *, kind <> 'HANDWRITTEN_HOOK' AS blocking FROM found""")
 def drift_report(spark: SparkSession, sf: str) -> DataFrame:
     key = c("c_custkey")
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n + 1).cast("int"))
-    more = F.when((key % 6).isin(0, 4, 5), F.concat(key.cast("string"), pick(("Service", "Controller", ""), key % 3))).otherwise("")
-    types = table(spark, sf, "customer").select(key.alias("id"), F.concat(pick(("Order", "AbstractOrder", "OrderMapper", "Hook", "User", "Thing"), key % 6), more).alias("name"), F.lit("class").alias("kind"), F.array().cast("array<string>").alias("annotations"))
-    approved = table(spark, sf, "customer").filter("c_custkey <= 300").select(F.concat(F.lit("Order"), (key * 6).cast("string")).alias("name"))
-    methods = table(spark, sf, "orders").select(c("o_custkey").alias("type_id"), pick(("getName", "submit", "hookUp", "setName"), c("o_orderkey") % 4).alias("name"), (c("o_orderkey") % 2).alias("arity"))
-    return compare.drift_report(types, methods, approved)
+    number = F.when((key % 6).isin(0, 3, 4), (key % 500).cast("string")).otherwise("")
+    marks = F.when(key % 4 == 0, F.array().cast("array<string>")).when(key % 4 == 1, F.array(F.lit("Service"))).when(key % 4 == 2, F.array(F.lit("Entity"))).otherwise(F.array(F.lit("Old"), F.lit("Component")))
+    types = table(spark, sf, "customer").select(
+        F.concat(F.lit("t"), key.cast("string")).alias("id"), F.concat(pick(("OrderLine", "AbstractOrder", "OrderMapper", "ShipHook", "User", "RefundPolicy"), key % 6), number, pick(("Service", "Controller", ""), key % 3)).alias("name"),
+        F.when(key % 11 == 0, "interface").when(key % 13 == 0, "enum").otherwise("class").alias("kind"), marks.alias("annotations"),
+    )
+    approved = table(spark, sf, "customer").filter("c_acctbal > 5000").select(F.concat(F.lit("orderLine"), (key % 500).cast("string")).alias("name")).distinct().withColumn("path", F.concat(F.lit("/order_line"), F.substr("name", F.lit(10))))
+    methods = table(spark, sf, "orders").select(F.concat(F.lit("m"), c("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("t"), c("o_custkey").cast("string")).alias("type_id"), pick(("getName", "submitAll", "hookUp", "setName"), c("o_orderkey") % 4).alias("name"), (c("o_orderkey") % 2).alias("arity"))
+    commands = table(spark, sf, "customer").select(F.concat(F.lit("User"), (key % 500).cast("string")).alias("aggregate")).filter("aggregate LIKE 'User1%'").distinct().withColumn("name", F.lit("submit_all"))
+    return compare.drift_report(types, methods, approved, commands)
 
 
 STEPS = [
@@ -532,16 +574,42 @@ def hotspots_topk(spark: SparkSession, sf: str) -> DataFrame:
     return runs.hotspots(rows, ["blocking", "warning"]).select("id", "measure", "count", c("place").cast("long").alias("place"))
 
 
-@query("""SELECT doc_id, source FROM documents ORDER BY source, doc_id LIMIT 5""")
-def notes_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "source").orderBy("source", "doc_id").limit(5)
+@query("""WITH n AS (SELECT 'd' || doc_id AS id, doc_id AS ordinal, coalesce(source, 'none') || CASE doc_id % 3 WHEN 0 THEN ' flow' WHEN 1 THEN ' scenario' ELSE '' END AS label, lang,
+    ['project', 'documentation-section', 'http-endpoint', 'contract-channel', 'nightly-job', 'persistence-entity', 'database-migration', 'integration-config', 'validation-constraint', 'security-constraint'][CAST(doc_id % 10 + 1 AS INTEGER)] AS kind FROM documents),
+faces AS (SELECT *, CASE kind WHEN 'http-endpoint' THEN 'http' WHEN 'contract-channel' THEN 'async' ELSE 'jobs' END AS surface FROM n WHERE kind IN ('http-endpoint', 'contract-channel', 'nightly-job')),
+ops AS (SELECT *, CASE surface WHEN 'http' THEN 1 WHEN 'async' THEN 2 ELSE 3 END * 1000000000 + row_number() OVER (PARTITION BY surface ORDER BY label, ordinal) AS spot FROM faces),
+doc AS (SELECT * FROM n WHERE kind = 'documentation-section'),
+head AS (SELECT coalesce((SELECT arg_min(label, ordinal) FROM n WHERE kind = 'project'), 'service') AS name, coalesce((SELECT arg_min(label, ordinal) FROM doc), 'Semantic draft synthesized from deterministic evidence') AS summary),
+root AS (SELECT 'service:' || name AS root FROM head)
+SELECT 'service:' || name AS id, 'service' AS kind, NULL AS parent_id, name, summary, 'CONFIRMED' AS confidence_level, 0 AS ordinal FROM head
+UNION ALL SELECT DISTINCT 'interface:' || surface, 'interface', root, CASE surface WHEN 'http' THEN 'HTTP Surface' WHEN 'async' THEN 'Async Messaging' ELSE 'Background Jobs' END, surface, 'CONFIRMED', CASE surface WHEN 'http' THEN 1 WHEN 'async' THEN 2 ELSE 3 END FROM faces, root
+UNION ALL SELECT 'operation:' || id, 'operation', 'interface:' || surface, label, surface, 'CONFIRMED', spot FROM ops
+UNION ALL SELECT 'scenario:operation:' || id, 'scenario', root, label, 'operation', 'PARTIAL', spot FROM ops, root
+UNION ALL SELECT 'datastore:primary', 'datastore', any_value(root), 'Primary Relational Store', CASE WHEN bool_or(kind = 'database-migration' AND lang = 'fr') THEN 'flyway-relational' ELSE 'liquibase-relational' END, 'CONFIRMED', 0 FROM n, root WHERE kind IN ('persistence-entity', 'database-migration')
+UNION ALL SELECT 'integration:' || lang, 'integration', any_value(root), upper(lang), string_agg(label, ',' ORDER BY label), 'PARTIAL', min(ordinal) FROM n, root WHERE kind = 'integration-config' GROUP BY lang
+UNION ALL SELECT 'workflow:' || id, 'workflow', root, label, 'execution', 'CONFIRMED', ordinal FROM n, root WHERE kind = 'nightly-job'
+UNION ALL SELECT 'workflow:' || id, 'workflow', root, label, 'documentation', 'PARTIAL', 1000000000 + ordinal FROM doc, root WHERE ends_with(label, ' flow')
+UNION ALL SELECT 'rule:' || id, 'rule', root, label, CASE WHEN lang = 'en' THEN 'x > 1' WHEN kind = 'validation-constraint' THEN 'Validation rule' ELSE 'Security rule' END, 'CONFIRMED', ordinal FROM n, root WHERE kind IN ('validation-constraint', 'security-constraint')
+UNION ALL SELECT 'scenario:' || id, 'scenario', root, label, 'documentation', 'PARTIAL', 10000000000 + ordinal FROM doc, root WHERE ends_with(label, ' scenario')
+UNION ALL (SELECT 'note:' || id, 'note', root, label, 'documentation', 'PARTIAL', ordinal FROM doc, root ORDER BY label, ordinal LIMIT 5)""")
+def synthesized_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents taken for evidence nodes of ten kinds, made into a service with interfaces, store, integrations, workflows, rules, scenarios and the first five notes."""
+    key = c("doc_id")
+    kinds = ("project", "documentation-section", "http-endpoint", "contract-channel", "nightly-job", "persistence-entity", "database-migration", "integration-config", "validation-constraint", "security-constraint")
+    attributes = F.map_filter(F.create_map(F.lit("keyword"), c("lang"), F.lit("tool"), F.when(c("lang") == "fr", "Flyway"), F.lit("expression"), F.when(c("lang") == "en", "x > 1")), lambda k, v: v.isNotNull())
+    nodes = table(spark, sf, "documents").select(
+        F.concat(F.lit("d"), key.cast("string")).alias("id"), key.alias("ordinal"), F.element_at(F.array(*map(F.lit, kinds)), (key % 10 + 1).cast("int")).alias("kind"),
+        F.concat(F.coalesce("source", F.lit("none")), F.when(key % 3 == 0, " flow").when(key % 3 == 1, " scenario").otherwise("")).alias("label"), attributes.alias("attributes"),
+    )
+    refs = nodes.select(c("id").alias("owner_id"), F.lit("file").alias("file"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), "ordinal")
+    return document.synthesize(spark, nodes, refs)[0]
 
 
 @query("""WITH a AS (SELECT '0:' || p_type || ':' || p_name AS place, p_type || ' ' || p_name || ' ' || p_brand AS text FROM part WHERE p_type IN ('PROMO', 'SMALL') ORDER BY p_type, p_name, lpad(CAST(p_partkey AS VARCHAR), 12, '0') LIMIT 12),
-b AS (SELECT '1:' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS place, left(text, 40) AS text FROM documents WHERE regexp_matches(left(text, 40), '\\S') ORDER BY doc_id LIMIT 12) FROM a UNION ALL FROM b""")
+b AS (SELECT '1:' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS place, text FROM documents WHERE regexp_matches(text, '\\S') ORDER BY doc_id LIMIT 12) FROM a UNION ALL FROM b""")
 def kind_sorted_limit(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "part").select(F.lpad(c("p_partkey").cast("string"), 12, "0").alias("id"), c("p_type").alias("kind"), c("p_name").alias("label"), c("p_brand").alias("path"))
-    refs = table(spark, sf, "documents").select(c("doc_id").alias("ordinal"), F.left("text", F.lit(40)).alias("excerpt"))
+    refs = table(spark, sf, "documents").select(c("doc_id").alias("ordinal"), c("text").alias("excerpt"))
     return retrieval.evidence_context(nodes, refs, ["PROMO", "SMALL"], 12)
 
 
@@ -567,10 +635,10 @@ def run_progress(spark: SparkSession, sf: str) -> DataFrame:
     return runs.progress(stages(spark, sf), "user_id", "status", "ordinal")
 
 
-@query(f"""WITH {STAGE_SQL} SELECT user_id, coalesce(min(event_id) FILTER (WHERE status = 'RUNNING' AND event_id % 7 = 0), min(event_id) FILTER (WHERE status = 'FAILED' AND event_id % 7 = 0), max(event_id) FILTER (WHERE status = 'SUCCEEDED' AND event_id % 7 = 0)) AS current FROM stages GROUP BY 1""")
+@query(f"""WITH {STAGE_SQL} SELECT user_id, coalesce(min(event_id) FILTER (WHERE status = 'RUNNING'), min(event_id) FILTER (WHERE status = 'FAILED'), max(event_id) FILTER (WHERE status = 'SUCCEEDED')) AS current FROM stages GROUP BY 1""")
 def current_stage(spark: SparkSession, sf: str) -> DataFrame:
     own, status = c("event_id"), c("status")
-    at = lambda kind: F.when((status == kind) & (own % 7 == 0), own)
+    at = lambda kind: F.when(status == kind, own)
     return stages(spark, sf).groupBy("user_id").agg(F.coalesce(F.min(at("RUNNING")), F.min(at("FAILED")), F.max(at("SUCCEEDED"))).alias("current"))
 
 
@@ -721,9 +789,9 @@ def two_key_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return code.two_key_lookup(left, known, "name", "known", "path")
 
 
-@query("""SELECT doc_id, source FROM documents WHERE EXISTS (SELECT 1 FROM benchmark WHERE contains(documents.text, left(benchmark.text, 30))) ORDER BY doc_id LIMIT 32""")
+@query("""SELECT doc_id, source FROM documents WHERE EXISTS (SELECT 1 FROM benchmark WHERE contains(documents.text, benchmark.text)) ORDER BY doc_id LIMIT 32""")
 def named_in_texts(spark: SparkSession, sf: str) -> DataFrame:
-    docs, names = table(spark, sf, "documents").select("doc_id", "source", "text"), table(spark, sf, "benchmark").select(F.left("text", F.lit(30)).alias("name"))
+    docs, names = table(spark, sf, "documents").select("doc_id", "source", "text"), table(spark, sf, "benchmark").select(c("text").alias("name"))
     return lookup.named_in(docs, names, "text", "name", 32, ["doc_id"]).select("doc_id", "source")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +24,26 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back; the table is deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written[path] = spark
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _forget() -> None:
+    with contextlib.suppress(Exception):  # a session that has ended can't delete any more
+        for path, spark in _written.items():
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def text_files(spark: SparkSession, roots: Sequence[str], pattern: str = "*") -> DataFrame:
     """(path, text) of all files below the roots whose name fits; each path once; roots that don't exist are skipped."""
     jvm, conf = spark.sparkContext._jvm, spark._jsparkSession.sessionState().newHadoopConf()

@@ -92,14 +92,14 @@ def ids(df, order=None):
 
 def test_visible_tree_and_neighborhood(spark, explorer):
     none = spark.createDataFrame([], "id string")
-    assert ids(hierarchy.visible_tree(explorer, none, 3), "place") == ["svc-orders", "if-http", "ds-orders", "int-payments", "wf-submit"]
+    assert ids(hierarchy.visible_tree(explorer, none), "place") == ["svc-orders", "if-http", "ds-orders", "int-payments", "wf-submit"]
     opened = spark.createDataFrame([("if-http",)], "id string")
-    assert ids(hierarchy.visible_tree(explorer, opened, 3), "place") == ["svc-orders", "if-http", "op-submit", "ds-orders", "int-payments", "wf-submit"]
-    assert set(ids(hierarchy.neighborhood(explorer, opened, 3))) == {"if-http", "op-submit", "svc-orders"}
-    assert set(ids(hierarchy.visible_filtered(explorer, F.col("blocking") > 0, none, 3))) == {"svc-orders", "wf-submit"}
-    assert set(ids(hierarchy.visible_filtered(explorer, F.col("evidence") == 0, none, 3))) == {"svc-orders", "int-payments"}
-    assert set(ids(hierarchy.visible_filtered(explorer, F.col("evidence") > 99, none, 3))) == {"svc-orders", "if-http", "ds-orders", "int-payments", "wf-submit"}
-    assert ids(hierarchy.expand_ancestors(explorer, spark.createDataFrame([("op-submit",)], "id string"), 3)) == ["if-http"]
+    assert ids(hierarchy.visible_tree(explorer, opened), "place") == ["svc-orders", "if-http", "op-submit", "ds-orders", "int-payments", "wf-submit"]
+    assert set(ids(hierarchy.neighborhood(explorer, opened))) == {"if-http", "op-submit", "svc-orders"}
+    assert set(ids(hierarchy.visible_filtered(explorer, F.col("blocking") > 0, none))) == {"svc-orders", "wf-submit"}
+    assert set(ids(hierarchy.visible_filtered(explorer, F.col("evidence") == 0, none))) == {"svc-orders", "int-payments"}
+    assert set(ids(hierarchy.visible_filtered(explorer, F.col("evidence") > 99, none))) == {"svc-orders", "if-http", "ds-orders", "int-payments", "wf-submit"}
+    assert ids(hierarchy.expand_ancestors(explorer, spark.createDataFrame([("op-submit",)], "id string"))) == ["if-http"]
 
 
 def test_longest_prefix_join(spark, explorer):
@@ -281,12 +281,59 @@ def test_confidence(spark):
     assert document.confidence_score(report).first().score == 0.5 and document.confidence_score(report.limit(0)).first().score == 0
 
 
+def test_trees_of_any_depth(spark):
+    """A chain of 300 nodes, and a circle."""
+    chain = spark.createDataFrame([(str(k), str(k - 1) if k else None, k) for k in range(300)], "id string, parent string, ordinal long")
+    one = spark.createDataFrame([("299", 1), ("7", 10)], "id string, n long")
+    totals = {r.id: r.n for r in hierarchy.hierarchical_rollup(chain, one).collect()}
+    assert totals == {str(k): 11 if k <= 7 else 1 for k in range(300)}
+    deep = spark.createDataFrame([("299",)], "id string")
+    assert sorted(r.distance for r in hierarchy.ancestors(chain, deep).collect()) == list(range(1, 300))
+    shown = hierarchy.visible_tree(chain, spark.createDataFrame([(str(k),) for k in range(1, 200)], "id string")).collect()
+    assert {r.id: r.level for r in shown} == {str(k): k for k in range(201)}
+    with pytest.raises(ValueError, match="circle"):
+        hierarchy.hierarchical_rollup(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "id string, parent string"), one)
+
+
+def test_drift_goldens(spark):
+    """Each branch: infrastructure by name, annotation, kind, stripped name and shared name; domain, command and entity types; hooks; tokens."""
+    rows = [
+        ("C", "C", "class", []), ("thing", "OrderThing", "class", []), ("svc", "OrderService", "class", ["Service"]), ("pay", "PaymentService", "class", ["Service"]), ("idle", "IdleService", "class", ["Service"]),
+        ("ent", "Invoice", "class", ["Entity"]), ("hook", "ShipHook", "class", ["Component"]), ("repo", "TaxRepository", "class", ["Service"]), ("policy", "RefundPolicyService", "class", ["Service"]),
+        ("dup1", "Shared", "class", ["Service"]), ("dup2", "Shared", "enum", []), ("plain", "Gateway", "interface", []), ("line", "OrderLineController", "class", ["RestController"]), ("conf", "Wired", "class", ["Service", "Configuration"]),
+    ]
+    types = spark.createDataFrame(rows, "id string, name string, kind string, annotations array<string>")
+    methods = spark.createDataFrame([
+        ("m1", "svc", "submit", 1), ("m2", "pay", "charge", 1), ("m3", "pay", "getName", 0), ("m4", "idle", "getName", 0), ("m5", "idle", "setName", 1), ("m6", "hook", "onHook", 0), ("m7", "hook", "run", 0),
+        ("m8", "ent", "total", 0), ("m9", "line", "add", 2), ("m10", "dup1", "run", 0), ("m11", "pay", "refund", 1), ("m12", "pay", "getFor", 1),
+    ], "id string, type_id string, name string, arity int")
+    approved = spark.createDataFrame([("order", "/order"), ("order_line", "/order-line"), ("gone", "/gone"), ("c", "/c")], "name string, path string")
+    commands = spark.createDataFrame([("payment", "refund")], "aggregate string, name string")
+    found = {(r.kind, r.what, r.subject, r.blocking) for r in compare.drift_report(types, methods, approved, commands).collect()}
+    mine, hook = "UNSUPPORTED_HANDWRITTEN", "HANDWRITTEN_HOOK"
+    assert found == {
+        (mine, "type", "pay", True), (mine, "method", "m2", True), (mine, "method", "m12", True), (mine, "type", "ent", True), (mine, "method", "m8", True),
+        (hook, "type", "hook", False), (hook, "method", "m6", False), (mine, "method", "m7", True), ("SPEC_OWNED", "aggregate", "/gone", True),
+    }
+
+
+def test_names_in_texts_both_ways(spark):
+    rows = spark.createDataFrame([(k, f"path/to/Thing{k}/x" if k % 3 else "") for k in range(60)] + [(99, None)], "id long, text string")
+    names = spark.createDataFrame([(f"Thing{k}",) for k in range(0, 60, 4)] + [("",), (None,), ("o/T",)], "name string")
+    want = {r.id for r in rows.collect() if r.text and any(n in r.text for n in [f"Thing{k}" for k in range(0, 60, 4)] + ["o/T"])}
+    for few in (2_000, 0):
+        assert {r.id for r in lookup.named_in(rows, names, "text", "name", order=["id"], at_once=few).collect()} == want
+        assert lookup.named_in(rows, names.limit(0), "text", "name", at_once=few).count() == 0
+
+
 def test_rules(spark):
     rows = spark.createDataFrame([("DRAFT", 5, "2024-01-01 00:00:00", "2024-01-01 13:00:00"), ("OPEN", 20, "2024-01-01 00:00:00", "2024-01-01 02:00:00")], "status string, n int, a string, b string").selectExpr("status", "n", "cast(a as timestamp) a", "cast(b as timestamp) b")
     assert [r.n for r in compare.rule_filter(rows, "status == 'DRAFT' || n > 10 && n != 20").collect()] == [5]
     assert [r.n for r in compare.rule_filter(rows, "duration(a, b) <= PT12H").collect()] == [20]
     assert [compare.rule_problem(rows, r) for r in ("n > 1", "zz > 1", "n", "n == duration(a, b)")] == [None, "RULE_UNKNOWN_IDENTIFIER", "RULE_TYPE_BOOLEAN", "RULE_TYPE_MISMATCH"]
     assert compare.rule_to_sql("x == 'a && b'") == "x = 'a && b'"
+    assert [r.n for r in compare.rule_filter(rows, "status == OPEN && n > 1").collect()] == [20] and compare.rule_problem(rows, "status != IN_WORK") is None
+    assert compare.rule_problem(rows, "state == OPEN") == "RULE_UNKNOWN_IDENTIFIER"
 
 
 def test_migrations_in_order(spark):
