@@ -577,7 +577,7 @@ def hotspots_topk(spark: SparkSession, sf: str) -> DataFrame:
 @query("""WITH n AS (SELECT 'd' || doc_id AS id, doc_id AS ordinal, coalesce(source, 'none') || CASE doc_id % 3 WHEN 0 THEN ' flow' WHEN 1 THEN ' scenario' ELSE '' END AS label, lang,
     ['project', 'documentation-section', 'http-endpoint', 'contract-channel', 'nightly-job', 'persistence-entity', 'database-migration', 'integration-config', 'validation-constraint', 'security-constraint'][CAST(doc_id % 10 + 1 AS INTEGER)] AS kind FROM documents),
 faces AS (SELECT *, CASE kind WHEN 'http-endpoint' THEN 'http' WHEN 'contract-channel' THEN 'async' ELSE 'jobs' END AS surface FROM n WHERE kind IN ('http-endpoint', 'contract-channel', 'nightly-job')),
-ops AS (SELECT *, CASE surface WHEN 'http' THEN 1 WHEN 'async' THEN 2 ELSE 3 END * 1000000000 + row_number() OVER (PARTITION BY surface ORDER BY label, ordinal) AS spot FROM faces),
+ops AS (SELECT *, CAST(CASE surface WHEN 'http' THEN 1 WHEN 'async' THEN 2 ELSE 3 END AS BIGINT) * 1000000000 + row_number() OVER (PARTITION BY surface ORDER BY label, ordinal) AS spot FROM faces),
 doc AS (SELECT * FROM n WHERE kind = 'documentation-section'),
 head AS (SELECT coalesce((SELECT arg_min(label, ordinal) FROM n WHERE kind = 'project'), 'service') AS name, coalesce((SELECT arg_min(label, ordinal) FROM doc), 'Semantic draft synthesized from deterministic evidence') AS summary),
 root AS (SELECT 'service:' || name AS root FROM head)
