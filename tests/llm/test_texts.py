@@ -300,6 +300,36 @@ def labelled(spark, n=600):
     return docs, labels, {k: int(not ("%%%" in t or t.endswith("!!!") or len(set(t.split())) == 1)) for k, t in docs}
 
 
+def test_risk_and_its_slope():
+    """The slope equals differences of the risk; where the bracket is negative, it lifts the bracket."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    squash = lambda m: 1 / (1 + np.exp(-m))
+    for shift in (-2.0, 2.0):
+        p, u = rng.normal(shift, 1, 7), rng.normal(0, 1, 11)
+        both, prior = np.r_[p, u], 0.6
+        bracket = lambda m: np.log1p(np.exp(m[7:])).mean() - prior * np.log1p(np.exp(m[:7])).mean()
+        whole = lambda m: prior * np.log1p(np.exp(-m[:7])).mean() + max(0.0, bracket(m))
+        assert abs(ql.risk(squash(p), squash(u), prior) - whole(both)) < 1e-9
+        aim = whole if bracket(both) >= 0 else lambda m: -bracket(m)
+        steps = np.eye(18) * 1e-6
+        numeric = np.array([(aim(both + e) - aim(both - e)) / 2e-6 for e in steps])
+        assert np.abs(ql.risk_slope(squash(p), squash(u), prior) - numeric).max() < 1e-6
+    assert bracket(both) < 0
+
+
+def test_class_prior_of_a_known_mixture():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for prior in (0.3, 0.6, 0.85):
+        draw = lambda n, good: rng.normal(1.5 if good else -1.5, 1, (n, 5))
+        n = round(4000 * prior)
+        found = ql.class_prior(draw(1500, True), np.vstack([draw(n, True), draw(4000 - n, False)]))
+        assert abs(found - prior) < 0.08, (prior, found)
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels, truth = labelled(spark)
     table = spark.createDataFrame(labels, "doc_id long, quality int")
