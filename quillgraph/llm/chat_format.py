@@ -89,8 +89,16 @@ def under_mask(formatted: Column, loss_mask: Column) -> Column:
     return F.array_join(F.transform(loss_mask, lambda m: unescape(F.substr(formatted, (m.start + 1).cast("int"), m.length.cast("int")))), "")
 
 
-def turns_as_events(conversations: DataFrame) -> DataFrame:
-    """A table of whole turns as a log: each row starts a message; rows of equal turn go by role and text."""
+def turns_as_events(conversations: DataFrame, piece: int = 256) -> DataFrame:
+    """A table of whole turns as the log of their streaming: each row starts a message, its text follows in deltas of `piece` code points.
+
+    Rows of equal turn go by role and text. A null or empty text has no deltas.
+    """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = conversations.select("conv_id", "turn", "role", "text").withColumn("message", F.row_number().over(order).cast("long"))
-    return numbered.select("conv_id", F.col("message").alias("seq"), "message", F.lit("message").alias("kind"), "role", "text")
+    first = F.shiftleft("message", 32)  # of the message's numbers in the log
+    event = lambda at, kind, role, text: F.struct(at.alias("seq"), F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.alias("text"))
+    pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{piece}}}"), 0)
+    deltas = F.transform(pieces, lambda p, i: event(first + i + 1, "delta", F.lit(None), p))
+    log = F.concat(F.array(event(first, "message", F.col("role"), F.lit(""))), deltas)
+    return numbered.select("conv_id", "message", F.explode(log).alias("e")).select("conv_id", "e.seq", "message", "e.kind", "e.role", "e.text")
