@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from quillgraph.llm import chat_format as cf
 from quillgraph.llm import decontamination as dc
@@ -117,6 +118,17 @@ def test_chat_query(spark, sf):
     assert not talks
 
 
+def test_turns_are_streamed_in_pieces(spark):
+    """Every turn passes the fold as a message event and its deltas: texts come back whole, code points of four bytes and line ends too."""
+    rows = [(1, 0, "user", "a\U0001f600\n" * 400), (1, 1, None, None), (1, 2, "assistant", ""), (None, 0, "user", "x" * 256), (None, 0, "user", "x" * 257), (2, 5, "assistant", "one"), (2, 5, "assistant", "one")]
+    events = cf.turns_as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    log = events.collect()
+    assert Counter(e.kind for e in log) == {"message": len(rows), "delta": sum(-(-len(t or "") // 256) for *_, t in rows)}
+    assert len({(e.conv_id, e.seq) for e in log}) == len(log) and all(len(e.text) <= 256 for e in log)
+    back = sorted((r.conv_id or 0, r.message, r.role, r.text) for r in cf.reconstruct(events).collect())
+    assert back == sorted((c or 0, k, role or "", t or "") for c, k, role, t in [(1, 1, *rows[0][2:]), (1, 2, None, None), (1, 3, *rows[2][2:]), (None, 1, *rows[3][2:]), (None, 2, *rows[4][2:]), (2, 1, *rows[5][2:]), (2, 2, *rows[6][2:])])
+
+
 # personal data
 
 
@@ -173,6 +185,32 @@ def test_weak_supervision_adds_spans_and_leaves_clean_texts(spark):
     assert pii.find_pii(frame(spark, [])).count() == 0
 
 
+def test_added_spans_hold_against_planted_truth(spark):
+    """Precision and recall of what the method adds to the base kinds: planted secrets, phones, ids and names among look-alikes."""
+    rng = random.Random(12)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    digits = lambda low, high: str(rng.randrange(low, high))
+    true = {
+        "secret": lambda: (rng.choice(["api_key=", "access_token: ", "password = "]) + hexes(rng.choice([24, 32, 40])), "my login "),
+        "phone": lambda: (f"{rng.choice([212, 415, 617, 703, 949])}-555-{digits(1000, 9999)}", "please call "),
+        "id": lambda: (f"{digits(100, 660)}-{digits(10, 99)}-{digits(1000, 9999)}", "her social security number "),
+        "person": lambda: (f"{rng.choice(pii.GIVEN_NAMES)} {rng.choice(['Miller', 'Weber', 'Okafor', 'Lindqvist'])}", "a letter to Mrs "),
+    }
+    false = [lambda: f"the token: {rng.choice(['required', 'optional', 'somewhere'])} field", lambda: f"parts 000-{digits(10, 99)}-{digits(1000, 9999)} and 9{digits(10, 99)}-00-0000", lambda: f"row {digits(100, 199)}.{digits(100, 999)}.{digits(1000, 9999)} of it"]
+    rows, want = [], {}
+    for k in range(400):
+        kind = rng.choice(list(true))
+        hit, cue = true[kind]()
+        text = f"some words of prose {cue}"
+        want[k] = {(kind, len(text), len(text) + len(hit))}
+        rows.append((k, f"{text}{hit} and so on, {rng.choice(false)()} for the rest of the line"))
+    found = {r.doc_id: {(pii.KINDS[s.kind_no], s.start, s.end) for s in r.spans} for r in pii.find_pii(frame(spark, rows)).collect()}
+    right = sum(len(found[k] & want[k]) for k in want)
+    recall, precision = right / sum(map(len, want.values())), right / max(1, sum(map(len, found.values())))
+    print(f"added spans: recall {recall:.3f}, precision {precision:.3f}", Counter(kind for k in want for kind, *_ in want[k] - found[k]), Counter(kind for k in want for kind, *_ in found[k] - want[k]))
+    assert recall >= 0.9 and precision >= 0.9
+
+
 # licenses
 
 
@@ -211,6 +249,39 @@ def test_notices_with_errors(spark):
     assert ls.license_scan(frame(spark, [])).count() == 0
 
 
+def fewest_edits(notice, line):
+    """Fewest edits that turn a stretch of whole words of `line` (words between single spaces) into the notice; a table of all places, no seeds."""
+    chars = np.frombuffer(line.encode("utf-32-le"), np.uint32)
+    places = np.arange(len(chars) + 1)
+    space = np.r_[True, chars == 32]  # what stands before a place
+    row = np.where(space, 0, 1 << 20)
+    row = np.minimum.accumulate(row - places) + places
+    for k, c in enumerate(notice):
+        step = np.r_[row[0] + 1, np.minimum(row[:-1] + (chars != ord(c)), row[1:] + 1)]
+        row = np.minimum.accumulate(step - places) + places
+    return int(row[np.r_[chars == 32, True]].min())
+
+
+def test_labels_and_score_equal_a_search_of_every_place(spark, sf):
+    rng = random.Random(8)
+    rows = [(i, t) for i, t in documents(spark, sf) if len(t or "") < 30_000]
+    for k in range(120):  # at, under and over the bound of every notice
+        notice = ls.NOTICES[k % len(ls.NOTICES)][0]
+        chars = list(notice)
+        for _ in range(rng.randrange(ls.errors_of(notice) + 3)):
+            at = rng.randrange(1, len(chars))
+            chars[at : at + rng.choice([0, 1])] = rng.choice(["", "q", "é"])
+        rows.append((-1 - k, "It is " + "".join(chars) + rng.choice([" ", ", "]) + "as said"))
+    told = {r.doc_id: r for r in ls.summary(ls.license_scan(frame(spark, rows))).collect()}
+    for i, text in rows:
+        line = " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text or "")))
+        hits = [(label, 1.0) for p, label in ls.PHRASES.items() if f" {p} " in f" {line} "]
+        edits = [(label, n, fewest_edits(n, line)) for n, label in ls.NOTICES]
+        hits += [(label, 1 - e / len(n)) for label, n, e in edits if e <= ls.errors_of(n)]
+        assert told[i].labels == ",".join(sorted({label for label, _ in hits})), (i, edits)
+        assert abs(told[i].score - max((x for _, x in hits), default=0.0)) < 1e-9, (i, edits)
+
+
 # decontamination
 
 
@@ -434,3 +505,41 @@ def test_mixing_meets_targets(spark):
     assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in out)
     assert mx.mix(mixture(spark, [])).count() == 0
     assert [r.taken for r in mx.mix(mixture(spark, [(1, None, None), (2, "", "a")])).collect()] == [0, 0]
+
+
+def test_taken_words_equal_brute_force(spark):
+    """Word by word: shards laid out in the operator's order of hashes, blocks cut, whole rounds and the picked blocks counted."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(["w"] * rng.choice([0, 1, 5, 16, 40, 333])), rng.choice(["a", "a", "a", "b", None])) for k in range(500)]
+    rows += [(7, "again this id", "a"), (None, "no id", "b"), (None, None, None), (9000, "x " * 5000, "b"), (9001, "one", "tiny")]
+    block, per_shard, cap, seed = 16, 3000, 3, 17
+    docs = mixture(spark, rows)
+    F = mx.F
+    key = F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit("")))
+    laid = [(r.doc_id, r.source, len(WORDS.findall(r.text or "")), r.mark, r.deal) for r in docs.select("doc_id", "source", "text", key.alias("mark"), F.xxhash64(key).alias("deal")).collect()]
+    sizes = Counter()
+    for _, s, n, *_ in laid:
+        sizes[s] += n
+    want = filled(dict(sizes))
+    names = sorted(want, key=lambda s: (s is None, (s or "").encode()))
+    seats = apportioned({k + 1: want[s] for k, s in enumerate(names)}, round(sum(want.values()) / block), {k + 1: cap * -(-sizes[s] // block) for k, s in enumerate(names)})
+    brute = []
+    for src, s in enumerate(names, 1):
+        shards = defaultdict(list)
+        for i, source, n, mark, deal in laid:
+            if source == s:
+                shards[deal % max(1, -(-sizes[s] // per_shard))].append((mark, i, n))
+        words = {h: sum(n for *_, n in x) for h, x in shards.items()}
+        quota = apportioned({h: float(n) for h, n in words.items() if n}, seats[src], {h: cap * -(-n // block) for h, n in words.items()})
+        turns = {r.shard: r.turn for r in spark.createDataFrame([(src, h) for h in shards], "src int, shard long").select("shard", F.xxhash64(F.lit(seed + 1), "src", "shard").alias("turn")).collect()}
+        for h, own in shards.items():
+            n = max(1, -(-words[h] // block))
+            rounds, rest = divmod(quota.get(h, 0), n)
+            at = 0
+            for _, i, size in sorted(own, key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2])):
+                more = sum((w // block * mx._PRIME + turns[h]) % n < rest for w in range(at, at + size))
+                brute.append((i, s, size, size * rounds + more))
+                at += size
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "", r[2])
+    found = [(r.doc_id, r.source, r.size, r.taken) for r in mx.mix(docs, block, per_shard, cap, seed).collect()]
+    assert sorted(found, key=order) == sorted(brute, key=order)
