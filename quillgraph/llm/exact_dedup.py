@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import contextlib
 import hashlib
+import os
 import pickle
 import tempfile
 from collections.abc import Callable, Iterator
@@ -192,6 +193,12 @@ def _task_number() -> int:
     return TaskContext.get().partitionId()
 
 
+def _spill_file():
+    """An unnamed file in the executor's own Spark folder, where a shuffle spills too: it ends with its task, and a task that is run again writes its own."""
+    folders = os.environ.get("SPARK_LOCAL_DIRS")
+    return tempfile.TemporaryFile(dir=folders.split(",")[0] if folders else None)
+
+
 class _Merger:
     """One partition key's trie; subtrees beyond the budget go to unnamed files of the task and are merged afterwards, in the same way."""
 
@@ -219,7 +226,7 @@ class _Merger:
             self.trie.weight += self.trie.held(subtree.owner)
             self.trie.terminal(prefix).owner = subtree.owner
             return
-        self.spilled[prefix] = tempfile.TemporaryFile()
+        self.spilled[prefix] = _spill_file()
         for key, rows in self.trie.items(subtree, prefix):
             for row in rows:
                 pickle.dump((key, row), self.spilled[prefix])
