@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format as _chat
+from . import conversation_repair as _repair
 from . import decontamination as _leaks
 from . import exact_dedup as _exact
+from . import fill_middle as _middle
 from . import license_scan as _license
 from . import mixing as _mixing
 from . import pii as _pii
@@ -17,6 +19,7 @@ from . import quality as _quality
 from . import simhash as _simhash
 from . import substring_dedup as _substring
 from . import token_counts as _tokens
+from . import url_filter as _urls
 from .common import read_table
 
 
@@ -129,8 +132,108 @@ SELECT s.doc_id, CAST(len(s.words) AS BIGINT) AS n_words, CAST(len(s.words) - co
 FROM split s LEFT JOIN kept k ON k.doc_id = s.doc_id
 """
 
+#: Host, path and verdict of the rules that op11 applies (fixed values).
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _urls.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+OP11_SQL = r"""
+WITH rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+urls AS (SELECT DISTINCT host, path FROM split),
+best AS (SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict FROM urls JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
+SELECT page_id, s.host, s.path, rule, coalesce(verdict, 'allow') AS verdict FROM split s LEFT JOIN best b ON s.host = b.host AND s.path = b.path
+"""
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _middle.fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+OP12_SQL = r"""
+WITH units AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM documents),
+planned AS (SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(units) + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (len(units) + 1) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 50 THEN 'plain'
+       WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM units),
+cut AS (SELECT doc_id, text, n, form, array_to_string(units[1:least(a, b)], '') AS prefix, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS middle, array_to_string(units[greatest(a, b) + 1:n], '') AS suffix FROM planned)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM cut
+"""
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """The rows of conversations (conv_id, turn, role, text; nulls of the last two are one space) with the faults that op13 repairs; `lost` rows are dropped ones."""
+    named = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"), (F.crc32(named.cast("binary")) % 20).cast("int").alias("harm"))
+    text = F.when(F.col("harm") == 1, "").when(F.col("harm") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = rows.select("conv_id", "turn", F.when(F.col("harm") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), (F.col("harm") == 0).alias("lost"), "harm")
+    return rows.withColumn("copy", F.explode(F.when(F.col("harm") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("harm", "copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _repair.repair(damaged(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), lost_col="lost")
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit(":"), t.text)), "\n")
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(told.cast("binary"), 256).alias("repaired_sha256"))
+
+
+def _op13_sql() -> str:
+    """The cheapest edits by recursion over a conversation's rows: for each state (0 nothing, 1 after a system turn, 2 a user's, 3 an assistant's) the least (cost, audit)."""
+    best = lambda *ways: f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))"
+    step = lambda c, more, letter, ok="true": f"CASE WHEN {c} IS NOT NULL AND {ok} THEN {{'cost': {c}.cost + {more}, 'audit': {c}.audit || '{letter}', 'told': {c}.told || {told[letter]}}} END"
+    told = {"D": "[]::VARCHAR[]", "K": "[r.role || ':' || r.text]"}
+    cut, stays = "CASE WHEN r.fault = 2 THEN 3 ELSE 0 END", "coalesce(r.fault, 9) >= 2"
+    moved = []
+    for state, sources, initial, spoken in ((0, (), "", ""), (1, (0,), "s", ""), (2, (0, 1, 3), "u", "user"), (3, (2,), "a", "assistant")):
+        ways = [step(f"d.s{state}", 4, "D")]
+        told["R"] = f"['{spoken}:' || r.text]"
+        for source in sources:
+            ways.append(step(f"d.s{source}", cut, "K", f"{stays} AND r.role[1:1] = '{initial}'"))
+            if spoken:
+                ways.append(step(f"d.s{source}", f"3 + {cut}", "R", stays))
+        moved.append(f"{best(*ways)} AS s{state}")
+    told |= {"I": "['user:']"}
+    first = f"s0, s1, {best('s2', step('s0', 3, 'I'), step('s1', 3, 'I'), step('s3', 3, 'I'))} AS s2, s3"
+    told |= {"I": "['assistant:']"}
+    second = f"s0, s1, s2, {best('s3', step('s2', 3, 'I'))} AS s3"
+    told |= {"I": "['user:']"}
+    third = f"s0, s1, {best('s2', step('s3', 3, 'I'))} AS s2, s3"
+    opened = lambda source: f"SELECT conv_id, place, {third} FROM (SELECT conv_id, place, {second} FROM (SELECT conv_id, place, {first} FROM ({source})))"
+    start = "{'cost': 0, 'audit': '', 'told': []::VARCHAR[]}"
+    none = "CAST(NULL AS STRUCT(cost INTEGER, audit VARCHAR, told VARCHAR[]))"
+    return f"""
+WITH RECURSIVE filled AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+hashed AS (SELECT *, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(name, ''), lambda c: list_transform(range(8), lambda k: (ascii(c) >> k::INTEGER)::BIGINT & 1)))),
+  lambda crc, bit: xor(crc >> 1, 3988292384 * (xor(crc, bit) & 1)))) % 20 AS harm FROM filled),
+harmed AS (SELECT conv_id, turn, CASE harm WHEN 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE harm WHEN 0 THEN []::INTEGER[] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM hashed),
+numbered AS (SELECT *, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS said, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS INTEGER) AS place,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again FROM harmed),
+marked AS (SELECT *, CASE WHEN said = '' THEN 0 WHEN again > 1 THEN 1 WHEN NOT regexp_matches(said[-1:], '[.!?]') THEN 2 END AS fault, lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY place) AS prior FROM numbered),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 0) AS blank, count(*) FILTER (fault = 1) AS duplicate, count(*) FILTER (fault = 2) AS truncated,
+  count(*) FILTER (prior || role[1:1] NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM marked GROUP BY conv_id),
+done AS (
+  {opened(f"SELECT conv_id, 0 AS place, {start} AS s0, {none} AS s1, {none} AS s2, {none} AS s3 FROM counted")}
+  UNION ALL
+  {opened(f"SELECT r.conv_id, r.place, {', '.join(moved)} FROM done d JOIN marked r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.place = d.place + 1")}
+), ended AS (SELECT d.conv_id, {best("s0", "s3")} AS best FROM done d JOIN counted c ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.n = d.place)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.told, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
+OP13_SQL = _op13_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_chat_format, op3_exact_dedup, op4_pii, op5_license_scan, op6_decontamination, op7_simhash, op8_mixing, op9_quality, op10_substring_dedup)
+    for f in (op1_token_counts, op2_chat_format, op3_exact_dedup, op4_pii, op5_license_scan, op6_decontamination, op7_simhash, op8_mixing, op9_quality, op10_substring_dedup, op11_url_filter, op12_fill_middle, op13_conversation_repair)
 }
-ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_chat_format": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op6_decontamination": OP6_SQL, "op10_substring_dedup": OP10_SQL, "op11_url_filter": OP11_SQL, "op12_fill_middle": OP12_SQL, "op13_conversation_repair": OP13_SQL}
