@@ -21,6 +21,8 @@ from quillgraph.llm.simhash import near_duplicates
 
 #: Below this probability of good quality a document goes.
 QUALITY_THRESHOLD = 0.5
+#: Benchmark items of fewer words are found by op6 but delete nothing: a few words in a row stand in many clean documents.
+LEAST_ITEM_WORDS = 13
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,16 +44,17 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     found = near_duplicates(docs.select("doc_id", "text"), 5, 0.8)
     gone = found.filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(F.col("gone_id")) & (text_hash(docs["text"]) == F.col("gone_hash"))
+    same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text_hash(docs["text"]) == gone["gone_hash"])
     return docs.join(gone, same, "left_anti")
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a stretch of a benchmark item go, each by its own text: other texts of its id stay."""
+    """Rows that hold a stretch of a benchmark item of LEAST_ITEM_WORDS words or more go, each by its own text: other texts of its id stay."""
     items = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
     row = F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
-    gone = contaminated(docs.select(row.alias("doc_id"), "text"), items).select(F.col("doc_id").alias("gone_row")).distinct()
-    return docs.join(gone, row == F.col("gone_row"), "left_anti")
+    found = contaminated(docs.select(row.alias("doc_id"), "text"), items)
+    gone = found.filter(F.col("item_words") >= LEAST_ITEM_WORDS).select(F.col("doc_id").alias("gone_row"))
+    return docs.join(gone, row == gone["gone_row"], "left_anti")
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

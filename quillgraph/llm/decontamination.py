@@ -17,9 +17,9 @@ from .common import materialize
 #: Kept positions. However two of 13 consecutive words are substituted, the mask fits between them at one of its six
 #: places in the 13 words (a test enumerates all 78 pairs); no single mask of weight 6 does that.
 MASKS = ((0, 1, 3, 6, 7),)
-#: Seeds of the benchmark that may be broadcast; beyond, both sides are shuffled by seed.
-BROADCAST_SEEDS = 1_000_000
-#: Alignments of documents with items that may be broadcast to the second pass; beyond, texts are shuffled to meet them.
+#: Seeds of the benchmark, with some 200 bytes of words beside each, that may be broadcast; beyond, both sides are shuffled by seed.
+BROADCAST_SEEDS = 100_000
+#: Places in documents that a seed hits, as many as may be broadcast to the second pass; beyond, texts are shuffled to meet them.
 BROADCAST_HITS = 200_000
 
 
@@ -65,46 +65,62 @@ def _seeded(tokens: DataFrame, keep: list[str], masks: list[tuple[int, ...]]) ->
     return listed.select(*keep, "seed", at.alias("at"))
 
 
+def _sought(items: DataFrame, mask: tuple[int, ...], brief: list[int], reach: range) -> DataFrame:
+    """(seed, beside, short, place, item_id, n): the distinct surroundings of the items' seeds, so passages that many items share are one row.
+
+    beside: tokens at the seed's place + reach, null beyond the item; place: the seed's, of items that must match whole (short), else 0.
+    """
+    n, span = F.size("tokens"), max(mask) + 1
+    parts = [items.filter(n >= span).select("item_id", "tokens", "short", F.explode(F.sequence(F.lit(0), n - span)).alias("i")).withColumn("seed", _seed(mask)(F.col("i")))]
+    parts += [items.filter(n == size).select("item_id", "tokens", "short", F.lit(0).alias("i")).withColumn("seed", _seed(tuple(range(size)))(F.col("i"))) for size in brief]
+    seeds = parts[0]
+    for part in parts[1:]:
+        seeds = seeds.unionByName(part)
+    beside = F.transform(F.array(*map(F.lit, reach)), lambda k: F.get("tokens", F.col("i") + k))
+    seeds = seeds.select("seed", beside.alias("beside"), "short", F.when(F.col("short"), F.col("i")).otherwise(0).alias("place"), "item_id", n.alias("n"))
+    return seeds.groupBy("seed", "beside", "short", "place").agg(F.min("item_id").alias("item_id"), F.max("n").alias("n"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
-    """(doc_id, item_id, doc_word, matched, overlap): a row for each document and item that it holds a stretch of.
-
-    A stretch counts if, of min_words consecutive positions laid against the item, at least min_share
-    hold the same token. doc_word is where the item's first aligned word lies, overlap the aligned
-    positions, matched the equal ones; of several alignments the one with most matches (then the first)
-    is reported. Items shorter than min_words count where all their words stand in a row. Null texts
-    have no words; items without words and rows without an id are never reported; rows that repeat
-    an id count as one document. Documents move only where the hits are too many to be broadcast.
+    """(doc_id, stretches, first_word, last_word, item_id, item_words): a row per document that holds a stretch of an item.
+
+    A stretch is min_words consecutive words of which at least min_share are, place by place, those of
+    min_words consecutive words of an item; of an item shorter than that, all its words in a row.
+    stretches counts the words (from 0) where one begins, first_word and last_word are the least and the
+    greatest of these, item_id is the smallest of the items they were found in, item_words the length of the longest: a
+    caller that deletes documents can ask for items of some length. Null texts have no words; items without words or
+    id and rows without an id are left out; rows that repeat an id count as one document. Passages that items
+    share are sought once, so rows follow the documents' words, whatever the number of items.
+    Documents move only where the hits are too many to be broadcast.
     """
     least = math.ceil(min_share * min_words - 1e-9)
     mask = seed_mask(min_words, min_words - least)
+    before = min_words - max(mask) - 1
+    reach = range(-before, min_words)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0).filter("item_id IS NOT NULL")
+    items = items.withColumn("short", F.size("tokens") < min_words)
     # Items that the mask doesn't fit in are sought by all their words; documents get seeds of those lengths that occur.
     brief = sorted(r.n for r in items.filter(F.size("tokens") <= max(mask)).select(F.size("tokens").alias("n")).distinct().collect())
-    masks = [mask, *(tuple(range(n)) for n in brief)]
-    wanted = _seeded(items.filter(F.size("tokens") > max(mask)), ["item_id"], masks[:1])
-    for n, whole in zip(brief, masks[1:], strict=True):
-        wanted = wanted.unionByName(_seeded(items.filter(F.size("tokens") == n), ["item_id"], [whole]))
-    wanted = wanted.withColumnRenamed("at", "item_at").join(items.select("item_id", F.size("tokens").alias("n")), "item_id")
-    if wanted.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
-        wanted = F.broadcast(wanted)
+    sought = materialize(_sought(items, mask, brief, reach), "sought")
+    few = sought.count() <= broadcast_seeds
+    seeds = sought.select("seed").distinct()
     texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokens = texts.select("doc_id", token_hashes(F.col("text")).alias("tokens"))
-    hits = _seeded(tokens, ["doc_id"], masks).join(wanted, "seed").select("doc_id", "item_id", "n", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    met = materialize(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "n", "shift")).alias("met")), "hits")
+    listed = _seeded(texts.select("doc_id", token_hashes(F.col("text")).alias("tokens")), ["doc_id"], [mask, *(tuple(range(n)) for n in brief)])
+    hits = listed.join(F.broadcast(seeds) if few else seeds, "seed", "left_semi")
+    met = materialize(hits.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "at")).alias("met")), "hits")
     if met.agg(F.coalesce(F.sum(F.size("met")), F.lit(0))).first()[0] <= broadcast_hits:
         met = F.broadcast(met)
-    # Of a document's words only those beside the item go with each alignment.
-    begin = lambda m: F.greatest(F.lit(0), m.shift)
-    beside = lambda m: F.slice("tokens", begin(m) + 1, F.greatest(F.lit(0), F.least(F.size("tokens"), m.shift + m.n) - begin(m)))
+    # Of a document's words only those beside a seed go on with it.
+    words = lambda m: F.transform(F.array(*map(F.lit, reach)), lambda k: F.get("tokens", m.at + k))
     laid = texts.join(met, "doc_id").select("doc_id", "met", token_hashes(F.col("text")).alias("tokens"))
-    laid = laid.select("doc_id", F.explode(F.transform("met", lambda m: F.struct(m.item_id.alias("item_id"), m.shift.alias("shift"), begin(m).alias("first"), beside(m).alias("words")))).alias("m")).select("doc_id", "m.*")
-    laid = laid.join(items.withColumnRenamed("tokens", "item"), "item_id")
-    window = F.least(F.lit(min_words), F.size("item"))
-    laid = laid.filter(F.size("words") >= window).withColumn("same", F.transform("words", lambda w, k: (w == F.get("item", k + F.col("first") - F.col("shift"))).cast("int")))
-    windows = F.sequence(F.lit(1), F.size("same") - (window - 1))
-    most = F.array_max(F.transform(windows, lambda s: F.aggregate(F.slice("same", s, window), F.lit(0), lambda a, x: a + x)))
-    needed = F.when(F.size("item") < min_words, F.size("item")).otherwise(F.lit(least))
-    sums = laid.select("doc_id", "item_id", F.col("first").cast("long").alias("doc_word"), F.aggregate("same", F.lit(0), lambda a, x: a + x).cast("long").alias("matched"), F.size("same").cast("long").alias("overlap"), (most >= needed).alias("close"))
-    best = F.max(F.struct("matched", (-F.col("doc_word")).alias("back"), "overlap"))
-    found = sums.filter("close").groupBy("doc_id", "item_id").agg(best.alias("b"))
-    return found.select("doc_id", "item_id", (-F.col("b.back")).alias("doc_word"), "b.matched", "b.overlap")
+    laid = laid.select("doc_id", F.explode(F.transform("met", lambda m: F.struct(m.seed.alias("seed"), m.at.alias("at"), words(m).alias("words")))).alias("m")).select("doc_id", "m.*")
+    laid = laid.join(F.broadcast(sought) if few else sought, "seed")
+    same = F.transform("beside", lambda w, k: F.coalesce((w == F.get("words", k)).cast("int"), F.lit(0)))
+    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    full = lambda c, o: F.forall(F.slice(c, o + 1, F.lit(min_words)), lambda w: w.isNotNull())
+    inside = lambda o: full("beside", o) & full("words", o) & (total(F.slice("same", o + 1, F.lit(min_words))) >= least)
+    whole = F.when(total("same") == F.col("n"), F.array(F.lit(before) - F.col("place"))).otherwise(F.array().cast("array<int>"))
+    begins = F.when(F.col("short"), whole).otherwise(F.filter(F.sequence(F.lit(0), F.lit(before)), inside))
+    found = laid.withColumn("same", same).select("doc_id", "at", "item_id", "n", F.explode(begins).alias("o"))
+    found = found.groupBy("doc_id", (F.col("at") + F.col("o") - before).cast("long").alias("word")).agg(F.min("item_id").alias("item_id"), F.max("n").alias("n"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("stretches"), F.min("word").alias("first_word"), F.max("word").alias("last_word"), F.min("item_id").alias("item_id"), F.max("n").cast("long").alias("item_words"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format as _chat
@@ -69,9 +69,12 @@ FROM n WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id)
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _pii.find_pii(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    count = lambda k: F.size(F.filter("base", lambda s: s.kind_no == k)).cast("long").alias(f"n_{_pii.KINDS[k]}")
-    more = [F.size(F.filter("spans", lambda s, k=k: s.kind_no == k)).cast("long").alias(f"n_{_pii.KINDS[k]}") for k in range(4, len(_pii.KINDS))]
-    return found.select("doc_id", *map(count, range(4)), *more, F.size("spans").cast("long").alias("n_spans"), F.sha2(_pii.as_text("base").cast("binary"), 256).alias("base_sha256"), _pii.as_text("spans").alias("spans"))
+
+    def count(k: int) -> Column:
+        """Spans of a kind: the base ones of base kinds, all that the method found of the others."""
+        return F.size(F.filter("base" if k < 4 else "spans", lambda s: s.kind_no == k)).cast("long").alias(f"n_{_pii.KINDS[k]}")
+
+    return found.select("doc_id", *map(count, range(len(_pii.KINDS))), F.size("spans").cast("long").alias("n_spans"), F.sha2(_pii.as_text("base").cast("binary"), 256).alias("base_sha256"), _pii.as_text("spans").alias("spans"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,13 +92,11 @@ i AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''
 dw AS (SELECT doc_id, unnest(range(len(words))) AS place, unnest(words) AS word FROM d),
 iw AS (SELECT item_id, len(words) AS n, unnest(range(len(words))) AS place, unnest(words) AS word FROM i),
 shifts AS (SELECT doc_id, item_id, dw.place - iw.place AS shift FROM dw JOIN iw USING (word) GROUP BY ALL HAVING count(*) >= least(11, any_value(n))),
-laid AS (SELECT doc_id, item_id, least(13, len(i.words)) AS span, CASE WHEN len(i.words) < 13 THEN len(i.words) ELSE 11 END AS needed, greatest(0, shift) AS first,
+laid AS (SELECT doc_id, item_id, len(i.words) AS n, least(13, len(i.words)) AS span, CASE WHEN len(i.words) < 13 THEN len(i.words) ELSE 11 END AS needed, greatest(0, shift) AS first,
   list_transform(range(greatest(0, shift), least(len(d.words), shift + len(i.words))), lambda k: CASE WHEN d.words[k + 1] = i.words[k - shift + 1] THEN 1 ELSE 0 END) AS same
   FROM shifts JOIN d USING (doc_id) JOIN i USING (item_id)),
-good AS (SELECT doc_id, item_id, first, list_sum(same) AS matched, len(same) AS overlap FROM laid
-  WHERE len(same) >= span AND list_max(list_transform(range(1, len(same) - span + 2), lambda s: list_sum(same[s:s + span - 1]))) >= needed)
-SELECT doc_id, item_id, CAST(first AS BIGINT) AS doc_word, CAST(matched AS BIGINT) AS matched, CAST(overlap AS BIGINT) AS overlap
-FROM good QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY matched DESC, first, overlap DESC) = 1
+good AS (SELECT doc_id, item_id, n, unnest(list_transform(list_filter(range(1, len(same) - span + 2), lambda s: list_sum(same[s:s + span - 1]) >= needed), lambda s: first + s - 1)) AS word FROM laid WHERE len(same) >= span)
+SELECT doc_id, count(DISTINCT word) AS stretches, CAST(min(word) AS BIGINT) AS first_word, CAST(max(word) AS BIGINT) AS last_word, min(item_id) AS item_id, CAST(max(n) AS BIGINT) AS item_words FROM good GROUP BY doc_id
 """
 
 
