@@ -30,7 +30,7 @@ _BIG_ENDIAN = ">u8"  # of words in binary columns, so that hex() prints them
 PIECE = 8192
 #: Links that one task's union-find may know before it starts afresh.
 FOREST_NODES = 500_000
-#: Fingerprints of one bucket that a task takes; larger buckets are split by further blocks.
+#: Fingerprints of one bucket that a task takes; larger buckets are dealt to pieces that meet two by two.
 BUCKET_ROWS = 1 << 17
 #: Documents, and shingles, of one tree of proposals that a task compares; larger trees are dealt to several tasks.
 CHUNK_NODES, CHUNK_SHINGLES = 512, 1 << 19
@@ -234,43 +234,28 @@ def _linked(layout: Layout, split: bool):
                 forest = Forest()
             return [x for x in out if forest.join(*x)]
 
-        heads: tuple | None = None
-        for parts, cut in runs(batches, BUCKET_ROWS):
-            if cut and split:
+        for parts, cut in runs(batches, BUCKET_ROWS if split else 1 << 62):
+            if cut:
                 for part in parts:
                     yield pa.RecordBatch.from_arrays([part.column(1), part.column(0), part.column(2)], names=["a", "b", "fp"])
                 continue
-            keys, ids, fps = (np.concatenate(x) for x in zip(*((p.column(0).to_numpy(), p.column(1).to_numpy(), _as_words(p.column(2))) for p in parts), strict=True))
-            if cut:  # a piece of a bucket that no further block splits meets the first of each tree of the pieces before
-                if heads is not None and heads[0][0] == keys[0]:
-                    keys, ids, fps = (np.concatenate(x) for x in zip(heads, (keys, ids, fps), strict=True))
-                found = links(keys, ids, fps)
-                own = np.flatnonzero([forest.find(i) == i for i in ids.tolist()])
-                heads = keys[own], ids[own], fps[own]
-            else:
-                found = links(keys, ids, fps)
+            found = links(*(np.concatenate(x) for x in zip(*((p.column(0).to_numpy(), p.column(1).to_numpy(), _as_words(p.column(2))) for p in parts), strict=True)))
             if found:
                 yield _link_table(found)
 
     return run
 
 
-def _finer(layout: Layout, recall: float = 0.99):
-    """Rows (id, key, fp) of large buckets -> (key, id, fp) with keys of the bucket and one of several further blocks each."""
-    width = 8
-    same = (1 - layout.max_bits / (64 * layout.verify)) ** width
-    blocks = min(8 * layout.verify, math.ceil(math.log(1 - recall) / math.log(1 - same)))
+def _pairs_of_pieces(large: DataFrame) -> DataFrame:
+    """Rows (id, key, fp) of large buckets -> (key, id, fp) with a key for each two pieces of a bucket, so that any two of its rows meet.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                values = _as_words(part.column(2)).view(np.uint8)[:, :blocks].astype(np.uint64) | (np.arange(1, blocks + 1, dtype=np.uint64) << np.uint64(8))
-                keys = mix64(mix64(part.column(1).to_numpy().view(np.uint64))[:, None] ^ mix64(values)).view(np.int64)
-                again = pa.array(np.repeat(np.arange(part.num_rows), blocks))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column(0).take(again), part.column(2).take(again)], names=["key", "id", "fp"])
-
-    return run
+    A bucket of n rows is dealt to p = n / BUCKET_ROWS pieces, and a row goes with each of them: no task holds more than about two pieces, no pair is lost.
+    """
+    sizes = large.groupBy("b").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("long").alias("pieces"))
+    own = F.pmod(F.xxhash64("a"), F.col("pieces"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("pieces") - 1, F.lit(0))))
+    dealt = large.join(sizes, "b").select(F.col("b").alias("bucket"), F.col("a").alias("id"), "fp", own.alias("own"), other.alias("other"))
+    return dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "fp")
 
 
 def _merged_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,8 +272,8 @@ def _merged_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def link_fingerprints(reps: DataFrame, layout: Layout) -> DataFrame:
     """Distinct fingerprints (doc_id, fp) -> links (a, b) that connect all that are close and share a block.
 
-    A bucket of more than BUCKET_ROWS fingerprints, which only the wide layout can have, goes through
-    a second keyed pass on further blocks, so no task holds it whole.
+    A bucket of more than BUCKET_ROWS fingerprints, which only the wide layout can have, is dealt to
+    pieces of which every two meet in a task, so no task holds it whole and no pair of it is missed.
     """
     schema = "a long, b long, fp binary"
     keyed = reps.filter("doc_id IS NOT NULL").select("doc_id", "fp").mapInArrow(_keyed(layout), "key long, id long, fp binary")
@@ -299,7 +284,7 @@ def link_fingerprints(reps: DataFrame, layout: Layout) -> DataFrame:
     linked = materialize(linked, "proposed")
     links, large = linked.filter("fp IS NULL").select("a", "b"), linked.filter("fp IS NOT NULL")
     if not large.isEmpty():
-        again = large.mapInArrow(_finer(layout), "key long, id long, fp binary").repartition("key").sortWithinPartitions("key")
+        again = _pairs_of_pieces(large).repartition("key").sortWithinPartitions("key")
         links = links.unionByName(again.mapInArrow(_linked(layout, False), schema).select("a", "b"))
     few = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 16)
     return links.repartition(few).mapInArrow(_merged_forests, "a long, b long")

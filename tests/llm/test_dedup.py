@@ -1,6 +1,7 @@
 """Exact dedup, SimHash and substring dedup against brute force."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import defaultdict
@@ -251,9 +252,38 @@ def test_large_trees_and_buckets_are_split(spark, monkeypatch):
     monkeypatch.setattr(sh, "CHUNK_NODES", 24)
     found = {r.doc_id: r.component_id for r in sh.near_duplicates(frame(spark, rows)).collect()}
     assert sum(found[k] == want[k] for k in want) >= 297
+    whole = found
     monkeypatch.setattr(sh, "BUCKET_ROWS", 16)
     found = {r.doc_id: r.component_id for r in sh.near_duplicates(frame(spark, rows)).collect()}
-    assert sum(found[k] == want[k] for k in want) >= 290
+    assert found == whole
+
+
+def test_split_buckets_lose_no_link(spark, monkeypatch):
+    """A chain of fingerprints, each close to the next alone, in one bucket: components are those of all pairs, however small the pieces."""
+    layout = sh.Layout(1, 1, 3, 8, 1)  # one key: the first byte, equal for all
+    rng = random.Random(2)
+    fps = [0]
+    for _ in range(399):
+        bits = rng.sample(range(8, 64), rng.choice([2, 3, 3, 9]))
+        fps.append(fps[-1] ^ sum(1 << b for b in bits))
+    rng.shuffle(fps)
+    reps = spark.createDataFrame([(k, fp.to_bytes(8, "big")) for k, fp in enumerate(fps)], "doc_id long, fp binary").repartition(5)
+    parent = list(range(len(fps)))
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in itertools.combinations(range(len(fps)), 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 3:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = {k: root(k) for k in range(len(fps))}
+    assert 20 < len(set(want.values())) < 200
+    for most in (1 << 17, 64, 16, 3):
+        monkeypatch.setattr(sh, "BUCKET_ROWS", most)
+        found = {r.node: r.component for r in connected_components(sh.link_fingerprints(reps, layout)).collect()}
+        assert {k: found.get(k, k) for k in want} == want, most
 
 
 def test_confirmed_links_are_those_of_all_pairs(spark, monkeypatch):
