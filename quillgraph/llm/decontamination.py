@@ -19,8 +19,8 @@ from .common import materialize
 MASKS = ((0, 1, 3, 6, 7),)
 #: Seeds of the benchmark, with some 200 bytes of words beside each, that may be broadcast; beyond, both sides are shuffled by seed.
 BROADCAST_SEEDS = 100_000
-#: Places in documents that a seed hits, as many as may be broadcast to the second pass; beyond, texts are shuffled to meet them.
-BROADCAST_HITS = 200_000
+#: Documents with a hit, of which as many ids may be broadcast to fetch their texts; beyond, all texts are shuffled to meet the hits.
+BROADCAST_DOCS = 1_000_000
 
 
 def token_hashes(text: Column) -> Column:
@@ -81,7 +81,7 @@ def _sought(items: DataFrame, mask: tuple[int, ...], brief: list[int], reach: ra
     return seeds.groupBy("seed", "beside", "short", "place").agg(F.min("item_id").alias("item_id"), F.max("n").alias("n"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_docs: int = BROADCAST_DOCS) -> DataFrame:
     """(doc_id, stretches, first_word, last_word, item_id, item_words): a row per document that holds a stretch of an item.
 
     A stretch is min_words consecutive words of which at least min_share are, place by place, those of
@@ -91,7 +91,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     caller that deletes documents can ask for items of some length. Null texts have no words; items without words or
     id and rows without an id are left out; rows that repeat an id count as one document. Passages that items
     share are sought once, so rows follow the documents' words, whatever the number of items.
-    Documents move only where the hits are too many to be broadcast.
+    Documents without a hit move only where those with one are too many for their ids to be broadcast.
     """
     least = math.ceil(min_share * min_words - 1e-9)
     mask = seed_mask(min_words, min_words - least)
@@ -108,8 +108,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     listed = _seeded(texts.select("doc_id", token_hashes(F.col("text")).alias("tokens")), ["doc_id"], [mask, *(tuple(range(n)) for n in brief)])
     hits = listed.join(F.broadcast(seeds) if few else seeds, "seed", "left_semi")
     met = materialize(hits.groupBy("doc_id").agg(F.collect_list(F.struct("seed", "at")).alias("met")), "hits")
-    if met.agg(F.coalesce(F.sum(F.size("met")), F.lit(0))).first()[0] <= broadcast_hits:
-        met = F.broadcast(met)
+    if met.count() <= broadcast_docs:
+        texts = texts.join(F.broadcast(met.select("doc_id")), "doc_id", "left_semi")
     # Of a document's words only those beside a seed go on with it.
     words = lambda m: F.transform(F.array(*map(F.lit, reach)), lambda k: F.get("tokens", m.at + k))
     laid = texts.join(met, "doc_id").select("doc_id", "met", token_hashes(F.col("text")).alias("tokens"))

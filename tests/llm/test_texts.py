@@ -332,8 +332,8 @@ def test_leaks_equal_brute_force(spark, sf):
     items += [(None, "x"), (50, None), (51, "too short"), (52, items[0][1]), (53, "zzz"), (54, "yes " * 40)]
     rows += [(2000, "this is too short a text"), (2001, "no " * 9 + "yes " * 3000), (2002, "yes " * 8)]
     benchmark = spark.createDataFrame([(*i, 1, "x") for i in items], "item_id long, text string, seed int, beside string")
-    for seeds, hits in ((dc.BROADCAST_SEEDS, dc.BROADCAST_HITS), (0, 0)):
-        found = dc.contaminated(frame(spark, rows), benchmark, broadcast_seeds=seeds, broadcast_hits=hits).collect()
+    for seeds, ids in ((dc.BROADCAST_SEEDS, dc.BROADCAST_DOCS), (0, 0)):
+        found = dc.contaminated(frame(spark, rows), benchmark, broadcast_seeds=seeds, broadcast_docs=ids).collect()
         assert {r.doc_id: tuple(r)[1:] for r in found} == brute_leaks(rows, items)
         assert len(found) == len({r.doc_id for r in found})
     assert dc.contaminated(frame(spark, []), benchmark).count() == 0
