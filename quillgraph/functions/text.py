@@ -151,17 +151,56 @@ def contains_any(c: Column, keywords: list[str]) -> Column:
     return F.exists(F.array(*map(F.lit, keywords)), lambda k: F.contains(low, k)) if keywords else F.lit(False)
 
 
+#: What a method body is searched for (fixed values).
+BODY_PATTERNS = {
+    "null_checks": r"if\s*\(([\w.]+)\s*==\s*null",
+    "required": r"requireNonNull\(([\w.]+)",
+    "thrown": r"throw\s+new\s+(\w+Exception)\s*\(",
+    "saves": r"\.(save|persist|saveAndFlush|saveAll)\s*\(",
+    "finds": r"\.(findById|findBy|findAll|getById|getReferenceById)\s*\(",
+    "deletes": r"\.(delete|remove|deleteById|deleteAll)\s*\(",
+}
+
+
 def body_features(c: Column) -> dict[str, Column]:
-    """What a method body shows: compared with null, required non-null, thrown types, stored, read or deleted things."""
-    found = lambda pattern: F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), 1))
-    return {
-        "null_checks": found(r"(\w+)\s*==\s*null"),
-        "required": found(r"requireNonNull\(\s*(\w+)"),
-        "thrown": found(r"throw\s+new\s+(\w+)"),
-        "saves": found(r"\.(save\w*)\("),
-        "finds": found(r"\.(find\w*)\("),
-        "deletes": found(r"\.(delete\w*)\("),
-    }
+    """What a method body shows, each once in order of appearance: compared with null in an `if`, required non-null, thrown exceptions, calls that store, read or delete."""
+    return {name: F.array_distinct(F.regexp_extract_all(c, F.lit(pattern), 1)) for name, pattern in BODY_PATTERNS.items()}
+
+
+def body_scenario(command: Column, body: Column) -> Column:
+    """struct<given, when, then> of a command's method body; null where the body is missing, or shows neither conditions nor outcomes.
+
+    What is compared with null and also required counts once, as compared.
+    """
+    found = body_features(body)
+    texts = lambda words, before, after: F.transform(words, lambda w: F.concat(F.lit(before), w, F.lit(after)))
+    one = lambda words, text: F.when(F.size(words) > 0, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
+    provided = texts(found["null_checks"], "Given ", " is provided")
+    required = texts(F.array_except(found["required"], found["null_checks"]), "Given ", " is not null")
+    given = F.concat(provided, required, one(found["finds"], "Given the record exists in the repository"))
+    then = F.concat(texts(found["thrown"], "Then throws ", ""), one(found["saves"], "Then the record is persisted"), one(found["deletes"], "Then the record is removed"))
+    done = F.when(F.size(then) > 0, then).otherwise(F.array(F.lit("Then the operation completes successfully")))
+    when = F.array(F.concat(F.lit("When "), command, F.lit(" is invoked")))
+    some = ~blank(body) & (body != "null") & ((F.size(given) > 0) | (F.size(then) > 0))
+    return F.when(some, F.struct(given.alias("given"), when.alias("when"), done.alias("then")))
+
+
+_CHUNK = 256
+
+
+def carried(marks: Column, kind: str = "string") -> Column:
+    """For each place of an array the last non-null mark on an earlier place.
+
+    A fold inside the row. It goes in chunks: the last mark of each chunk is carried to the next, and each chunk is folded
+    by itself, so the copies that appending makes stay short whatever the length.
+    """
+    size = F.greatest(F.ceil(F.size(marks) / _CHUNK).cast("int"), F.lit(1))
+    chunks = F.transform(F.sequence(F.lit(0), size - 1), lambda k: F.slice(marks, k * _CHUNK + 1, F.lit(_CHUNK)))
+    state = lambda at: F.struct(at.cast(kind).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
+    step = lambda acc, m: F.struct(F.coalesce(m, acc.at).alias("at"), F.array_append(acc.out, acc.at).alias("out"))
+    lasts = F.transform(chunks, lambda ch: F.try_element_at(F.filter(ch, lambda m: m.isNotNull()), F.lit(-1)))
+    before = F.aggregate(lasts, state(F.lit(None)), step, lambda acc: acc.out)
+    return F.flatten(F.transform(F.arrays_zip(chunks.alias("marks"), before.alias("before")), lambda x: F.aggregate(x["marks"], state(x["before"]), step, lambda acc: acc.out)))
 
 
 def annotation_values(annotations: Column, name: str, attribute: str) -> Column:

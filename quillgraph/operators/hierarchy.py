@@ -1,7 +1,8 @@
 """Trees as (id, parent) tables of any depth: roll-ups, ancestors, visible parts.
 
 Pointers double: after k rounds a node knows its ancestor 2**k above, so a tree of depth d takes
-log2(d) rounds. Each round's pointers are a table in the shared folder.
+log2(d) rounds. Each round's tables are stored in the shared folder, so plans stay as short as one
+round, and every table has at most a row per node.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import written
+from .numbering import running
 
 #: Rounds after which a chain is longer than any table: it runs in a circle.
 MOST_ROUNDS = 40
@@ -31,65 +33,94 @@ def _jumps(nodes: DataFrame) -> list[DataFrame]:
         step = step.join(step.select(F.col("id").alias("up"), F.col("up").alias("over")), "up").select("id", F.col("over").alias("up"))
 
 
-def hierarchical_rollup(nodes: DataFrame, measures: DataFrame, root_counts_itself: bool = True) -> DataFrame:
-    """Each node's measures added to itself and to every ancestor: (id, measures...), a row per node.
+def _rolled_up(total: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+    """(id, measures...) of nodes below or at each node, summed; only nodes that something reaches.
 
     In each round a node adds what it has gathered from 2**k levels to its ancestor 2**k above; sums combine before the shuffle.
     """
+    names = [c for c in total.columns if c != "id"]
+    for jump in jumps:
+        total = written(total, "total")
+        total = total.unionByName(total.join(jump, "id").select(F.col("up").alias("id"), *names)).groupBy("id").agg(*(F.sum(n).alias(n) for n in names))
+    return total
+
+
+def hierarchical_rollup(nodes: DataFrame, measures: DataFrame, root_counts_itself: bool = True) -> DataFrame:
+    """Each node's measures added to itself and to every ancestor: (id, measures...), a row per node."""
     names = [c for c in measures.columns if c != "id"]
-    sums = [F.sum(n).alias(n) for n in names]
-    total = measures.groupBy("id").agg(*sums)
+    total = measures.groupBy("id").agg(*(F.sum(n).alias(n) for n in names))
     if not root_counts_itself:
         total = total.join(nodes.filter("parent IS NULL").select("id"), "id", "left_anti")
-    for jump in _jumps(nodes):
-        total = total.unionByName(total.join(jump, "id").select(F.col("up").alias("id"), *names)).groupBy("id").agg(*sums)
+    total = _rolled_up(total, _jumps(nodes))
     return nodes.select("id").join(total, "id", "left").select("id", *(F.coalesce(n, F.lit(0)).alias(n) for n in names))
 
 
-def ancestors(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(id, ancestor, distance): the chain above each chosen id, nearest first. Ids that are unknown have none."""
-    reached = chosen.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
-    for k, jump in enumerate(_jumps(nodes)):
-        over = jump.select(F.col("id").alias("ancestor"), "up")
-        reached = reached.unionByName(reached.join(over, "ancestor").select("id", F.col("up").alias("ancestor"), (F.col("distance") + 2**k).alias("distance")))
-    return reached.filter("distance > 0")
+def _holding(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(id, n, own): nodes with chosen ids at or below them, how many, and how many are the node itself. Unknown ids are left out."""
+    marks = chosen.select("id").distinct().join(nodes.select("id").distinct(), "id", "left_semi").select("id", F.lit(1).alias("n"), F.lit(1).alias("own"))
+    jumps = _jumps(nodes)
+    below = _rolled_up(marks.select("id", "n"), jumps)
+    return below.join(marks.select("id", "own"), "id", "left").select("id", "n", F.coalesce("own", F.lit(0)).alias("own"))
 
 
 def expand_ancestors(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """Distinct ancestors to open so that the chosen ids show; the root is open anyway."""
-    inner = nodes.filter("parent IS NOT NULL").select(F.col("id").alias("ancestor"))
-    return ancestors(nodes, chosen).select("ancestor").distinct().join(inner, "ancestor", "left_semi").select(F.col("ancestor").alias("id"))
+    inner = nodes.filter("parent IS NOT NULL").select("id")
+    return _holding(nodes, chosen).filter("n > own").select("id").join(inner, "id", "left_semi")
 
 
 def neighborhood(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """A node, all above it and its direct children."""
-    children = nodes.join(chosen.select(F.col("id").alias("parent")), "parent", "left_semi").select("id")
-    known = nodes.join(chosen, "id", "left_semi").select("id")
-    above = ancestors(nodes, chosen).select(F.col("ancestor").alias("id"))
-    return known.unionByName(above).unionByName(children).distinct()
+    children = nodes.join(chosen.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi").select("id")
+    return _holding(nodes, chosen).select("id").unionByName(children).distinct()
+
+
+def _shown(nodes: DataFrame, expanded: DataFrame) -> DataFrame:
+    """(id, level) of nodes whose ancestors are all open and end at a root: each round a node takes over what its pointer's target knows."""
+    opened = expanded.select(F.col("id").alias("parent"), F.lit(True).alias("opened")).distinct()
+    roots = nodes.filter("parent IS NULL").select(F.col("id").alias("parent"), F.lit(True).alias("root"))
+    state = nodes.select("id", "parent").join(opened, "parent", "left").join(roots, "parent", "left")
+    # up: the node that has to be asked next, null once all is known; ok: whether what lies between is open
+    known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known")).distinct()
+    state = state.join(known, "parent", "left").select(
+        "id", F.when(F.col("known"), F.col("parent")).alias("up"), (F.col("parent").isNull() | (F.coalesce("known", F.lit(False)) & (F.coalesce("opened", F.lit(False)) | F.coalesce("root", F.lit(False))))).alias("ok"),
+        F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("level"),
+    )
+    for done in range(MOST_ROUNDS):
+        state = written(state, "shown")
+        size = state.agg(F.count("*").alias("n"), F.count("up").alias("open")).first()
+        if not size.open:
+            return state.filter("ok").select("id", "level")
+        if done > size.n.bit_length():
+            break
+        asked = state.select(F.col("id").alias("up"), F.col("up").alias("over"), F.col("ok").alias("rest"), F.col("level").alias("more"))
+        after = state.filter("up IS NOT NULL").join(asked, "up").select("id", F.col("over").alias("up"), (F.col("ok") & F.col("rest")).alias("ok"), (F.col("level") + F.col("more")).alias("level"))
+        state = state.filter("up IS NULL").unionByName(after)
+    raise ValueError("parents run in a circle")
 
 
 def visible_tree(nodes: DataFrame, expanded: DataFrame) -> DataFrame:
-    """(id, level, place): nodes all of whose ancestors are expanded (the root always is), in depth-first order of `ordinal`.
+    """(id, level, place): nodes all of whose ancestors are expanded (the root always is), numbered from 0 in depth-first order of (ordinal, id).
 
-    place is the path of ordinals from the root as fixed-width text; sorting by it is the walk's order. Nodes under an unknown parent don't show.
+    A node's place is that of its parent, and one more, and the sizes of the visible subtrees of the siblings before it; the
+    sizes roll up, and the sums run along the ancestors by pointer doubling. Nodes under an unknown parent don't show; ids are unique.
     """
-    opened = nodes.join(expanded.select("id").distinct().withColumn("is_open", F.lit(True)), "id", "left")
-    opened = opened.select(F.col("id").alias("ancestor"), F.lpad(F.col("ordinal").cast("string"), 12, "0").alias("step"), F.col("parent").isNull().alias("top"), (F.col("parent").isNull() | F.coalesce("is_open", F.lit(False))).alias("is_open"))
-    chain = ancestors(nodes, nodes).unionByName(nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))).join(opened, "ancestor")
-    steps = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("distance")).alias("at"), "step"))), lambda x: x["step"])
-    shown = chain.groupBy("id").agg(F.max("distance").alias("level"), F.array_join(steps, "/").alias("place"), F.bool_and(F.col("is_open") | (F.col("distance") == 0)).alias("shown"), F.bool_or("top").alias("rooted"))
-    return shown.filter("shown AND rooted").select("id", "level", "place")
+    seen = written(nodes.select("id", "parent", "ordinal").join(_shown(nodes, expanded), "id"), "seen")
+    jumps = _jumps(seen)
+    sizes = _rolled_up(seen.select("id", F.lit(1).cast("long").alias("size")), jumps)
+    offsets = running(seen.join(sizes, "id"), ["parent"], ["ordinal", "id"], "before", F.col("size"))
+    place = offsets.select("id", (F.col("before") + F.when(F.col("parent").isNull(), 0).otherwise(1)).alias("place"))
+    for jump in jumps:  # of each node: the sum over itself and its ancestors less than 2**k above
+        place = written(place, "place")
+        above = place.select(F.col("id").alias("up"), F.col("place").alias("more")).join(jump, "up").select("id", "more")
+        place = place.join(above, "id", "left").select("id", (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"))
+    return seen.select("id", "level").join(place, "id")
 
 
 def visible_filtered(nodes: DataFrame, wanted: Column, expanded: DataFrame) -> DataFrame:
     """Nodes that meet a filter and all above them; if none does, what visible_tree shows."""
-    hits = nodes.filter(wanted).select("id")
-    shown = hits.unionByName(ancestors(nodes, hits).select(F.col("ancestor").alias("id"))).distinct()
-    # one row, or none: the fallback is chosen inside the plan
-    empty = shown.groupBy().agg((F.count("*") == 0).alias("none"))
-    otherwise = visible_tree(nodes, expanded).select("id").join(F.broadcast(empty.filter("none")), how="cross").select("id")
-    return shown.unionByName(otherwise)
+    shown = written(_holding(nodes, nodes.filter(wanted)).select("id"), "filtered")
+    return _shown(nodes, expanded).select("id") if shown.isEmpty() else shown
 
 
 def with_open_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:

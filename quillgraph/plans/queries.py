@@ -84,12 +84,13 @@ def neighborhood(spark: SparkSession, sf: str) -> DataFrame:
     return hierarchy.neighborhood(tree(spark, sf), spark.createDataFrame([("n:3",)], "id string"))
 
 
-@query(f"""WITH {TREE_SQL}
-SELECT id, 0 AS level, '000000000000' AS place FROM nodes WHERE parent IS NULL
+@query(f"""WITH {TREE_SQL}, shown AS (
+SELECT id, 0 AS level, '000000000000' AS path FROM nodes WHERE parent IS NULL
 UNION ALL SELECT id, 1, '000000000000/' || lpad(CAST(ordinal AS VARCHAR), 12, '0') FROM nodes WHERE parent = 'root'
 UNION ALL SELECT n.id, 2, '000000000000/' || lpad(CAST(p.ordinal AS VARCHAR), 12, '0') || '/' || lpad(CAST(n.ordinal AS VARCHAR), 12, '0') FROM nodes n JOIN nodes p ON n.parent = p.id WHERE p.id IN ('r:1', 'r:2')
 UNION ALL SELECT n.id, 3, '000000000000/' || lpad(CAST(q.ordinal AS VARCHAR), 12, '0') || '/' || lpad(CAST(p.ordinal AS VARCHAR), 12, '0') || '/' || lpad(CAST(n.ordinal AS VARCHAR), 12, '0')
-  FROM nodes n JOIN nodes p ON n.parent = p.id JOIN nodes q ON p.parent = q.id WHERE p.id IN ('n:1', 'n:4') AND q.id IN ('r:1', 'r:2')""")
+  FROM nodes n JOIN nodes p ON n.parent = p.id JOIN nodes q ON p.parent = q.id WHERE p.id IN ('n:1', 'n:4') AND q.id IN ('r:1', 'r:2'))
+SELECT id, CAST(level AS BIGINT) AS level, row_number() OVER (ORDER BY path) - 1 AS place FROM shown""")
 def visible_tree(spark: SparkSession, sf: str) -> DataFrame:
     expanded = spark.createDataFrame([("r:1",), ("r:2",), ("n:1",), ("n:4",)], "id string")
     return hierarchy.visible_tree(tree(spark, sf), expanded)
@@ -341,25 +342,65 @@ def document_lines(spark: SparkSession, sf: str) -> DataFrame:
     return files.lines(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-@query(f"WITH {LINES_SQL} SELECT doc_id, line, length(regexp_extract(value, '^(Th|T)(.*)$', 1)) AS level, trim(regexp_extract(value, '^(Th|T)(.*)$', 2)) AS title FROM lines WHERE regexp_matches(value, '^(Th|T)(.*)$')")
+MARKED_SQL = "marked AS (SELECT doc_id, line, CASE WHEN starts_with(value, 'Th') THEN '## ' WHEN starts_with(value, 'T') THEN '# ' WHEN starts_with(value, 'S') THEN '####### ' WHEN starts_with(value, 'A') THEN '######' || chr(9) ELSE '' END || value AS value FROM lines)"
+
+
+@query(f"WITH {LINES_SQL}, {MARKED_SQL} SELECT doc_id, line, length(regexp_extract(value, '^(#{{1,6}})\\s+(.+)$', 1)) AS level, trim(regexp_extract(value, '^(#{{1,6}})\\s+(.+)$', 2)) AS title FROM marked WHERE regexp_matches(value, '^(#{{1,6}})\\s+(.+)$')")
 def heading_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return scans.headings(document_lines(spark, sf), "^(Th|T)(.*)$").select("doc_id", c("line").cast("long").alias("line"), c("level").cast("long").alias("level"), "title")
+    """Lines that begin with Th, T, S or A are written as headings of some level first."""
+    value = c("value")
+    for start, mark in (("A", "######\t"), ("S", "####### "), ("T", "# "), ("Th", "## ")):
+        value = F.when(c("value").startswith(start), F.concat(F.lit(mark), c("value"))).otherwise(value)
+    return scans.headings(document_lines(spark, sf).withColumn("value", value)).select("doc_id", c("line").cast("long").alias("line"), c("level").cast("long").alias("level"), "title")
 
 
-@query(f"""WITH {LINES_SQL} SELECT doc_id, line, last_value(CASE WHEN starts_with(value, 'T') THEN left(value, 12) END IGNORE NULLS)
+@query(f"""WITH {LINES_SQL} SELECT doc_id, line, last_value(CASE WHEN starts_with(value, 'T') THEN value END IGNORE NULLS)
   OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS carried FROM lines""")
 def carry_forward_scan(spark: SparkSession, sf: str) -> DataFrame:
-    found = scans.carried_forward(document_lines(spark, sf), "doc_id", "line", F.when(c("value").startswith("T"), F.left("value", F.lit(12))), "carried")
+    found = scans.carried_forward(table(spark, sf, "documents").select("doc_id", "text"), lambda line: F.when(line.startswith("T"), line), "carried")
     return found.select("doc_id", c("line").cast("long").alias("line"), "carried")
 
 
 @query(f"""WITH {LINES_SQL} SELECT doc_id, line, coalesce(last_value(CASE WHEN starts_with(value, 'T') THEN true WHEN starts_with(value, 'E') OR value = '' THEN false END IGNORE NULLS)
   OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS inside FROM lines""")
 def section_flag_scan(spark: SparkSession, sf: str) -> DataFrame:
-    found = scans.section_flag(document_lines(spark, sf), "doc_id", "line", c("value").startswith("T"), c("value").startswith("E") | (c("value") == ""), "inside")
+    found = scans.section_flag(table(spark, sf, "documents").select("doc_id", "text"), lambda line: line.startswith("T"), lambda line: line.startswith("E") | (line == ""), "inside")
     return found.select("doc_id", c("line").cast("long").alias("line"), "inside")
 
 
+def contract_texts(spark: SparkSession, sf: str, item: str, verb: str, opening: str) -> DataFrame:
+    """(path, text): documents written as contracts. Sentences become lines: those that begin with T an item, with A to L a detail, with S a section."""
+    text = F.regexp_replace("text", r"[.!?]\s+", "\n")
+    for pattern, line in ((r"(?m)^T([a-z]+).*$", item), (r"(?m)^[A-L]([a-z]+).*$", verb), (r"(?m)^S.*$", opening)):
+        text = F.regexp_replace(text, pattern, line)
+    return table(spark, sf, "documents").select(c("doc_id").cast("string").alias("path"), text.alias("text"))
+
+
+def contract_sql(item: str, verb: str, opening: str) -> str:
+    text = r"regexp_replace(coalesce(text, ''), '[.!?]\s+', chr(10), 'g')"
+    for pattern, line in ((r"^T([a-z]+)[^\n]*$", item), (r"^[A-L]([a-z]+)[^\n]*$", verb), (r"^S[^\n]*$", opening)):
+        text = f"regexp_replace({text}, '(?m){pattern}', '{line}', 'g')"
+    return f"""lines AS (SELECT path, CAST(unnest(range(1, len(l) + 1)) AS INTEGER) AS line, unnest(l) AS value FROM (
+  SELECT CAST(doc_id AS VARCHAR) AS path, string_split(regexp_replace({text}, '\n$', ''), chr(10)) AS l FROM documents))"""
+
+
+@query(rf"""WITH {contract_sql(r'  /' + chr(92) + '1/{id}:', '    get:', 'paths:')}, carried AS (SELECT *, last_value(CASE WHEN regexp_matches(value, '^\s{{2}}(/[^:]+):\s*$') THEN trim(regexp_extract(value, '^\s{{2}}(/[^:]+):\s*$', 1)) END IGNORE NULLS)
+  OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS url FROM lines)
+SELECT path, line, upper(regexp_extract(value, '(?i)^\s{{4}}(get|post|put|patch|delete|options|head):\s*$', 1)) AS method, url FROM carried
+WHERE url IS NOT NULL AND regexp_matches(value, '(?i)^\s{{4}}(get|post|put|patch|delete|options|head):\s*$')""")
+def openapi_operations(spark: SparkSession, sf: str) -> DataFrame:
+    """Operations of contracts made of the documents' sentences."""
+    return scans.openapi_operations(contract_texts(spark, sf, "  /$1/{id}:", "    get:", "paths:"))
+
+
+@query(rf"""WITH {contract_sql('  ' + chr(92) + '1.events:', 'x-end', 'channels:')}, inside AS (SELECT *, coalesce(last_value(CASE WHEN trim(value) = 'channels:' THEN true WHEN NOT regexp_matches(value, '^\s{{2}}([^\s:#][^:]*):\s*$') AND NOT starts_with(value, ' ') THEN false END IGNORE NULLS)
+  OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS open FROM lines)
+SELECT path, line, trim(regexp_extract(value, '^\s{{2}}([^\s:#][^:]*):\s*$', 1)) AS channel FROM inside WHERE open AND regexp_matches(value, '^\s{{2}}([^\s:#][^:]*):\s*$') AND trim(value) <> 'channels:'""")
+def asyncapi_channels(spark: SparkSession, sf: str) -> DataFrame:
+    """Channels of contracts made of the documents' sentences."""
+    return scans.asyncapi_channels(contract_texts(spark, sf, "  $1.events:", "x-end", "channels:"))
+
+
 @query("""SELECT doc_id, CASE WHEN len(l) < 2 THEN '' ELSE trim(array_to_string(l[2:4], chr(10))) END AS excerpt FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""")
 def excerpt_range(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", files.excerpt(c("text"), F.lit(2), F.lit(4)).alias("excerpt"))
@@ -410,11 +451,48 @@ def tolerant_json(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", fx.tolerant_json(fx.unfenced(raw), "k long")["k"].alias("k"))
 
 
-@query("""SELECT doc_id, coalesce(source, 'none') || ',b' AS null_checks, lang AS required, 'Err' || (doc_id % 7) AS thrown, 'saveAll,save' AS saves, 'findById' AS finds, 'deleteBy' AS deletes FROM documents""")
+#: Words of the documents' texts and the code that method bodies made of them have in their place.
+CODE_WORDS = {
+    "the": "if ( x.{} == null)", "of": "requireNonNull(x.{}.id)", "and": "requireNonNull( {} ); y = {} == null;", "with": "throw new {}Exception (", "that": "throw new {}Error()", "in": "repo.save(", "und": "if ({}== null)", "die": "requireNonNull({})",
+    "der": "orders.getById (", "das": "orders.getOne(", "que": "throw  new {}Exception(", "la": "if({} == null) return", "le": "em.persist (", "et": "repo.deleteBy(", "el": "list.remove(", "los": "cache.saveToDisk(",
+}
+
+
+def method_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, name, body): documents as commands; each of CODE_WORDS with the word after it is code."""
+    body = F.col("text")
+    for word, code in CODE_WORDS.items():
+        body = F.regexp_replace(body, f" {word} ([a-z]+)", " " + code.replace("{}", "$1"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("Do"), c("doc_id").cast("string")).alias("name"), F.when(c("doc_id") % 50 == 0, "null").otherwise(body).alias("body"))
+
+
+def _bodies_sql() -> str:
+    body = "text"
+    for word, code in CODE_WORDS.items():
+        body = f"regexp_replace({body}, ' {word} ([a-z]+)', ' {code.replace('{}', chr(92) + '1')}', 'g')"
+    named = {"null_checks": r"if\s*\(([\w.]+)\s*==\s*null", "required": r"requireNonNull\(([\w.]+)", "thrown": r"throw\s+new\s+(\w+Exception)\s*\(", "saves": r"\.(save|persist|saveAndFlush|saveAll)\s*\(",
+             "finds": r"\.(findById|findBy|findAll|getById|getReferenceById)\s*\(", "deletes": r"\.(delete|remove|deleteById|deleteAll)\s*\("}
+    found = ", ".join(f"regexp_extract_all(body, '{pattern}', 1) AS {name}" for name, pattern in named.items())
+    once = ", ".join(f"list_filter({name}, lambda x, i: list_position({name}, x) = i) AS {name}" for name in named)
+    return f"""WITH bodies AS (SELECT doc_id, 'Do' || doc_id AS name, CASE WHEN doc_id % 50 = 0 THEN 'null' ELSE {body} END AS body FROM documents),
+found AS (SELECT doc_id, name, body, {found} FROM bodies), f AS (SELECT doc_id, name, body, {once} FROM found)"""
+
+
+@query(_bodies_sql() + " SELECT doc_id, " + ", ".join(f"array_to_string({k}, ',') AS {k}" for k in fx.BODY_PATTERNS) + " FROM f")
 def body_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Each text with a method body behind it; the texts hold no such code themselves."""
-    body = F.concat(F.coalesce("text", F.lit("")), F.lit(" if ("), F.coalesce("source", F.lit("none")), F.lit(" == null || b ==null || b == null) requireNonNull( "), "lang", F.lit("); throw new Err"), (c("doc_id") % 7).cast("string"), F.lit("(); repo.saveAll(x).findById(); a.deleteBy(y); a.save(z); a.save(z)"))
-    return table(spark, sf, "documents").select("doc_id", *(F.array_join(v, ",").alias(k) for k, v in fx.body_features(body).items()))
+    """What method bodies show that are made of the documents' texts."""
+    return method_bodies(spark, sf).select("doc_id", *(F.array_join(v, ",").alias(k) for k, v in fx.body_features(c("body")).items()))
+
+
+@query(_bodies_sql() + """, t AS (SELECT doc_id, name, body, list_concat(list_transform(null_checks, lambda x: 'Given ' || x || ' is provided'), list_transform(list_filter(required, lambda x: NOT list_contains(null_checks, x)), lambda x: 'Given ' || x || ' is not null'),
+  CASE WHEN len(finds) > 0 THEN ['Given the record exists in the repository'] ELSE [] END) AS given,
+  list_concat(list_transform(thrown, lambda x: 'Then throws ' || x), CASE WHEN len(saves) > 0 THEN ['Then the record is persisted'] ELSE [] END, CASE WHEN len(deletes) > 0 THEN ['Then the record is removed'] ELSE [] END) AS outcome FROM f)
+SELECT doc_id, array_to_string(given, '|') AS given, 'When ' || name || ' is invoked' AS happens, CASE WHEN len(outcome) = 0 THEN 'Then the operation completes successfully' ELSE array_to_string(outcome, '|') END AS outcome
+FROM t WHERE trim(body) <> '' AND body <> 'null' AND len(given) + len(outcome) > 0""")
+def body_scenarios(spark: SparkSession, sf: str) -> DataFrame:
+    """Scenarios of commands, from method bodies that are made of the documents' texts."""
+    found = method_bodies(spark, sf).select("doc_id", fx.body_scenario(c("name"), c("body")).alias("s")).filter("s IS NOT NULL")
+    return found.select("doc_id", F.array_join("s.given", "|").alias("given"), F.array_join("s.when", "|").alias("happens"), F.array_join("s.then", "|").alias("outcome"))
 
 
 @query("""SELECT o_custkey AS owner, string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey) AS refs FROM orders GROUP BY 1""")

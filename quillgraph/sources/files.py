@@ -62,11 +62,15 @@ def resource_files(spark: SparkSession, root: str) -> DataFrame:
     return text_files(spark, [f"{root}/{f}" for f in RESOURCE_FOLDERS]).unionByName(text_files(spark, [f"{root}/README.md"])).dropDuplicates(["path"])
 
 
+def line_array(text: Column) -> Column:
+    """The lines of a text. A final line end makes no line."""
+    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\r?\n\z", ""), r"\r?\n")
+
+
 def lines(files: DataFrame, text: str = "text") -> DataFrame:
-    """A row per line of each file: the file's other columns, line (from 1), value. A final line end makes no line."""
+    """A row per line of each file: the file's other columns, line (from 1), value."""
     rest = [c for c in files.columns if c != text]
-    body = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\r?\n\z", "")
-    return files.select(*rest, F.posexplode(F.split(body, r"\r?\n")).alias("_at", "value")).select(*rest, (F.col("_at") + 1).alias("line"), "value")
+    return files.select(*rest, F.posexplode(line_array(F.col(text))).alias("_at", "value")).select(*rest, (F.col("_at") + 1).alias("line"), "value")
 
 
 def excerpt(text: Column, start: Column, end: Column) -> Column:

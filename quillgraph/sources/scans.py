@@ -1,10 +1,15 @@
-"""Line scans of documents and contracts. State that runs along a file is a window over its lines."""
+"""Line scans of documents and contracts. State that runs along a file is a fold over its lines, inside the file's row: no shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import carried
+from .files import line_array
+
 #: Parts of paths that mark migration files, and words that mark integrations (fixed values).
 MIGRATION_SEGMENTS = ("/db/changelog/", "\\db\\changelog\\", "/db/migration/", "\\db\\migration\\", "liquibase", "flyway")
 INTEGRATION_KEYWORDS = ("oauth2", "sftp", "outbox", "inbox", "debezium", "kafka", "webclient", "restclient", "cxf")
@@ -23,37 +28,41 @@ def import_statements(lines: DataFrame) -> DataFrame:
     return lines.filter(bare.startswith("import ")).withColumn("statement", F.trim(F.regexp_replace(F.regexp_replace(bare, "^import ", ""), ";", "")))
 
 
-def carried_forward(rows: DataFrame, file: str, line: str, value: Column, name: str) -> DataFrame:
-    """The last non-null value on an earlier line of the same file."""
-    before = Window.partitionBy(file).orderBy(line).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(before))
+def carried_forward(files: DataFrame, mark: Callable[[Column], Column], name: str, text: str = "text") -> DataFrame:
+    """A row per line of each file, as files.lines(): the file's other columns, line (from 1), value, and as `name` the mark of the last earlier line that has one.
+
+    mark: line -> its mark, a string, or null.
+    """
+    rest = [c for c in files.columns if c != text]
+    held = files.select(*rest, line_array(F.col(text)).alias("_lines"))
+    held = held.withColumn("_carried", carried(F.transform("_lines", mark)))
+    rows = held.select(*rest, F.posexplode(F.arrays_zip(F.col("_lines"), F.col("_carried"))).alias("_at", "_l"))
+    return rows.select(*rest, (F.col("_at") + 1).alias("line"), F.col("_l._lines").alias("value"), F.col("_l._carried").alias(name))
 
 
-def section_flag(rows: DataFrame, file: str, line: str, opens: Column, closes: Column, name: str) -> DataFrame:
-    """Whether the nearest earlier line of the file that opens or closes a section opened it."""
-    before = Window.partitionBy(file).orderBy(line).rowsBetween(Window.unboundedPreceding, -1)
-    mark = F.when(opens, F.lit(True)).when(closes, F.lit(False))
-    return rows.withColumn(name, F.coalesce(F.last(mark, ignorenulls=True).over(before), F.lit(False)))
+def section_flag(files: DataFrame, opens: Callable[[Column], Column], closes: Callable[[Column], Column], name: str, text: str = "text") -> DataFrame:
+    """carried_forward() of whether the nearest earlier line that opens or closes a section opened it."""
+    mark = lambda line: F.when(opens(line), F.lit("open")).when(closes(line), F.lit("closed"))
+    return carried_forward(files, mark, name, text).withColumn(name, F.coalesce(F.col(name) == "open", F.lit(False)))
 
 
-def openapi_operations(lines: DataFrame) -> DataFrame:
-    """(path, line, method, url): verbs at four spaces under the nearest path at two. No YAML is parsed."""
+def openapi_operations(files: DataFrame) -> DataFrame:
+    """(path, line, method, url) of files (path, text): verbs at four spaces under the nearest path at two. No YAML is parsed."""
     item, verb = r"^\s{2}(/[^:]+):\s*$", rf"(?i)^\s{{4}}({HTTP_VERBS}):\s*$"
-    url = F.when(F.col("value").rlike(item), F.trim(F.regexp_extract("value", item, 1)))
-    carried = carried_forward(lines, "path", "line", url, "url")
-    return carried.filter(F.col("value").rlike(verb) & F.col("url").isNotNull() & ~F.col("value").rlike(item)).select("path", "line", F.upper(F.regexp_extract("value", verb, 1)).alias("method"), "url")
+    found = carried_forward(files.select("path", "text"), lambda line: F.when(line.rlike(item), F.trim(F.regexp_extract(line, item, 1))), "url")
+    return found.filter(F.col("value").rlike(verb) & F.col("url").isNotNull() & ~F.col("value").rlike(item)).select("path", "line", F.upper(F.regexp_extract("value", verb, 1)).alias("method"), "url")
 
 
-def asyncapi_channels(lines: DataFrame) -> DataFrame:
-    """(path, line, channel): keys at two spaces after a line `channels:`, until a line that isn't indented.
+def asyncapi_channels(files: DataFrame) -> DataFrame:
+    """(path, line, channel) of files (path, text): keys at two spaces after a line `channels:`, until a line that isn't indented.
 
     A blank line ends the section too; lines that look like a channel never do.
     """
     item = r"^\s{2}([^\s:#][^:]*):\s*$"
-    opens = F.trim("value") == "channels:"
-    closes = ~opens & ~F.col("value").rlike(item) & ~F.col("value").startswith(" ")
-    inside = section_flag(lines, "path", "line", opens, closes, "inside")
-    return inside.filter(F.col("inside") & F.col("value").rlike(item) & ~opens).select("path", "line", F.trim(F.regexp_extract("value", item, 1)).alias("channel"))
+    opens = lambda line: F.trim(line) == "channels:"
+    closes = lambda line: ~opens(line) & ~line.rlike(item) & ~line.startswith(" ")
+    found = section_flag(files.select("path", "text"), opens, closes, "inside")
+    return found.filter(F.col("inside") & F.col("value").rlike(item) & ~opens(F.col("value"))).select("path", "line", F.trim(F.regexp_extract("value", item, 1)).alias("channel"))
 
 
 def migration_files(files: DataFrame) -> DataFrame:

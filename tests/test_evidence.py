@@ -2,13 +2,15 @@
 
 import itertools
 import random
+import time
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph import schemas
 from quillgraph.functions import text as fx
-from quillgraph.operators import compare, hierarchy, lookup, merge, retrieval
+from quillgraph.operators import compare, hierarchy, lookup, merge, numbering, retrieval
 from quillgraph.plans import document, queries, runs, snapshot
 from quillgraph.sources import files, scans
 
@@ -189,11 +191,40 @@ def test_parameters_of_two_observers_both_stay(spark):
 
 def test_contract_scans(spark):
     text = "openapi: 3\npaths:\n  /tasks:\n    get:\n    post:\n  /tasks/{id}:\n    delete:\n      get:\n"
-    api = files.lines(spark.createDataFrame([("api/openapi.yaml", text)], "path string, text string"))
+    api = spark.createDataFrame([("api/openapi.yaml", text), ("empty.yaml", None)], "path string, text string")
     assert [(r.line, r.method, r.url) for r in scans.openapi_operations(api).orderBy("line").collect()] == [(4, "GET", "/tasks"), (5, "POST", "/tasks"), (7, "DELETE", "/tasks/{id}")]
     text = "asyncapi: 2\n  early:\nchannels:\n  orders.new:\n    x: y\n  orders.old:\n\n  late:\n"
-    events = files.lines(spark.createDataFrame([("asyncapi.yml", text)], "path string, text string"))
+    events = spark.createDataFrame([("asyncapi.yml", text)], "path string, text string")
     assert [r.channel for r in scans.asyncapi_channels(events).orderBy("line").collect()] == ["orders.new", "orders.old"]
+    for found in (scans.openapi_operations(api), scans.asyncapi_channels(events)):
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("size", [0, 1, 255, 256, 257, 2000])
+def test_marks_are_carried_along_an_array(spark, size):
+    rng = random.Random(size)
+    marks = [rng.choice([None, None, None, "a", "b", "c"]) for _ in range(size)]
+    found = spark.createDataFrame([(marks,)], "m array<string>").select(fx.carried(F.col("m")).alias("c")).first().c
+    want, last = [], None
+    for m in marks:
+        want.append(last)
+        last = m or last
+    assert found == want
+
+
+def test_method_bodies_show_what_the_patterns_say(spark):
+    body = 'if (a.b == null) x; x = c == null; throw new Err(); throw new OrderException ("x"); em.persist(o); r.getById(1); r.remove(2); requireNonNull(o.id); requireNonNull(a.b); f.saveToDisk(3); if(a.b==null) y;'
+    bodies = [("Place", body), ("Quiet", "x = 1"), ("Blank", "  "), ("Null", None), ("Word", "null"), ("Save", "repo.saveAll (x)"), ("Check", "if (q == null) return")]
+    frame = spark.createDataFrame(bodies, "name string, body string")
+    row = frame.filter("name = 'Place'").select(*(v.alias(k) for k, v in fx.body_features(F.col("body")).items())).first().asDict()
+    assert row == {"null_checks": ["a.b"], "required": ["o.id", "a.b"], "thrown": ["OrderException"], "saves": ["persist"], "finds": ["getById"], "deletes": ["remove"]}
+    told = {r.name: r.s and r.s.asDict() for r in frame.select("name", fx.body_scenario(F.col("name"), F.col("body")).alias("s")).collect()}
+    assert told["Place"] == {
+        "given": ["Given a.b is provided", "Given o.id is not null", "Given the record exists in the repository"], "when": ["When Place is invoked"],
+        "then": ["Then throws OrderException", "Then the record is persisted", "Then the record is removed"],
+    }
+    assert told["Check"] == {"given": ["Given q is provided"], "when": ["When Check is invoked"], "then": ["Then the operation completes successfully"]}
+    assert told["Save"]["given"] == [] and [told[k] for k in ("Quiet", "Blank", "Null", "Word")] == [None] * 4
 
 
 def test_excerpts_and_headings(spark):
@@ -287,12 +318,76 @@ def test_trees_of_any_depth(spark):
     one = spark.createDataFrame([("299", 1), ("7", 10)], "id string, n long")
     totals = {r.id: r.n for r in hierarchy.hierarchical_rollup(chain, one).collect()}
     assert totals == {str(k): 11 if k <= 7 else 1 for k in range(300)}
-    deep = spark.createDataFrame([("299",)], "id string")
-    assert sorted(r.distance for r in hierarchy.ancestors(chain, deep).collect()) == list(range(1, 300))
     shown = hierarchy.visible_tree(chain, spark.createDataFrame([(str(k),) for k in range(1, 200)], "id string")).collect()
-    assert {r.id: r.level for r in shown} == {str(k): k for k in range(201)}
-    with pytest.raises(ValueError, match="circle"):
-        hierarchy.hierarchical_rollup(spark.createDataFrame([("a", "b"), ("b", "a"), ("c", None)], "id string, parent string"), one)
+    assert {r.id: (r.level, r.place) for r in shown} == {str(k): (k, k) for k in range(201)}
+    circle = spark.createDataFrame([("a", "b", 1), ("b", "a", 1), ("c", None, 1)], "id string, parent string, ordinal long")
+    for call in (lambda: hierarchy.hierarchical_rollup(circle, one), lambda: hierarchy.visible_tree(circle, one)):
+        with pytest.raises(ValueError, match="circle"):
+            call()
+
+
+def test_random_trees_against_a_walk(spark):
+    """Several roots, unknown parents, equal ordinals: the walk, ancestors, neighbourhoods and the filter, by recursion."""
+    rng = random.Random(17)
+    for size in (1, 2, 40, 300):
+        rows = [(f"n{k}", None if rng.random() < 0.03 or not k else "lost" if rng.random() < 0.03 else f"n{rng.randrange(max(0, k - 12), k)}", rng.randrange(4)) for k in range(size)]
+        nodes = spark.createDataFrame(rows, "id string, parent string, ordinal long").repartition(3)
+        opened = {r[0] for r in rows if rng.random() < 0.7} | {"nobody"}
+        expanded = spark.createDataFrame([(x,) for x in opened for _ in range(2)], "id string")
+        children = {}
+        for i, parent, ordinal in rows:
+            children.setdefault(parent, []).append((ordinal, i))
+        walk = []
+
+        def visit(i, level):
+            walk.append((i, level))
+            if level == 0 or i in opened:  # noqa: B023
+                for _, child in sorted(children.get(i, [])):  # noqa: B023
+                    visit(child, level + 1)
+
+        for _, top in sorted(children.get(None, [])):
+            visit(top, 0)
+        shown = sorted(hierarchy.visible_tree(nodes, expanded).collect(), key=lambda r: r.place)
+        assert [(r.id, r.level) for r in shown] == walk and [r.place for r in shown] == list(range(len(walk)))
+        parent = {i: p for i, p, _ in rows}
+        above = lambda i: [] if parent.get(i) not in parent else [parent[i], *above(parent[i])]  # noqa: B023, E731
+        some = {f"n{rng.randrange(size)}" for _ in range(3)}
+        chosen = spark.createDataFrame([(x,) for x in [*some, "nobody"]], "id string")
+        assert {r.id for r in hierarchy.expand_ancestors(nodes, chosen).collect()} == {a for i in some for a in above(i) if parent[a] is not None}
+        assert {r.id for r in hierarchy.neighborhood(nodes, chosen).collect()} == some | {a for i in some for a in above(i)} | {i for i, p in parent.items() if p in some}
+        hits = {i for i, _, o in rows if o == 3}
+        want = hits | {a for i in hits for a in above(i)} if hits else {i for i, _ in walk}
+        assert {r.id for r in hierarchy.visible_filtered(nodes, F.col("ordinal") == 3, expanded).collect()} == want
+
+
+def test_a_chain_of_100_000_nodes(spark):
+    """Plans don't grow with the depth: each round reads the tables of the round before."""
+    n = 100_000
+    chain = spark.range(n).selectExpr("CAST(id AS STRING) AS id", "IF(id = 0, NULL, CAST(id - 1 AS STRING)) AS parent", "id AS ordinal")
+    began = time.perf_counter()
+    total = hierarchy.hierarchical_rollup(chain, chain.selectExpr("id", "1 AS n"))
+    assert total.filter("n <> 100000 - CAST(id AS LONG)").count() == 0
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_running_sums_of_a_hot_group(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice(["hot", "hot", "hot", "hot", "a", "b", None]), k, rng.choice([None, 1, 2, -5])) for k in range(3000)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        frame = spark.createDataFrame(rows, "g string, k long, v long").repartition(parts)
+        found = numbering.running(numbering.running(frame, ["g"], ["k"], "number"), ["g"], ["k"], "total", F.col("v")).collect()
+        whole = numbering.running(frame, [], ["k"], "number").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    seen, sums = Counter(), Counter()
+    for g, k, v in sorted(rows, key=lambda r: r[1]):
+        assert (g, k, v, seen[g], sums[g]) in {tuple(r) for r in found if r.k == k}
+        seen[g] += 1
+        sums[g] += v or 0
+    assert sorted((r.k, r.number) for r in whole) == [(k, k) for k in range(3000)]
+    assert numbering.running(frame.limit(0), ["g"], ["k"], "n").count() == 0
 
 
 def test_drift_goldens(spark):
