@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import written
+
 
 def first_match(left: DataFrame, refs: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Left rows with the columns of their key's first ref; nulls where there is none. Refs are reduced before the join."""
@@ -106,27 +109,57 @@ def combined_paths(prefixes: Column, paths: Column) -> Column:
     return F.flatten(F.transform(one(prefixes), lambda a: F.transform(one(paths), lambda b: F.concat(a, b))))
 
 
-#: Names that go to every task as one array; more meet the texts by an equi-join.
-NAMES_AT_ONCE, GRAM = 2_000, 16
+#: Names that go to every task as one array; more meet the texts by an equi-join on grams of these lengths.
+NAMES_AT_ONCE, GRAMS = 2_000, (1, 2, 4, 8, 16)
+#: Texts whose grams are counted to find each name's rarest; they settle which gram stands for a name, never which names are found.
+SAMPLED_TEXTS = 1_000
+#: Bytes of names and grams that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def _with_grams(rows: DataFrame, text: str) -> DataFrame:
+    """Rows with _g1 ... _g16: hashes of all stretches of that many characters, in order. Each length is made of the hashes of half of it, so the work is linear in the text."""
+    rows = rows.withColumn("_g1", F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), ""), lambda ch: ch != ""), lambda ch: F.xxhash64(ch)))
+    for n in GRAMS[1:]:
+        half = f"_g{n // 2}"
+        rows = rows.withColumn(f"_g{n}", F.when(F.size(half) > n // 2, _pairs(half, n // 2)).otherwise(F.array().cast("array<bigint>")))
+    return rows
+
+
+def _pairs(hashes: str, apart: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(hashes) - (apart + 1)), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + apart)))
+
+
+def _rarest_grams(rows: DataFrame, known: DataFrame, text: str, lengths: Sequence[int]) -> DataFrame:
+    """(_name, _n, _h): of each name the gram that fewest of some texts hold, the least hash of several."""
+    named = _with_grams(known, "_name")
+    own = reduce(DataFrame.unionByName, (named.filter(F.col("_n") == n).select("_name", "_n", F.explode(F.array_distinct(f"_g{n}")).alias("_h")) for n in lengths))
+    some = _with_grams(rows.select(F.col(text).alias("_text")).limit(SAMPLED_TEXTS), "_text")
+    seen = reduce(DataFrame.unionByName, (some.select(F.explode(F.array_distinct(f"_g{n}")).alias("_h")) for n in lengths)).groupBy("_h").agg(F.count("*").alias("_df"))
+    return own.join(seen, "_h", "left").groupBy("_name", "_n").agg(F.min_by("_h", F.struct(F.coalesce("_df", F.lit(0)), "_h")).alias("_h"))
 
 
 def named_in(rows: DataFrame, names: DataFrame, text: str, name: str, limit: int | None = None, order: Sequence[str] = (), at_once: int = NAMES_AT_ONCE) -> DataFrame:
-    """Rows whose text contains one of the names. Empty and null names are in no text; `order` tells rows apart.
+    """Rows whose text contains one of the names; repeated rows and rows with nulls stay as they are. Empty and null names are in no text.
 
-    A counted few names are one broadcast array. Of more, the first characters (as many as the shortest has, GRAM at most) are
-    hashed like all stretches of that length in the texts; these meet by an equi-join, and only there whole names are compared.
+    A counted few names are one broadcast array. Of more, each is known by its rarest gram, whose hash is joined with those of the
+    texts' grams of that length; only row number and name come out of that join, and the names are compared with the texts of these rows.
     """
     known = names.select(F.col(name).alias("_name")).filter(F.length("_name") > 0).distinct()
-    size = known.agg(F.count("*").alias("n"), F.min(F.length("_name")).alias("shortest")).first()
-    if size.n <= at_once:
+    if known.limit(at_once + 1).count() <= at_once:
         listed = F.broadcast(known.agg(F.collect_list("_name").alias("_names")))
         out = rows.join(listed, how="cross").filter(F.exists("_names", lambda x: F.contains(F.col(text), x))).drop("_names")
     else:
-        n = min(GRAM, size.shortest)
-        own = list(order) or rows.columns
-        places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-        stretches = F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substr(text, i, F.lit(n)))))
-        seen = rows.select(*own, F.col(text).alias("_text"), F.explode(stretches).alias("_h"))
-        hits = seen.join(known.withColumn("_h", F.xxhash64(F.left("_name", F.lit(n)))), "_h").filter(F.contains("_text", F.col("_name"))).select(*own).distinct()
-        out = rows.join(hits, own, "left_semi").select(rows.columns)
+        fits = F.filter(F.array(*map(F.lit, GRAMS)), lambda n: n <= F.length("_name"))
+        known = written(known.withColumn("_n", F.array_max(fits)), "names")
+        size = known.agg(F.sum(F.octet_length("_name") + 32).alias("bytes"), F.collect_set("_n").alias("lengths")).first()
+        numbered = written(rows.withColumn("_row", F.monotonically_increasing_id()), "texts")
+        chosen = written(_rarest_grams(numbered, known, text, sorted(size.lengths)), "grams")
+        own = chosen.select("_h", "_name")
+        grams = _with_grams(numbered.select("_row", text), text)
+        seen = grams.select("_row", F.explode(F.array_distinct(F.concat(*(f"_g{n}" for n in sorted(size.lengths))))).alias("_h"))
+        met = seen.join(F.broadcast(own) if size.bytes <= BROADCAST_BYTES else own, "_h").select("_row", "_name")
+        hits = met.join(numbered.select("_row", F.col(text).alias("_text")), "_row")
+        hits = hits.filter(F.contains("_text", F.col("_name"))).select("_row").distinct()
+        out = numbered.join(hits, "_row", "left_semi").select(rows.columns)
     return out.orderBy(*order).limit(limit) if limit else out

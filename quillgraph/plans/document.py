@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.hierarchy import hierarchical_rollup
 from ..operators.lookup import first_match, unknown_references
+from ..operators.numbering import running
 
 #: Kinds of items below the service, with the label of the edge that leads to them (fixed values).
 EDGE_LABELS = {"interface": "DECLARES", "operation": "DECLARES", "datastore": "USES", "integration": "INTEGRATES_WITH", "workflow": "RUNS", "rule": "CONSTRAINS", "scenario": "DESCRIBES", "note": "NOTES"}
@@ -17,65 +18,75 @@ ITEM = ("id", "kind", "parent_id", "name", "summary", "confidence_level", "ordin
 
 
 def _items(rows: DataFrame, kind: str, parent: Column, node: Column, name: Column, summary: Column, level: str, ordinal: Column) -> DataFrame:
-    return rows.select(F.concat_ws(":", F.lit(kind), node).alias("id"), F.lit(kind).alias("kind"), parent.alias("parent_id"), name.alias("name"), summary.alias("summary"), F.lit(level).alias("confidence_level"), ordinal.cast("long").alias("ordinal"), F.col("cited"))
+    return rows.select(F.concat_ws(":", F.lit(kind), node).alias("id"), F.lit(kind).alias("kind"), parent.alias("parent_id"), name.alias("name"), summary.alias("summary"), F.lit(level).alias("confidence_level"), ordinal.cast("long").alias("ordinal"))
 
 
-def _one(name: str) -> Column:
-    return F.array(F.col(name))
+def _cites(rows: DataFrame, kind: str, node: Column, first: Column, second: Column | None = None) -> DataFrame:
+    """Rows of evidence nodes as citations of the item that _items() makes of `kind` and `node`."""
+    number = lambda c: c.cast("long")
+    return rows.select(F.concat_ws(":", F.lit(kind), node).alias("owner_id"), number(first).alias("first"), number(F.lit(0) if second is None else second).alias("second"), F.col("id").alias("evidence_node_id"))
 
 
 def synthesize(spark: SparkSession, nodes: DataFrame, refs: DataFrame, service_name: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Evidence -> (items, citations): a service with interfaces and operations, data store, integrations, workflows, rules, scenarios and notes.
 
-    Nodes are read in order of `ordinal`; a citation names a node and its first ref, with nulls where it has none. Nodes are
-    used by every part of the plan, so they should be stored tables (snapshot.stored), and so should the items for what follows.
+    Nodes are read in order of `ordinal`; a citation names a node and its first ref, with nulls where it has none, and is a row
+    from the start: no list of nodes is gathered, and operations and citations are numbered over ranges, however many
+    belong to one interface. Nodes are used by every part of the plan, so they should be stored tables (snapshot.stored), and so should the items for what follows.
     """
     c = F.col
-    by_label = F.row_number().over(Window.partitionBy("surface").orderBy("label", "ordinal", "id"))
     first = lambda kind, name: F.min_by(F.when(c("kind") == kind, c("label")), F.when(c("kind") == kind, F.struct("ordinal", "id"))).alias(name)
-    head = nodes.groupBy().agg(first("project", "project"), first("documentation-section", "section"), F.array_sort(F.collect_list(F.when(c("kind").isin("project", "documentation-section"), F.struct("ordinal", "id")))).alias("_c"))
+    head = nodes.groupBy().agg(first("project", "project"), first("documentation-section", "section"))
     named = F.lit(service_name) if service_name and service_name.strip() else F.coalesce("project", F.lit("service"))
-    head = head.select(named.alias("name"), F.coalesce("section", F.lit("Semantic draft synthesized from deterministic evidence")).alias("summary"), F.transform("_c", lambda x: x["id"]).alias("cited"))
+    head = head.select(named.alias("name"), F.coalesce("section", F.lit("Semantic draft synthesized from deterministic evidence")).alias("summary"))
     service = _items(head, "service", F.lit(None).cast("string"), c("name"), c("name"), c("summary"), "CONFIRMED", F.lit(0))
     root = service.select(F.col("id").alias("root"))
     under = lambda rows: rows.join(F.broadcast(root), how="cross")  # noqa: E731  one row
+    whole = under(nodes.filter(c("kind").isin("project", "documentation-section")))
+    cites = [_cites(whole, "service", F.substr("root", F.lit(len("service:") + 1)), c("ordinal"))]
 
     surface = F.when(c("kind").isin("http-endpoint", "contract-operation"), "http").when(c("kind") == "contract-channel", "async").when(c("kind").endswith("job"), "jobs")
-    faces = nodes.withColumn("surface", surface).filter("surface IS NOT NULL").withColumn("at", by_label)
+    faces = running(nodes.withColumn("surface", surface).filter("surface IS NOT NULL").select("surface", "label", "ordinal", "id"), ["surface"], ["label", "ordinal", "id"], "at").withColumn("at", c("at") + 1)
     titles = F.create_map(*(F.lit(x) for kv in (("http", "HTTP Surface"), ("async", "Async Messaging"), ("jobs", "Background Jobs")) for x in kv))
-    grouped = faces.groupBy("surface").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id"))), lambda x: x["id"]).alias("cited"))
     place = F.array_position(F.array(F.lit("http"), F.lit("async"), F.lit("jobs")), c("surface"))
-    interfaces = _items(under(grouped), "interface", c("root"), c("surface"), titles[c("surface")], c("surface"), "CONFIRMED", place)
-    operations = _items(faces.withColumn("cited", _one("id")), "operation", F.concat(F.lit("interface:"), c("surface")), c("id"), c("label"), c("surface"), "CONFIRMED", place * 1_000_000_000 + c("at"))
+    interfaces = _items(under(faces.select("surface").distinct()), "interface", c("root"), c("surface"), titles[c("surface")], c("surface"), "CONFIRMED", place)
+    operations = _items(faces, "operation", F.concat(F.lit("interface:"), c("surface")), c("id"), c("label"), c("surface"), "CONFIRMED", place * 1_000_000_000 + c("at"))
+    told = _items(under(operations.select("id", "name", "ordinal")), "scenario", c("root"), c("id"), c("name"), F.lit("operation"), "PARTIAL", c("ordinal"))
+    cites += [_cites(faces, "interface", c("surface"), c("at")), _cites(faces, "operation", c("id"), F.lit(0)), _cites(faces, "scenario", F.concat(F.lit("operation:"), c("id")), F.lit(0))]
 
     stored = nodes.filter(c("kind").isin("persistence-entity", "database-migration"))
     flyway = F.bool_or((c("kind") == "database-migration") & (F.lower(F.coalesce(c("attributes")["tool"], F.lit(""))) == "flyway"))
-    store = stored.groupBy().agg(F.count("*").alias("n"), F.coalesce(flyway, F.lit(False)).alias("flyway"), F.transform(F.array_sort(F.collect_list(F.struct((c("kind") == "database-migration").alias("m"), "ordinal", "id"))), lambda x: x["id"]).alias("cited")).filter("n > 0")
+    store = stored.groupBy().agg(F.count("*").alias("n"), F.coalesce(flyway, F.lit(False)).alias("flyway")).filter("n > 0")
     datastore = _items(under(store), "datastore", c("root"), F.lit("primary"), F.lit("Primary Relational Store"), F.when(c("flyway"), "flyway-relational").otherwise("liquibase-relational"), "CONFIRMED", F.lit(0))
+    cites.append(_cites(stored, "datastore", F.lit("primary"), (c("kind") == "database-migration"), c("ordinal")))
 
     linked = nodes.filter(c("kind").isin("integration-artifact", "integration-config")).withColumn("keyword", F.coalesce(c("attributes")["keyword"], F.lit("integration")))
-    by_keyword = linked.groupBy("keyword").agg(F.array_join(F.sort_array(F.collect_list("label")), ",").alias("labels"), F.min("ordinal").alias("ordinal"), F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "id"))), lambda x: x["id"]).alias("cited"))
+    by_keyword = linked.groupBy("keyword").agg(F.array_join(F.sort_array(F.collect_list("label")), ",").alias("labels"), F.min("ordinal").alias("ordinal"))
     integrations = _items(under(by_keyword), "integration", c("root"), c("keyword"), F.upper("keyword"), c("labels"), "PARTIAL", c("ordinal"))
+    cites.append(_cites(linked, "integration", c("keyword"), c("ordinal")))
 
     low = F.lower("label")
     has = lambda *words: reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in words))
-    each = under(nodes.withColumn("cited", _one("id")))
-    jobs = _items(each.filter(c("kind").endswith("job")), "workflow", c("root"), c("id"), c("label"), F.lit("execution"), "CONFIRMED", c("ordinal"))
-    flows = _items(each.filter((c("kind") == "documentation-section") & has("flow", "sync", "migration")), "workflow", c("root"), c("id"), c("label"), F.lit("documentation"), "PARTIAL", 1_000_000_000 + c("ordinal"))
+    sections = nodes.filter("kind = 'documentation-section'")
+    jobs, flows, tales = nodes.filter(c("kind").endswith("job")), sections.filter(has("flow", "sync", "migration")), sections.filter(has("scenario"))
+    ruled = nodes.filter(c("kind").isin("validation-constraint", "security-constraint"))
+    five = sections.orderBy("label", "ordinal").limit(5)
     default = F.when(c("kind") == "validation-constraint", "Validation rule").otherwise("Security rule")
-    rules = _items(each.filter(c("kind").isin("validation-constraint", "security-constraint")), "rule", c("root"), c("id"), c("label"), F.coalesce(c("attributes")["expression"], default), "CONFIRMED", c("ordinal"))
-    told = under(operations.drop("kind", "parent_id", "summary", "confidence_level"))
-    scenarios = _items(told, "scenario", c("root"), c("id"), c("name"), F.lit("operation"), "PARTIAL", c("ordinal"))
-    written = _items(each.filter((c("kind") == "documentation-section") & has("scenario")), "scenario", c("root"), c("id"), c("label"), F.lit("documentation"), "PARTIAL", 10_000_000_000 + c("ordinal"))
-    five = nodes.filter("kind = 'documentation-section'").orderBy("label", "ordinal").limit(5)
-    notes = _items(under(five.withColumn("cited", _one("id"))), "note", c("root"), c("id"), c("label"), F.lit("documentation"), "PARTIAL", c("ordinal"))
-
-    all_items = reduce(DataFrame.unionByName, [service, interfaces, operations, datastore, integrations, jobs, flows, rules, scenarios, written, notes])
-    cited = all_items.select(F.col("id").alias("owner_id"), F.posexplode(F.array_distinct("cited")).alias("ordinal", "evidence_node_id"))
+    own = [
+        _items(under(jobs), "workflow", c("root"), c("id"), c("label"), F.lit("execution"), "CONFIRMED", c("ordinal")),
+        _items(under(flows), "workflow", c("root"), c("id"), c("label"), F.lit("documentation"), "PARTIAL", 1_000_000_000 + c("ordinal")),
+        _items(under(ruled), "rule", c("root"), c("id"), c("label"), F.coalesce(c("attributes")["expression"], default), "CONFIRMED", c("ordinal")),
+        _items(under(tales), "scenario", c("root"), c("id"), c("label"), F.lit("documentation"), "PARTIAL", 10_000_000_000 + c("ordinal")),
+        _items(under(five), "note", c("root"), c("id"), c("label"), F.lit("documentation"), "PARTIAL", c("ordinal")),
+    ]
+    cites += [_cites(rows, kind, c("id"), F.lit(0)) for rows, kind in ((jobs, "workflow"), (flows, "workflow"), (ruled, "rule"), (tales, "scenario"), (five, "note"))]
+
+    items = reduce(DataFrame.unionByName, [service, interfaces, operations, datastore, integrations, told, *own]).select(*ITEM)
+    once = reduce(DataFrame.unionByName, cites).groupBy("owner_id", "evidence_node_id").agg(F.min(F.struct("first", "second")).alias("p"))
+    cited = running(once.select("owner_id", "evidence_node_id", "p.first", "p.second"), ["owner_id"], ["first", "second", "evidence_node_id"], "ordinal")
     first_refs = refs.select(F.col("owner_id").alias("evidence_node_id"), "file", "start_line", "end_line", F.col("ordinal").alias("ref_ordinal"))
-    citations = first_match(cited, first_refs, "evidence_node_id", ["ref_ordinal", "file", "start_line"], ["file", "start_line", "end_line"])
-    citations = citations.withColumn("rationale", F.concat(F.lit("Derived from evidence node "), F.col("evidence_node_id")))
-    return all_items.select(*ITEM), citations
+    citations = first_match(cited.select("owner_id", "ordinal", "evidence_node_id"), first_refs, "evidence_node_id", ["ref_ordinal", "file", "start_line"], ["file", "start_line", "end_line"])
+    return items, citations.withColumn("rationale", F.concat(F.lit("Derived from evidence node "), F.col("evidence_node_id")))
 
 
 def validate(items: DataFrame, citations: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -107,10 +118,15 @@ def is_valid(issues: DataFrame) -> DataFrame:
     return issues.groupBy().agg((~F.coalesce(F.bool_or(F.col("level") == "ERROR"), F.lit(False))).alias("valid"))
 
 
+#: Kinds that a service counts among its items, and the names of the counts (fixed values); interfaces count their operations alone.
+COUNTED = {"interface": "bounded_contexts", "datastore": "aggregates", "operation": "commands", "scenario": "entities", "integration": "events"}
+
+
 def lineage(items: DataFrame, citations: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tree nodes with counts, edges): citations of an item count for it and all above it, but for the service's own.
 
-    Unknown nodes that the service cites are blocking conflicts of the service.
+    Citations of the service that name an unknown node are blocking conflicts of the service; nothing here is a mere warning. A service also
+    counts its items of COUNTED kinds, an interface its operations; other items count none.
     """
     tree = items.select("id", F.col("parent_id").alias("parent"))
     cited = citations.select(F.col("owner_id").alias("id"), F.lit(1).cast("long").alias("evidence"))
@@ -118,7 +134,11 @@ def lineage(items: DataFrame, citations: DataFrame, nodes: DataFrame) -> tuple[D
     service = items.filter("kind = 'service'").select(F.col("id").alias("owner_id"))
     broken = citations.filter("evidence_node_id IS NOT NULL").join(service, "owner_id", "left_semi").join(nodes.select(F.col("id").alias("evidence_node_id")), "evidence_node_id", "left_anti")
     blocking = broken.groupBy(F.col("owner_id").alias("id")).agg(F.count("*").alias("blocking"))
-    out = items.join(counts, "id").join(blocking, "id", "left").select("id", "kind", "parent_id", "name", "evidence", F.coalesce("blocking", F.lit(0)).alias("blocking"))
+    whole = items.groupBy().agg(*(F.count_if(F.col("kind") == kind).alias(f"all_{name}") for kind, name in COUNTED.items()))
+    own = items.filter("kind = 'operation'").groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("own"))
+    base = [F.when(F.col("kind") == "service", F.col(f"all_{name}")).otherwise(F.coalesce("own", F.lit(0)) if name == "commands" else 0).cast("long").alias(name) for name in COUNTED.values()]
+    out = items.join(counts, "id").join(blocking, "id", "left").join(own, "id", "left").join(F.broadcast(whole), how="cross")
+    out = out.select("id", "kind", "parent_id", "name", "evidence", F.lit(0).cast("long").alias("warning"), F.coalesce("blocking", F.lit(0)).alias("blocking"), *base)
     labels = F.create_map(*(F.lit(x) for kv in EDGE_LABELS.items() for x in kv))
     edges = items.filter("parent_id IS NOT NULL").select(F.concat(F.col("parent_id"), F.lit("->"), F.col("id"), F.lit(":"), labels[F.col("kind")]).alias("id"), F.col("parent_id").alias("source"), F.col("id").alias("target"), labels[F.col("kind")].alias("label"))
     return out, edges

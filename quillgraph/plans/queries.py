@@ -652,11 +652,15 @@ def hotspots_topk(spark: SparkSession, sf: str) -> DataFrame:
     return runs.hotspots(rows, ["blocking", "warning"]).select("id", "measure", "count", c("place").cast("long").alias("place"))
 
 
-@query("""WITH n AS (SELECT 'd' || doc_id AS id, doc_id AS ordinal, coalesce(source, 'none') || CASE doc_id % 3 WHEN 0 THEN ' flow' WHEN 1 THEN ' scenario' ELSE '' END AS label, lang,
+#: Documents taken for evidence nodes of ten kinds.
+NODES_SQL = """n AS (SELECT 'd' || doc_id AS id, doc_id AS ordinal, coalesce(source, 'none') || CASE doc_id % 3 WHEN 0 THEN ' flow' WHEN 1 THEN ' scenario' ELSE '' END AS label, lang,
     ['project', 'documentation-section', 'http-endpoint', 'contract-channel', 'nightly-job', 'persistence-entity', 'database-migration', 'integration-config', 'validation-constraint', 'security-constraint'][CAST(doc_id % 10 + 1 AS INTEGER)] AS kind FROM documents),
 faces AS (SELECT *, CASE kind WHEN 'http-endpoint' THEN 'http' WHEN 'contract-channel' THEN 'async' ELSE 'jobs' END AS surface FROM n WHERE kind IN ('http-endpoint', 'contract-channel', 'nightly-job')),
 ops AS (SELECT *, CAST(CASE surface WHEN 'http' THEN 1 WHEN 'async' THEN 2 ELSE 3 END AS BIGINT) * 1000000000 + row_number() OVER (PARTITION BY surface ORDER BY label, ordinal) AS spot FROM faces),
-doc AS (SELECT * FROM n WHERE kind = 'documentation-section'),
+doc AS (SELECT * FROM n WHERE kind = 'documentation-section')"""
+
+
+@query(f"""WITH {NODES_SQL},
 head AS (SELECT coalesce((SELECT arg_min(label, ordinal) FROM n WHERE kind = 'project'), 'service') AS name, coalesce((SELECT arg_min(label, ordinal) FROM doc), 'Semantic draft synthesized from deterministic evidence') AS summary),
 root AS (SELECT 'service:' || name AS root FROM head)
 SELECT 'service:' || name AS id, 'service' AS kind, NULL AS parent_id, name, summary, 'CONFIRMED' AS confidence_level, 0 AS ordinal FROM head
@@ -671,7 +675,12 @@ UNION ALL SELECT 'rule:' || id, 'rule', root, label, CASE WHEN lang = 'en' THEN
 UNION ALL SELECT 'scenario:' || id, 'scenario', root, label, 'documentation', 'PARTIAL', 10000000000 + ordinal FROM doc, root WHERE ends_with(label, ' scenario')
 UNION ALL (SELECT 'note:' || id, 'note', root, label, 'documentation', 'PARTIAL', ordinal FROM doc, root ORDER BY label, ordinal LIMIT 5)""")
 def synthesized_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents taken for evidence nodes of ten kinds, made into a service with interfaces, store, integrations, workflows, rules, scenarios and the first five notes."""
+    """Evidence nodes made into a service with interfaces, store, integrations, workflows, rules, scenarios and the first five notes."""
+    return document.synthesize(spark, *evidence_nodes(spark, sf))[0]
+
+
+def evidence_nodes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, refs) of NODES_SQL."""
     key = c("doc_id")
     kinds = ("project", "documentation-section", "http-endpoint", "contract-channel", "nightly-job", "persistence-entity", "database-migration", "integration-config", "validation-constraint", "security-constraint")
     attributes = F.map_filter(F.create_map(F.lit("keyword"), c("lang"), F.lit("tool"), F.when(c("lang") == "fr", "Flyway"), F.lit("expression"), F.when(c("lang") == "en", "x > 1")), lambda k, v: v.isNotNull())
@@ -679,8 +688,7 @@ def synthesized_items(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("d"), key.cast("string")).alias("id"), key.alias("ordinal"), F.element_at(F.array(*map(F.lit, kinds)), (key % 10 + 1).cast("int")).alias("kind"),
         F.concat(F.coalesce("source", F.lit("none")), F.when(key % 3 == 0, " flow").when(key % 3 == 1, " scenario").otherwise("")).alias("label"), attributes.alias("attributes"),
     )
-    refs = nodes.select(c("id").alias("owner_id"), F.lit("file").alias("file"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), "ordinal")
-    return document.synthesize(spark, nodes, refs)[0]
+    return nodes, nodes.select(c("id").alias("owner_id"), F.lit("file").alias("file"), F.lit(1).alias("start_line"), F.lit(2).alias("end_line"), "ordinal")
 
 
 @query("""WITH a AS (SELECT '0:' || p_type || ':' || p_name AS place, p_type || ' ' || p_name || ' ' || p_brand AS text FROM part WHERE p_type IN ('PROMO', 'SMALL') ORDER BY p_type, p_name, lpad(CAST(p_partkey AS VARCHAR), 12, '0') LIMIT 12),

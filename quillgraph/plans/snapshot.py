@@ -162,8 +162,8 @@ class Contracts:
         files = tables["resources"].filter(opened | messages)
         contract = stable_id("contract", c("path"))
         nodes = [nodes_of(files, contract, F.when(opened, "openapi-contract").otherwise("asyncapi-contract"), F.substring_index("path", "/", -1), c("path"), format=F.when(opened, "openapi").otherwise("asyncapi"))]
-        ops = scans.openapi_operations(tables["resource_lines"].filter(opened))
-        channels = scans.asyncapi_channels(tables["resource_lines"].filter(messages & ~opened))
+        ops = scans.openapi_operations(tables["resources"].filter(opened))
+        channels = scans.asyncapi_channels(tables["resources"].filter(messages & ~opened))
         op, channel = stable_id("contract-op", c("path"), c("url"), c("method")), stable_id("contract-channel", c("path"), c("channel"))
         place = F.concat("path", F.lit("#L"), c("line").cast("string"))
         nodes.append(nodes_of(ops, op, "contract-operation", F.concat_ws(" ", "method", "url"), place, c("line"), method=c("method"), path=c("url")))

@@ -137,6 +137,10 @@ def test_rollup_of_citations(spark):
     tree, edges = document.lineage(table, citations, nodes)
     counts = {r.id: (r.evidence, r.blocking) for r in tree.collect()}
     assert counts["op-submit-order"] == (1, 0) and counts["if-http"] == (2, 0) and counts["svc-orders"] == (8, 1)
+    service = tree.filter("id = 'svc-orders'").first()
+    assert [service[name] for name in ("warning", *document.COUNTED.values())] == [0, 1, 1, 1, 1, 1]
+    assert [tree.filter("id = 'if-http'").first()[name] for name in document.COUNTED.values()] == [0, 0, 1, 0, 0]
+    assert {r.id: r.parent_id for r in tree.collect() if r.id in ("svc-orders", "if-http", "op-submit-order", "ds-orders")} == {"svc-orders": None, "if-http": "svc-orders", "op-submit-order": "if-http", "ds-orders": "svc-orders"}
     labels = sorted(r.label for r in edges.collect())
     assert labels == sorted(["DECLARES", "DECLARES", "USES", "INTEGRATES_WITH", "RUNS", "CONSTRAINS", "DESCRIBES", "NOTES"])
     issues = {(r.code, r.item_id) for r in document.validate(table, citations, nodes).collect()}
