@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import lookup, retrieval
+from ..operators import lookup, retrieval, rules
 from ..sources.files import written
 from . import document, observed
 from .queries import NODES_SQL, ORACLES, QUERIES, c, evidence_nodes, hierarchical_rollup, query, table  # noqa: F401  the entry takes some from here
@@ -172,6 +172,52 @@ def named_in_many(spark: SparkSession, sf: str) -> DataFrame:
     return lookup.named_in(rows, _all(names), "text", "name", at_once=100).select("doc_id", "source")
 
 
+# Rules of customers as commands, by templates over their orders
+
+RULE_TEMPLATES = (
+    "total > {n} && status == 'F'", "priority == '{p}'", "missing{m} > 5 || total <= {n}", "total == 'abc'", "total && flag", "duration(start, end) <= PT{n}H && DRAFT == status", "total >", "(total < 5) == flag || priority != '{p}' && emitPayrollAdjustment(total, unseen)",
+)
+
+
+def _rule_codes_sql() -> str:
+    """What is wrong with each template, by the type of `total` (t) and of `flag` (f)."""
+    bad = lambda test, code: f"CASE WHEN {test} THEN ['{code}'] ELSE [] END"
+    number, flagged = bad("t <> 'UNKNOWN' AND t <> 'NUMBER'", "RULE_TYPE_MISMATCH"), bad("f IS NULL", "RULE_UNKNOWN_IDENTIFIER")
+    known = bad("t IS NULL", "RULE_UNKNOWN_IDENTIFIER")
+    number, known = number.replace("t <>", "coalesce(t, 'UNKNOWN') <>"), known
+    unseen = "['RULE_UNKNOWN_IDENTIFIER']"
+    text = bad("coalesce(t, 'UNKNOWN') NOT IN ('UNKNOWN', 'STRING')", "RULE_TYPE_MISMATCH")
+    both = bad("coalesce(t, '') <> 'BOOLEAN' OR coalesce(f, '') <> 'BOOLEAN'", "RULE_TYPE_BOOLEAN")
+    listed = {
+        0: [known, number, unseen.replace("RULE", "RULE")], 1: ["[]"], 2: [unseen, known, number], 3: [known, text], 4: [known, flagged, both],
+        5: ["['RULE_UNKNOWN_IDENTIFIER', 'RULE_UNKNOWN_IDENTIFIER', 'RULE_UNKNOWN_IDENTIFIER']"], 6: ["['RULE_UNPARSEABLE']"], 7: [known, known, flagged, unseen, number],
+    }
+    return "CASE kind " + " ".join(f"WHEN {k} THEN list_concat({', '.join(v)}, [])" for k, v in listed.items()) + " END"
+
+
+@query(f"""WITH r AS (SELECT 'c' || o_custkey AS command, 'R-' || o_orderkey % 6 AS rule_id, o_orderkey AS ordinal, CAST(o_orderkey % 8 AS INTEGER) AS kind, o_orderpriority AS p, o_custkey FROM orders),
+typed AS (SELECT r.*, CASE WHEN c_mktsegment = 'BUILDING' THEN 'STRING' WHEN c_nationkey = 3 THEN NULL WHEN c_nationkey = 4 THEN 'UNKNOWN' ELSE 'NUMBER' END AS t, CASE WHEN c_nationkey < 15 THEN 'BOOLEAN' END AS f FROM r JOIN customer ON c_custkey = o_custkey),
+good AS (SELECT * FROM typed WHERE kind <> 6),
+codes AS (SELECT command, rule_id, ordinal, unnest({_rule_codes_sql()}) AS code FROM typed
+  UNION ALL SELECT command, rule_id, ordinal, 'RULE_DUPLICATE_ID' FROM good QUALIFY row_number() OVER (PARTITION BY command, rule_id ORDER BY ordinal) > 1
+  UNION ALL SELECT command, rule_id, ordinal, 'RULE_CONFLICT' FROM (SELECT *, first_value(v) OVER (PARTITION BY command, name ORDER BY rule_id, ordinal) AS first FROM (
+    SELECT *, CASE kind WHEN 1 THEN 'priority' ELSE 'total' END AS name, CASE kind WHEN 1 THEN p ELSE 'abc' END AS v FROM good WHERE kind IN (1, 3))) WHERE v <> first)
+SELECT command, rule_id, ordinal, code, CASE code WHEN 'RULE_UNPARSEABLE' THEN 'WARN' ELSE 'ERROR' END AS level FROM codes""")
+def rule_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules made of orders, eight templates; symbols by customer: an entity's fields, inputs that replace them, a status machine for none."""
+    text = F.lit(RULE_TEMPLATES[-1])
+    for k, template in enumerate(RULE_TEMPLATES[:-1]):
+        text = F.when(c("o_orderkey") % 8 == k, template).otherwise(text)
+    for mark, column in (("{n}", (c("o_orderkey") % 9).cast("string")), ("{m}", (c("o_orderkey") % 3).cast("string")), ("{p}", c("o_orderpriority"))):
+        text = F.replace(text, F.lit(mark), column)
+    key = F.concat(F.lit("c"), c("o_custkey").cast("string"))
+    made = table(spark, sf, "orders").select(key.alias("command"), F.concat(F.lit("R-"), (c("o_orderkey") % 6).cast("string")).alias("rule_id"), c("o_orderkey").alias("ordinal"), text.alias("ensure"))
+    known = table(spark, sf, "customer").select(F.concat(F.lit("c"), c("c_custkey").cast("string")).alias("command"), "c_nationkey", "c_mktsegment")
+    symbol = lambda rows, name, kind, layer: rows.select("command", F.lit(name).alias("name"), F.lit(kind).alias("type"), F.lit(layer).alias("layer"), F.lit(0).alias("ordinal"))
+    fields = symbol(known.filter("c_nationkey NOT IN (3, 4)"), "total", "double", 0).unionByName(symbol(known.filter("c_nationkey = 4"), "total", "Money", 0)).unionByName(symbol(known.filter("c_nationkey < 15"), "flag", "boolean", 0)).unionByName(symbol(known, "priority", "String", 0))
+    return rules.rule_diagnostics(made, fields.unionByName(symbol(known.filter("c_mktsegment = 'BUILDING'"), "total", "enum(Totals)", 1)))
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillgraph import schemas
 from quillgraph.functions import text as fx
-from quillgraph.operators import compare, hierarchy, lookup, merge, numbering, retrieval
+from quillgraph.operators import compare, hierarchy, lookup, merge, numbering, retrieval, rules
 from quillgraph.plans import document, queries, runs, snapshot
 from quillgraph.sources import files, scans
 
@@ -435,6 +435,50 @@ def test_rules(spark):
     assert compare.rule_problem(rows, "state == OPEN") == "RULE_UNKNOWN_IDENTIFIER"
 
 
+def written_out(rule):
+    """A rule's nodes as text with all parentheses, or why it can't be read."""
+    try:
+        nodes = rules.rule_nodes(rule)
+    except ValueError:
+        return None
+    below = lambda k: [x["node"] for x in sorted(nodes, key=lambda x: x["side"]) if x["parent"] == k]
+
+    def out(k):
+        x, parts = nodes[k], [out(j) for j in below(k)]
+        return f"({parts[0]} {x['text']} {parts[1]})" if x["kind"] == "binary" else f"{x['text']}[{', '.join(parts)}]" if x["kind"] == "call" else f"{x['text']}:{x['type']}".rstrip(":")
+
+    return out(0)
+
+
+@pytest.mark.parametrize(
+    ("rule", "want"),
+    [
+        ("duration(shiftStart, shiftEnd) <= PT12H", "(duration[shiftStart, shiftEnd] <= 43200 s:DURATION)"), ("a < b == c", "((a < b) == c)"), ("a == b < c != d", "((a == (b < c)) != d)"), ("a||b&&c || d", "((a || (b && c)) || d)"),
+        ("a && (b || c) && d", "((a && (b || c)) && d)"), ("f(a, g(b == 1) || x)", "f[a, (g[(b == 1:NUMBER)] || x)]"), ("true == 'false'", "(true:BOOLEAN == false:BOOLEAN)"), ("x == '12.5'", "(x == 12.5:NUMBER)"), ("1.2.3 == x", "(1.2.3:STRING == x)"),
+        ("lambda == is", "(lambda == is)"), ("Ping == P_x", "(Ping == P_x)"), ("\"a && b", "a && b:STRING"), ("f()", "f[]"), ("(a)(b)", None), ("f(a,)", None), ("a = b", None), ("a b", None), ("", None), ("total >", None), ("P1 > 2", None), ("'a' (b)", None), ("a ? b", None), ("(a, b)", None),
+    ],
+)
+def test_rules_are_read_as_the_grammar_says(rule, want):
+    assert written_out(rule) == want
+
+
+def test_rule_diagnostics_by_layer(spark):
+    """Inputs replace an entity's fields, the machine's status both; each code; constants are texts; other commands' names are unknown."""
+    symbols = [("c", "total", "double", 0, 1), ("c", "total", "boolean", 0, 2), ("c", "when", "Instant", 0, 1), ("c", "status", "int", 1, 1), ("c", "status", "enum(Life)", 2, 1), ("c", "took", "Duration", 1, 1), ("d", "only", "int", 0, 1)]
+    texts = [
+        ("A", "total && flag"), ("B", "status == OPEN"), ("C", "status == 5"), ("D", "only > 1"), ("E", "took > PT1H"), ("F", "took > PT"), ("b", "status != 'X'"), ("A", "total"), ("G", "when == 'x' && total"), ("H", "f(nix) == 5"), ("I", "status == 'X'"), ("J", "took == PT60M"),
+        ("K", "took == PT1H"), ("L", None),
+    ]
+    frame = spark.createDataFrame([("c", i, k, t) for k, (i, t) in enumerate(texts)], "command string, rule_id string, ordinal long, ensure string").repartition(3)
+    table = spark.createDataFrame(symbols, "command string, name string, type string, layer int, ordinal int")
+    found = sorted((r.rule_id, r.ordinal, r.code) for r in rules.rule_diagnostics(frame, table).collect())
+    assert found == sorted([
+        ("A", 0, "RULE_UNKNOWN_IDENTIFIER"), ("A", 0, "RULE_TYPE_BOOLEAN"), ("A", 7, "RULE_DUPLICATE_ID"), ("C", 2, "RULE_TYPE_MISMATCH"), ("D", 3, "RULE_UNKNOWN_IDENTIFIER"), ("F", 5, "RULE_UNPARSEABLE"),
+        ("H", 9, "RULE_UNKNOWN_IDENTIFIER"), ("C", 2, "RULE_CONFLICT"), ("L", 13, "RULE_UNPARSEABLE"),
+    ])
+    assert rules.rule_diagnostics(frame.limit(0), table).count() == 0 and rules.rule_diagnostics(frame, table.limit(0)).filter("code = 'RULE_UNKNOWN_IDENTIFIER'").count() > 8
+
+
 def test_migrations_in_order(spark):
     fields = spark.createDataFrame([("employeeId",), ("other",)], "field string")
     steps = [{"column": "field", "old": "employeeId", "new": "staffId"}, {"column": "field", "old": "none", "new": "x"}]
