@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import lookup, retrieval, rules
 from ..sources.files import written
-from . import document, observed
+from . import canonical, document, observed
 from .queries import NODES_SQL, ORACLES, QUERIES, c, evidence_nodes, hierarchical_rollup, query, table  # noqa: F401  the entry takes some from here
 
 # Nested types of three observers, made of customers, their events as fields, orders as methods and line items as parameters
@@ -218,6 +218,68 @@ def rule_diagnostics(spark: SparkSession, sf: str) -> DataFrame:
     return rules.rule_diagnostics(made, fields.unionByName(symbol(known.filter("c_mktsegment = 'BUILDING'"), "total", "enum(Totals)", 1)))
 
 
+# Canonical specifications: a region's nations are contexts, its customers' segments aggregates
+
+_TOKEN_SQL = r"regexp_replace(lower(trim(translate(regexp_replace({0}, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '_-', '  '))), '\s+', '_', 'g')"
+
+
+def _token(x: str) -> str:
+    return _TOKEN_SQL.replace("{0}", x)
+
+
+def _id_sql(kind: str, token: str, scope: str, json: str) -> str:
+    return f"sha256('{kind}|' || {token} || '|' || {scope} || '|' || sha256({json}))"
+
+
+def _texts(items: str) -> str:
+    """A JSON array of texts, sorted."""
+    return f"""'[' || coalesce(string_agg('"' || {items} || '"', ',' ORDER BY {items}), '') || ']'"""
+
+
+SPEC_SQL = f"""things AS (SELECT r_regionkey, r_name, n_name, c_mktsegment AS segment, c_custkey, c_name, c_acctbal FROM region JOIN nation ON n_regionkey = r_regionkey JOIN customer ON c_nationkey = n_nationkey),
+service AS (SELECT r_regionkey AS s, 'Region' || r_name AS name, '/services/' || translate({_token("'Region' || r_name")}, '_', '-') AS path FROM region),
+context AS (SELECT DISTINCT s, path AS up, path || '/bounded-contexts/' || translate({_token('n_name')}, '_', '-') AS path, {_token('n_name')} AS token, n_name FROM things JOIN service ON s = r_regionkey),
+aggregate AS (SELECT DISTINCT c.s, c.path AS up, c.path || '/aggregates/' || translate({_token("'Market' || segment")}, '_', '-') AS path, {_token("'Market' || segment")} AS token, c.n_name, segment FROM things t JOIN context c ON c.n_name = t.n_name),
+entity AS (SELECT a.path AS up, a.path || '/entities/' || translate({_token('c_name')}, '_', '-') AS path, {_token('c_name')} AS token, c_custkey, c_acctbal FROM things t JOIN aggregate a ON a.n_name = t.n_name AND a.segment = t.segment),
+field AS (SELECT path AS up, path || '/fields/' || f AS path, f AS token, CASE f WHEN 'cust-key' THEN '{{"nullable":false,"pk":true,"type":"long"}}' ELSE '{{"nullable":true,"pk":false,"type":"' || CASE WHEN c_acctbal < 0 THEN 'int' ELSE 'double' END || '"}}' END AS json FROM entity, (VALUES ('cust-key'), ('balance')) x(f)),
+names(name) AS (VALUES ('Opened'), ('BalanceChanged'), ('closed-Down')), event AS (SELECT path AS up, path || '/events/' || translate({_token('name')}, '_', '-') AS path, {_token('name')} AS token, name FROM aggregate, names),
+command AS (SELECT path AS up, path || '/commands/' || translate({_token('k')}, '_', '-') AS path, {_token('k')} AS token, k, e FROM aggregate, (VALUES ('Open', ['Opened', 'nothing']), ('changeBalance', ['balance_changed', 'closed-Down', 'Closed Down'])) x(k, e)),
+emitted AS (SELECT c.path, c.k, up || '/events/' || translate({_token('w')}, '_', '-') AS e FROM (SELECT path, up, k, unnest(e) AS w FROM command) c WHERE {_token('w')} IN (SELECT {_token('name')} FROM names))"""
+
+
+@query(rf"""WITH {SPEC_SQL}
+SELECT 'service' AS kind, {_id_sql('service', _token('name'), "'/'", """'{"basePackage":"org.' || s || '"}'""")} AS id, path, {_token('name')} AS canonical_name FROM service
+UNION ALL SELECT 'boundedContext', {_id_sql('boundedContext', 'c.token', 'c.up', """'{"aggregateNames":' || (SELECT """ + _texts('a.token') + """ FROM aggregate a WHERE a.up = c.path) || '}'""")}, path, token FROM context c
+UNION ALL SELECT 'aggregate', {_id_sql('aggregate', 'a.token', 'a.up', """'{"commandNames":' || (SELECT """ + _texts('c.token') + """ FROM command c WHERE c.up = a.path) || ',"entityNames":' || (SELECT """ + _texts('e.token') + """ FROM entity e WHERE e.up = a.path) || ',"eventNames":' || (SELECT """ + _texts('v.token') + """ FROM event v WHERE v.up = a.path) || ',"identityField":"custKey"}'""")}, path, token FROM aggregate a
+UNION ALL SELECT 'entity', {_id_sql('entity', 'e.token', 'e.up', """'{"fieldNames":["balance","cust_key"],"table":"t' || c_custkey || '"}'""")}, path, token FROM entity e
+UNION ALL SELECT 'field', {_id_sql('field', "translate(token, '-', '_')", 'up', 'json')}, path, translate(token, '-', '_') FROM field
+UNION ALL SELECT 'event', {_id_sql('event', 'token', 'up', """'{"payload":[],"topic":"topic.' || name || '"}'""")}, path, token FROM event
+UNION ALL SELECT 'command', {_id_sql('command', 'c.token', 'c.up', """'{"emits":' || (SELECT """ + _texts('m.e') + """ FROM emitted m WHERE m.path = c.path) || ',"method":"POST","rules":' || CASE k WHEN 'Open' THEN '["r_10","R-2"]' ELSE '[]' END || '}'""")}, path, token FROM command c
+UNION ALL SELECT 'rule', {_id_sql('rule', _token('r'), 'path', """'{"source":"' || CASE r WHEN 'R-2' THEN 'a > 1' ELSE 'b == 2' END || '","type":"GUARD"}'""")}, path || '/rules/' || translate({_token('r')}, '_', '-'), r FROM command, (VALUES ('R-2'), ('r_10')) x(r) WHERE k = 'Open'""")
+def canonical_specs(spark: SparkSession, sf: str) -> DataFrame:
+    """Every item of specifications made of regions, nations, segments and customers, with its path and stable id."""
+    t, no_members = table(spark, sf, "customer"), f"CAST(array() AS {schemas._MEMBERS})"
+    t = t.join(table(spark, sf, "nation"), c("n_nationkey") == c("c_nationkey")).join(table(spark, sf, "region"), c("r_regionkey") == c("n_regionkey"))
+    member = lambda name, kind, key: f"named_struct('name', '{name}', 'type', {kind}, 'pk', {key}, 'nullable', {'false' if key == 'true' else 'CAST(NULL AS BOOLEAN)'})"
+    balance = "IF(c_acctbal < 0, 'int', 'double')"
+    entity = F.expr(f"named_struct('name', c_name, 'table', concat('t', c_custkey), 'fields', array({member('custKey', chr(39) + 'long' + chr(39), 'true')}, {member('balance', balance, 'CAST(NULL AS BOOLEAN)')}))")
+    event = lambda name: f"named_struct('name', '{name}', 'topic', 'topic.{name}', 'format', CAST(NULL AS STRING), 'payload', {no_members})"
+    no_rules = "CAST(array() AS array<struct<id:string, type:string, ensure:string>>)"
+    command = lambda name, rules, emits: f"named_struct('name', '{name}', 'method', 'POST', 'path', CAST(NULL AS STRING), 'input', {no_members}, 'rules', {rules}, 'emits', array({emits}))"
+    ruled = "array(named_struct('id', 'r_10', 'type', 'GUARD', 'ensure', 'b == 2'), named_struct('id', 'R-2', 'type', 'GUARD', 'ensure', 'a > 1'))"
+    aggregates = t.groupBy("r_regionkey", "r_name", "n_name", "c_mktsegment").agg(F.collect_list(entity).alias("entities"))
+    aggregate = F.expr(f"""named_struct('name', concat('Market', c_mktsegment), 'identity', named_struct('type', 'long', 'field', 'custKey'), 'entities', entities,
+      'events', array({event('Opened')}, {event('BalanceChanged')}, {event('closed-Down')}), 'commands', array({command('Open', ruled, "'Opened', 'nothing'")}, {command('changeBalance', no_rules, "'balance_changed', 'closed-Down', 'Closed Down'")}),
+      'machine', CAST(NULL AS struct<name:string, initial:string, states:array<string>, transitions:array<struct<on:string, from:array<string>, to:string>>>), 'hooks', CAST(array() AS array<struct<name:string, signature:string, optional:boolean>>))""")
+    contexts = aggregates.groupBy("r_regionkey", "r_name", "n_name").agg(F.collect_list(aggregate).alias("aggregates"))
+    specs = contexts.groupBy("r_regionkey", "r_name").agg(F.collect_list(F.struct(c("n_name").alias("name"), "aggregates")).alias("bounded_contexts"))
+    specs = specs.selectExpr(
+        "1 AS schema_version", "named_struct('name', concat('Region', r_name), 'base_package', concat('org.', r_regionkey)) AS service", "CAST(NULL AS BOOLEAN) AS generation", "CAST(NULL AS BOOLEAN) AS external",
+        "CAST(NULL AS struct<page:int, batch:int, cache:boolean>) AS performance", "CAST(NULL AS struct<delivery:string, key:string, attempts:int, backoff:string, dlq:string>) AS messaging", "CAST(NULL AS array<string>) AS tags", "bounded_contexts",
+    )
+    return canonical.canonical_items(canonical.canonical_specs(specs))
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:

@@ -23,3 +23,11 @@ VALIDATIONS = "source string, id string, target_id string, annotation string, or
 SECURITIES = "source string, id string, target_id string, kind string, expression string, ordinal long"
 RUNS = "id string, project_id string, parent_run_id string, kind string, status string, started_at timestamp, finished_at timestamp, artifact_path string, metadata_json string, log_text string"
 STAGES = "array<struct<kind:string, status:string, runId:string, artifactPath:string, startedAt:string, finishedAt:string, detail:string>>"
+_MEMBERS = "array<struct<name:string, type:string, pk:boolean, nullable:boolean>>"
+SPEC = (
+    "schema_version int, service struct<name:string, base_package:string>, generation boolean, external boolean, performance struct<page:int, batch:int, cache:boolean>, "
+    "messaging struct<delivery:string, key:string, attempts:int, backoff:string, dlq:string>, tags array<string>, bounded_contexts array<struct<name:string, aggregates:array<struct<name:string, identity:struct<type:string, field:string>, "
+    f"entities:array<struct<name:string, table:string, fields:{_MEMBERS}>>, events:array<struct<name:string, topic:string, format:string, payload:{_MEMBERS}>>, "
+    f"commands:array<struct<name:string, method:string, path:string, input:{_MEMBERS}, rules:array<struct<id:string, type:string, ensure:string>>, emits:array<string>>>, "
+    "machine:struct<name:string, initial:string, states:array<string>, transitions:array<struct<on:string, from:array<string>, to:string>>>, hooks:array<struct<name:string, signature:string, optional:boolean>>>>>>"
+)

@@ -1,5 +1,6 @@
 """Goldens on tiny tables: ids, names, trees, lineage, scans, snapshot, synthesis, validation, runs."""
 
+import hashlib
 import itertools
 import random
 import time
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph import schemas
 from quillgraph.functions import text as fx
 from quillgraph.operators import compare, hierarchy, lookup, merge, numbering, retrieval, rules
-from quillgraph.plans import document, queries, runs, snapshot
+from quillgraph.plans import canonical, document, queries, runs, snapshot
 from quillgraph.sources import files, scans
 
 
@@ -435,6 +436,39 @@ def test_rules(spark):
     assert compare.rule_problem(rows, "state == OPEN") == "RULE_UNKNOWN_IDENTIFIER"
 
 
+def test_canonical_tree_of_a_specification(spark):
+    """Paths of a service with one context, aggregate, command and event; defaults; order; ids that hold still, whatever the order of what is written."""
+    none = {"schema_version": 1, "generation": None, "external": None, "performance": None, "tags": None}
+    field = lambda name, pk=None, nullable=None: {"name": name, "type": "String", "pk": pk, "nullable": nullable}
+    event = {"name": "TaskSubmitted", "topic": "tasks", "format": "json", "payload": [field("taskId"), field("at")]}
+    commands = [
+        {"name": "SubmitTask", "method": "POST", "path": "/tasks", "input": [field("zeta"), field("Alpha")], "rules": [{"id": "R_2", "type": "VALIDATION", "ensure": "a"}, {"id": "R-1", "type": "GUARD", "ensure": "b"}], "emits": ["task_submitted", "TaskSubmitted", "gone"]},
+        {"name": "approve", "method": None, "path": None, "input": None, "rules": None, "emits": None},
+    ]
+    machine = {"name": "Life", "initial": "NEW", "states": ["OPEN", "NEW"], "transitions": [{"on": "Submit Task", "from": ["OPEN", "NEW"], "to": "DONE"}, {"on": "Approve", "from": ["DONE"], "to": "NEW"}]}
+    aggregate = {"name": "TaskRequest", "identity": {"type": "UUID", "field": "taskId"}, "entities": [{"name": "TaskEntity", "table": "task", "fields": [field("taskId", True, False), field("Name")]}], "events": [event], "commands": commands, "machine": machine, "hooks": [{"name": "h", "signature": "x()", "optional": None}]}
+    spec = none | {"service": {"name": "test-service", "base_package": "a.b"}, "messaging": {"delivery": None, "key": None, "attempts": None, "backoff": None, "dlq": None}, "bounded_contexts": [{"name": "core", "aggregates": [aggregate]}]}
+    turned = spec | {"bounded_contexts": [{"name": "core", "aggregates": [aggregate | {"commands": commands[::-1], "entities": [aggregate["entities"][0] | {"fields": aggregate["entities"][0]["fields"][::-1]}]}]}], "messaging": None}
+    bare = none | {"service": {"name": "Bare", "base_package": None}, "messaging": None, "bounded_contexts": None}
+    rows = canonical.canonical_specs(spark.createDataFrame([spec, turned, bare], schemas.SPEC)).collect()
+    first, second, third = sorted(rows, key=lambda r: (r.service.name == "Bare", r.settings.key is not None))
+    path = "/services/test-service/bounded-contexts/core/aggregates/task-request"
+    made = first.contexts[0].aggregates[0]
+    assert first.service.path == "/services/test-service" and made.path == path
+    assert [x.name for x in made.commands] == ["approve", "SubmitTask"] and made.commands[1].emits == [f"{path}/events/task-submitted"] * 2 and made.commands[1].unknown_emits == ["gone"]
+    assert [f.path for f in made.commands[1].input] == [f"{path}/commands/submit-task/input/fields/alpha", f"{path}/commands/submit-task/input/fields/zeta"]
+    assert [(r.name, r.path) for r in made.commands[1].rules] == [("R-1", f"{path}/commands/submit-task/rules/r-1"), ("R_2", f"{path}/commands/submit-task/rules/r-2")]
+    assert [(f.name, f.pk, f.nullable) for f in made.entities[0].fields] == [("Name", False, True), ("taskId", True, False)]
+    assert made.machine.states == ["NEW", "OPEN"] and [(t.command, t["from"]) for t in made.machine.transitions] == [(f"{path}/commands/approve", ["DONE"]), (f"{path}/commands/submit-task", ["NEW", "OPEN"])]
+    assert first.contexts == second.contexts and third.contexts == []
+    assert (first.settings.key, first.settings.dlq, first.settings.attempts) == (None, None, 3) and (second.settings.key, second.settings.dlq) == ("requestId", "default.dlq") and third.settings.page == 100
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert made.events[0].id == sha(f"event|task_submitted|{path}|" + sha('{"payload":["at","task_id"],"schemaFormat":"json","topic":"tasks"}'))
+    assert first.service.id == sha("service|test_service|/|" + sha('{"basePackage":"a.b"}'))
+    kinds = Counter(r.kind for r in canonical.canonical_items(canonical.canonical_specs(spark.createDataFrame([spec], schemas.SPEC))).collect())
+    assert kinds == {"service": 1, "boundedContext": 1, "aggregate": 1, "entity": 1, "field": 2, "event": 1, "command": 2, "rule": 2}
+
+
 def written_out(rule):
     """A rule's nodes as text with all parentheses, or why it can't be read."""
     try:
