@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import lookup, retrieval, rules
-from ..sources.files import written
+from ..sources.files import temporary, written
+from ..sources.store import VersionedTable
 from . import canonical, document, observed
 from .queries import NODES_SQL, ORACLES, QUERIES, c, evidence_nodes, hierarchical_rollup, query, table  # noqa: F401  the entry takes some from here
 
@@ -280,6 +281,40 @@ def canonical_specs(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical_items(canonical.canonical_specs(specs))
 
 
+# Versioned graphs
+
+
+@query("""SELECT 'v' || c_nationkey % 3 AS version, 'c' || c_custkey AS node_id, CASE WHEN c_acctbal > 3000 AND c_nationkey % 3 < 2 THEN 'Good ' ELSE '' END || c_name AS name, 'customer' AS kind FROM customer
+UNION ALL SELECT 'v0', 's' || s_suppkey, s_name, 'supplier' FROM supplier""")
+def versioned_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers put into three versions, some renamed in two of them, suppliers added to one, and a commit repeated."""
+    graph = VersionedTable(spark, temporary(spark, "graph"), "node_id string, name string, kind string", ["node_id"])
+    customers = table(spark, sf, "customer").select(F.concat(F.lit("c"), c("c_custkey").cast("string")).alias("node_id"), c("c_name").alias("name"), F.lit("customer").alias("kind"), "c_acctbal", "c_nationkey")
+    for n in range(3):
+        own = customers.filter(c("c_nationkey") % 3 == n)
+        graph.upsert(own, f"v{n}", f"load-{n}")
+        if n < 2:
+            graph.upsert(own.filter("c_acctbal > 3000").withColumn("name", F.concat(F.lit("Good "), c("name"))), f"v{n}", f"rename-{n}")
+    graph.upsert(table(spark, sf, "supplier").select(F.concat(F.lit("s"), c("s_suppkey").cast("string")).alias("node_id"), c("s_name").alias("name"), F.lit("supplier").alias("kind")), "v0", "suppliers")
+    graph.upsert(customers.filter(c("c_nationkey") % 3 == 0), "v0", "load-0")
+    return graph.rows().select("version", "node_id", "name", "kind")
+
+
+@query(f"""WITH items AS ({ORACLES['synthesized_items']}), {CITES_SQL}
+SELECT 'nodes' AS part, id AS source, kind AS target, 'semantic:' || name AS type FROM items UNION ALL SELECT 'nodes', id, kind, 'evidence:' || label FROM n
+UNION ALL SELECT 'links', parent_id, id, CASE kind WHEN 'interface' THEN 'DECLARES' WHEN 'operation' THEN 'DECLARES' WHEN 'datastore' THEN 'USES' WHEN 'integration' THEN 'INTEGRATES_WITH' WHEN 'workflow' THEN 'RUNS' WHEN 'rule' THEN 'CONSTRAINS' WHEN 'scenario' THEN 'DESCRIBES' END
+  FROM items WHERE parent_id IS NOT NULL AND kind <> 'note'
+UNION ALL SELECT 'links', owner_id, node, 'DERIVED_FROM' FROM cites UNION ALL SELECT 'links', a.id, b.id, 'FOLLOWS' FROM n a JOIN n b ON b.ordinal = a.ordinal * 3""")
+def graph_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """Both layers of the graph as versioned nodes and links; edges lead from each document to that of three times its number, where there is one."""
+    nodes, refs = evidence_nodes(spark, sf)
+    nodes = written(nodes, "nodes")
+    items, citations = (written(x, "document") for x in document.synthesize(spark, nodes, refs))
+    edges = nodes.select(c("id").alias("source"), F.concat(F.lit("d"), (c("ordinal") * 3).cast("string")).alias("target"), F.lit("FOLLOWS").alias("kind"))
+    found, links = document.graph_projection(items, citations, nodes, edges, "v1")
+    return found.select(F.lit("nodes").alias("part"), c("node_id").alias("source"), c("kind").alias("target"), F.concat_ws(":", "layer", "name").alias("type")).unionByName(links.select(F.lit("links").alias("part"), "source", "target", "type"))
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:

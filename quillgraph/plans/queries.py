@@ -747,16 +747,34 @@ def stage_status(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT user_id, max(ts) AS ts, arg_max(event_type, ts) AS event_type, arg_max(event_id, ts) AS event_id FROM events GROUP BY 1""")
 def stage_progress_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The latest event per user, kept by a stream over the events' files that drains what is there; equal to the batch form."""
-    import uuid
+    from ..streaming import runs as live
 
+    source = table(spark, sf, "events")
+    base = files.temporary(spark, "states")
+    live.upsert_stream(live.run_events(spark, f"{sf}/events.parquet", source.schema), f"{base}/log", ["user_id"], "ts", f"{base}/progress").awaitTermination()
+    log = live.StateLog(spark, f"{base}/log", source.schema, ["user_id"], "ts")
+    log.compact()
+    return log.latest().select("user_id", "ts", "event_type", "event_id")
+
+
+@query("""WITH e AS (SELECT *, lag(ts) OVER w AS before, lag(event_type) OVER w AS was FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+r AS (SELECT *, sum(CASE WHEN before IS NULL OR was IN ('purchase', 'error') OR ts - before > INTERVAL 36 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM e),
+g AS (SELECT user_id, run, min(ts) AS started, max(ts) AS last, count(*) AS n, arg_max(event_type, ts) AS final FROM r GROUP BY 1, 2),
+s AS (SELECT *, CASE final WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'error' THEN 'FAILED' WHEN NULL THEN NULL ELSE 'TIMED_OUT' END AS status, run < max(run) OVER (PARTITION BY user_id) AS over FROM g)
+SELECT user_id, CAST(run AS BIGINT) AS run, started, CASE status WHEN 'TIMED_OUT' THEN last + INTERVAL 36 HOUR ELSE last END AS ended, status, n FROM s
+WHERE status <> 'TIMED_OUT' OR over OR last + INTERVAL 36 HOUR < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+def ended_runs_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' runs of events that a purchase or an error ends, or 36 hours of silence: keyed state with a watermark and timers, equal to the batch form."""
     from ..streaming import runs as live
 
     source = table(spark, sf, "events")
-    events = live.run_events(spark, f"{sf}/events.parquet", source.schema)
-    base = f"{files.shared_dir(spark)}/states-{uuid.uuid4().hex[:12]}"
-    live.upsert_stream(events, f"{base}/log", ["user_id"], "ts", f"{base}/progress").awaitTermination()
-    log = spark.read.schema(source.schema).parquet(f"{base}/log")
-    return runs.latest_per_key(log, ["user_id"], "ts", "event_id").select("user_id", "ts", "event_type", "event_id")
+    kind = F.when(c("event_type") == "purchase", "SUCCEEDED").when(c("event_type") == "error", "FAILED").otherwise("RUNNING")
+    events = live.run_events(spark, f"{sf}/events.parquet", source.schema).select(c("user_id").alias("key"), c("ts").cast("timestamp").alias("at"), kind.alias("status"))
+    base = files.temporary(spark, "ended")
+    found = live.ended_runs(events, 36 * 3600, "1 hour")
+    live.append_stream(found, f"{base}/runs", f"{base}/progress").awaitTermination()
+    ended = spark.read.schema(found.schema).parquet(f"{base}/runs")
+    return ended.select(c("key").alias("user_id"), "run", *(c(name).cast(source.schema["ts"].dataType).alias(name) for name in ("started", "ended")), "status", "n")
 
 
 # Code models

@@ -24,13 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "/tmp/checkpoints"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back; the table is deleted when the driver ends."""
-    spark = df.sparkSession
+def temporary(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     _written[path] = spark
+    return path
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """Write df once as Parquet in the shared folder and read it back; the table is deleted when the driver ends."""
+    path = temporary(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _written: dict[str, SparkSession] = {}

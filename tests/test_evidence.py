@@ -13,7 +13,8 @@ from quillgraph import schemas
 from quillgraph.functions import text as fx
 from quillgraph.operators import compare, hierarchy, lookup, merge, numbering, retrieval, rules
 from quillgraph.plans import canonical, document, queries, runs, snapshot
-from quillgraph.sources import files, scans
+from quillgraph.sources import files, scans, store
+from quillgraph.streaming import runs as live
 
 
 def value(spark, column):
@@ -513,6 +514,86 @@ def test_rule_diagnostics_by_layer(spark):
     assert rules.rule_diagnostics(frame.limit(0), table).count() == 0 and rules.rule_diagnostics(frame, table.limit(0)).filter("code = 'RULE_UNKNOWN_IDENTIFIER'").count() > 8
 
 
+def brute_runs(events, timeout, watermark):
+    out = []
+    for key in {e[0] for e in events}:
+        run, is_open, last, started, n = 0, False, 0, 0, 0
+        for _, at, status in sorted(e for e in events if e[0] == key):
+            if is_open and at - last > timeout:
+                out.append((key, run, started, last + timeout, "TIMED_OUT", n))
+                is_open = False
+            if not is_open:
+                run, started, n, is_open = run + 1, at, 0, True
+            last, n = at, n + 1
+            if status in live.TERMINAL:
+                out.append((key, run, started, at, status, n))
+                is_open = False
+        if is_open and last + timeout < watermark:
+            out.append((key, run, started, last + timeout, "TIMED_OUT", n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("files_at_once", [1, 4])
+def test_runs_end_by_state_or_silence_over_many_batches(spark, tmp_path, files_at_once):
+    rng = random.Random(files_at_once)
+    at = sorted(rng.sample(range(10_000), 300))
+    events = [(rng.choice("abcdef"), t, rng.choice(["RUNNING"] * 6 + ["SUCCEEDED", "FAILED"])) for t in at] + [("silent", 5, "RUNNING"), ("done", 7, "SUCCEEDED"), ("z", 10_050, "RUNNING")]
+    events.sort(key=lambda e: e[1])
+    for k in range(8):  # one file after the other in time
+        part = spark.createDataFrame(events[len(events) * k // 8 : len(events) * (k + 1) // 8], "key string, at long, status string").selectExpr("key", "timestamp_seconds(at) AS at", "status")
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+        time.sleep(0.02)
+    found = live.ended_runs(live.run_events(spark, f"{tmp_path}/events", "key string, at timestamp, status string", files_at_once), 400, "10 seconds")
+    for _ in range(2):  # a second drain finds nothing new
+        live.append_stream(found, f"{tmp_path}/out", f"{tmp_path}/progress").awaitTermination()
+        got = spark.read.schema(found.schema).parquet(f"{tmp_path}/out").selectExpr("key", "run", "unix_seconds(started)", "unix_seconds(ended)", "status", "n").collect()
+        assert sorted(map(tuple, got)) == brute_runs(events, 400, 10_040)
+    assert {r.status for r in got} == {"SUCCEEDED", "FAILED", "TIMED_OUT"}
+
+
+def test_a_log_of_states_is_compacted(spark, tmp_path):
+    rows = [(k % 7, k, f"s{k}") for k in range(40)]
+    log = live.StateLog(spark, f"{tmp_path}/log", "key long, at long, state string", ["key"], "at")
+    assert log.latest().count() == 0
+    log.compact()
+    want = {(k, max(r[1] for r in rows if r[0] == k)) for k in range(7)}
+    for n in range(4):
+        spark.createDataFrame(rows[n * 10 : n * 10 + 10], "key long, at long, state string").write.parquet(f"{tmp_path}/log/batch={n}")
+        if n in (1, 3):
+            seen = {tuple(r) for r in log.latest().collect()}
+            (tmp_path / "log" / "upto=9").mkdir(exist_ok=True)  # what an attempt that broke off leaves
+            log.compact()
+            log.compact()
+            assert {tuple(r) for r in log.latest().collect()} == seen
+            assert sorted(p.name for p in (tmp_path / "log").iterdir()) == [f"upto={n}", "upto=9"]
+    assert {(r.key, r.at) for r in log.latest().collect()} == want
+
+
+def test_versioned_table_takes_replays(spark, tmp_path):
+    table = store.VersionedTable(spark, f"{tmp_path}/graph", "node_id string, name string, seen long", ["node_id"], buckets=4)
+    rows = lambda pairs: spark.createDataFrame([(i, n, k) for k, (i, n) in enumerate(pairs)], "node_id string, name string, seen long")
+    state = lambda version=None: {(r.version, r.node_id): r.name for r in table.rows(version).collect()}
+    assert state() == {}
+    first = [(f"n{k}", f"a{k}") for k in range(20)]
+    assert table.upsert(rows(first), "v1", "c1")
+    assert table.upsert(rows([("n3", "late"), ("n3", "later"), ("new", "x")]), "v1", "c2", "seen")
+    assert table.upsert(rows([("n3", "other")]), "v2", "c3")
+    want = {("v1", i): n for i, n in first} | {("v1", "n3"): "later", ("v1", "new"): "x", ("v2", "n3"): "other"}
+    assert state() == want and state("v2") == {("v2", "n3"): "other"}
+    files_before = sorted(p for p in (tmp_path / "graph").rglob("*.parquet"))
+    assert not table.upsert(rows([("n3", "never")]), "v1", "c2", "seen") and not table.upsert(rows(first), "v1", "c1")
+    assert state() == want and sorted(p for p in (tmp_path / "graph").rglob("*.parquet")) == files_before
+    # A commit that wrote its data and broke off before it was listed: readers don't see it, and it can be repeated.
+    whole = table._written
+    table._written = None
+    with pytest.raises(TypeError):
+        table.upsert(rows([("n5", "half"), ("n6", "half")]), "v1", "c4")
+    table._written = whole
+    assert state() == want
+    assert table.upsert(rows([("n5", "whole")]), "v1", "c4") and state() == want | {("v1", "n5"): "whole"}
+    assert table.upsert(rows([]), "v1", "c5") and state() == want | {("v1", "n5"): "whole"}
+
+
 def test_migrations_in_order(spark):
     fields = spark.createDataFrame([("employeeId",), ("other",)], "field string")
     steps = [{"column": "field", "old": "employeeId", "new": "staffId"}, {"column": "field", "old": "none", "new": "x"}]
