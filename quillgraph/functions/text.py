@@ -112,9 +112,11 @@ def clean_line(c: Column) -> Column:
 
 
 def elapsed(start: Column, end: Column) -> Column:
-    """`1h 2m 3s` without leading zero units; empty when it can't be told."""
+    """`2h 5m`, `5m 9s`, `9s`: the two largest units, without those that are zero; empty when it can't be told."""
     s = F.unix_timestamp(end) - F.unix_timestamp(start)
-    text = F.concat_ws(" ", F.when(s >= 3600, F.concat(F.floor(s / 3600), F.lit("h"))), F.when(s >= 60, F.concat(F.floor(s / 60) % 60, F.lit("m"))), F.concat(s % 60, F.lit("s")))
+    unit = lambda n, name, always=False: F.when(F.lit(always) | (n > 0), F.concat(n.cast("string"), F.lit(name)))
+    hours, minutes, seconds = F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60
+    text = F.when(s < 60, unit(s, "s", True)).when(hours > 0, F.concat_ws(" ", unit(hours, "h"), unit(minutes, "m"))).otherwise(F.concat_ws(" ", unit(minutes, "m"), unit(seconds, "s")))
     return F.when(s.isNull() | (s < 0), F.lit("")).otherwise(text)
 
 
@@ -122,15 +124,17 @@ def storage_type(spec: Column) -> Column:
     return F.coalesce(F.create_map(*(F.lit(x) for kv in STORAGE_TYPES.items() for x in kv))[spec], F.lit("varchar(255)"))
 
 
-def http_verb(annotation: Column) -> Column:
-    """GetMapping -> GET; a plain request mapping names no verb."""
-    verb = F.upper(F.regexp_extract(annotation, "^(Get|Post|Put|Delete|Patch)(?:Mapping)?$", 1))
-    return F.when(verb != "", verb)
+def http_verb(annotation: Column, method: Column | None = None) -> Column:
+    """GetMapping -> GET; a plain request mapping names its verb in its `method`, what follows the last dot there; other annotations have none."""
+    verb = F.upper(F.regexp_extract(annotation, "^(Get|Post|Put|Delete|Patch)Mapping$", 1))
+    named = F.lit(None).cast("string") if method is None else F.regexp_replace(method, r"^.*\.([A-Z]+).*$", "$1")
+    return F.when(verb != "", verb).when(annotation == "RequestMapping", named)
 
 
 def coerced_literal(c: Column) -> Column:
-    """The kind of a literal text: boolean, number, duration or string."""
-    return F.when(c.rlike("^(true|false)$"), "boolean").when(c.try_cast("decimal(38,10)").isNotNull(), "number").when(c.rlike(r"^-?P(?=[0-9T])(\d+D)?(T(\d+H)?(\d+M)?(\d+(\.\d+)?S)?)?$"), "duration").otherwise("string")
+    """The kind of a literal text: boolean, number, duration or string; null for a duration that can't be."""
+    whole = c.rlike(r"^P(?=[0-9T])(\d+D)?(T(?=[0-9])(\d+H)?(\d+M)?(\d+S)?)?$")
+    return F.when(c.rlike("^(true|false)$"), "boolean").when(c.rlike(r"^-?\d+(\.\d+)?$"), "number").when(c.rlike("^P[T0-9HMSD]+$"), F.when(whole, "duration")).otherwise("string")
 
 
 def terms(c: Column, longer_than: int, distinct: bool) -> Column:
@@ -140,9 +144,18 @@ def terms(c: Column, longer_than: int, distinct: bool) -> Column:
 
 
 def scenario_owner(c: Column) -> Column:
-    """Class named by a scenario id: without prefix, before `#`, last dotted part, without a trailing Impl."""
-    bare = F.substring_index(F.regexp_replace(c, "^(?:scenario|sc|code)[:-]", ""), "#", 1)
-    return F.regexp_replace(F.substring_index(bare, ".", -1), "(.)Impl$", "$1")
+    """What a scenario's subject belongs to: without prefixes, before `#`; of a dotted name the last part without a trailing Impl; `Derived semantic scenarios` where nothing is left."""
+    bare = c
+    for prefix in ("scenario:", "operation:", "job:"):
+        bare = F.regexp_replace(bare, f"^{prefix}", "")
+    owner = F.substring_index(F.coalesce(bare, F.lit("")), "#", 1)
+    return F.when(F.contains(owner, F.lit(".")), F.regexp_replace(F.substring_index(owner, ".", -1), "Impl$", "")).when(owner != "", owner).otherwise("Derived semantic scenarios")
+
+
+def scenario_class(c: Column) -> Column:
+    """The simple class name before the `#` of a scenario id; null without one."""
+    bare = F.replace(F.replace(c, F.lit("scenario:operation:"), F.lit("")), F.lit("job:"), F.lit(""))
+    return F.when(F.instr(bare, "#") > 1, F.substring_index(F.substring_index(bare, "#", 1), ".", -1))
 
 
 def contains_any(c: Column, keywords: list[str]) -> Column:
@@ -210,16 +223,74 @@ def annotation_values(annotations: Column, name: str, attribute: str) -> Column:
     return F.filter(parts, lambda p: p.rlike(r"\S"))
 
 
+def _first_annotation(annotations: Column, names: tuple[str, ...]) -> Column:
+    return F.get(F.filter(annotations, lambda a: a["name"].isin(*names)), F.lit(0))
+
+
 def annotation_attribute(annotations: Column, names: tuple[str, ...], attributes: tuple[str, ...], default: Column) -> Column:
-    """The first of some attributes of the first annotation that has one of some names; quotes dropped."""
-    first = F.get(F.filter(annotations, lambda a: a["name"].isin(*names)), F.lit(0))
-    return F.coalesce(F.replace(F.coalesce(*(first["values"][a] for a in attributes)), F.lit('"'), F.lit("")), default)
+    """Of the first annotation that has one of some names the first value that is one of some attributes; quotes dropped. The default where there is none."""
+    values = F.filter(F.map_entries(_first_annotation(annotations, names)["values"]), lambda e: e["key"].isin(*attributes) & e["value"].isNotNull())
+    return F.coalesce(F.replace(F.get(values, F.lit(0))["value"], F.lit('"'), F.lit("")), default)
+
+
+def annotation_boolean(annotations: Column, names: tuple[str, ...], attribute: str) -> Column:
+    """A flag of the first annotation that has one of some names: whether it says true; null if it says nothing."""
+    return F.lower(_first_annotation(annotations, names)["values"][attribute]) == "true"
+
+
+#: Annotation names that decide (fixed values).
+NOT_NULL = ("NotNull", "NotBlank", "NotEmpty")
+RELATIONS = ("OneToMany", "ManyToOne", "ManyToMany", "OneToOne")
+VALIDATIONS = ("Valid", "NotNull", "NotBlank", "NotEmpty", "Positive", "PositiveOrZero", "Min", "Max", "Size", "Pattern", "Email", "Past", "Future")
+STEREOTYPES = ("Component", "Service", "Controller", "RestController", "Repository", "Configuration")
+#: What on a class path tells the database's dialect, first match (fixed values).
+DIALECTS = (("postgresql", "PostgreSQL"), ("mariadb", "MariaDB"), ("mysql", "MySQL"), ("sqlserver", "SQLServer"), ("mssql", "SQLServer"), ("oracle", "Oracle"), ("/h2", "H2"), (" h2-", "H2"), ("h2database", "H2"))
+
+
+def explicit_nullable(annotations: Column) -> Column:
+    """What a column mapping says, else false where a constraint forbids null, else null."""
+    forbidden = F.exists(annotations, lambda a: a["name"].isin(*NOT_NULL))
+    return F.coalesce(annotation_boolean(annotations, ("Column", "JoinColumn"), "nullable"), F.when(forbidden, F.lit(False)))
+
+
+def explicit_key(annotations: Column) -> Column:
+    """True for identities, else null."""
+    return F.when(F.exists(annotations, lambda a: a["name"].isin("Id", "EmbeddedId")), F.lit(True))
+
+
+def relation_type(annotations: Column) -> Column:
+    """The name of the first annotation that makes a relation."""
+    return _first_annotation(annotations, RELATIONS)["name"]
+
+
+def is_validation(annotation: Column) -> Column:
+    return annotation["name"].isin(*VALIDATIONS) | F.coalesce(annotation["qualified_name"].startswith("jakarta.validation"), F.lit(False))
+
+
+def bean_name(simple: Column, annotations: Column) -> Column:
+    """The first non-blank name that a stereotype gives, else the class name with a small first letter."""
+    named = F.transform(F.filter(annotations, lambda a: a["name"].isin(*STEREOTYPES)), lambda a: annotation_attribute(F.array(a), STEREOTYPES, ("value", "name"), F.lit("")))
+    return F.coalesce(F.get(F.filter(named, lambda n: n.rlike(r"\S")), F.lit(0)), F.concat(F.lower(F.left(simple, F.lit(1))), F.substr(simple, F.lit(2))))
+
+
+def visibility(modifiers: Column) -> Column:
+    """Of an array of modifiers: public, protected, private, or package."""
+    has = lambda m: F.array_contains(modifiers, m)
+    return F.when(has("public"), "public").when(has("protected"), "protected").when(has("private"), "private").otherwise("package")
+
+
+def database_dialect(classpath: Column) -> Column:
+    """The dialect that a class path (an array of entries) asks for; null if none is known."""
+    joined, out = F.lower(F.array_join(classpath, " ")), F
+    for sign, name in DIALECTS:
+        out = out.when(F.contains(joined, F.lit(sign)), f"org.hibernate.dialect.{name}Dialect")
+    return out
 
 
 def null_checks(predicates: Column) -> Column:
-    """What branch conditions compare with null: structs of text and whether equality is asked."""
-    of = lambda sign, equal: F.transform(F.filter(predicates, lambda p: F.contains(p, F.lit(sign))), lambda p: F.struct(F.trim(F.replace(p, F.lit(sign), F.lit(""))).alias("text"), F.lit(equal).alias("is_null")))
-    return F.concat(of("== null", True), of("!= null", False))
+    """What branch conditions compare with null, in order: structs of text and whether equality is asked."""
+    of = lambda p, sign, equal: F.when(F.contains(p, F.lit(sign)), F.struct(F.trim(F.replace(p, F.lit(sign), F.lit(""))).alias("text"), F.lit(equal).alias("is_null")))
+    return F.flatten(F.transform(predicates, lambda p: F.array_compact(F.array(of(p, "== null", True), of(p, "!= null", False)))))
 
 
 def unfenced(c: Column) -> Column:
@@ -239,10 +310,25 @@ def fatal(c: Column) -> Column:
 
 
 def camel_case(c: Column) -> Column:
-    """Words of a name run together, each but the first with a capital."""
-    words = F.filter(F.split(c, "[^A-Za-z0-9]+"), lambda w: w != "")
-    head = lambda w, i: F.when(i == 0, F.lower(F.left(w, F.lit(1)))).otherwise(F.upper(F.left(w, F.lit(1))))
-    return F.array_join(F.transform(words, lambda w, i: F.concat(head(w, i), F.substr(w, F.lit(2)))), "")
+    """Hyphens and underscores go, and what follows them has a capital; all else stays."""
+    parts = F.split(c, "[-_]+")
+    return F.array_join(F.transform(parts, lambda w, i: F.when(i == 0, w).otherwise(F.concat(F.upper(F.left(w, F.lit(1))), F.substr(w, F.lit(2))))), "")
+
+
+def folder_package(c: Column) -> Column:
+    """A folder's name as a package: lower case, dots for hyphens and underscores."""
+    return F.translate(F.lower(c), "-_", "..")
+
+
+def endpoint_command(path: Column, verb: Column) -> Column:
+    """The last segment of a URL path that is no {placeholder}; `Command` where there is none, behind the verb in lower case where there is no path."""
+    named = F.try_element_at(F.filter(F.split(path, "/"), lambda s: s.rlike(r"\S") & ~s.startswith("{")), F.lit(-1))
+    return F.when(blank(path), F.concat(F.coalesce(F.lower(verb), F.lit("")), F.lit("Command"))).otherwise(F.coalesce(named, F.lit("Command")))
+
+
+def under_path(candidate: Column, path: Column) -> Column:
+    """Whether a path is another one, or goes on from it after `/`, `:` or `#`."""
+    return candidate.startswith(path) & ((candidate == path) | F.substr(candidate, F.length(path) + 1, F.lit(1)).isin("/", ":", "#"))
 
 
 def percent(c: Column) -> Column:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_path
 from ..sources.files import written
 
 
@@ -104,9 +105,9 @@ def value_guard(c: Column) -> Column:
 
 
 def combined_paths(prefixes: Column, paths: Column) -> Column:
-    """Every prefix before every path; an empty list counts as one empty entry."""
-    one = lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(F.lit("")))
-    return F.flatten(F.transform(one(prefixes), lambda a: F.transform(one(paths), lambda b: F.concat(a, b))))
+    """Every prefix before every path, normalised; where one list is empty the other as it is, where both are, the root."""
+    both = F.flatten(F.transform(prefixes, lambda a: F.transform(paths, lambda b: normalize_path(F.concat(a, F.lit("/"), b)))))
+    return F.when((F.size(prefixes) == 0) & (F.size(paths) == 0), F.array(F.lit("/"))).when(F.size(prefixes) == 0, paths).when(F.size(paths) == 0, prefixes).otherwise(both)
 
 
 #: Names that go to every task as one array; more meet the texts by an equi-join on grams of these lengths.

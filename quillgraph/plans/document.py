@@ -221,8 +221,10 @@ def valid_or_fallback(candidate: DataFrame, issues: DataFrame, fallback: DataFra
 
 
 def grouped_scenarios(scenarios: DataFrame) -> DataFrame:
-    """(owner, n, steps): scenarios (id, given, when, then) by the class that their id names, with the total of their steps."""
+    """(owner, n, steps): scenarios (id, name, cited array, given, when, then) by what their first cited node, else their id, else their name belongs to, with the total of their steps."""
     from ..functions.text import scenario_owner
 
+    some = lambda c: F.when(c != "", c)
+    subject = F.coalesce(F.get(F.filter("cited", lambda x: some(x).isNotNull()), F.lit(0)), some(F.col("id")), some(F.col("name")))
     steps = F.size("given") + F.size("when") + F.size("then")
-    return scenarios.groupBy(scenario_owner(F.col("id")).alias("owner")).agg(F.count("*").alias("n"), F.sum(steps).alias("steps"))
+    return scenarios.groupBy(scenario_owner(subject).alias("owner")).agg(F.count("*").alias("n"), F.sum(steps).alias("steps"))

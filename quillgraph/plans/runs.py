@@ -72,6 +72,24 @@ def chips(parts: Sequence[Column], most: int = 4) -> Column:
     return F.slice(F.filter(F.array(*parts), lambda x: F.coalesce(x != "", F.lit(False))), 1, most)
 
 
+def node_chips(kind: Column, path: Column, metadata: Column, stats: dict[str, Column]) -> Column:
+    """Up to four short texts of a lineage node, by its kind: counts (by the names of document.lineage()), facts, conflicts and evidence."""
+    fact = lambda name: F.coalesce(metadata[name], F.lit(""))
+    count = lambda name, text: F.concat(stats[name].cast("string"), F.lit(f" {text}"))
+    no = F.lit("")
+    path = F.coalesce(path, no)
+    pairs = [
+        ("service", count("bounded_contexts", "interfaces"), count("aggregates", "data stores")), ("interface", count("commands", "operations"), fact("protocol")), ("operation", F.trim(F.concat(F.upper(fact("method")), F.lit(" "), path)), no), ("datastore", path, no),
+        ("integration", fact("direction"), fact("kind")), ("workflow", fact("summary"), no), ("rule", fact("statement"), no), ("scenario", fact("then"), no), ("note", fact("detail"), no),
+    ]
+    first, second = F, F
+    for name, a, b in pairs:
+        first, second = first.when(kind == name, a), second.when(kind == name, b)
+    conflicts = F.when(stats["blocking"] > 0, count("blocking", "blocking")).when(stats["warning"] > 0, count("warning", "warnings")).otherwise("")
+    evidence = F.when(stats["evidence"] > 0, count("evidence", "evidence")).otherwise("No evidence")
+    return chips([first, second, conflicts, evidence])
+
+
 def hotspots(rows: DataFrame, measures: Sequence[str], top: int = 6) -> DataFrame:
     """(id, label, measure, count): the largest positive counts of each measure, ties by label."""
     from pyspark.sql import Window

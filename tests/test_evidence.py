@@ -68,14 +68,24 @@ def test_small_text_functions(spark):
     assert value(spark, fx.normalize_path(F.lit("a//b"))) == "/a/b" and value(spark, fx.normalize_path(F.lit("  "))) == "/"
     assert value(spark, fx.relationship_name(F.lit("Uses_It"))) == "U____I_"
     assert value(spark, fx.command_name(F.lit("/v1/tasks/{id}/submit/{x}"))) == "submit"
-    assert value(spark, fx.elapsed(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 02:05:09").cast("timestamp"))) == "2h 5m 9s"
+    assert value(spark, fx.elapsed(F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 02:05:09").cast("timestamp"))) == "2h 5m"
+    spent = lambda n: value(spark, fx.elapsed(F.timestamp_seconds(F.lit(1)), F.timestamp_seconds(F.lit(1 + n))))
+    assert [spent(n) for n in (0, 59, 60, 61, 3600, 3605, 7260, 90061, -1)] == ["0s", "59s", "1m", "1m 1s", "1h", "1h", "2h 1m", "25h 1m", ""]
     assert value(spark, fx.clean_line(F.lit("\x1b[31m  bad \t thing\x1b[0m "))) == "bad thing"
     assert [value(spark, fx.coerced_literal(F.lit(x))) for x in ("true", "12.5", "PT12H", "draft")] == ["boolean", "number", "duration", "string"]
     assert value(spark, fx.scenario_owner(F.lit("scenario:com.acme.OrderServiceImpl#place"))) == "OrderService"
     assert value(spark, fx.first_non_blank(lit(None), F.lit(" \t"), F.lit("x"))) == "x"
-    assert value(spark, fx.http_verb(F.lit("GetMapping"))) == "GET" and value(spark, fx.http_verb(F.lit("RequestMapping"))) is None
+    assert [value(spark, fx.scenario_owner(lit(x))) for x in ("job:Nightly", "operation:a.b.CImpl", "scenario:job:x.YImplZ#q", "", None, "#x")] == ["Nightly", "C", "YImplZ", *["Derived semantic scenarios"] * 3]
+    assert [value(spark, fx.scenario_class(lit(x))) for x in ("scenario:operation:a.b.C#m", "job:N#", "x.Y", "#m", None)] == ["C", "N", None, None, None]
+    assert [value(spark, fx.coerced_literal(F.lit(x))) for x in ("1e5", "+3", "-7", "P1D", "PT", "007")] == ["string", "string", "number", "duration", None, "number"]
+    verb = lambda name, method=None: value(spark, fx.http_verb(F.lit(name), lit(method)))
+    assert [verb("GetMapping"), verb("RequestMapping"), verb("RequestMapping", "RequestMethod.POST"), verb("RequestMapping", "PUT"), verb("Get")] == ["GET", None, "POST", "PUT", None]
+    assert [value(spark, fx.endpoint_command(lit(x), lit("GET"))) for x in ("/a/{b}", "/{a}/", " ", None)] == ["a", "Command", "getCommand", "getCommand"]
+    assert [value(spark, fx.under_path(F.lit(x), F.lit("/a"))) for x in ("/a", "/a/b", "/a#b", "/ab", "/")] == [True, True, True, False, False]
     assert value(spark, fx.storage_type(F.lit("UUID"))) == "uuid" and value(spark, fx.storage_type(F.lit("Other"))) == "varchar(255)"
     assert value(spark, lookup.combined_paths(F.array(F.lit("/a"), F.lit("/b")), F.array().cast("array<string>"))) == ["/a", "/b"]
+    texts = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    assert value(spark, lookup.combined_paths(texts("/a", "b/"), texts("c", "/d/"))) == ["/a/c", "/a/d/", "/b/c", "/b/d/"] and value(spark, lookup.combined_paths(texts(), texts())) == ["/"] and value(spark, lookup.combined_paths(texts(), texts("x"))) == ["x"]
 
 
 # trees
@@ -648,19 +658,43 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_more_text_functions(spark):
-    row = spark.createDataFrame([([("Mapping", "x.Mapping", {"path": '"/a", "/b", '}), ("Other", "x.Other", {})], ["x == null", "y != null && z"])], "annotations array<struct<name:string, qualified_name:string, values:map<string,string>>>, predicates array<string>")
+    row = spark.createDataFrame([([("Mapping", "x.Mapping", {"path": '"/a", "/b", '}), ("Other", "x.Other", {})], ["x == null", "y != null && z", "a != null || b == null", "n"])], "annotations array<struct<name:string, qualified_name:string, values:map<string,string>>>, predicates array<string>")
     got = row.select(
         fx.annotation_values(F.col("annotations"), "Mapping", "path").alias("v"), fx.annotation_attribute(F.col("annotations"), ("Nope", "Mapping"), ("value", "path"), F.lit("d")).alias("a"),
         fx.annotation_attribute(F.col("annotations"), ("Nope",), ("value",), F.lit("d")).alias("d"), fx.null_checks(F.col("predicates")).alias("n"),
     ).first()
-    assert got.v == ["/a", "/b"] and got.a == "/a, /b, " and got.d == "d" and [tuple(x) for x in got.n] == [("x", True), ("y  && z", False)]
+    assert got.v == ["/a", "/b"] and got.a == "/a, /b, " and got.d == "d" and [tuple(x) for x in got.n] == [("x", True), ("y  && z", False), ("a != null || b", True), ("a  || b == null", False)]
     assert value(spark, fx.unfenced(F.lit('```json\n{"a": 1}\n```\nmore'))) == '{"a": 1}' and value(spark, fx.unfenced(F.lit(" {} "))) == "{}"
     assert [value(spark, fx.tolerant_json(lit(x), "struct<a:int>")) for x in (None, " ", "{oops")] == [None] * 3 and value(spark, fx.tolerant_json(F.lit('{"a": 2}'), "struct<a:int>")).a == 2
-    assert value(spark, fx.camel_case(F.lit("Order line-item"))) == "orderLineItem" and value(spark, fx.percent(F.lit(0.256))) == "26%"
+    assert value(spark, fx.camel_case(F.lit("Order line-item_v2"))) == "Order lineItemV2" and value(spark, fx.percent(F.lit(0.256))) == "26%"
     assert value(spark, fx.fatal(F.lit("Blocking"))) and not value(spark, fx.fatal(lit(None)))
     assert value(spark, fx.kept_metadata(F.create_map(F.lit("a"), F.lit("1"), F.lit("b"), F.lit(""), F.lit("c"), F.lit(None)))) == {"a": "1"}
 
 
+def test_annotations_names_and_dialects(spark):
+    kinds = "array<struct<name:string, qualified_name:string, values:map<string,string>>>"
+    rows = [
+        ([("Column", "p.Column", {"name": "x", "nullable": "False"}), ("Id", "p.Id", {}), ("NotNull", "v.NotNull", {})], "OrderThing", ["static", "private"], ["/lib/pg.jar", "/lib/PostgreSQL-42.jar"]),
+        ([("NotBlank", "v.NotBlank", {}), ("ManyToOne", "p.ManyToOne", {}), ("OneToOne", "p.OneToOne", {})], "X", [], ["a h2-1.jar"]),
+        ([("Service", "s.Service", {"value": " "}), ("Component", "s.Component", {"other": "q", "name": "named", "value": "later"}), ("Odd", "jakarta.validation.Odd", {})], "Y", ["protected", "public"], []),
+    ]
+    frame = spark.createDataFrame(rows, f"marks {kinds}, simple string, modifiers array<string>, classpath array<string>").coalesce(1)
+    marks = F.col("marks")
+    got = frame.select(fx.explicit_nullable(marks), fx.explicit_key(marks), fx.relation_type(marks), fx.bean_name(F.col("simple"), marks), fx.visibility(F.col("modifiers")), fx.database_dialect(F.col("classpath")), F.transform(marks, fx.is_validation)).collect()
+    assert [tuple(r) for r in got] == [
+        (False, True, None, "orderThing", "private", "org.hibernate.dialect.PostgreSQLDialect", [False, False, True]), (False, None, "ManyToOne", "x", "package", "org.hibernate.dialect.H2Dialect", [True, False, False]),
+        (None, None, None, "named", "public", None, [False, False, True]),
+    ]
+
+
+def test_chips_of_lineage_nodes(spark):
+    rows = [("service", "/", {}, 2, 1, 0, 0, 0, 5), ("interface", "/o", {"protocol": "http"}, 0, 0, 3, 0, 2, 0), ("operation", "/o", {"method": "post"}, 0, 0, 0, 1, 9, 1), ("integration", "", {"direction": "out", "kind": "mq"}, 0, 0, 0, 1, 0, 2), ("note", None, {}, 0, 0, 0, 0, 0, 0)]
+    names = ("bounded_contexts", "aggregates", "commands", "blocking", "warning", "evidence")
+    frame = spark.createDataFrame(rows, "kind string, path string, metadata map<string,string>, " + ", ".join(f"{n} long" for n in names)).coalesce(1)
+    got = frame.select(runs.node_chips(F.col("kind"), F.col("path"), F.col("metadata"), {n: F.col(n) for n in names}).alias("c")).collect()
+    assert [r.c for r in got] == [["2 interfaces", "1 data stores", "5 evidence"], ["3 operations", "http", "2 warnings", "No evidence"], ["POST /o", "1 blocking", "1 evidence"], ["out", "mq", "1 blocking", "2 evidence"], ["No evidence"]]
+
+
 def test_decisions(spark):
     flags = {"running": False, "failed": False, "extracted": True, "fatal": 0, "trusted": True, "approved": True, "graph_on": True, "graph": True}
     at = lambda f, **more: value(spark, f({k: F.lit(v) for k, v in (flags | more).items()}))
@@ -678,8 +712,9 @@ def test_specs_candidates_and_scenarios(spark):
     one, two = (spark.createDataFrame([(x,)], "name string") for x in ("candidate", "draft"))
     issues = spark.createDataFrame([("X", "i", "ERROR")], "code string, item_id string, level string")
     assert [document.valid_or_fallback(one, i, two).first().name for i in (issues.limit(0), issues)] == ["candidate", "draft"]
-    told = spark.createDataFrame([("scenario:a.OrderImpl#x", ["g"], ["w"], ["t", "u"]), ("a.Order#y", [], ["w"], [])], "id string, given array<string>, when array<string>, then array<string>")
-    assert [tuple(r) for r in document.grouped_scenarios(told).collect()] == [("Order", 2, 5)]
+    told = [("scenario:a.OrderImpl#x", "n", [], ["g"], ["w"], ["t", "u"]), ("x", "n", [None, "", "a.Order#y", "b.C#z"], [], ["w"], []), ("", "Named", [], [], [], ["t"]), (None, None, [], [], [], [])]
+    told = spark.createDataFrame(told, "id string, name string, cited array<string>, given array<string>, when array<string>, then array<string>")
+    assert {tuple(r) for r in document.grouped_scenarios(told).collect()} == {("Order", 2, 5), ("Named", 1, 1), ("Derived semantic scenarios", 1, 0)}
 
 
 def test_ask(run):
