@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import text as fx
 from ..operators import lookup, retrieval, rules
+from ..sources import scans
 from ..sources.files import temporary, written
 from ..sources.store import VersionedTable
 from . import canonical, document, observed
@@ -315,6 +317,133 @@ def graph_projection(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.lit("nodes").alias("part"), c("node_id").alias("source"), c("kind").alias("target"), F.concat_ws(":", "layer", "name").alias("type")).unionByName(links.select(F.lit("links").alias("part"), "source", "target", "type"))
 
 
+# Helpers on names, annotations, times and texts
+
+
+@query(r"""WITH p AS (SELECT page_id, url, regexp_replace(url, '^https?://[^/]*', '') AS path, regexp_extract(url, '://([^/?#]*)', 1) AS host FROM pages), s AS (SELECT *, list_filter(string_split(replace(path, '/en/', '/{en}/'), '/'), lambda x: trim(x) <> '' AND NOT starts_with(x, '{')) AS parts FROM p),
+h AS (SELECT page_id, string_split_regex(replace(host, '.', '_') || '-page', '[-_]+') AS w FROM p)
+SELECT s.page_id, CASE WHEN trim(path) = '' THEN 'getCommand' ELSE coalesce(parts[-1], 'Command') END AS command, w[1] || coalesce(array_to_string(list_transform(w[2:], lambda x: upper(x[1:1]) || x[2:]), ''), '') AS camel,
+  replace(replace(lower(host), '-', '.'), '_', '.') AS package, starts_with(url, 'https://m.') OR (starts_with(url, 'http://' || host) AND substr(url, length('http://' || host) + 1, 1) IN ('/', ':', '#')) OR url = 'http://' || host AS under,
+  CASE WHEN parts[-1] IN ('true', 'false') THEN 'boolean' WHEN regexp_full_match(parts[-1], '-?[0-9]+(\.[0-9]+)?') THEN 'number' ELSE 'string' END AS kind
+FROM s JOIN h ON h.page_id = s.page_id""")
+def path_helpers(spark: SparkSession, sf: str) -> DataFrame:
+    """Commands, camel-case and package names, path boundaries and literal kinds of the pages' URLs."""
+    path, host = F.regexp_replace("url", "^https?://[^/]*", ""), F.regexp_extract("url", "://([^/?#]*)", 1)
+    marked = F.replace(path, F.lit("/en/"), F.lit("/{en}/"))
+    last = F.try_element_at(F.filter(F.split(marked, "/"), lambda x: (F.trim(x) != "") & ~x.startswith("{")), F.lit(-1))
+    under = c("url").startswith("https://m.") | fx.under_path(c("url"), F.concat(F.lit("http://"), host))
+    return table(spark, sf, "pages").select("page_id", fx.endpoint_command(F.when(path == "", "").otherwise(marked), F.lit("GET")).alias("command"), fx.camel_case(F.concat(F.replace(host, F.lit("."), F.lit("_")), F.lit("-page"))).alias("camel"), fx.folder_package(host).alias("package"), under.alias("under"), F.coalesce(fx.coerced_literal(last), F.lit("string")).alias("kind"))
+
+
+@query("""WITH e AS (SELECT *, CAST(event_id % 7 * event_id AS BIGINT) - 3 AS s FROM events)
+SELECT event_id, CASE WHEN s < 0 THEN '' WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN s // 60 || 'm' || CASE WHEN s % 60 > 0 THEN ' ' || s % 60 || 's' ELSE '' END ELSE s // 3600 || 'h' || CASE WHEN s % 3600 // 60 > 0 THEN ' ' || s % 3600 // 60 || 'm' ELSE '' END END AS spent,
+  CAST(floor(value * 100 + 0.5) AS BIGINT) || '%' AS share, event_type IN ('error') AS fatal, CASE event_type WHEN 'click' THEN 'Order' || event_id % 5 WHEN 'view' THEN 'Plain' WHEN 'error' THEN 'Derived semantic scenarios' ELSE 'a' || event_id % 3 END AS owner,
+  CASE event_type WHEN 'click' THEN 'Order' || event_id % 5 || 'Impl' WHEN 'error' THEN 'scenario:' END AS class FROM e""")
+def run_helpers(spark: SparkSession, sf: str) -> DataFrame:
+    """Times, shares, severities and scenario subjects made of events."""
+    e, kind = c("event_id"), c("event_type")
+    number = lambda n: (e % n).cast("string")
+    subject = F.when(kind == "click", F.concat(F.lit("scenario:operation:org.x.Order"), number(5), F.lit("Impl#run"))).when(kind == "view", "job:Plain").when(kind == "error", "scenario:#x").otherwise(F.concat(F.lit("a"), number(3)))
+    start = F.timestamp_seconds(F.lit(1_700_000_000))
+    return table(spark, sf, "events").select("event_id", fx.elapsed(start, F.timestamp_seconds(F.lit(1_700_000_000) + e % 7 * e - 3)).alias("spent"), fx.percent(c("value")).alias("share"), fx.fatal(kind).alias("fatal"), fx.scenario_owner(subject).alias("owner"), fx.scenario_class(subject).alias("class"))
+
+
+@query("""WITH o AS (SELECT *, o_orderkey % 5 AS k FROM orders)
+SELECT o_orderkey, CASE WHEN k IN (0, 3) THEN o_orderstatus = 'F' WHEN k = 1 THEN false END AS nullable, CASE WHEN k = 2 THEN true END AS key, CASE k WHEN 3 THEN 'ManyToOne' WHEN 4 THEN 'OneToMany' END AS relation,
+  CASE WHEN k = 4 AND trim(o_orderpriority) <> '' THEN replace(o_orderpriority, '"', '') ELSE 'order' || o_orderkey END AS bean, CASE k WHEN 0 THEN 'GET' WHEN 2 THEN 'PUT' WHEN 1 THEN upper(o_orderstatus) || 'X' END AS verb,
+  CASE k WHEN 0 THEN '/a|/b' || o_orderkey WHEN 1 THEN '' ELSE '/x' END AS paths, CASE o_orderstatus WHEN 'F' THEN 'protected' WHEN 'O' THEN 'public' ELSE 'package' END AS visibility, CASE k WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 1 ELSE 0 END AS validations FROM o""")
+def annotation_helpers(spark: SparkSession, sf: str) -> DataFrame:
+    """What annotations say that are made of orders: null, identity, relation, bean name, verb, paths, visibility, constraints."""
+    k, status = c("o_orderkey") % 5, c("o_orderstatus")
+    none = F.create_map().cast("map<string,string>")
+    mark = lambda name, values=none, package="x": F.struct(F.lit(name).alias("name"), F.lit(f"{package}.{name}").alias("qualified_name"), values.alias("values"))
+    value = lambda key, v: F.create_map(F.lit(key), v.cast("string"))
+    quoted = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    key = c("o_orderkey").cast("string")
+    marks = (
+        F.when(k == 0, F.array(mark("Column", value("nullable", F.when(status == "F", "TRUE").otherwise("no"))), mark("NotNull"), mark("GetMapping", value("path", quoted('"/a", "/b', key, '",')))))
+        .when(k == 1, F.array(mark("NotBlank"), mark("RequestMapping", value("method", quoted("RequestMethod.", F.upper(status), "X"))), mark("Odd", none, "jakarta.validation")))
+        .when(k == 2, F.array(mark("EmbeddedId"), mark("PutMapping", value("value", F.lit('"/x"')))))
+        .when(k == 3, F.array(mark("Other"), mark("ManyToOne"), mark("JoinColumn", value("nullable", (status == "F")))))
+        .otherwise(F.array(mark("OneToMany"), mark("Size"), mark("Service", value("value", quoted('"', c("o_orderpriority"), '"')))))
+    )
+    row = table(spark, sf, "orders").select("o_orderkey", status, marks.alias("marks"))
+    m, mapping = c("marks"), F.get(F.filter("marks", lambda a: a["name"].endswith("Mapping")), F.lit(0))
+    paths = F.when(mapping["name"] == "GetMapping", F.array_join(fx.annotation_values(m, "GetMapping", "path"), "|")).when(mapping["name"] == "RequestMapping", fx.annotation_attribute(m, ("RequestMapping",), ("path", "value"), F.lit("")))
+    seen = F.when(status == "F", F.array(F.lit("static"), F.lit("protected"))).when(status == "O", F.array(F.lit("public"))).otherwise(F.array().cast("array<string>"))
+    return row.select(
+        "o_orderkey", fx.explicit_nullable(m).alias("nullable"), fx.explicit_key(m).alias("key"), fx.relation_type(m).alias("relation"), fx.bean_name(F.concat(F.lit("Order"), key), m).alias("bean"), fx.http_verb(mapping["name"], mapping["values"]["method"]).alias("verb"),
+        F.coalesce(paths, fx.annotation_attribute(m, ("PutMapping",), ("path", "value"), F.lit("/x"))).alias("paths"), fx.visibility(seen).alias("visibility"), F.size(F.filter(m, fx.is_validation)).alias("validations"),
+    )
+
+
+@query("""SELECT page_id, replace(replace(url, '/en/', '/db/migration/'), '/de/', '/Liquibase/changelog/') AS path, CASE WHEN contains(url, '/de/') THEN 'liquibase' ELSE 'flyway' END AS tool,
+  CASE WHEN contains(url, '/de/') THEN regexp_extract(replace(url, '/de/', '/Liquibase/changelog/'), '^(.*)[/][^/]*$', 1) END AS collection FROM pages WHERE contains(url, '/en/') OR contains(url, '/de/')""")
+def migration_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages taken for files: English ones lie in a migration folder, German ones in a changelog's."""
+    path = F.replace(F.replace(c("url"), F.lit("/en/"), F.lit("/db/migration/")), F.lit("/de/"), F.lit("/Liquibase/changelog/"))
+    pages = table(spark, sf, "pages").select("page_id", path.alias("path"))
+    return pages.join(scans.migration_files(pages).distinct(), "path").select("page_id", "path", "tool", "collection")
+
+
+@query("""WITH s AS (SELECT 'x' || c_nationkey AS owner, c_custkey % 3 + c_custkey % 5 + 1 AS steps FROM customer WHERE c_acctbal <= 5000 UNION ALL SELECT c_mktsegment, c_custkey % 3 + c_custkey % 5 + 1 FROM customer WHERE c_acctbal > 5000)
+SELECT owner, count(*) AS n, CAST(sum(steps) AS BIGINT) AS steps FROM s GROUP BY 1""")
+def grouped_scenarios(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers taken for scenarios; rich ones cite a class named by their segment."""
+    k = c("c_custkey")
+    steps = lambda n: F.array_repeat(F.lit("step"), n.cast("int"))
+    cited = F.when(c("c_acctbal") > 5000, F.array(F.lit(""), F.concat(F.lit("job:org.x."), c("c_mktsegment"), F.lit("Impl#run")))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, sf, "customer").select(F.concat(F.lit("scenario:x"), c("c_nationkey").cast("string"), F.lit("#"), k.cast("string")).alias("id"), c("c_name").alias("name"), cited.alias("cited"), steps(k % 3).alias("given"), steps(k % 5).alias("when"), steps(F.lit(1)).alias("then"))
+    return document.grouped_scenarios(rows)
+
+
+@query("""WITH s AS (SELECT 'c' || c_custkey AS id, c_custkey % 4 AS k, c_nationkey < 10 AS m FROM customer)
+SELECT id, unnest(list_concat(CASE WHEN k = 0 THEN ['SCHEMA_VERSION_UNSUPPORTED'] ELSE [] END, CASE WHEN k = 1 THEN ['SERVICE_NAME_REQUIRED'] ELSE [] END, CASE WHEN k <> 2 THEN ['GENERATOR_LOCK_REQUIRED'] ELSE [] END, CASE WHEN m AND k < 2 THEN ['MESSAGING_IDEMPOTENCY_REQUIRED'] ELSE [] END)) AS code FROM s""")
+def top_level_problems(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers taken for specifications."""
+    k = c("c_custkey") % 4
+    specs = table(spark, sf, "customer").select(
+        F.concat(F.lit("c"), c("c_custkey").cast("string")).alias("id"), F.when(k == 0, 2).when(k > 0, 1).alias("schema_version"), F.when(k == 1, " \t").otherwise(c("c_name")).alias("service_name"), F.when(k == 2, "1.0").when(k == 3, " ").alias("generator_lock"),
+        (c("c_nationkey") < 10).alias("has_messaging"), F.when(k == 0, "").when(k == 1, None).otherwise("id").alias("idempotency_key"),
+    )
+    return document.top_level_problems(specs)
+
+
+ISSUES_SQL = f"""{CITES_SQL}, left_over AS (SELECT * FROM cites WHERE right(node, 1) <> '7'), items AS (SELECT DISTINCT owner_id AS id FROM cites),
+issues AS (SELECT 'EVIDENCE_REQUIRED' AS code, id AS item_id, 'ERROR' AS level FROM items WHERE NOT starts_with(id, 'operation:') AND id NOT IN (SELECT owner_id FROM left_over)
+  UNION ALL SELECT 'EVIDENCE_NODE_UNKNOWN', owner_id, 'ERROR' FROM left_over JOIN n ON n.id = node WHERE NOT starts_with(owner_id, 'operation:') AND n.kind = 'security-constraint')"""
+
+
+def _broken(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, nodes, issues) of the synthesized document without the citations of nodes that end in 7, and with the security constraints taken for lost."""
+    nodes, refs = evidence_nodes(spark, sf)
+    items, citations = (written(x, "document") for x in document.synthesize(spark, written(nodes, "nodes"), refs))
+    return items, nodes, document.validate(items, citations.filter(~c("evidence_node_id").endswith("7")), nodes.filter("kind <> 'security-constraint'"))
+
+
+@query(f"WITH {ISSUES_SQL} SELECT * FROM issues")
+def document_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """What is wrong with a document that lost citations and nodes."""
+    return _broken(spark, sf)[2]
+
+
+@query(f"WITH {ISSUES_SQL} SELECT id, (SELECT count(*) FROM issues) = 0 AS valid FROM n WHERE kind = CASE WHEN (SELECT count(*) FROM issues) = 0 THEN 'project' ELSE 'documentation-section' END")
+def candidate_or_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Projects if the document is valid, else sections of documentation, and whether it is."""
+    _, nodes, issues = _broken(spark, sf)
+    issues = written(issues, "issues")
+    chosen = document.valid_or_fallback(nodes.filter("kind = 'project'").select("id"), issues, nodes.filter("kind = 'documentation-section'").select("id"))
+    return chosen.join(F.broadcast(document.is_valid(issues)), how="cross")
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_custkey % 4 AS a, o_orderkey % 3 AS b FROM orders)
+SELECT o_orderkey, CASE WHEN a = 0 AND b = 0 THEN '/' ELSE array_to_string(CASE WHEN a = 0 THEN list_transform(range(b), lambda j: 'p' || j || '/') WHEN b = 0 THEN list_transform(range(a), lambda i: '//v' || i) ELSE flatten(list_transform(range(a), lambda i: list_transform(range(b), lambda j: '/v' || i || '/p' || j || '/'))) END, ' ') END AS paths FROM t""")
+def combined_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Up to three prefixes before up to two paths for each order."""
+    listed = lambda n, before, after: F.transform(F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit(before), i.cast("string"), F.lit(after)))
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(lookup.combined_paths(listed(c("o_custkey") % 4, "//v", ""), listed(c("o_orderkey") % 3, "p", "/")), " ").alias("paths"))
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
