@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import written
+from ..sources.files import written, written_counted
 from .numbering import running
 
 #: Rounds after which a chain is longer than any table: it runs in a circle.
@@ -22,8 +22,7 @@ def _jumps(nodes: DataFrame) -> list[DataFrame]:
     step = nodes.filter("parent IS NOT NULL").select("id", F.col("parent").alias("up")).join(nodes.select(F.col("id").alias("up")).distinct(), "up", "left_semi").select("id", "up")
     jumps, most = [], None
     while True:
-        step = written(step, "jumps")
-        left = step.count()
+        step, (left,) = written_counted(step, "jumps")
         if not left:
             return jumps
         most = left if most is None else most
@@ -77,21 +76,17 @@ def neighborhood(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def _shown(nodes: DataFrame, expanded: DataFrame) -> DataFrame:
     """(id, level) of nodes whose ancestors are all open and end at a root: each round a node takes over what its pointer's target knows."""
-    opened = expanded.select(F.col("id").alias("parent"), F.lit(True).alias("opened")).distinct()
-    roots = nodes.filter("parent IS NULL").select(F.col("id").alias("parent"), F.lit(True).alias("root"))
-    state = nodes.select("id", "parent").join(opened, "parent", "left").join(roots, "parent", "left")
+    opened = expanded.select("id", F.lit(True).alias("opened")).distinct()
+    facts = nodes.join(opened, "id", "left").select(F.col("id").alias("parent"), (F.col("parent").isNull() | F.coalesce("opened", F.lit(False))).alias("is_open"))
     # up: the node that has to be asked next, null once all is known; ok: whether what lies between is open
-    known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known")).distinct()
-    state = state.join(known, "parent", "left").select(
-        "id", F.when(F.col("known"), F.col("parent")).alias("up"), (F.col("parent").isNull() | (F.coalesce("known", F.lit(False)) & (F.coalesce("opened", F.lit(False)) | F.coalesce("root", F.lit(False))))).alias("ok"),
-        F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("level"),
+    state = nodes.select("id", "parent").join(facts, "parent", "left").select(
+        "id", F.when(F.col("is_open").isNotNull(), F.col("parent")).alias("up"), (F.col("parent").isNull() | F.coalesce("is_open", F.lit(False))).alias("ok"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("level"),
     )
     for done in range(MOST_ROUNDS):
-        state = written(state, "shown")
-        size = state.agg(F.count("*").alias("n"), F.count("up").alias("open")).first()
-        if not size.open:
+        state, (rows, left) = written_counted(state, "shown", F.count(F.lit(1)), F.count("up"))
+        if not left:
             return state.filter("ok").select("id", "level")
-        if done > size.n.bit_length():
+        if done > rows.bit_length():
             break
         asked = state.select(F.col("id").alias("up"), F.col("up").alias("over"), F.col("ok").alias("rest"), F.col("level").alias("more"))
         after = state.filter("up IS NOT NULL").join(asked, "up").select("id", F.col("over").alias("up"), (F.col("ok") & F.col("rest")).alias("ok"), (F.col("level") + F.col("more")).alias("level"))

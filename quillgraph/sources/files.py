@@ -7,7 +7,7 @@ import contextlib
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Folders that hold resources (fixed values).
@@ -38,6 +38,14 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_counted(df: DataFrame, tag: str, *counts: Column) -> tuple[DataFrame, list[int]]:
+    """written(), and aggregates over its rows (by default their number), observed while they are written: no job of their own."""
+    seen = Observation()
+    named = [c.alias(f"n{k}") for k, c in enumerate(counts or (F.count(F.lit(1)),))]
+    out = written(df.observe(seen, *named), tag)
+    return out, [seen.get[f"n{k}"] for k in range(len(named))]
+
+
 _written: dict[str, SparkSession] = {}
 
 
