@@ -180,9 +180,7 @@ def damaged(conversations: DataFrame) -> DataFrame:
 
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _repair.repair(damaged(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), lost_col="lost")
-    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit(":"), t.text)), "\n")
-    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(told.cast("binary"), 256).alias("repaired_sha256"))
+    return _repair.digests(_repair.repair(damaged(read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")), lost_col="lost"))
 
 
 def _op13_sql() -> str:

@@ -210,7 +210,27 @@ def test_layers_equal_shortest_paths_on_long_conversations():
         for _ in range(20):
             marks = [(rng.choice(["system", "user", "assistant", "user", "assistant", "tool", ""]), "", rng.choice([None, None, "blank", "duplicate", "truncated"])) for _ in range(size)]
             codes = {"blank": 0, "duplicate": 1, "truncated": 2, None: None}
-            assert cr.least_edits([(r[:1].encode(), codes[f]) for r, _, f in marks]) == cheapest(marks)[:2]
+            cost, audit, state = cr.least_edits([(r[:1].encode(), codes[f], 0) for r, _, f in marks])
+            assert (cost, audit + cr._closing(state)) == cheapest(marks)[:2]
+
+
+@pytest.mark.parametrize("most", [1, 7, 30])
+def test_long_conversations_in_parts(spark, most):
+    """Conversations beyond the bound are dealt to parts; the result is that of one task. A null id, equal rows in hundreds, null turns, all blank."""
+    rng = random.Random(most)
+    text = lambda: rng.choice(["a.", "b", "c?", "d!", "", " ", "é.", "e.\n", "f"] + [f"t{rng.randrange(99)}."] * 6)
+    role = lambda: rng.choice(["system", "user", "assistant", "user", "assistant", "tool"])
+    rows = [(c, rng.choice([None, *range(n)]), role(), text()) for c, n in ((None, 60), (1, 200), (2, 35), (3, 5)) for _ in range(n)]
+    rows += [(1, 50, "user", "same.")] * 300 + [(4, k, "assistant", " ") for k in range(80)] + [(5, 0, "user", "x?")] * 90
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, part string").repartition(4)
+    found = cr.repair(frame, long_rows=most)
+    parts = found.select("conv_id", "part", "parts").collect()
+    assert max(r.parts for r in parts) > 1 and all({r.part for r in parts if r.conv_id == c} == set(range(next(r.parts for r in parts if r.conv_id == c))) for c in {r.conv_id for r in parts})
+    got = {r.conv_id: tuple(r)[1:] for r in cr.digests(found).collect()}
+    want = defaultdict(list)
+    for c, *r in rows:
+        want[c].append(tuple(r))
+    assert got == {c: brute_repair(v) for c, v in want.items()}
 
 
 def test_repaired_turns_follow_the_grammar(spark):
