@@ -90,15 +90,20 @@ def under_mask(formatted: Column, loss_mask: Column) -> Column:
 
 
 def turns_as_events(conversations: DataFrame, piece: int = 256) -> DataFrame:
-    """A table of whole turns as the log of their streaming: each row starts a message, its text follows in deltas of `piece` code points.
+    """A table of whole turns as the log of how they came about, in pieces of `piece` code points.
 
-    Rows of equal turn go by role and text. A null or empty text has no deltas.
+    An assistant's message starts empty, streams its first piece, is regenerated, and streams its whole text in deltas. Any
+    other message starts with its first piece as a draft, is edited to nothing, and then streams its text. Rows of equal turn
+    go by role and text. A null or empty text has no drafts and no deltas.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     numbered = conversations.select("conv_id", "turn", "role", "text").withColumn("message", F.row_number().over(order).cast("long"))
     first = F.shiftleft("message", 32)  # of the message's numbers in the log
-    event = lambda at, kind, role, text: F.struct(at.alias("seq"), F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.alias("text"))
-    pieces = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{piece}}}"), 0)
-    deltas = F.transform(pieces, lambda p, i: event(first + i + 1, "delta", F.lit(None), p))
-    log = F.concat(F.array(event(first, "message", F.col("role"), F.lit(""))), deltas)
+    event = lambda at, kind, role, text: F.struct(at.cast("long").alias("seq"), F.lit(kind).alias("kind"), role.cast("string").alias("role"), text.alias("text"))
+    none = F.lit(None)
+    numbered = numbered.withColumn("pieces", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{piece}}}"), 0)).withColumn("draft", F.get("pieces", F.lit(0)))
+    spoken = F.array(event(first, "message", F.col("role"), F.lit("")), event(first + 1, "delta", none, F.col("draft")), event(first + 2, "regenerate", none, none.cast("string")))
+    written = F.array(event(first, "message", F.col("role"), F.col("draft")), event(first + 2, "edit", none, F.lit("")))
+    opening = F.when(F.col("draft").isNull(), F.array(event(first, "message", F.col("role"), F.lit("")))).when(F.col("role") == "assistant", spoken).otherwise(written)
+    log = F.concat(opening, F.transform("pieces", lambda p, i: event(first + i + 3, "delta", none, p)))
     return numbered.select("conv_id", "message", F.explode(log).alias("e")).select("conv_id", "e.seq", "message", "e.kind", "e.role", "e.text")

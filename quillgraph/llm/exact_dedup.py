@@ -136,24 +136,32 @@ def _rank(points: int, doc_id: int | None) -> tuple:
     return (-points, doc_id is None, doc_id or 0)
 
 
+def _held(value: Any) -> int:
+    """About the bytes that a carried value holds."""
+    if isinstance(value, str | bytes):
+        return 56 + len(value)
+    if isinstance(value, dict):
+        return 64 + sum(_held(k) + _held(v) for k, v in value.items())
+    return 56 + sum(map(_held, value)) if isinstance(value, list | tuple) else 32
+
+
 def _local_terminals(schema: T.StructType, payload: list[str], with_key: bool):
-    """Rows -> a row for each distinct text of the task (or more, where a subtree was spilled)."""
+    """Rows -> a row for each distinct text of the task (or more, where a subtree was spilled). The trie's labels are the only copy of a text, unless it is carried along."""
     arrow = to_arrow_schema(schema)
-    keyed = (lambda own: own) if with_key else (lambda own: [*own[:2], None, *own[3:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_by = lambda own: MEMBER_BYTES * len(own[6])
-        trie, made = PatriciaTrie(held_by), 0
+        # an owner: length, hash, weight of what is carried, code points, id and place of the best row, ids, digest, carried values
+        trie, made = PatriciaTrie(lambda own: MEMBER_BYTES * len(own[6]) + own[2]), 0
         part = _task_number()
 
-        def rows(owners: Iterator[list]) -> Iterator[pa.RecordBatch]:
+        def rows(found: Iterator[tuple[bytes, list]]) -> Iterator[pa.RecordBatch]:
             nonlocal made
             held: list[list] = []
             size = 0
-            for own in owners:
-                held.append([part * (1 << 40) + made, *keyed(own)])
+            for key, own in found:
+                held.append([part * (1 << 40) + made, *own[:2], key if with_key else None, *own[3:]])
                 made += 1
-                size += len(own[2]) + 16 * len(own[6])
+                size += len(key) * with_key + own[2] + 16 * len(own[6])
                 if size > 8 << 20:
                     yield _columns(held)
                     held, size = [], 0
@@ -174,15 +182,20 @@ def _local_terminals(schema: T.StructType, payload: list[str], with_key: bool):
                 if own is None:
                     digest = hashlib.sha256(key).hexdigest()
                     signed = xxhash.xxh64_intdigest(key)
-                    own = node.owner = [len(key), signed - (1 << 64) if signed >> 63 else signed, key, points[i], ids[i], 0, [], digest, *(c[i] for c in extra)]
+                    own = node.owner = [len(key), signed - (1 << 64) if signed >> 63 else signed, 0, points[i], ids[i], 0, [], digest, *(c[i] for c in extra)]
+                    own[2] = sum(map(_held, own[8:]))
+                    trie.weight += own[2]
                 elif _rank(points[i], ids[i]) < _rank(own[3], own[4]):
                     own[3:6] = points[i], ids[i], len(own[6])
                     own[8:] = [c[i] for c in extra]
+                    trie.weight -= own[2]
+                    own[2] = sum(map(_held, own[8:]))
+                    trie.weight += own[2]
                 own[6].append(ids[i])
                 trie.weight += MEMBER_BYTES
                 while trie.weight > TRIE_BYTES and (cut := trie.cut_heaviest()):
-                    yield from rows(trie.owners(cut[1]))
-        yield from rows(trie.owners())
+                    yield from rows(trie.items(cut[1], cut[0]))
+        yield from rows(trie.items())
 
     return run
 

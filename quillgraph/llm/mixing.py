@@ -61,16 +61,32 @@ def sainte_lague(votes: DataFrame, key: str, by: list[str]) -> DataFrame:
     return near.join(won, [*by, key], "left").withColumn("seats", F.col("sure") + F.coalesce("won", F.lit(0))).drop("fair", "width", "sure", "upto", "open", "won")
 
 
+#: Shards of a source that are apportioned together; groups of them come first.
+SHARD_GROUP = 1024
+#: Copies of one row that are listed at once.
+_COPIES = 1 << 16
+
+
+def _told_apart(sizes: DataFrame) -> DataFrame:
+    """Rows with marks of their own: of equal rows the n-th has a mark made of theirs and n."""
+    counted = sizes.groupBy(*sizes.columns).agg((F.count("*") - 1).alias("last"))
+    many = counted.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / _COPIES))))
+    many = many.withColumn("n", F.explode(F.sequence(F.col("chunk") * _COPIES, F.least(F.col("last"), F.col("chunk") * _COPIES + (_COPIES - 1)))))
+    return many.select("doc_id", "source", "size", F.when(F.col("n") == 0, F.col("mark")).otherwise(F.xxhash64("mark", "n")).alias("mark"))
+
+
 def mix(docs: DataFrame, block_words: int = 16, shard_words: int = 1 << 20, cap: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): how many of its words the mix takes, repeats counted.
 
     Every row counts, repeated ones too; null texts have size 0 and null is a source of its own. No
     document exceeds `cap` times its size. A shard holds about shard_words words, so a source with a
-    third of the corpus is many shards. Reruns agree: all choices are hashes of ids, texts and the seed,
-    so rows that lack or repeat an id are dealt to shards like any others.
+    third of the corpus is many shards, whose blocks are apportioned to groups of shards first. Reruns agree:
+    all choices are hashes of ids, texts and the seed. Rows that are equal in these are counted and told apart by their
+    number, so they are dealt to shards like any others.
     """
     mark = F.xxhash64(F.lit(seed), named(docs, id_col).cast("long"), F.coalesce(named(docs, text_col), F.lit("")))
-    sizes = materialize(docs.select(named(docs, id_col).cast("long").alias("doc_id"), named(docs, source_col).cast("string").alias("source"), word_count(named(docs, text_col)).alias("size"), mark.alias("mark")), "sizes")
+    sizes = docs.select(named(docs, id_col).cast("long").alias("doc_id"), named(docs, source_col).cast("string").alias("source"), word_count(named(docs, text_col)).alias("size"), mark.alias("mark"))
+    sizes = materialize(_told_apart(sizes), "sizes")
     sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), cap)
     blocks = lambda words: F.ceil(words / F.lit(block_words)).cast("long")
     quota = sources.select("src", F.col("target").alias("votes"), F.round(F.sum("target").over(Window.partitionBy()) / block_words).cast("long").alias("total"), (cap * blocks(F.col("source_size"))).alias("most"))
@@ -81,8 +97,11 @@ def mix(docs: DataFrame, block_words: int = 16, shard_words: int = 1 << 20, cap:
     placed = sizes.join(sources, sizes.source.eqNullSafe(sources.named)).drop("named")
     placed = placed.withColumn("shard", F.pmod(F.xxhash64("mark"), "shards"))
     shards = placed.groupBy("src", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_seats").alias("total"))
-    shards = shards.select("src", "shard", "total", "shard_size", F.col("shard_size").cast("double").alias("votes"), (cap * blocks(F.col("shard_size"))).alias("most"))
-    quotas = materialize(sainte_lague(shards, "shard", ["src"]).select("src", "shard", blocks(F.col("shard_size")).alias("n_blocks"), "seats"), "quotas")
+    shards = shards.select("src", "shard", F.floor(F.col("shard") / SHARD_GROUP).alias("shards_of"), "total", "shard_size", F.col("shard_size").cast("double").alias("votes"), (cap * blocks(F.col("shard_size"))).alias("most"))
+    groups = shards.groupBy("src", "shards_of").agg(F.first("total").alias("total"), F.sum("votes").alias("votes"), F.sum("most").alias("most"))
+    groups = sainte_lague(groups, "shards_of", ["src"]).select("src", "shards_of", F.col("seats").alias("total"))
+    shards = shards.drop("total").join(groups, ["src", "shards_of"])
+    quotas = materialize(sainte_lague(shards, "shard", ["src", "shards_of"]).select("src", "shard", blocks(F.col("shard_size")).alias("n_blocks"), "seats"), "quotas")
 
     order = Window.partitionBy("src", "shard").orderBy("mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = placed.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0))).join(quotas, ["src", "shard"])

@@ -102,6 +102,22 @@ def test_exact_dedup(spark, sf, odd):
     assert len(found) == len(rows)
 
 
+def test_what_is_carried_weighs(spark, monkeypatch):
+    """Distinct texts that carry wide columns: the trie is cut as often as these ask for, and the groups are those of one trie."""
+    monkeypatch.setattr(ed, "TRIE_BYTES", 200_000)
+    rows = [(k, f"text {k % 400} " + "x " * (k % 7), "wide " * 2000, [str(k)] * 50, {"a": "b" * 300}) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, more string, list array<string>, map map<string,string>").coalesce(1)
+    found = ed.exact_dedup(docs, carry=docs.columns)
+    assert found.terminals.count() > 400  # subtrees were cut, so texts have several terminals
+    groups = defaultdict(list)
+    for r in rows:
+        groups[SPACE.sub("", r[1])].append(r)
+    want = {min((-len(r[1]), r[0]) for r in g)[1] for g in groups.values()}
+    kept = found.kept().collect()
+    assert {r.doc_id for r in kept} == want and len(kept) == len(want)
+    assert all((r.text, r.more, r.list, r.map) == rows[r.doc_id][1:] for r in kept)
+
+
 def test_exact_dedup_repeated_rows_and_missing_ids(spark):
     rows = [(1, "a"), (1, "a"), (None, "a "), (2, "b"), (None, "c"), (None, "c")]
     result = ed.exact_dedup(frame(spark, rows), carry=["doc_id", "text", "key"])

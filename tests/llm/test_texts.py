@@ -123,8 +123,9 @@ def test_turns_are_streamed_in_pieces(spark):
     rows = [(1, 0, "user", "a\U0001f600\n" * 400), (1, 1, None, None), (1, 2, "assistant", ""), (None, 0, "user", "x" * 256), (None, 0, "user", "x" * 257), (2, 5, "assistant", "one"), (2, 5, "assistant", "one")]
     events = cf.turns_as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     log = events.collect()
-    assert Counter(e.kind for e in log) == {"message": len(rows), "delta": sum(-(-len(t or "") // 256) for *_, t in rows)}
-    assert len({(e.conv_id, e.seq) for e in log}) == len(log) and all(len(e.text) <= 256 for e in log)
+    spoken, others = (sum(bool(t) and (role == "assistant") is said for *_, role, t in rows) for said in (True, False))
+    assert Counter(e.kind for e in log) == {"message": len(rows), "delta": spoken + sum(-(-len(t or "") // 256) for *_, t in rows), "regenerate": spoken, "edit": others}
+    assert len({(e.conv_id, e.seq) for e in log}) == len(log) and all(len(e.text or "") <= 256 for e in log)
     back = sorted((r.conv_id or 0, r.message, r.role, r.text) for r in cf.reconstruct(events).collect())
     assert back == sorted((c or 0, k, role or "", t or "") for c, k, role, t in [(1, 1, *rows[0][2:]), (1, 2, None, None), (1, 3, *rows[2][2:]), (None, 1, *rows[3][2:]), (None, 2, *rows[4][2:]), (2, 1, *rows[5][2:]), (2, 2, *rows[6][2:])])
 
@@ -544,6 +545,28 @@ def test_mixing_meets_targets(spark):
     assert [r.taken for r in mx.mix(mixture(spark, [(1, None, None), (2, "", "a")])).collect()] == [0, 0]
 
 
+def test_equal_rows_and_groups_of_shards_are_spread(spark, monkeypatch):
+    """3,000 equal rows go to all shards; apportioning groups of shards first keeps every source at its target and reruns alike."""
+    rows = [(5, "w " * 20, "a")] * 3000 + [(None, None, "a")] * 40 + [(k, "v " * (k % 90), "b" if k % 3 else "a") for k in range(900)]
+    apart = mx._told_apart(spark.createDataFrame([(5, "a", 20, 77)] * 3000, "doc_id long, source string, size long, mark long"))
+    assert Counter(r.n for r in apart.groupBy(mx.F.pmod(mx.F.xxhash64("mark"), mx.F.lit(30))).agg(mx.F.count("*").alias("n")).collect()).total() == 30 and apart.select("mark").distinct().count() == 3000
+    monkeypatch.setattr(mx, "_COPIES", 64)
+    assert mx._told_apart(spark.createDataFrame([(5, "a", 20, 77)] * 300 + [(6, "a", 20, 7)] * 64, "doc_id long, source string, size long, mark long")).groupBy("doc_id").count().rdd.collectAsMap() == {5: 300, 6: 64}
+    monkeypatch.setattr(mx, "SHARD_GROUP", 3)
+    out = mx.mix(mixture(spark, rows), shard_words=3_000).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.size) for r in out) == sorted((i is None, i or 0, len((t or "").split())) for i, t, _ in rows)
+    taken, sizes = Counter(), Counter()
+    for r in out:
+        taken[r.source] += r.taken
+        sizes[r.source] += r.size
+        assert 0 <= r.taken <= 3 * r.size
+    want = filled(dict(sizes))
+    # a shard's last block may be short, and counts up to three times
+    assert all(abs(taken[s] - want[s]) <= 16 * (2 + 3 * -(-sizes[s] // 3_000)) for s in want), (taken, want)
+    again = mx.mix(mixture(spark, rows[::-1]), shard_words=3_000).collect()
+    assert sorted((str(r.doc_id), r.taken) for r in again) == sorted((str(r.doc_id), r.taken) for r in out)
+
+
 def test_taken_words_equal_brute_force(spark):
     """Word by word: shards laid out in the operator's order of hashes, blocks cut, whole rounds and the picked blocks counted."""
     rng = random.Random(6)
