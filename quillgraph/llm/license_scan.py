@@ -31,6 +31,25 @@ NOTICES = (
     ("gnu lesser general public license", "lgpl"),
     ("mozilla public license version 2 0", "mpl-2"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("you may obtain a copy of the license at http www apache org licenses license 2 0", "apache-2"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
+    ("under the terms of the gnu affero general public license", "agpl"),
+    ("under the terms of the eclipse public license", "epl"),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl"),
+    ("licensed under a creative commons attribution 4 0 international license", "cc-by"),
+    ("creative commons attribution sharealike", "cc-by-sa"),
+    ("creative commons attribution noderivatives", "cc-by-nd"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights", "cc0"),
+    ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("permission is granted to anyone to use this software for any purpose including commercial applications", "zlib"),
+    ("boost software license version 1 0", "bsl-1"),
+    ("everyone is permitted to copy and distribute verbatim or modified copies of this license document", "wtfpl"),
+    ("made available under the open database license", "odbl"),
+    ("licensed under the sil open font license version 1 1", "ofl"),
+    ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
 )
 #: A notice of n characters may have n // 10 errors.
 ERROR_LENGTH = 10
