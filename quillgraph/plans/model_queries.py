@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions import text as fx
 from ..operators import lookup, retrieval, rules
-from ..sources import scans
+from ..sources import files, scans
 from ..sources.files import temporary, written
 from ..sources.store import VersionedTable
-from . import canonical, document, observed
+from . import canonical, document, observed, snapshot
 from .queries import NODES_SQL, ORACLES, QUERIES, c, evidence_nodes, hierarchical_rollup, query, table  # noqa: F401  the entry takes some from here
 
 # Nested types of three observers, made of customers, their events as fields, orders as methods and line items as parameters
@@ -444,6 +444,97 @@ def combined_paths(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", F.array_join(lookup.combined_paths(listed(c("o_custkey") % 4, "//v", ""), listed(c("o_orderkey") % 3, "p", "/")), " ").alias("paths"))
 
 
+# The graph of evidence, and files
+
+_STATEMENTS_SQL = r"""statements AS (SELECT DISTINCT doc_id, trim(replace(v, ';', '')) AS s FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS v FROM documents) WHERE starts_with(v, 'T'))"""
+
+
+@query(f"""WITH {_STATEMENTS_SQL}, c AS (SELECT * FROM customer), o AS (SELECT * FROM orders), p AS (SELECT count(*) AS n FROM pages), l AS (SELECT count(DISTINCT l_orderkey || ':' || l_linenumber) AS n FROM lineitem),
+k AS (SELECT count(*) FILTER (page_id % 4 = 0) AS md, count(*) FILTER (page_id % 4 = 1) AS api, count(*) FILTER (page_id % 4 = 2) AS sql, count(*) FILTER (page_id % 4 = 3) AS conf FROM pages),
+found(part, kind, n) AS (
+  SELECT 'node', 'project', 1 UNION ALL SELECT 'node', 'source-file', count(*) FROM documents UNION ALL SELECT 'edge', 'CONTAINS', (SELECT count(*) FROM documents) + 2 * md FROM k UNION ALL SELECT 'node', 'import', count(*) FROM statements UNION ALL SELECT 'edge', 'IMPORTS', count(*) FROM statements
+  UNION ALL SELECT 'node', 'java-type', count(*) FROM c UNION ALL SELECT 'node', 'annotation', count(*) FROM c WHERE c_acctbal > 0 UNION ALL SELECT 'edge', 'ANNOTATED_WITH', count(*) FROM c WHERE c_acctbal > 0 UNION ALL SELECT 'node', 'java-method', count(*) FROM o
+  UNION ALL SELECT 'node', 'method-parameter', n FROM l UNION ALL SELECT 'edge', 'DECLARES', (SELECT count(*) FROM o) + l.n + k.api + (SELECT count(*) FROM o WHERE o_orderstatus = 'P') FROM l, k
+  UNION ALL SELECT 'node', 'literal', count(*) FROM o WHERE o_totalprice > 100000 UNION ALL SELECT 'edge', 'USES_LITERAL', count(*) FROM o WHERE o_totalprice > 100000
+  UNION ALL SELECT 'node', 'call-target', count(DISTINCT o_orderkey % 1000 || o_orderstatus) FROM o WHERE o_orderkey % 1000 NOT IN (SELECT c_custkey FROM c) UNION ALL SELECT 'edge', 'CALLS', count(*) FROM o
+  UNION ALL SELECT 'node', 'http-endpoint', count(*) FROM nation UNION ALL SELECT 'edge', 'EXPOSES', count(*) FROM nation WHERE n_regionkey > 1 UNION ALL SELECT 'node', 'persistence-entity', count(*) FROM region UNION ALL SELECT 'edge', 'PERSISTS', count(*) FROM region
+  UNION ALL SELECT 'node', 'bean', count(*) FROM supplier UNION ALL SELECT 'edge', 'BACKED_BY', (SELECT count(*) FROM supplier) UNION ALL SELECT 'node', 'validation-constraint', count(*) FROM part UNION ALL SELECT 'edge', 'CONSTRAINS', count(*) FROM part
+  UNION ALL SELECT 'node', 'security-constraint', count(*) FROM nation UNION ALL SELECT 'edge', 'SECURES', count(*) FROM nation
+  UNION ALL SELECT 'node', 'documentation-file', md FROM k UNION ALL SELECT 'node', 'documentation-section', 2 * md FROM k UNION ALL SELECT 'node', 'openapi-contract', api FROM k UNION ALL SELECT 'node', 'contract-operation', api FROM k
+  UNION ALL SELECT 'node', 'database-migration', sql FROM k UNION ALL SELECT 'node', 'integration-config', conf FROM k UNION ALL SELECT 'node', 'scheduled-job', count(*) FROM o WHERE o_orderstatus = 'P'
+  UNION ALL SELECT 'ref', 'line', 2 * md + api FROM k)
+SELECT part, kind, CAST(n AS BIGINT) AS n FROM found WHERE n > 0""")
+def evidence_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """How many nodes, edges and refs of each kind the graph has that is built from a code model made of all tables, and from pages as documents, contracts, migrations and configuration."""
+    key = lambda p, name: F.concat(F.lit(p), c(name).cast("string"))
+    typed = lambda schema: F.expr(f"CAST(array() AS {schema})")
+    none = typed(schemas._PROVENANCE).alias("provenance")
+    mark = lambda when, name: F.when(when, F.array(F.struct(F.lit(name).alias("name"), F.lit(f"x.{name}").alias("qualified_name"), F.create_map().cast("map<string,string>").alias("values")))).otherwise(typed(schemas._ANNOTATIONS)).alias("annotations")
+    zero, text = F.lit(0).cast("long").alias("ordinal"), lambda x: F.lit(x).cast("string")
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("src/"), c("doc_id").cast("string"), F.lit(".java")).alias("path"), F.regexp_replace("text", "(?m)^T", "import T").alias("text"))
+    pages = table(spark, sf, "pages").select(F.when(c("page_id") % 4 == 0, key("docs/", "page_id")).alias("doc"), "page_id")
+    kind = c("page_id") % 4
+    path = F.when(kind == 0, F.concat(key("docs/", "page_id"), F.lit(".md"))).when(kind == 1, F.concat(key("api/openapi-", "page_id"), F.lit(".yaml"))).when(kind == 2, F.concat(key("src/db/migration/V", "page_id"), F.lit(".sql"))).otherwise(F.concat(key("conf/", "page_id"), F.lit(".properties")))
+    body = F.when(kind == 0, "# Title\nwords\n## Part\n").when(kind == 1, "paths:\n  /things:\n    get:\n").when(kind == 2, "create table x").otherwise("bootstrap = Kafka:9092")
+    resources = pages.select(path.alias("path"), body.alias("text"))
+    t = table(spark, sf, "customer").select(key("c", "c_custkey").alias("id"), F.concat(F.lit("a."), key("C", "c_custkey")).alias("qualified_name"), key("C", "c_custkey").alias("simple_name"), F.lit("a").alias("package_name"), F.lit("class").alias("kind"), mark(c("c_acctbal") > 0, "Entity"), none, c("c_custkey").cast("long").alias("ordinal"))
+    called = F.struct(F.concat(F.lit("a.C"), (c("o_orderkey") % 1000).cast("string")).alias("owner_type"), c("o_orderstatus").alias("method_name"))
+    literals = F.when(c("o_totalprice") > 100000, F.array(c("o_orderpriority"), F.lit(" "))).otherwise(F.array().cast("array<string>"))
+    m = table(spark, sf, "orders").select(
+        key("c", "o_custkey").alias("type_id"), key("o", "o_orderkey").alias("id"), c("o_orderstatus").alias("name"), F.lit("void").alias("return_type"), F.lit("public").alias("visibility"), mark(c("o_orderstatus") == "P", "Scheduled"),
+        F.struct(F.lit("").alias("normalized_source"), F.array(called).alias("call_edges"), literals.alias("literals")).alias("body"), none, zero,
+    )
+    p = table(spark, sf, "lineitem").select(key("o", "l_orderkey").alias("method_id"), F.concat(key("p", "l_orderkey"), F.lit(":"), c("l_linenumber").cast("string")).alias("id"), F.lit("x").alias("name"), F.lit("int").alias("type"), zero)
+    nation, one = table(spark, sf, "nation"), table(spark, sf, "region")
+    endpoints = nation.select(key("e", "n_nationkey").alias("id"), F.when(c("n_regionkey") > 1, key("m", "n_nationkey")).alias("method_id"), F.lit("b").alias("bean_name"), F.lit("GET").alias("http_method"), F.lit("/x").alias("full_path"), none, zero)
+    tables = {
+        "files": docs, "lines": files.lines(docs), "types": t, "methods": m, "params": p, "endpoints": endpoints, "resources": resources, "resource_lines": files.lines(resources),
+        "entities": one.select(key("j", "r_regionkey").alias("id"), key("c", "r_regionkey").alias("type_id"), c("r_name").alias("table_name"), zero),
+        "beans": table(spark, sf, "supplier").select(key("b", "s_suppkey").alias("id"), c("s_name").alias("name"), key("c", "s_suppkey").alias("type_id"), text("singleton").alias("scope"), zero),
+        "validations": table(spark, sf, "part").select(key("v", "p_partkey").alias("id"), key("o", "p_partkey").alias("target_id"), F.lit("NotNull").alias("annotation"), zero),
+        "securities": nation.select(key("s", "n_nationkey").alias("id"), key("o", "n_nationkey").alias("target_id"), F.lit("role").alias("kind"), F.lit("x").alias("expression"), zero),
+    }
+    graph, _ = snapshot.build(spark, tables, "/work/thing")
+    counts = lambda rows, part: rows.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "kind", "n")
+    return counts(graph.nodes, "node").unionByName(counts(graph.edges, "edge")).unionByName(counts(graph.refs.select(F.lit("line").alias("kind")), "ref"))
+
+
+@query("""WITH l AS (SELECT lang, unnest(string_split(regexp_replace(text, '\n$', ''), chr(10))) AS value FROM documents WHERE text IS NOT NULL)
+SELECT CASE lang WHEN 'en' THEN 'docs' WHEN 'de' THEN 'api' ELSE 'src/main/resources' END AS folder, value, count(*) AS n FROM l WHERE value <> '' GROUP BY ALL""")
+def resource_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written to files of a project's resource folders, which are found, read whole and cut into lines again; English ones are docs, German ones contracts."""
+    root = temporary(spark, "project")
+    docs = table(spark, sf, "documents").filter("text IS NOT NULL").select("lang", "text")
+    for folder, own in (("docs", c("lang") == "en"), ("api", c("lang") == "de"), ("src/main/resources", ~c("lang").isin("en", "de"))):
+        docs.filter(own).select("text").write.text(f"{root}/{folder}")
+    rows = files.lines(files.resource_files(spark, root).filter(~c("path").endswith("_SUCCESS"))).filter("value <> ''")
+    folder = F.when(F.contains("path", F.lit("/docs/")), "docs").when(F.contains("path", F.lit("/api/")), "api").otherwise("src/main/resources")
+    return rows.groupBy(folder.alias("folder"), "value").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT 'nodes' AS name, 'c' || c_custkey AS id, c_mktsegment AS kind, c_name AS label FROM customer UNION ALL SELECT 'suppliers', 's' || s_suppkey, NULL, s_name FROM supplier""")
+def run_artifacts(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables written as a run's artifacts, found again by its manifest; and JSON artifacts read with a fixed schema, which ignores what it doesn't know."""
+    folder = temporary(spark, "artifacts")
+    nodes = table(spark, sf, "customer").select(F.concat(F.lit("c"), c("c_custkey").cast("string")).alias("id"), c("c_mktsegment").alias("kind"), c("c_name").alias("label"))
+    files.write_artifacts({"nodes": nodes.limit(0), "edges": nodes.limit(0)}, folder, "run-0")
+    files.write_artifacts({"nodes": nodes}, folder, "run-1")
+    manifest = spark.read.schema("run_id string, name string, path string").json(f"{folder}/manifest/run-1").first()
+    supplier = F.struct(F.concat(F.lit("s"), c("s_suppkey").cast("string")).alias("id"), c("s_name").alias("label"), "s_acctbal")
+    table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.to_json(F.collect_list(supplier)).alias("value")).repartition("s_nationkey").write.partitionBy("s_nationkey").text(f"{folder}/json")  # an array a file
+    read = spark.read.schema(nodes.schema).parquet(manifest.path)
+    other = files.json_artifact(spark, f"{folder}/json", "id string, kind string, label string")
+    return read.select(F.lit(manifest.name).alias("name"), "id", "kind", "label").unionByName(other.select(F.lit("suppliers").alias("name"), "id", "kind", "label"))
+
+
+@query("""SELECT 'org.x' || min(doc_id) || '.App' || min(doc_id) AS name FROM documents WHERE lang = 'fr' AND lpad(CAST(doc_id AS VARCHAR), 9, '0') = (SELECT min(lpad(CAST(doc_id AS VARCHAR), 9, '0')) FROM documents WHERE lang = 'fr')""")
+def boot_class(spark: SparkSession, sf: str) -> DataFrame:
+    """The entry class among documents taken for source files: French ones have one behind their text."""
+    key = c("doc_id").cast("string")
+    code = F.when(c("lang") == "fr", F.concat(F.lit("package org.x"), key, F.lit(";\n"), F.coalesce("text", F.lit("")), F.lit("\n@SpringBootApplication\npublic class App"), key, F.lit(" {}"))).otherwise(c("text"))
+    return files.boot_class(table(spark, sf, "documents").select(F.lpad(key, 9, "0").alias("path"), code.alias("text")))
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
