@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillgraph import schemas
 from quillgraph.functions import text as fx
 from quillgraph.operators import compare, hierarchy, lookup, merge, numbering, retrieval, rules
-from quillgraph.plans import canonical, document, queries, runs, snapshot
+from quillgraph.plans import canonical, document, observed, queries, runs, snapshot
 from quillgraph.sources import files, scans, store
 from quillgraph.streaming import runs as live
 
@@ -202,6 +202,37 @@ def test_parameters_of_two_observers_both_stay(spark):
     assert merge.observer_merge(params, ["method_id", "id"], first_text={"name": merge.RUNTIME_FIRST}).count() == 2
 
 
+def test_types_are_merged_with_all_below_them(spark):
+    """Precedence at each level, first-seen order, lists without repeats (annotations with equal maps too), the last of an observer's repeats at the place of its first, bodies of sources alone."""
+    mark = lambda name, **values: (name, f"q.{name}", values)
+    seen = lambda who: [(who, "t", "F.java", "s", 1, 2)]
+    types = [
+        ("SOURCE", "t", " ", "T", "a.T", "class", None, ["I", "J"], [mark("A", x="1", y="2")], seen("SOURCE"), 0), ("BYTECODE", "t", "a", "TB", "a.T", "", "Base", ["J", "K"], [mark("A", y="2", x="1"), mark("B")], seen("BYTECODE"), 0),
+        ("RUNTIME", "t", "r", "TR", "a.T", "proxy", "Other", [], [], seen("SOURCE"), 0), ("BYTECODE", "only", "b", "Only", "b.Only", "enum", None, None, None, [], 0), ("BYTECODE", "only", "b", "Last", "b.Only", "enum", None, None, None, [], 1),
+    ]
+    fields = [
+        ("BYTECODE", "t", "t#b", "b", "int", "", None, True, [], [], 0), ("SOURCE", "t", "t#z", "", " ", "Z", None, None, [], [], 5), ("SOURCE", "t", "t#a", "a", "A", "", None, None, [], [], 6), ("BYTECODE", "t", "t#z", "zz", "long", "J", True, False, [], [], 1),
+        ("RUNTIME", "t", "t#z", "zr", "x", "x", False, None, [], [], 0), ("SOURCE", "t", "t#z", "", "again", "Z", None, None, [], [], 7), ("SOURCE", "lost", "lost#x", "x", "X", "", None, None, [], [], 0),
+    ]
+    body = ("return 1;", [("a.X", "go")], ["1"])
+    methods = [
+        ("SOURCE", "t", "t#m()", "m", "int", "", "public", None, True, False, [], ["E1"], body, [], 0), ("BYTECODE", "t", "t#m()", "mb", "long", "J", "private", True, False, True, [mark("M")], ["E2", "E1"], ("bytes", [], []), [], 0),
+        ("RUNTIME", "t", "t#r()", "r", "x", "x", "public", True, True, None, [], [], ("run", [], []), [], 0),
+    ]
+    params = [("SOURCE", "t#m()", "p0", "given", "int", "", None, [], [], 0), ("BYTECODE", "t#m()", "p0", "arg0", "long", "", True, [], [], 0), ("RUNTIME", "t#m()", "p0", "named", "x", "", False, [], [], 0), ("BYTECODE", "t#m()", "arg1", "arg1", "T", "", None, [], [], 1)]
+    tables = [spark.createDataFrame(rows, schema).repartition(3) for rows, schema in ((types, schemas.TYPES), (fields, schemas.FIELDS), (methods, schemas.METHODS), (params, schemas.PARAMS))]
+    found = {r.id: r for r in observed.merged_types(*tables).collect()}
+    t = found["t"]
+    assert (t.package_name, t.simple_name, t.kind, t.super_class, t.interfaces) == ("a", "T", "class", "Base", ["I", "J", "K"])
+    assert [(a.name, a["values"]) for a in t.annotations] == [("A", {"x": "1", "y": "2"}), ("B", {})] and [p.source for p in t.provenance] == ["SOURCE", "BYTECODE"]
+    assert [(f.id, f.name, f.type, f.erased_type, f.nullable, f.primary_key) for f in t.fields] == [("t#z", "", "again", "Z", False, False), ("t#a", "a", "A", None, None, None), ("t#b", "b", "int", None, None, True)]
+    m, r = t.methods
+    assert (m.name, m.return_type, m.erased_return_type, m.visibility, m.constructor, m.synthetic, m.bridge, m.thrown_types) == ("m", "int", "J", "public", True, False, True, ["E1", "E2"])
+    assert m.body.normalized_source == "return 1;" and r.body is None and [a.name for a in m.annotations] == ["M"] and (r.constructor, r.synthetic, r.bridge, r.parameters) == (False, True, False, [])
+    assert [(p.id, p.name, p.type, p.nullable) for p in m.parameters] == [("p0", "given", "int", False), ("arg1", "arg1", "T", None)]
+    assert (found["only"].simple_name, found["only"].fields, found["only"].interfaces) == ("Last", [], []) and set(found) == {"t", "only"}
+
+
 # scans
 
 
@@ -345,7 +376,7 @@ def test_trees_of_any_depth(spark):
 def test_random_trees_against_a_walk(spark):
     """Several roots, unknown parents, equal ordinals: the walk, ancestors, neighbourhoods and the filter, by recursion."""
     rng = random.Random(17)
-    for size in (1, 2, 40, 300):
+    for size in (1, 50, 200):
         rows = [(f"n{k}", None if rng.random() < 0.03 or not k else "lost" if rng.random() < 0.03 else f"n{rng.randrange(max(0, k - 12), k)}", rng.randrange(4)) for k in range(size)]
         nodes = spark.createDataFrame(rows, "id string, parent string, ordinal long").repartition(3)
         opened = {r[0] for r in rows if rng.random() < 0.7} | {"nobody"}
