@@ -28,18 +28,33 @@ LOOSE_PHONE = r"(?<![0-9+.(-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![
 NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 SECRET = r"""(?i)(?<![a-z])(?:api[_-]?key|access[_-]?(?:key|token)|token|secret|passwd|password)\x20?[=:]\x20?["']?[A-Za-z0-9+/_=-]{8,}+["']?"""
 #: Gazetteers and cue words (fixed values).
-DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info")
-GIVEN_NAMES = ("James", "Mary", "Robert", "Patricia", "John", "Jennifer", "Michael", "Linda", "David", "Elizabeth", "William", "Barbara", "Thomas", "Susan", "Sarah", "Karen", "Hans", "Marie", "Pierre", "Maria", "Carlos", "Ana")
-PERSON = rf"(?<![A-Za-z])(?:{'|'.join(GIVEN_NAMES)})\x20[A-Z][a-z]++(?![A-Za-z])"
+DOMAINS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "dev", "app", "co", "me", "ai", "eu", "de", "fr", "es", "it", "nl", "be", "lu", "at", "ch", "uk", "ie", "dk", "se", "no", "fi", "is", "pl", "cz", "sk", "hu", "ro", "bg", "gr", "pt",
+    "ua", "ru", "tr", "il", "in", "cn", "jp", "kr", "tw", "hk", "sg", "my", "th", "vn", "id", "ph", "au", "nz", "za", "ng", "ke", "eg", "ma", "us", "ca", "mx", "br", "ar", "cl", "pe",
+)
+GIVEN_NAMES = (
+    "James", "Mary", "Robert", "Patricia", "John", "Jennifer", "Michael", "Linda", "David", "Elizabeth", "William", "Barbara", "Richard", "Susan", "Joseph", "Jessica", "Thomas", "Sarah", "Charles", "Karen", "Christopher", "Lisa", "Daniel", "Nancy", "Matthew", "Betty",
+    "Anthony", "Margaret", "Mark", "Sandra", "Donald", "Ashley", "Steven", "Kimberly", "Paul", "Emily", "Andrew", "Donna", "Joshua", "Michelle", "Kenneth", "Carol", "Kevin", "Amanda", "Brian", "Dorothy", "George", "Melissa", "Edward", "Deborah",
+    "Hans", "Klaus", "Stefan", "Wolfgang", "Andreas", "Peter", "Jens", "Uwe", "Sabine", "Monika", "Petra", "Ursula", "Heike", "Anna", "Katrin", "Julia", "Lukas", "Felix", "Leon", "Johanna",
+    "Pierre", "Marie", "Jean", "Michel", "Philippe", "Alain", "Nicolas", "Laurent", "Isabelle", "Nathalie", "Sylvie", "Catherine", "Claire", "Camille", "Julien", "Antoine", "Sophie", "Louise", "Luc", "Chantal",
+    "Maria", "Carlos", "Ana", "Antonio", "Manuel", "Francisco", "Javier", "Miguel", "Pablo", "Diego", "Carmen", "Isabel", "Pilar", "Lucia", "Elena", "Marta", "Sofia", "Alejandro", "Fernando", "Raquel",
+)
+#: Country codes, and area codes of numbers without one.
+COUNTRIES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "54", "55", "56", "57", "61", "62", "63", "64", "65", "66", "81", "82", "86", "90", "91", "351", "352", "353", "354", "358", "420", "421")
+AREAS = ("202", "206", "210", "212", "213", "214", "215", "303", "305", "310", "312", "313", "314", "323", "404", "408", "410", "412", "415", "480", "503", "510", "512", "602", "612", "617", "619", "646", "702", "713", "718", "720", "773", "800", "801", "805", "813", "818", "858", "888", "904", "917", "919", "949", "972")
+# The look-ahead leaves few places at which the names are tried.
+PERSON = rf"(?<![A-Za-z])(?=[A-Z][a-z]{{1,12}}\x20[A-Z][a-z])(?:{'|'.join(GIVEN_NAMES)})\x20[A-Z][a-z]++(?![A-Za-z])"
+#: Two capitalised words behind a title: names that no list has.
+TITLED = r"(?<=(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Madame|Monsieur|Se\xf1or|Se\xf1ora)\.?\x20)[A-Z]\p{Ll}++(?:\x20|-)[A-Z]\p{Ll}++(?!\p{L})"
 CUES = {
     "email": "mail|contact|write|address", "ip": "host|server|address|client|ip", "card": "card|visa|master|amex|pay|credit", "phone": "tel|phone|call|fax|mobile|dial",
-    "secret": "key|token|secret|login|credential", "id": "ssn|social|security|tax|insurance", "person": "mr|mrs|ms|dr|dear|name|contact|by",
+    "secret": "key|token|secret|login|credential", "id": "ssn|social|security|tax|insurance", "person": "mr|mrs|ms|dr|herr|frau|madame|monsieur|dear|name|contact|by",
 }
 #: Kinds in the order that breaks ties of starts; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "secret", "id", "person")
 #: (kind, pattern, what a text must hold to be searched)
 SEARCHES = (
-    ("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD_RUN, None), ("phone", PHONE, "+"), ("phone", LOOSE_PHONE, "-"), ("secret", SECRET, None), ("id", NATIONAL_ID, "-"), ("person", PERSON, None),
+    ("email", EMAIL, "@"), ("ip", IP, "."), ("card", CARD_RUN, None), ("phone", PHONE, "+"), ("phone", LOOSE_PHONE, "-"), ("secret", SECRET, None), ("id", NATIONAL_ID, "-"), ("person", PERSON, None), ("person", TITLED, None),
 )
 _CHUNK = 256
 _NO_HITS = "array<struct<start:long,end:long,hit:string,before:string>>"
@@ -111,16 +126,17 @@ def _judged(kind: str, loose: bool) -> tuple:
         return (lambda h: (F.length(_digits(h)) >= 14) & good(h)), (lambda h: vote(good(h))), lambda h: F.when(h.rlike(r"^(?:4|5[1-5]|3[47]|6011|65)"), yes).otherwise(no)
     if kind == "phone" and not loose:
         fits = lambda h: F.length(_digits(h)).between(10, 15)
-        return fits, (lambda h: vote(fits(h))), lambda h: F.when(h.rlike(r"^\+(?:1|33|34|44|49)[^0-9]"), yes).otherwise(none)
+        return fits, (lambda h: vote(fits(h))), lambda h: F.when(h.rlike(rf"^\+(?:{'|'.join(COUNTRIES)})[^0-9]"), yes).otherwise(none)
     if kind == "phone":
-        return (lambda h: F.lit(False)), (lambda h: vote(h.rlike(r"^\(?[2-9]"))), lambda h: F.when(h.rlike(r"^\(?(?:212|213|310|312|415|555|617|800|888)"), yes).otherwise(none)
+        return (lambda h: F.lit(False)), (lambda h: vote(h.rlike(r"^\(?[2-9]"))), lambda h: F.when(h.rlike(rf"^\(?(?:{'|'.join(AREAS)})"), yes).otherwise(none)
     if kind == "secret":
         digit = lambda h: h.rlike("[=:].*[0-9]")
         shape = lambda h: F.when(digit(h) & h.rlike("[=:].{16}"), yes).when(digit(h), none).otherwise(no)
         return (lambda h: F.lit(False)), shape, lambda h: F.when(h.rlike("[0-9a-f]{32}"), yes).otherwise(none)
     if kind == "id":
         return (lambda h: F.lit(False)), (lambda h: vote(~h.rlike("^(?:000|666|9)|-00-|-0000$"))), lambda h: none
-    return (lambda h: F.lit(False)), (lambda h: vote(F.length(h) <= 40)), lambda h: yes
+    listed = lambda h: F.when(F.regexp_extract(h, r"^\p{L}+", 0).isin(*GIVEN_NAMES), yes).otherwise(none)
+    return (lambda h: F.lit(False)), (lambda h: vote(F.length(h) <= 40)), listed
 
 
 def _voted(kind: str, base, shape_vote, gazetteer):
@@ -230,7 +246,7 @@ def find_pii(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", te
     parted = found.withColumn("base", F.filter("spans", lambda s: s.base)).withColumn("more", F.filter("spans", lambda s: ~s.base & (model.probability(s) >= threshold)))
     free = F.when(F.size("more") > 0, F.filter("more", lambda s: ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end)))).otherwise(F.col("more"))
     parted = parted.withColumn("free", free)
-    return parted.select("doc_id", F.transform("base", slim).alias("base"), F.array_sort(F.concat(F.transform("base", slim), F.transform("free", slim))).alias("spans"))
+    return parted.select("doc_id", F.transform("base", slim).alias("base"), F.array_distinct(F.array_sort(F.concat(F.transform("base", slim), F.transform("free", slim)))).alias("spans"))
 
 
 def as_text(spans: str) -> Column:
