@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import drop_table, materialize, read_table, scratch, text_hash
@@ -23,6 +23,14 @@ from quillgraph.llm.simhash import near_duplicates
 QUALITY_THRESHOLD = 0.5
 #: Benchmark items of fewer words are found by op6 but delete nothing: a few words in a row stand in many clean documents.
 LEAST_ITEM_WORDS = 13
+#: Rows to delete, two numbers each, that may be broadcast; beyond, texts are shuffled to meet them.
+BROADCAST_ROWS = 1_000_000
+
+
+def _without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
+    """Rows of docs that meet none of gone; few of these, by their count, go to every task, so that texts stay where they are."""
+    few = gone.count() <= BROADCAST_ROWS
+    return docs.join(F.broadcast(gone) if few else gone, same, "left_anti")
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +51,9 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     linked rows one without an id stays only if none has one. Rows identical in both stay or go together.
     """
     found = near_duplicates(docs.select("doc_id", "text"), 5, 0.8)
-    gone = found.filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct()
+    gone = materialize(found.filter("NOT kept").select(F.col("doc_id").alias("gone_id"), F.col("hash").alias("gone_hash")).distinct(), "gone")
     same = docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text_hash(docs["text"]) == gone["gone_hash"])
-    return docs.join(gone, same, "left_anti")
+    return _without(docs, gone, same)
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +61,8 @@ def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     items = read_table(spark, sf_dir, "benchmark").select("item_id", "text")
     row = F.xxhash64(docs["doc_id"], F.coalesce(docs["text"], F.lit("")))
     found = contaminated(docs.select(row.alias("doc_id"), "text"), items)
-    gone = found.filter(F.col("item_words") >= LEAST_ITEM_WORDS).select(F.col("doc_id").alias("gone_row"))
-    return docs.join(gone, row == gone["gone_row"], "left_anti")
+    gone = materialize(found.filter(F.col("item_words") >= LEAST_ITEM_WORDS).select(F.col("doc_id").alias("gone_row")), "gone")
+    return _without(docs, gone, row == gone["gone_row"])
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

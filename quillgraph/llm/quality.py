@@ -152,8 +152,13 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _sample(rows: DataFrame, seed: int, n: int) -> DataFrame:
-    """At most n ids, those with the smallest seeded hashes."""
-    return rows.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(n)
+    """At most n ids, those with the smallest seeded hashes. Where there are many more, only ids below a hash that some 4 n of them should reach are made distinct."""
+    mark, total = F.xxhash64(F.lit(seed), "doc_id"), rows.count()
+    if total > 8 * n:
+        low = rows.filter(mark < -(1 << 63) + (4 * n << 64) // total)
+        if low.select("doc_id").distinct().count() >= n:  # else rows repeat their ids too often
+            rows = low
+    return rows.select("doc_id").distinct().orderBy(mark, "doc_id").limit(n)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Network | None:

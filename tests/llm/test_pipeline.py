@@ -63,6 +63,18 @@ def test_stages(spark, tables):
         before = after
 
 
+def test_rows_go_whether_broadcast_or_not(spark, tables, monkeypatch):
+    docs = spark.read.parquet(f"{tables}/documents.parquet").selectExpr("*", "1 AS gone_id", "2 AS gone_hash", "3 AS gone_row")  # names that clash
+    for stage in (cp.stage_near_dedup, cp.stage_decontaminate):
+        found = []
+        for most in (10**6, 0):
+            monkeypatch.setattr(cp, "BROADCAST_ROWS", most)
+            out = stage(spark, docs, tables)
+            assert out.columns == docs.columns
+            found.append(sorted(map(str, out.select("doc_id", "text", "gone_row").collect())))
+        assert found[0] == found[1] and len(found[0]) < docs.count()
+
+
 def test_run_and_empty_tables(spark, tables, tmp_path):
     assert cp.run(spark, tables).columns[:2] == ["doc_id", "source"]
     for name in ("documents", "labels", "benchmark"):
