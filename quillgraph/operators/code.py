@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_token, command_name, http_verb, storage_type, strip_suffixes
+from .numbering import running
 
 #: What on a class path, and what in sources, shows a capability (fixed values).
 CLASSPATH_SIGNS = {
@@ -68,8 +69,8 @@ def two_key_lookup(left: DataFrame, known: DataFrame, name: str, key: str, path:
 
 
 def running_numbers(rows: DataFrame, group: Sequence[str], *order: str) -> DataFrame:
-    """Numbers from 1 within each group: adds `number`."""
-    return rows.withColumn("number", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    """Numbers from 1 within each group: adds `number`. A group of any size is numbered in ranges."""
+    return running(rows, group, order, "number").withColumn("number", F.col("number") + 1)
 
 
 def draft_aggregates(entities: DataFrame, endpoints: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators import lookup, retrieval, rules
 from ..sources import files, scans
 from ..sources.files import temporary, written
 from ..sources.store import VersionedTable
-from . import canonical, document, observed, snapshot
+from . import canonical, document, draft, observed, snapshot
 from .queries import NODES_SQL, ORACLES, QUERIES, c, evidence_nodes, hierarchical_rollup, query, table  # noqa: F401  the entry takes some from here
 
 # Nested types of three observers, made of customers, their events as fields, orders as methods and line items as parameters
@@ -535,6 +535,56 @@ def boot_class(spark: SparkSession, sf: str) -> DataFrame:
     return files.boot_class(table(spark, sf, "documents").select(F.lpad(key, 9, "0").alias("path"), code.alias("text")))
 
 
+# A draft specification: suppliers as entities, orders as methods and endpoints, line items as parameters and constraints
+
+DRAFT_SQL = """methods AS (SELECT 'org.x.Thing' || o_orderkey % 30 || 'Controller#m' || o_orderkey AS id, 'do' || o_orderstatus || o_orderkey % 3 AS name, o_orderkey AS k, o_orderstatus AS st, o_orderpriority AS pr FROM orders),
+params AS (SELECT 'org.x.Thing' || l_orderkey % 30 || 'Controller#m' || l_orderkey AS method_id, CASE l_linenumber WHEN 1 THEN 'orderId' WHEN 2 THEN 'ID' ELSE 'p' || l_linenumber END AS name, CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 100000 + l_suppkey AS ordinal, l_quantity FROM lineitem),
+inputs AS (SELECT method_id, string_agg(name, ',' ORDER BY ordinal) AS input, arg_min(name, ordinal) FILTER (lower(name) = 'id' OR ends_with(name, 'Id')) AS idish FROM params GROUP BY 1),
+constraints AS (SELECT method_id, 0 AS part, ordinal, name || ' must satisfy @Max' AS text, 'validation' AS kind FROM params WHERE l_quantity > 45 UNION ALL SELECT id, 0, 0, name || ' must satisfy @Valid', 'validation' FROM methods WHERE pr = '1-URGENT' UNION ALL SELECT id, 1, 0, 'role ' || st, 'security' FROM methods WHERE st = 'P'),
+numbered AS (SELECT c.*, row_number() OVER (PARTITION BY method_id ORDER BY part, ordinal) AS n FROM constraints c),
+ruled AS (SELECT method_id, string_agg(lower(m.name) || '-' || kind || '-v' || n || '=' || text, ',' ORDER BY n) AS rules FROM numbered JOIN methods m ON m.id = method_id GROUP BY 1),
+ends AS (SELECT k, 'Thing' || k % 30 AS aggregate, upper(name[1:1]) || name[2:] AS name, '/v1/' || k AS path, coalesce(input, '') AS input, idish, coalesce(rules, '') AS rules,
+    CASE k % 4 WHEN 0 THEN 'Given o.id is provided>Then the operation completes successfully' WHEN 2 THEN '>Then throws LateException' ELSE '' END AS told FROM methods m LEFT JOIN inputs i ON i.method_id = m.id LEFT JOIN ruled r ON r.method_id = m.id WHERE k % 2 = 0
+  UNION ALL SELECT o_orderkey, 'Act' || o_orderkey % 7, 'Act' || o_orderkey % 7, '/v1/things/{id}/act' || o_orderkey % 7 || '/{x}', '', NULL, '', '' FROM orders WHERE o_orderkey % 10 = 1),
+commands AS (SELECT aggregate, string_agg(name || '(' || input || ')' || path || '[' || rules || ']' || told, ';' ORDER BY name, k) AS commands, arg_min(idish, name || lpad(CAST(k AS VARCHAR), 12, '0')) FILTER (idish IS NOT NULL) AS idish FROM ends GROUP BY 1),
+ents AS (SELECT s_suppkey AS k, 'Thing' || s_nationkey AS aggregate, CASE s_suppkey % 4 WHEN 0 THEN 'Thing' || s_nationkey || CASE s_suppkey % 3 WHEN 0 THEN 'Service' WHEN 1 THEN 'Impl' ELSE '' END || 'Entity' WHEN 1 THEN 'KnownEntity' ELSE 'Known' || s_suppkey || 'Entity' END AS name, s_suppkey % 2 = 0 AS keyed FROM supplier),
+entities AS (SELECT aggregate, string_agg(name || '(bal:double,suppId:long)', ';' ORDER BY k) AS entities, bool_or(keyed) AS keyed FROM ents GROUP BY 1)"""
+
+
+@query(f"""WITH {DRAFT_SQL} SELECT coalesce(e.aggregate, c.aggregate) AS aggregate, CASE WHEN keyed THEN 'suppId' ELSE idish END AS field, CASE WHEN keyed THEN 'long' ELSE 'String' END AS type, coalesce(entities, '') AS entities, coalesce(commands, '') AS commands
+FROM entities e FULL JOIN commands c ON c.aggregate = e.aggregate""")
+def draft_specification(spark: SparkSession, sf: str) -> DataFrame:
+    """Aggregates with their identity, entities and commands, written as text."""
+    text = lambda x: x.cast("string")
+    method_id = lambda k: F.concat(F.lit("org.x.Thing"), text(k % 30), F.lit("Controller#m"), text(k))
+    k, status = c("o_orderkey"), c("o_orderstatus")
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    source = F.when(k % 4 == 0, "if (o.id == null) return").when(k % 4 == 2, "throw new LateException (x)").otherwise("go()")
+    m = orders.select(method_id(k).alias("id"), F.concat(F.lit("do"), status, text(k % 3)).alias("name"), F.struct(source.alias("normalized_source")).alias("body"))
+    number = c("l_linenumber")
+    ordinal = number.cast("long") * 1_000_000_000_000 + c("l_partkey") * 100_000 + c("l_suppkey")
+    param = F.concat(method_id(c("l_orderkey")), F.lit("/"), text(ordinal))
+    p = lines.select(method_id(c("l_orderkey")).alias("method_id"), param.alias("id"), F.when(number == 1, "orderId").when(number == 2, "ID").otherwise(F.concat(F.lit("p"), text(number))).alias("name"), F.lit("int").alias("type"), F.lit(None).cast("boolean").alias("nullable"), ordinal.alias("ordinal"))
+    ends = orders.filter(k % 2 == 0).select(method_id(k).alias("method_id"), F.lit("POST").alias("http_method"), F.concat(F.lit("/v1/"), text(k)).alias("full_path"), k.alias("ordinal"))
+    ends = ends.unionByName(orders.filter(k % 10 == 1).select(F.lit("gone#x").alias("method_id"), F.lit("POST").alias("http_method"), F.concat(F.lit("/v1/things/{id}/act"), text(k % 7), F.lit("/{x}")).alias("full_path"), k.alias("ordinal")))
+    checks = lines.filter("l_quantity > 45").select(F.lit("v").alias("id"), param.alias("target_id"), F.lit("Max").alias("annotation"), ordinal.alias("ordinal"))
+    checks = checks.unionByName(orders.filter("o_orderpriority = '1-URGENT'").select(F.lit("v").alias("id"), method_id(k).alias("target_id"), F.lit("Valid").alias("annotation"), F.lit(0).cast("long").alias("ordinal")))
+    guards = orders.filter("o_orderstatus = 'P'").select(F.lit("s").alias("id"), method_id(k).alias("target_id"), F.lit("role").alias("kind"), status.alias("expression"), F.lit(0).cast("long").alias("ordinal"))
+    n = c("s_suppkey")
+    type_id = F.concat(F.lit("org.x.Thing"), text(c("s_nationkey")), F.when(n % 3 == 0, "Service").when(n % 3 == 1, "Impl").otherwise(""), F.when(n % 4 != 0, F.concat(F.lit("/"), text(n))).otherwise(""))
+    suppliers = table(spark, sf, "supplier").withColumn("type_id", F.substring_index(type_id, "/", 1)).withColumn("own", F.concat("type_id", F.lit("@"), text(n)))
+    attribute = lambda name, kind: F.struct(F.lit(name).alias("field_name"), F.lit(kind).alias("type"), F.lit(name == "suppId").alias("pk"), F.lit(None).cast("boolean").alias("nullable"))
+    # known classes have ids of their own, which the role suffix and the number behind it don't change
+    entities = suppliers.select(F.when(n % 4 == 0, c("type_id")).otherwise(F.concat(F.lit("k"), text(n), F.lit("."), F.substring_index("type_id", ".", -1))).alias("type_id"), c("s_name").alias("table_name"), F.when(n % 2 == 0, F.array(F.lit("org.x#suppId"))).otherwise(F.array().cast("array<string>")).alias("id_fields"), F.array(attribute("suppId", "long"), attribute("bal", "double")).alias("attributes"), n.alias("ordinal"))
+    types = entities.filter(c("ordinal") % 4 != 0).select(c("type_id").alias("id"), F.when(c("ordinal") % 4 == 1, "KnownEntity").otherwise(F.concat(F.lit("Known"), text(c("ordinal")))).alias("simple_name"))
+    found = draft.draft(types, m, p, ends, entities, checks, guards)
+    listed = lambda items, one, between: F.array_join(F.transform(items, one), between)
+    told = lambda s: F.when(s.isNull(), "").otherwise(F.concat(F.array_join(s["given"], "|"), F.lit(">"), F.array_join(s["then"], "|")))
+    entity = lambda e: F.concat(e["name"], F.lit("("), listed(e["fields"], lambda f: F.concat_ws(":", f["name"], f["type"]), ","), F.lit(")"))
+    command = lambda x: F.concat(x["name"], F.lit("("), listed(x["input"], lambda f: f["name"], ","), F.lit(")"), x["path"], F.lit("["), listed(x["rules"], lambda r: F.concat(r["id"], F.lit("="), r["ensure"]), ","), F.lit("]"), told(x["scenario"]))
+    return found.select("aggregate", c("identity.field").alias("field"), c("identity.type").alias("type"), listed("entities", entity, ";").alias("entities"), listed("commands", command, ";").alias("commands"))
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
