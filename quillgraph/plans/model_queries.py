@@ -11,7 +11,7 @@ from ..operators import lookup, retrieval, rules
 from ..sources import files, scans
 from ..sources.files import temporary, written
 from ..sources.store import VersionedTable
-from . import canonical, document, draft, observed, snapshot
+from . import ask, canonical, document, draft, observed, snapshot
 from .queries import NODES_SQL, ORACLES, QUERIES, c, evidence_nodes, hierarchical_rollup, query, table  # noqa: F401  the entry takes some from here
 
 # Nested types of three observers, made of customers, their events as fields, orders as methods and line items as parameters
@@ -283,6 +283,24 @@ def canonical_specs(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonical_items(canonical.canonical_specs(specs))
 
 
+ASKED = "which http flow has a scenario with migration or zzz"
+_SCORE = " + ".join(f"CAST(contains(lower(text), '{t}') AS INTEGER)" for t in retrieval.query_terms(ASKED, 2, True))
+_NAMED = " OR ".join(f"contains(lower(label), '{t}')" for t in retrieval.query_terms(ASKED, 2, True))
+
+
+@query(f"""WITH items AS ({ORACLES['synthesized_items']}), {NODES_SQL},
+texts AS (SELECT list_position(['service', 'interface', 'datastore', 'integration', 'workflow', 'rule', 'scenario'], kind) AS part, ordinal, id, upper(kind) || ' ' || name || chr(10) || CASE kind WHEN 'interface' THEN 'Protocol' WHEN 'datastore' THEN 'Technology' WHEN 'integration' THEN 'Artifacts'
+    WHEN 'rule' THEN 'Statement' WHEN 'scenario' THEN 'Then' ELSE 'Summary' END || ': ' || coalesce(summary, '') AS text FROM items WHERE kind NOT IN ('operation', 'note')
+  UNION ALL SELECT 8, ordinal, id, upper(kind) || ' ' || label || chr(10) || 'Path: ' FROM n WHERE kind IN ('documentation-section', 'http-endpoint', 'contract-operation'))
+SELECT 'document' AS source, text FROM (SELECT text FROM texts ORDER BY {_SCORE} DESC, part, ordinal, id LIMIT 12) UNION ALL SELECT 'graph', label FROM (SELECT label FROM n WHERE {_NAMED} ORDER BY id LIMIT 20)""")
+def ask_context(spark: SparkSession, sf: str) -> DataFrame:
+    """What a question is answered from: the best texts of the document and the evidence, and the graph's nodes that name one of its terms."""
+    nodes, refs = evidence_nodes(spark, sf)
+    nodes = written(nodes.withColumn("path", F.lit(None).cast("string")), "nodes")
+    items = written(document.synthesize(spark, nodes, refs)[0], "items")
+    return ask.ask(items, nodes, ASKED)
+
+
 # Versioned graphs
 
 
