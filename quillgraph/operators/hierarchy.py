@@ -2,7 +2,8 @@
 
 Pointers double: after k rounds a node knows its ancestor 2**k above, so a tree of depth d takes
 log2(d) rounds. Each round's tables are stored in the shared folder, so plans stay as short as one
-round, and every table has at most a row per node.
+round, and every table has at most a row per node. They are deleted as soon as the next round is stored; what
+the lazy result still reads goes when the driver ends.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.files import written, written_counted
+from ..sources.files import drop, written, written_counted
 from .numbering import running
 
 #: Rounds after which a chain is longer than any table: it runs in a circle.
@@ -32,14 +33,16 @@ def _jumps(nodes: DataFrame) -> list[DataFrame]:
         step = step.join(step.select(F.col("id").alias("up"), F.col("up").alias("over")), "up").select("id", F.col("over").alias("up"))
 
 
-def _rolled_up(total: DataFrame, jumps: list[DataFrame]) -> DataFrame:
+def _rolled_up(total: DataFrame, jumps: list[DataFrame], keep_jumps: bool = False) -> DataFrame:
     """(id, measures...) of nodes below or at each node, summed; only nodes that something reaches.
 
     In each round a node adds what it has gathered from 2**k levels to its ancestor 2**k above; sums combine before the shuffle.
     """
-    names = [c for c in total.columns if c != "id"]
+    names, before, used = [c for c in total.columns if c != "id"], None, None
     for jump in jumps:
         total = written(total, "total")
+        drop(before, None if keep_jumps else used)
+        before, used = total, jump
         total = total.unionByName(total.join(jump, "id").select(F.col("up").alias("id"), *names)).groupBy("id").agg(*(F.sum(n).alias(n) for n in names))
     return total
 
@@ -82,8 +85,11 @@ def _shown(nodes: DataFrame, expanded: DataFrame) -> DataFrame:
     state = nodes.select("id", "parent").join(facts, "parent", "left").select(
         "id", F.when(F.col("is_open").isNotNull(), F.col("parent")).alias("up"), (F.col("parent").isNull() | F.coalesce("is_open", F.lit(False))).alias("ok"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("level"),
     )
+    before = None
     for done in range(MOST_ROUNDS):
         state, (rows, left) = written_counted(state, "shown", F.count(F.lit(1)), F.count("up"))
+        drop(before)
+        before = state
         if not left:
             return state.filter("ok").select("id", "level")
         if done > rows.bit_length():
@@ -102,11 +108,14 @@ def visible_tree(nodes: DataFrame, expanded: DataFrame) -> DataFrame:
     """
     seen = written(nodes.select("id", "parent", "ordinal").join(_shown(nodes, expanded), "id"), "seen")
     jumps = _jumps(seen)
-    sizes = _rolled_up(seen.select("id", F.lit(1).cast("long").alias("size")), jumps)
+    sizes = _rolled_up(seen.select("id", F.lit(1).cast("long").alias("size")), jumps, keep_jumps=True)
     offsets = running(seen.join(sizes, "id"), ["parent"], ["ordinal", "id"], "before", F.col("size"))
     place = offsets.select("id", (F.col("before") + F.when(F.col("parent").isNull(), 0).otherwise(1)).alias("place"))
+    before = used = None
     for jump in jumps:  # of each node: the sum over itself and its ancestors less than 2**k above
         place = written(place, "place")
+        drop(before, used)
+        before, used = place, jump
         above = place.select(F.col("id").alias("up"), F.col("place").alias("more")).join(jump, "up").select("id", "more")
         place = place.join(above, "id", "left").select("id", (F.col("place") + F.coalesce("more", F.lit(0))).alias("place"))
     return seen.select("id", "level").join(place, "id")

@@ -35,7 +35,21 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back; the table is deleted when the driver ends."""
     path = temporary(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Delete tables that written() made, once nothing lazy reads them any more."""
+    for table in tables:
+        if table is not None and (spark := _written.pop(table.written_path, None)):
+            _delete(spark, table.written_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def written_counted(df: DataFrame, tag: str, *counts: Column) -> tuple[DataFrame, list[int]]:
@@ -53,8 +67,7 @@ _written: dict[str, SparkSession] = {}
 def _forget() -> None:
     with contextlib.suppress(Exception):  # a session that has ended can't delete any more
         for path, spark in _written.items():
-            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+            _delete(spark, path)
 
 
 def text_files(spark: SparkSession, roots: Sequence[str], pattern: str = "*") -> DataFrame:
