@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, materialize, named
+from .common import WHITE, drop_table, materialize, named
 
 KEEP, REROLE, DELETE, INSERT, CUT = 0, 3, 4, 3, 3  # costs; CUT is added for a truncated row that stays
 BAND, STATES = 8, 4
@@ -332,6 +332,8 @@ def repair(conversations: DataFrame, lost_col: str | None = None, long_rows: int
     sizes = materialize(rows.filter("NOT lost").groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") > long_rows).withColumnRenamed("conv_id", "long_id"), "repair-long")
     n_rows = sizes.agg(F.sum("n")).first()[0]
     same = rows["conv_id"].eqNullSafe(sizes["long_id"])
+    if n_rows is None:
+        drop_table(sizes)
     short = rows if n_rows is None else rows.join(sizes, same, "left_anti")
     found = short.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_fold, _SCHEMA)
     if n_rows is not None:
