@@ -11,7 +11,7 @@ from ..operators import lookup, retrieval, rules
 from ..sources import files, scans
 from ..sources.files import temporary, written
 from ..sources.store import VersionedTable
-from . import ask, canonical, document, draft, observed, snapshot
+from . import ask, canonical, document, draft, observed, runs, snapshot
 from .queries import NODES_SQL, ORACLES, QUERIES, c, evidence_nodes, hierarchical_rollup, query, table  # noqa: F401  the entry takes some from here
 
 # Nested types of three observers, made of customers, their events as fields, orders as methods and line items as parameters
@@ -603,6 +603,36 @@ def draft_specification(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("aggregate", c("identity.field").alias("field"), c("identity.type").alias("type"), listed("entities", entity, ";").alias("entities"), listed("commands", command, ";").alias("commands"))
 
 
+# Chips and branch conditions
+
+_CHIP_KINDS = ("service", "interface", "operation", "datastore", "integration", "workflow", "rule", "scenario", "note")
+
+
+@query(f"""WITH n AS (SELECT c_custkey, {list(_CHIP_KINDS)}[CAST(c_custkey % 9 + 1 AS INTEGER)] AS kind, c_nationkey AS a, c_custkey % 4 AS b, c_custkey % 3 AS w, c_custkey % 5 AS e, c_name, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE '' END AS fact FROM customer),
+parts AS (SELECT *, CASE kind WHEN 'service' THEN [a || ' interfaces', b || ' data stores'] WHEN 'interface' THEN [a || ' operations', fact] WHEN 'operation' THEN [trim(upper(fact) || ' ' || c_name)] WHEN 'datastore' THEN [c_name] WHEN 'integration' THEN [fact, 'mq'] ELSE [fact] END AS own FROM n)
+SELECT c_custkey, array_to_string(list_filter(list_concat(own, [CASE WHEN b > 0 THEN b || ' blocking' WHEN w > 0 THEN w || ' warnings' ELSE '' END, CASE WHEN e > 0 THEN e || ' evidence' ELSE 'No evidence' END]), lambda x: x <> '')[:4], '|') AS chips,
+  array_to_string(list_filter(['fact=' || fact, 'name=' || c_name], lambda x: NOT ends_with(x, '=')), '|') AS kept FROM parts""")
+def node_chips(spark: SparkSession, sf: str) -> DataFrame:
+    """Chips of lineage nodes of all kinds, and metadata without empty values, made of customers."""
+    k = c("c_custkey")
+    fact = F.when(c("c_acctbal") > 0, c("c_mktsegment")).otherwise("")
+    metadata = F.create_map(*(x for name in ("protocol", "method", "direction", "summary", "statement", "then", "detail") for x in (F.lit(name), fact)), F.lit("kind"), F.lit("mq"))
+    stats = {"bounded_contexts": c("c_nationkey"), "aggregates": k % 4, "commands": c("c_nationkey"), "blocking": k % 4, "warning": k % 3, "evidence": k % 5}
+    kind = F.element_at(F.array(*map(F.lit, _CHIP_KINDS)), (k % 9 + 1).cast("int"))
+    kept = fx.kept_metadata(F.create_map(F.lit("fact"), fact, F.lit("name"), c("c_name"), F.lit("none"), F.lit(None).cast("string")))
+    return table(spark, sf, "customer").select("c_custkey", F.array_join(runs.node_chips(kind, c("c_name"), metadata, stats), "|").alias("chips"), F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat_ws("=", e["key"], e["value"])), "|").alias("kept"))
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_orderkey % 6 AS k, 'x' || o_custkey AS v FROM orders)
+SELECT o_orderkey, CASE k WHEN 0 THEN v || '=true' WHEN 1 THEN v || '  && y=false' WHEN 2 THEN v || ' != null ||  z=true|' || v || '  || == null z=false' WHEN 3 THEN 'a=true|b=false' ELSE '' END AS checks FROM o""")
+def null_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What branch conditions compare with null that are made of orders."""
+    k, v = c("o_orderkey") % 6, F.concat(F.lit("x"), c("o_custkey").cast("string"))
+    made = F.when(k == 0, F.array(F.concat(v, F.lit(" == null")))).when(k == 1, F.array(F.concat(v, F.lit(" != null && y")), F.lit("n > 1"))).when(k == 2, F.array(F.concat(v, F.lit(" != null || == null z")))).when(k == 3, F.array(F.lit("a == null"), F.lit("b != null"))).otherwise(F.array(F.lit("p"), F.lit("q.isNull()")))
+    found = fx.null_checks(made)
+    return table(spark, sf, "orders").select("o_orderkey", F.array_join(F.transform(found, lambda x: F.concat_ws("=", x["text"], x["is_null"].cast("string"))), "|").alias("checks"))
+
+
 def _all(tables: list[DataFrame]) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:
