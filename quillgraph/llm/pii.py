@@ -44,8 +44,9 @@ COUNTRIES = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40
 AREAS = ("202", "206", "210", "212", "213", "214", "215", "303", "305", "310", "312", "313", "314", "323", "404", "408", "410", "412", "415", "480", "503", "510", "512", "602", "612", "617", "619", "646", "702", "713", "718", "720", "773", "800", "801", "805", "813", "818", "858", "888", "904", "917", "919", "949", "972")
 # The look-ahead leaves few places at which the names are tried.
 PERSON = rf"(?<![A-Za-z])(?=[A-Z][a-z]{{1,12}}\x20[A-Z][a-z])(?:{'|'.join(GIVEN_NAMES)})\x20[A-Z][a-z]++(?![A-Za-z])"
-#: Two capitalised words behind a title: names that no list has.
-TITLED = r"(?<=(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Herr|Frau|Madame|Monsieur|Se\xf1or|Se\xf1ora)\.?\x20)[A-Z]\p{Ll}++(?:\x20|-)[A-Z]\p{Ll}++(?!\p{L})"
+#: A title with two capitalised words behind it, which are the name: names that no list has.
+TITLE = r"(?<![A-Za-z])(?:M(?:rs?|s|adame|onsieur)|Dr|Herr|Frau|Se\xf1ora?)\.?\x20"
+TITLED = rf"{TITLE}[A-Z]\p{{Ll}}++[\x20-][A-Z]\p{{Ll}}++(?!\p{{L}})"
 CUES = {
     "email": "mail|contact|write|address", "ip": "host|server|address|client|ip", "card": "card|visa|master|amex|pay|credit", "phone": "tel|phone|call|fax|mobile|dial",
     "secret": "key|token|secret|login|credential", "id": "ssn|social|security|tax|insurance", "person": "mr|mrs|ms|dr|herr|frau|madame|monsieur|dear|name|contact|by",
@@ -139,6 +140,13 @@ def _judged(kind: str, loose: bool) -> tuple:
     return (lambda h: F.lit(False)), (lambda h: vote(F.length(h) <= 40)), listed
 
 
+def _without_title(s: Column) -> Column:
+    """The match without its title, which goes to what stands before it."""
+    title = F.regexp_extract(s.hit, TITLE, 0)
+    n = F.length(title)
+    return F.struct((s.start + n).alias("start"), s.end.alias("end"), F.substr(s.hit, n + 1).alias("hit"), F.right(F.concat(s.before, title), F.lit(24)).alias("before"))
+
+
 def _voted(kind: str, base, shape_vote, gazetteer):
     """Matches of a kind -> candidate spans with the labelers' votes."""
 
@@ -163,6 +171,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         loose = (kind, pattern) == ("phone", LOOSE_PHONE)
         needs = F.contains("t", F.lit(sign)) if sign else F.lit(True)
         df = located(df, "t", pattern, needs, f"s{k}")
+        if pattern == TITLED:
+            df = df.withColumn(f"s{k}", F.transform(f"s{k}", _without_title))
         df = df.withColumn(f"c{k}", F.transform(f"s{k}", _voted(kind, *_judged(kind, loose)))).drop(f"s{k}")
         names.append(f"c{k}")
     return df.select("doc_id", F.array_sort(F.concat(*names)).alias("spans"))
