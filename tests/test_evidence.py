@@ -460,6 +460,21 @@ def test_drift_goldens(spark):
     }
 
 
+def test_names_of_all_lengths_in_texts(spark):
+    """By grams as by looking: names of 1 to 40 characters, characters of several bytes, repeated rows and rows with nulls, which all stay."""
+    rng = random.Random(23)
+    letters = "ab é\U0001f600."
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [word(rng.randrange(0, 120)) for _ in range(120)]
+    rows = [(k % 50 or None, rng.choice([None, "x"]), t) for k, t in enumerate([*texts, *texts[:20], None, ""])]
+    names = [word(rng.choice([7, 8, 9, 15, 16, 17, 40])) for _ in range(200)] + [t[a : a + n] for t in texts[:40] for a, n in [(rng.randrange(0, 60), rng.choice([3, 4, 5, 12, 16, 33]))]] + [None, ""]
+    for some in (names, [n for n in names if n and len(n) > 8], ["b.", "\U0001f600\U0001f600\U0001f600"]):
+        frame, table = spark.createDataFrame(rows, "id long, other string, text string").repartition(3), spark.createDataFrame([(n,) for n in some], "name string")
+        found = lookup.named_in(frame, table, "text", "name", at_once=0)
+        assert found.columns == frame.columns
+        assert Counter(map(tuple, found.collect())) == Counter(r for r in rows if r[2] and any(n and n in r[2] for n in some))
+
+
 def test_names_in_texts_both_ways(spark):
     rows = spark.createDataFrame([(k, f"path/to/Thing{k}/x" if k % 3 else "") for k in range(60)] + [(99, None)], "id long, text string")
     names = spark.createDataFrame([(f"Thing{k}",) for k in range(0, 60, 4)] + [("",), (None,), ("o/T",)], "name string")
