@@ -175,6 +175,26 @@ def test_retrieval_fallbacks(spark):
     assert [r.ordinal for r in retrieval.bm25_topk(docs, "orders", 2).collect()] == [2, 0]
 
 
+def test_many_questions_equal_one_after_the_other(spark):
+    """The index answers as a scan for each question does: repeated terms, ties in document order, parts of words, questions without terms or hits, null and empty texts."""
+    rng = random.Random(29)
+    words = ["order", "orders", "tax", "Reorder", "note", "a", "ab", "service9", "état", "x-ray", "ord"]
+    docs = spark.createDataFrame([(k, None if k == 5 else " ".join(rng.choice(words) for _ in range(rng.randrange(0, 30)))) for k in range(60)], "ordinal long, text string").repartition(3)
+    asked = ["orders orders tax", "ord", "zzz", "", None, "a", "x-ray Service9 note", "ÉTAT ab", "order of the note"]
+    questions = spark.createDataFrame(list(enumerate(asked)), "question long, text string")
+    index = retrieval.text_index(docs)
+    for many, one in ((retrieval.bm25_questions, retrieval.bm25_topk), (retrieval.overlap_questions, retrieval.term_overlap_topk)):
+        found = {}
+        for r in many(index, questions, 7).collect():
+            found.setdefault(r.question, {})[r.place] = (r.ordinal, round(float(r.score), 6))
+        filled = docs.fillna("", ["text"])  # a null text has no score of its own when it is scanned
+        for k, text in enumerate(asked):
+            want = [(r.ordinal, round(float(r.score), 6)) for r in one(filled, text or "", 7).collect()]
+            got = [found[k][p] for p in sorted(found[k])]
+            assert [s for _, s in got] == [s for _, s in want] and sorted(found[k]) == list(range(1, 8))[: len(want)]
+            assert got == sorted(got, key=lambda x: (-x[1], x[0])) and {d for d, s in got if s > want[-1][1]} == {d for d, s in want if s > want[-1][1]}
+
+
 # merging
 
 
