@@ -8,6 +8,7 @@ document are laid against each other and substitutions are counted.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,6 +82,11 @@ def _sought(items: DataFrame, mask: tuple[int, ...], brief: list[int], reach: ra
     return seeds.groupBy("seed", "beside", "short", "place").agg(F.min("item_id").alias("item_id"), F.max("n").alias("n"))
 
 
+def _bits(reach: range, holds: Callable[[Column, Column], Column]) -> Column:
+    """A bit for each place around a seed where something holds of the item's and the document's word."""
+    return sum((F.when(holds(F.get("beside", F.lit(k)), F.get("words", F.lit(k))), F.lit(1 << k).cast("long")).otherwise(0) for k in range(len(reach))), start=F.lit(0).cast("long"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min_share: float = 0.8, broadcast_seeds: int = BROADCAST_SEEDS, broadcast_docs: int = BROADCAST_DOCS) -> DataFrame:
     """(doc_id, stretches, first_word, last_word, item_id, item_words): a row per document that holds a stretch of an item.
 
@@ -91,12 +97,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     caller that deletes documents can ask for items of some length. Null texts have no words; items without words or
     id and rows without an id are left out; rows that repeat an id count as one document. Passages that items
     share are sought once, so rows follow the documents' words, whatever the number of items.
-    Documents without a hit move only where those with one are too many for their ids to be broadcast.
+    Documents without a hit move only where those with one are too many for their ids to be broadcast. min_words is
+    at most 31. Items that differ in a word or two beside a shared passage are each laid against a document that holds it.
     """
     least = math.ceil(min_share * min_words - 1e-9)
     mask = seed_mask(min_words, min_words - least)
     before = min_words - max(mask) - 1
     reach = range(-before, min_words)
+    if len(reach) > 62:
+        raise ValueError("min_words is at most 31: the words beside a seed are compared as bits of one number")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), token_hashes(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0).filter("item_id IS NOT NULL")
     items = items.withColumn("short", F.size("tokens") < min_words)
     # Items that the mask doesn't fit in are sought by all their words; documents get seeds of those lengths that occur.
@@ -115,12 +124,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = 13, min
     laid = texts.join(met, "doc_id").select("doc_id", "met", token_hashes(F.col("text")).alias("tokens"))
     laid = laid.select("doc_id", F.explode(F.transform("met", lambda m: F.struct(m.seed.alias("seed"), m.at.alias("at"), words(m).alias("words")))).alias("m")).select("doc_id", "m.*")
     laid = laid.join(F.broadcast(sought) if few else sought, "seed")
-    same = F.transform("beside", lambda w, k: F.coalesce((w == F.get("words", k)).cast("int"), F.lit(0)))
-    total = lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x)
-    full = lambda c, o: F.forall(F.slice(c, o + 1, F.lit(min_words)), lambda w: w.isNotNull())
-    inside = lambda o: full("beside", o) & full("words", o) & (total(F.slice("same", o + 1, F.lit(min_words))) >= least)
-    whole = F.when(total("same") == F.col("n"), F.array(F.lit(before) - F.col("place"))).otherwise(F.array().cast("array<int>"))
-    begins = F.when(F.col("short"), whole).otherwise(F.filter(F.sequence(F.lit(0), F.lit(before)), inside))
-    found = laid.withColumn("same", same).select("doc_id", "at", "item_id", "n", F.explode(begins).alias("o"))
+    laid = laid.withColumns({"same": _bits(reach, lambda w, x: w == x), "there": _bits(reach, lambda w, x: w.isNotNull() & x.isNotNull())})
+    full = (1 << min_words) - 1
+    held = lambda o: (F.bit_count(F.shiftright("same", o).bitwiseAND(F.lit(full))) >= least) & (F.shiftright("there", o).bitwiseAND(F.lit(full)) == full)
+    whole = F.when(F.bit_count("same") == F.col("n"), F.array(F.lit(before) - F.col("place"))).otherwise(F.array().cast("array<int>"))
+    begins = F.when(F.col("short"), whole).otherwise(F.array_compact(F.array(*(F.when(held(o), o) for o in range(before + 1)))))
+    found = laid.select("doc_id", "at", "item_id", "n", F.explode(begins).alias("o"))
     found = found.groupBy("doc_id", (F.col("at") + F.col("o") - before).cast("long").alias("word")).agg(F.min("item_id").alias("item_id"), F.max("n").alias("n"))
     return found.groupBy("doc_id").agg(F.count("*").alias("stretches"), F.min("word").alias("first_word"), F.max("word").alias("last_word"), F.min("item_id").alias("item_id"), F.max("n").cast("long").alias("item_words"))
