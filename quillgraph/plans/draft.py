@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.text import blank, body_scenario, endpoint_command, owner_of, simple_name, strip_suffixes
 from ..operators.numbering import running
+from ..sources.files import written
 
 _FIELD = "struct<name:string, type:string, pk:boolean, nullable:boolean>"
 _RULE = "struct<id:string, type:string, ensure:string>"
+#: Items whose texts are joined at once, before the texts of an aggregate meet.
+PIECE = 1_000
 
 
 def capitalized(c: Column) -> Column:
@@ -69,23 +75,50 @@ def draft_entities(types: DataFrame, entities: DataFrame) -> DataFrame:
     return found.select(strip_suffixes(simple_name(c("type_id"))).alias("aggregate"), "ordinal", "id_fields", name.alias("name"), c("table_name").alias("table"), fields.alias("fields"))
 
 
-def draft(types: DataFrame, methods: DataFrame, params: DataFrame, endpoints: DataFrame, entities: DataFrame, validations: DataFrame, securities: DataFrame) -> DataFrame:
+def _gathered(rows: DataFrame, name: str, item: Column, first: Column, between: str, *order: str) -> DataFrame:
+    """(aggregate, name, first): the texts of each aggregate's items as one text in order, and the first value that there is.
+
+    Items get their place by ranges and are joined PIECE at a time, so only texts of whole pieces meet in an aggregate's row.
+    """
+    c = F.col
+    placed = running(rows.select("aggregate", *order, item.alias("item"), first.alias("first")), ["aggregate"], order, "at")
+    joined = lambda at, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda x: x[text]), between)
+    earliest = lambda at: F.min_by("first", F.when(c("first").isNotNull(), c(at))).alias("first")
+    pieces = placed.groupBy("aggregate", F.floor(c("at") / PIECE).alias("piece")).agg(F.when(F.count("item") > 0, joined("at", "item")).alias("text"), earliest("at"))
+    return pieces.groupBy("aggregate").agg(joined("piece", "text").alias(name), earliest("piece").alias(f"{name}_first"))
+
+
+def _listed(rows: DataFrame, name: str, item: Column, first: Column, *order: str) -> DataFrame:
+    """(aggregate, name, first): the same with the items themselves as an array."""
+    found = rows.groupBy("aggregate").agg(F.min_by(first, F.when(first.isNotNull(), F.struct(*order))).alias(f"{name}_first"))
+    return _in_order(rows, "aggregate", name, item, *order).join(found.withColumnRenamed("aggregate", "_a"), F.col("aggregate").eqNullSafe(F.col("_a"))).drop("_a")
+
+
+def draft(
+    types: DataFrame, methods: DataFrame, params: DataFrame, endpoints: DataFrame, entities: DataFrame, validations: DataFrame, securities: DataFrame,
+    texts: tuple[Callable[[Column], Column], Callable[[Column], Column]] | None = None, between: str = ";",
+) -> DataFrame:
     """(aggregate, identity struct<type, field>, entities, commands): a row per aggregate that entities or endpoints name.
 
     The identity is the first id field of the first entity that has one, else the first input called id or ending in Id; its type is that of the
-    entities' field of this name, else String. Commands go by name. An aggregate's entities and commands meet in its row.
+    entities' field of this name, else String. Commands go by name. An aggregate's entities and commands meet in its row: as arrays, or, given
+    `texts` (how an entity and a command are written), as one text each; then each is written in its own row, and nothing nested is gathered.
     """
     c = F.col
     e, m = draft_entities(types, entities), draft_commands(methods, params, endpoints, validations, securities)
-    held = _in_order(e, "aggregate", "entities", F.struct("name", "table", "fields", "id_fields"), "ordinal", "name")
-    said = _in_order(m, "aggregate", "commands", F.struct("name", "method", "path", "input", "rules", "scenario"), "name", "ordinal", "path")
-    both = held.join(said, "aggregate", "full_outer")
-    both = both.withColumn("entities", F.coalesce("entities", F.array().cast(held.schema["entities"].dataType))).withColumn("commands", F.coalesce("commands", F.array().cast(said.schema["commands"].dataType)))
-    ids = F.flatten(F.transform("entities", lambda x: x["id_fields"]))
-    inputs = F.filter(F.flatten(F.transform("commands", lambda x: F.transform(x["input"], lambda f: f["name"]))), lambda n: (F.lower(n) == "id") | n.endswith("Id"))
-    field = F.coalesce(F.substring_index(F.get(ids, F.lit(0)), "#", -1), F.get(inputs, F.lit(0)))
-    both = both.withColumn("field", field)
-    kinds = F.filter(F.flatten(F.transform("entities", lambda x: x["fields"])), lambda f: f["name"] == c("field"))
-    identity = F.struct(F.coalesce(F.get(kinds, F.lit(0))["type"], F.lit("String")).alias("type"), c("field"))
-    bare = F.transform("entities", lambda x: F.struct(x["name"].alias("name"), x["table"].alias("table"), x["fields"].alias("fields")))
-    return both.select("aggregate", identity.alias("identity"), bare.alias("entities"), "commands")
+    called = F.get(F.filter(F.transform("input", lambda f: f["name"]), lambda n: (F.lower(n) == "id") | n.endswith("Id")), F.lit(0))
+    entity, command = F.struct("name", "table", "fields"), F.struct("name", "method", "path", "input", "rules", "scenario")
+    if texts:
+        entity, command = texts[0](entity), texts[1](command)
+    e = written(e.select("aggregate", "ordinal", "name", "fields", F.get("id_fields", F.lit(0)).alias("first"), entity.alias("item")), "entities")
+    m = written(m.select("aggregate", "name", "ordinal", "path", called.alias("first"), command.alias("item")), "commands")
+    gathered = (lambda rows, name, *order: _gathered(rows, name, c("item"), c("first"), between, *order)) if texts else (lambda rows, name, *order: _listed(rows, name, c("item"), c("first"), *order))
+    both = gathered(e, "entities", "ordinal", "name").join(gathered(m, "commands", "name", "ordinal", "path"), "aggregate", "full_outer")
+    none = {"entities": e, "commands": m}
+    for name, rows in none.items():
+        both = both.withColumn(name, F.coalesce(name, F.lit("") if texts else F.array().cast(ArrayType(rows.schema["item"].dataType))))
+    both = both.withColumn("field", F.coalesce(F.substring_index("entities_first", "#", -1), "commands_first"))
+    fields = e.select(c("aggregate").alias("_a"), "ordinal", "name", F.posexplode("fields").alias("at", "f"))
+    kinds = fields.groupBy("_a", c("f.name").alias("_field")).agg(F.min_by("f.type", F.struct("ordinal", "name", "at")).alias("_type"))
+    both = both.join(kinds, c("aggregate").eqNullSafe(c("_a")) & (c("field") == c("_field")), "left")
+    return both.select("aggregate", F.struct(F.coalesce("_type", F.lit("String")).alias("type"), c("field")).alias("identity"), "entities", "commands")

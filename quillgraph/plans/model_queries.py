@@ -595,12 +595,12 @@ def draft_specification(spark: SparkSession, sf: str) -> DataFrame:
     # known classes have ids of their own, which the role suffix and the number behind it don't change
     entities = suppliers.select(F.when(n % 4 == 0, c("type_id")).otherwise(F.concat(F.lit("k"), text(n), F.lit("."), F.substring_index("type_id", ".", -1))).alias("type_id"), c("s_name").alias("table_name"), F.when(n % 2 == 0, F.array(F.lit("org.x#suppId"))).otherwise(F.array().cast("array<string>")).alias("id_fields"), F.array(attribute("suppId", "long"), attribute("bal", "double")).alias("attributes"), n.alias("ordinal"))
     types = entities.filter(c("ordinal") % 4 != 0).select(c("type_id").alias("id"), F.when(c("ordinal") % 4 == 1, "KnownEntity").otherwise(F.concat(F.lit("Known"), text(c("ordinal")))).alias("simple_name"))
-    found = draft.draft(types, m, p, ends, entities, checks, guards)
     listed = lambda items, one, between: F.array_join(F.transform(items, one), between)
     told = lambda s: F.when(s.isNull(), "").otherwise(F.concat(F.array_join(s["given"], "|"), F.lit(">"), F.array_join(s["then"], "|")))
     entity = lambda e: F.concat(e["name"], F.lit("("), listed(e["fields"], lambda f: F.concat_ws(":", f["name"], f["type"]), ","), F.lit(")"))
     command = lambda x: F.concat(x["name"], F.lit("("), listed(x["input"], lambda f: f["name"], ","), F.lit(")"), x["path"], F.lit("["), listed(x["rules"], lambda r: F.concat(r["id"], F.lit("="), r["ensure"]), ","), F.lit("]"), told(x["scenario"]))
-    return found.select("aggregate", c("identity.field").alias("field"), c("identity.type").alias("type"), listed("entities", entity, ";").alias("entities"), listed("commands", command, ";").alias("commands"))
+    found = draft.draft(types, m, p, ends, entities, checks, guards, (entity, command))
+    return found.select("aggregate", c("identity.field").alias("field"), c("identity.type").alias("type"), "entities", "commands")
 
 
 # Chips and branch conditions

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 import time
 from collections import Counter
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph import schemas
 from quillgraph.functions import text as fx
 from quillgraph.operators import compare, hierarchy, lookup, merge, numbering, retrieval, rules
-from quillgraph.plans import canonical, document, observed, queries, runs, snapshot
+from quillgraph.plans import canonical, document, draft, observed, queries, runs, snapshot
 from quillgraph.sources import files, scans, store
 from quillgraph.streaming import runs as live
 
@@ -574,6 +575,28 @@ def test_rules_are_read_as_the_grammar_says(rule, want):
     assert written_out(rule) == want
 
 
+def test_draft_as_texts_says_what_the_nested_draft_says(spark, monkeypatch):
+    """Texts of pieces of two items each, in order; identities by an id field, by an input, by none; commands and entities alone."""
+    make = spark.createDataFrame
+    types = make([("x.T", "T")], "id string, simple_name string")
+    methods = make([(f"x.{t}Controller#m{k}", f"do{k}", (f"if (a{k} == null)",)) for t in "TUV" for k in range(5)], "id string, name string, body struct<normalized_source:string>")
+    params = make([(f"x.{t}Controller#m{k}", f"p{t}{k}", n, "int", None, 0) for t in "TU" for k, n in ((1, "other"), (3, "lateId"), (2, "ID"))], "method_id string, id string, name string, type string, nullable boolean, ordinal long")
+    ends = make([(f"x.{t}Controller#m{k}", "POST", f"/{k}", 9 - k) for t in "TUV" for k in range(5)], "method_id string, http_method string, full_path string, ordinal long")
+    fields = "type_id string, table_name string, id_fields array<string>, attributes array<struct<field_name:string, type:string, pk:boolean, nullable:boolean>>, ordinal long"
+    entities = make([("x.T", "t", [], [("k", "int", True, None)], 0), ("x.T", "t2", ["x.T#k"], [("k", "long", True, None)], 1), ("x.W", "w", [], [], 0)], fields)
+    checks = make([("v", "pT1", "Max", 0)], "id string, target_id string, annotation string, ordinal long")
+    guards = make([], "id string, target_id string, kind string, expression string, ordinal long")
+    monkeypatch.setattr(draft, "PIECE", 2)
+    tables = (types, methods, params, ends, entities, checks, guards)
+    nested = {r.aggregate: r for r in draft.draft(*tables).collect()}
+    texts = {r.aggregate: r for r in draft.draft(*tables, (lambda e: e["table"], lambda m: F.concat(m["name"], m["path"])), "; ").collect()}
+    assert {a: tuple(r.identity) for a, r in nested.items()} == {"T": ("int", "k"), "U": ("String", "ID"), "V": ("String", None), "W": ("String", None)}
+    assert {a: r.identity for a, r in texts.items()} == {a: r.identity for a, r in nested.items()}
+    for a, r in nested.items():
+        assert texts[a].entities == "; ".join(e["table"] for e in r.entities) and texts[a].commands == "; ".join(m["name"] + m["path"] for m in r.commands)
+    assert [m["name"] for m in nested["V"].commands] == [f"Do{k}" for k in range(5)] and nested["W"].commands == [] and nested["U"].entities == []
+
+
 def test_rule_diagnostics_by_layer(spark):
     """Inputs replace an entity's fields, the machine's status both; each code; constants are texts; other commands' names are unknown."""
     symbols = [("c", "total", "double", 0, 1), ("c", "total", "boolean", 0, 2), ("c", "when", "Instant", 0, 1), ("c", "status", "int", 1, 1), ("c", "status", "enum(Life)", 2, 1), ("c", "took", "Duration", 1, 1), ("d", "only", "int", 0, 1)]
