@@ -10,12 +10,15 @@ from __future__ import annotations
 import ast
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_token
+from ..sources.files import written
 from .merge import conflicting_literals, duplicate_keys
 
 #: Types of fields, and of what known functions return (fixed values).
@@ -115,20 +118,25 @@ def rule_nodes(rule: str) -> list[dict]:
 
 
 _NODES = pa.list_(pa.struct([("node", pa.int32()), ("parent", pa.int32()), ("side", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("type", pa.string())]))
+#: Rules that a task remembers: many commands have the same ones.
+REMEMBERED = 20_000
 
 
 def parsed(rules: DataFrame) -> DataFrame:
-    """Rules (command, rule_id, ordinal, ensure) -> with nodes; null where the rule can't be read, or is null."""
+    """Rules (command, rule_id, ordinal, ensure) -> with nodes; null where the rule can't be read, or is null. Equal rules of a task are read once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(REMEMBERED)
+        def read(rule: str) -> list[dict] | None:
+            try:
+                return rule_nodes(rule)
+            except ValueError:
+                return None
+
         for batch in batches:
-            found = []
-            for rule in batch.column(3).to_pylist():
-                try:
-                    found.append(rule_nodes(rule or ""))
-                except ValueError:
-                    found.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, _NODES)], names=["command", "rule_id", "ordinal", "nodes"])
+            texts = pc.fill_null(batch.column(3), "").dictionary_encode()
+            found = pa.array([read(rule) for rule in texts.dictionary.to_pylist()], _NODES)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], found.take(texts.indices)], names=["command", "rule_id", "ordinal", "nodes"])
 
     schema = "command string, rule_id string, ordinal long, nodes array<struct<node:int, parent:int, side:int, kind:string, text:string, type:string>>"
     return rules.select("command", "rule_id", F.col("ordinal").cast("long"), "ensure").mapInArrow(run, schema)
@@ -152,32 +160,36 @@ def rule_diagnostics(rules: DataFrame, symbols: DataFrame) -> DataFrame:
     operand types that differ), RULE_DUPLICATE_ID (each repeat within a command) and RULE_CONFLICT (an equality with another literal
     than the command's first for the name). Names in capitals are texts. Rules of a command go by canonical id, then ordinal, which tells them apart.
     """
-    read = parsed(rules)
-    order = canonical_token(F.col("rule_id")).alias("token")
-    good = read.filter("nodes IS NOT NULL").select("command", "rule_id", "ordinal", order, "nodes")
-    nodes = good.select("command", "rule_id", "ordinal", "token", F.inline("nodes"))
-    constant = F.col("text").rlike(r"^[\p{L}_]+$") & (F.upper("text") == F.col("text"))
-    known = symbol_table(symbols).select("command", F.col("name").alias("text"), F.col("type").alias("declared"), F.lit(True).alias("known"))
-    functions = F.create_map(*(F.lit(x) for kv in FUNCTION_TYPES.items() for x in kv))
-    named = nodes.join(known.withColumn("kind", F.lit("identifier")), ["command", "kind", "text"], "left").withColumn("constant", constant)
-    kind = F.col("kind")
-    of = F.when(kind == "binary", "BOOLEAN").when(kind == "literal", F.col("type")).when(kind == "call", F.coalesce(functions[F.col("text")], F.lit("UNKNOWN"))).when(F.col("constant"), "STRING").otherwise(F.coalesce(_field_type(F.col("declared")), F.lit("UNKNOWN")))
-    typed = named.withColumn("of", of)
-    unknown = typed.filter((kind == "identifier") & ~F.col("constant") & F.col("known").isNull())
+    read = written(parsed(rules).withColumn("token", canonical_token(F.col("rule_id"))), "rules")
+    good = read.filter("nodes IS NOT NULL")
     key = ["command", "rule_id", "ordinal"]
-    operands = typed.filter("parent >= 0").groupBy(*key, F.col("parent").alias("node")).agg(*(F.max(F.when(F.col("side") == s, F.col("of"))).alias(f"of{s}") for s in (0, 1)))
-    binary = typed.filter(kind == "binary").select(*key, "node", "text").join(operands, [*key, "node"])
-    logical = F.col("text").isin("&&", "||")
-    wrong = binary.filter(logical & ((F.col("of0") != "BOOLEAN") | (F.col("of1") != "BOOLEAN")))
-    mixed = binary.filter(~logical & (F.col("of0") != "UNKNOWN") & (F.col("of1") != "UNKNOWN") & (F.col("of0") != F.col("of1")))
+    constant = lambda text: text.rlike(r"^[\p{L}_]+$") & (F.upper(text) == text)
+    known = symbol_table(symbols).select("command", F.col("name").alias("text"), F.col("type").alias("declared"))
+    functions = F.create_map(*(F.lit(x) for kv in FUNCTION_TYPES.items() for x in kv))
+    # An operand says its type by itself, or is a name that the command's symbols type.
+    own = lambda n: F.when(n["kind"] == "binary", "BOOLEAN").when(n["kind"] == "literal", n["type"]).when(n["kind"] == "call", F.coalesce(functions[n["text"]], F.lit("UNKNOWN"))).when(constant(n["text"]), "STRING")
+    operand = lambda node, side: F.get(F.filter("nodes", lambda x: (x["parent"] == node) & (x["side"] == side)), F.lit(0))
+    sides = lambda n: F.struct(n["text"].alias("sign"), operand(n["node"], 0).alias("n0"), operand(n["node"], 1).alias("n1"))
+    pairs = good.select(*key, F.inline(F.transform(F.filter("nodes", lambda n: n["kind"] == "binary"), sides)))
+    pairs = pairs.select(*key, "sign", *(x for s in (0, 1) for x in (F.coalesce(own(F.col(f"n{s}")), F.lit("")).alias(f"of{s}"), F.col(f"n{s}")["text"].alias(f"text{s}"))))
+    logical = F.col("sign").isin("&&", "||")
+    settled = lambda s: F.col(f"of{s}") != ""
+    pairs = pairs.filter(~settled(0) | ~settled(1) | F.when(logical, (F.col("of0") != "BOOLEAN") | (F.col("of1") != "BOOLEAN")).otherwise(F.col("of0") != F.col("of1")))
+    for s in (0, 1):
+        named = known.select("command", F.col("text").alias(f"text{s}"), F.lit("").alias(f"of{s}"), F.col("declared").alias(f"declared{s}"))
+        pairs = pairs.join(named, ["command", f"text{s}", f"of{s}"], "left").withColumn(f"of{s}", F.when(settled(s), F.col(f"of{s}")).otherwise(F.coalesce(_field_type(F.col(f"declared{s}")), F.lit("UNKNOWN"))))
+    wrong = logical & ((F.col("of0") != "BOOLEAN") | (F.col("of1") != "BOOLEAN"))
+    mixed = ~logical & (F.col("of0") != "UNKNOWN") & (F.col("of1") != "UNKNOWN") & (F.col("of0") != F.col("of1"))
+    pairs = pairs.select(*key, F.when(wrong, "RULE_TYPE_BOOLEAN").when(mixed, "RULE_TYPE_MISMATCH").alias("code")).filter("code IS NOT NULL")
+    names = good.select(*key, F.explode(F.transform(F.filter("nodes", lambda n: n["kind"] == "identifier"), lambda n: n["text"])).alias("text")).filter(~constant(F.col("text")))
+    unknown = names.join(known, ["command", "text"], "left_anti")
     equal = good.filter(F.get("nodes", F.lit(0))["text"].isin("==", "!=") & (F.size("nodes") == 3))
     one, two = F.get("nodes", F.lit(1)), F.get("nodes", F.lit(2))
     uses = equal.filter((one["kind"] == "identifier") & (two["kind"] == "literal")).select(*key, "token", one["text"].alias("name"), two["text"].alias("value"))
     conflicts = conflicting_literals(uses, ["command", "name"], "value", "token", "ordinal")
     repeats = duplicate_keys(good.drop("nodes"), ["command", "rule_id"], "token", "ordinal")
-    told = ((read.filter("nodes IS NULL"), "RULE_UNPARSEABLE"), (unknown, "RULE_UNKNOWN_IDENTIFIER"), (wrong, "RULE_TYPE_BOOLEAN"), (mixed, "RULE_TYPE_MISMATCH"), (repeats, "RULE_DUPLICATE_ID"), (conflicts, "RULE_CONFLICT"))
-    out = None
+    told = ((read.filter("nodes IS NULL"), "RULE_UNPARSEABLE"), (unknown, "RULE_UNKNOWN_IDENTIFIER"), (repeats, "RULE_DUPLICATE_ID"), (conflicts, "RULE_CONFLICT"))
+    out = pairs
     for rows, code in told:
-        part = rows.select(*key, F.lit(code).alias("code"), F.lit("WARN" if code == "RULE_UNPARSEABLE" else "ERROR").alias("level"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        out = out.unionByName(rows.select(*key, F.lit(code).alias("code")))
+    return out.withColumn("level", F.when(F.col("code") == "RULE_UNPARSEABLE", "WARN").otherwise("ERROR"))

@@ -636,6 +636,16 @@ def test_rule_diagnostics_by_layer(spark):
     assert rules.rule_diagnostics(frame.limit(0), table).count() == 0 and rules.rule_diagnostics(frame, table.limit(0)).filter("code = 'RULE_UNKNOWN_IDENTIFIER'").count() > 8
 
 
+def test_rules_are_read_once_and_stored(spark):
+    """Neither joins nor unions read rules a second time; a repeated rule has the same problems in each of its commands, by the types there."""
+    frame = spark.createDataFrame([(f"c{k % 3}", f"R{k}", k, "n > 5 && f(n, n) == m") for k in range(12)] + [("c0", "Z", 99, "n >")], "command string, rule_id string, ordinal long, ensure string").repartition(2)
+    table = spark.createDataFrame([("c0", "n", "int", 0, 0), ("c1", "n", "String", 0, 0), ("c0", "m", "int", 0, 0)], "command string, name string, type string, layer int, ordinal int")
+    made = rules.rule_diagnostics(frame, table)
+    assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
+    found = Counter((r.command, r.code) for r in made.collect())
+    assert found == {("c0", "RULE_UNPARSEABLE"): 1, ("c1", "RULE_TYPE_MISMATCH"): 4, ("c1", "RULE_UNKNOWN_IDENTIFIER"): 4, ("c2", "RULE_UNKNOWN_IDENTIFIER"): 16}
+
+
 def brute_runs(events, timeout, watermark):
     out = []
     for key in {e[0] for e in events}:
