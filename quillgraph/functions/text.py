@@ -183,9 +183,14 @@ def body_features(c: Column) -> dict[str, Column]:
 def body_scenario(command: Column, body: Column) -> Column:
     """struct<given, when, then> of a command's method body; null where the body is missing, or shows neither conditions nor outcomes.
 
-    What is compared with null and also required counts once, as compared.
+    What is compared with null and also required counts once, as compared. The body, and each pattern in it, is sought once: what is used
+    again is bound as the one item of an array.
     """
-    found = body_features(body)
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))
+    return bound(body, lambda b: bound(F.struct(*(v.alias(k) for k, v in body_features(b).items())), lambda found: _scenario(command, b, found)))
+
+
+def _scenario(command: Column, body: Column, found: Column) -> Column:
     texts = lambda words, before, after: F.transform(words, lambda w: F.concat(F.lit(before), w, F.lit(after)))
     one = lambda words, text: F.when(F.size(words) > 0, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
     provided = texts(found["null_checks"], "Given ", " is provided")

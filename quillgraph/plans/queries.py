@@ -491,7 +491,8 @@ SELECT doc_id, array_to_string(given, '|') AS given, 'When ' || name || ' is inv
 FROM t WHERE trim(body) <> '' AND body <> 'null' AND len(given) + len(outcome) > 0""")
 def body_scenarios(spark: SparkSession, sf: str) -> DataFrame:
     """Scenarios of commands, from method bodies that are made of the documents' texts."""
-    found = method_bodies(spark, sf).select("doc_id", fx.body_scenario(c("name"), c("body")).alias("s")).filter("s IS NOT NULL")
+    # A filter on the scenario would be moved below it and work it out a second time; an array without nulls is exploded as it is.
+    found = method_bodies(spark, sf).select("doc_id", F.explode(F.filter(F.array(fx.body_scenario(c("name"), c("body"))), lambda s: s.isNotNull())).alias("s"))
     return found.select("doc_id", F.array_join("s.given", "|").alias("given"), F.array_join("s.when", "|").alias("happens"), F.array_join("s.then", "|").alias("outcome"))
 
 

@@ -218,6 +218,15 @@ def test_searches_shuffle_only_the_best_of_each_task(spark, monkeypatch):
     assert scored(retrieval.overlap_questions) == other and len(other) == 15
 
 
+def test_scenarios_seek_each_pattern_once(spark, sf):
+    """The plan holds each of a body's patterns once, whatever is made of them; bodies without any have no scenario."""
+    plan = queries.body_scenarios(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == len(fx.BODY_PATTERNS)
+    bodies = spark.createDataFrame([("A", "if (x == null) a.save (y)"), ("B", "go()"), ("C", None), ("D", "null")], "name string, body string")
+    found = {r.name: r.s for r in bodies.select("name", fx.body_scenario(F.col("name"), F.col("body")).alias("s")).collect()}
+    assert tuple(found["A"]) == (["Given x is provided"], ["When A is invoked"], ["Then the record is persisted"]) and [found[n] for n in "BCD"] == [None] * 3
+
+
 # merging
 
 
