@@ -60,9 +60,9 @@ def overlay_upsert(rows: DataFrame, key: str, priority: str, ordinal: str) -> Da
 
 
 def keep_first(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """The first row of each key, all columns."""
-    packed = F.struct(*(F.col(c) for c in rows.columns))
-    return rows.groupBy(F.col(key).alias("_k")).agg(F.min_by(packed, F.struct(*order)).alias("r")).select("r.*")
+    """The first row of each key, all columns. Each column is an aggregate of its own by the same order, so those that nobody reads are neither built nor shuffled."""
+    first = rows.groupBy(F.col(key).alias("_k")).agg(*(F.min_by(c, F.struct(*order)).alias(c) for c in rows.columns if c != key))
+    return first.select(*(F.col("_k").alias(c) if c == key else c for c in rows.columns))
 
 
 def ordered_distinct_union(rows: DataFrame, key: str, value: str, *order: str) -> DataFrame:

@@ -230,6 +230,15 @@ def test_scenarios_seek_each_pattern_once(spark, sf):
 # merging
 
 
+def test_first_rows_build_only_what_is_read(spark):
+    """Columns that nobody reads aren't in the plan; null values of the first row stay null."""
+    rows = spark.createDataFrame([("a", 2, "x", "u"), ("a", 1, None, "v"), ("b", 1, "z", None)], "id string, ordinal long, kind string, unread string")
+    first = merge.keep_first(rows, "id", "ordinal")
+    assert sorted(map(tuple, first.collect())) == [("a", 1, None, "v"), ("b", 1, "z", None)] and first.columns == rows.columns
+    assert "min_by(unread" not in first.select("id", "kind")._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by(unread" in first._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_observer_merge_against_python(spark):
     rng = random.Random(7)
     rows = []
