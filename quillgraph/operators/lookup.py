@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_path
-from ..sources.files import written
+from ..sources.files import written, written_counted
 
 
 def first_match(left: DataFrame, refs: DataFrame, key: str, order: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -110,57 +111,136 @@ def combined_paths(prefixes: Column, paths: Column) -> Column:
     return F.when((F.size(prefixes) == 0) & (F.size(paths) == 0), F.array(F.lit("/"))).when(F.size(prefixes) == 0, paths).when(F.size(paths) == 0, prefixes).otherwise(both)
 
 
-#: Names that go to every task as one array; more meet the texts by an equi-join on grams of these lengths.
+#: Names that go to every task as one array; more meet the texts by an equi-join on grams of these many bytes.
 NAMES_AT_ONCE, GRAMS = 2_000, (1, 2, 4, 8, 16)
 #: Texts whose grams are counted to find each name's rarest; they settle which gram stands for a name, never which names are found.
 SAMPLED_TEXTS = 1_000
 #: Bytes of names and grams that may be broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Bits of the map of names' grams, and counters of the sampled texts' grams.
+BITMAP, COUNTED = 1 << 27, 1 << 21
 
 
-def _with_grams(rows: DataFrame, text: str) -> DataFrame:
-    """Rows with _g1 ... _g16: hashes of all stretches of that many characters, in order. Each length is made of the hashes of half of it, so the work is linear in the text."""
-    rows = rows.withColumn("_g1", F.transform(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), ""), lambda ch: ch != ""), lambda ch: F.xxhash64(ch)))
+def _grams(column: pa.Array, lengths: Sequence[int]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
+    """(offsets, hashes by length): of a column of texts, laid end to end, the hash of the stretch of that many UTF-8 bytes from each byte on. Each length is made of the hashes of half of it."""
+    parts = [(x or "").encode() for x in column.to_pylist()]
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts]))).astype(np.int64)
+    found = {1: (np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)}
     for n in GRAMS[1:]:
-        half = f"_g{n // 2}"
-        rows = rows.withColumn(f"_g{n}", F.when(F.size(half) > n // 2, _pairs(half, n // 2)).otherwise(F.array().cast("array<bigint>")))
-    return rows
+        if n <= max(lengths):
+            half = found[n // 2]
+            x = half[: max(0, len(half) - n // 2)] * np.uint64(0xD1342543DE82EF95) + half[n // 2 :]
+            found[n] = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return offsets, {n: found[n] ^ (found[n] >> np.uint64(32)) for n in lengths}
 
 
-def _pairs(hashes: str, apart: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(hashes) - (apart + 1)), lambda i: F.xxhash64(F.get(hashes, i), F.get(hashes, i + apart)))
+def _bits(hashes: np.ndarray) -> Iterator[np.ndarray]:
+    """The three places of hashes in a bitmap of BITMAP bits."""
+    return ((hashes >> np.uint64(shift) & np.uint64(BITMAP - 1)).astype(np.int64) for shift in (0, 18, 37))
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, rows) for batch in batches for at in range(0, batch.num_rows, rows))
+
+
+def _seen_grams(texts: DataFrame, lengths: Sequence[int]) -> np.ndarray:
+    """How many of some texts hold a gram, by the low bits of its hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTED, np.int64)
+        for batch in _sliced(batches, 1):
+            for hashes in _grams(batch.column(0), lengths)[1].values():
+                seen[np.unique(hashes & np.uint64(COUNTED - 1)).astype(np.int64)] += 1
+        at = np.nonzero(seen)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["at", "n"])
+
+    out = np.zeros(COUNTED, np.int64)
+    told = texts.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out[told["at"].to_numpy()] = told["n"].to_numpy()
+    return out
 
 
 def _rarest_grams(rows: DataFrame, known: DataFrame, text: str, lengths: Sequence[int]) -> DataFrame:
-    """(_name, _n, _h): of each name the gram that fewest of some texts hold, the least hash of several."""
-    named = _with_grams(known, "_name")
-    own = reduce(DataFrame.unionByName, (named.filter(F.col("_n") == n).select("_name", "_n", F.explode(F.array_distinct(f"_g{n}")).alias("_h")) for n in lengths))
-    some = _with_grams(rows.select(F.col(text).alias("_text")).limit(SAMPLED_TEXTS), "_text")
-    seen = reduce(DataFrame.unionByName, (some.select(F.explode(F.array_distinct(f"_g{n}")).alias("_h")) for n in lengths)).groupBy("_h").agg(F.count("*").alias("_df"))
-    return own.join(seen, "_h", "left").groupBy("_name", "_n").agg(F.min_by("_h", F.struct(F.coalesce("_df", F.lit(0)), "_h")).alias("_h"))
+    """(_name, _h): of each name (_name, _n) the gram of its length that fewest of some texts hold, the last of several."""
+    seen = rows.sparkSession.sparkContext.broadcast(_seen_grams(rows.select(text).limit(SAMPLED_TEXTS), lengths))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches, 4096):
+            offsets, grams = _grams(batch.column(0), lengths)
+            sizes, best = batch.column(1).to_numpy(), np.zeros(batch.num_rows, np.uint64)
+            for n in np.unique(sizes).tolist():
+                of = np.nonzero(sizes == n)[0]
+                many = offsets[of + 1] - offsets[of] - n + 1
+                name = np.repeat(of, many)
+                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + offsets[name]
+                hashes = grams[n][at]
+                order = np.lexsort((-at, seen.value[(hashes & np.uint64(COUNTED - 1)).astype(np.int64)], name))
+                first = order[np.concatenate(([0], np.cumsum(many)[:-1]))]
+                best[name[first]] = hashes[first]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best.view(np.int64))], names=["_name", "_h"])
+
+    return known.select("_name", "_n").mapInArrow(run, "_name string, _h long")
+
+
+def _bitmap(chosen: DataFrame) -> np.ndarray:
+    """A Bloom filter of the hashes, of one size whatever their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(list(_bits(batch.column(0).to_numpy().view(np.uint64)))))], names=["at"])
+
+    places = chosen.select("_h").mapInArrow(run, "at long").groupBy(F.floor(F.col("at") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
+    out = np.zeros((BITMAP // 32768, 4096), np.uint8)
+    for r in places.toLocalIterator():
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _met_grams(numbered: DataFrame, text: str, lengths: Sequence[int], bitmap: np.ndarray) -> DataFrame:
+    """(_row, _h): the grams of texts that the bitmap knows; of those of no name it knows few."""
+    known = numbered.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _sliced(batches, 64):
+            offsets, grams = _grams(batch.column(1), lengths)
+            texts, found = [], []
+            for n, hashes in grams.items():
+                at = np.arange(len(hashes))
+                for place in range(3):
+                    bit = list(_bits(hashes[at]))[place] if place else (hashes & np.uint64(BITMAP - 1)).astype(np.int64)
+                    at = at[(known.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
+                text = np.searchsorted(offsets, at, "right") - 1
+                whole = at + n <= offsets[text + 1]
+                texts.append(text[whole])
+                found.append(hashes[at[whole]])
+            pairs = np.unique(np.stack([np.concatenate(texts).astype(np.uint64), np.concatenate(found)]), axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].view(np.int64))], names=["_row", "_h"])
+
+    return numbered.select("_row", text).mapInArrow(run, "_row long, _h long")
 
 
 def named_in(rows: DataFrame, names: DataFrame, text: str, name: str, limit: int | None = None, order: Sequence[str] = (), at_once: int = NAMES_AT_ONCE) -> DataFrame:
     """Rows whose text contains one of the names; repeated rows and rows with nulls stay as they are. Empty and null names are in no text.
 
-    A counted few names are one broadcast array. Of more, each is known by its rarest gram, whose hash is joined with those of the
-    texts' grams of that length; only row number and name come out of that join, and the names are compared with the texts of these rows.
+    A counted few names are one broadcast array. Of more, each is known by its rarest gram. Texts' grams leave their task only if a bitmap of
+    the names' grams knows them; these are joined by hash with the names, and the names are compared with the texts of the rows that come out.
     """
     known = names.select(F.col(name).alias("_name")).filter(F.length("_name") > 0).distinct()
     if known.limit(at_once + 1).count() <= at_once:
         listed = F.broadcast(known.agg(F.collect_list("_name").alias("_names")))
         out = rows.join(listed, how="cross").filter(F.exists("_names", lambda x: F.contains(F.col(text), x))).drop("_names")
     else:
-        fits = F.filter(F.array(*map(F.lit, GRAMS)), lambda n: n <= F.length("_name"))
+        fits = F.filter(F.array(*map(F.lit, GRAMS)), lambda n: n <= F.octet_length("_name"))
         known = written(known.withColumn("_n", F.array_max(fits)), "names")
         size = known.agg(F.sum(F.octet_length("_name") + 32).alias("bytes"), F.collect_set("_n").alias("lengths")).first()
+        lengths = sorted(size.lengths or [])
+        if not lengths:
+            return rows.limit(0)
         numbered = written(rows.withColumn("_row", F.monotonically_increasing_id()), "texts")
-        chosen = written(_rarest_grams(numbered, known, text, sorted(size.lengths)), "grams")
-        own = chosen.select("_h", "_name")
-        grams = _with_grams(numbered.select("_row", text), text)
-        seen = grams.select("_row", F.explode(F.array_distinct(F.concat(*(f"_g{n}" for n in sorted(size.lengths))))).alias("_h"))
-        met = seen.join(F.broadcast(own) if size.bytes <= BROADCAST_BYTES else own, "_h").select("_row", "_name")
-        hits = met.join(numbered.select("_row", F.col(text).alias("_text")), "_row")
+        own = written(_rarest_grams(numbered, known, text, lengths), "grams")
+        met = _met_grams(numbered, text, lengths, _bitmap(own)).join(F.broadcast(own) if size.bytes <= BROADCAST_BYTES else own, "_h").select("_row", "_name")
+        met, (volume,) = written_counted(met, "met", F.sum(F.octet_length("_name") + 40))
+        hits = numbered.select("_row", F.col(text).alias("_text")).join(F.broadcast(met) if (volume or 0) <= BROADCAST_BYTES else met, "_row")
         hits = hits.filter(F.contains("_text", F.col("_name"))).select("_row").distinct()
         out = numbered.join(hits, "_row", "left_semi").select(rows.columns)
     return out.orderBy(*order).limit(limit) if limit else out

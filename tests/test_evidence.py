@@ -227,6 +227,20 @@ def test_scenarios_seek_each_pattern_once(spark, sf):
     assert tuple(found["A"]) == (["Given x is provided"], ["When A is invoked"], ["Then the record is persisted"]) and [found[n] for n in "BCD"] == [None] * 3
 
 
+def test_only_grams_of_names_leave_their_task(spark, monkeypatch):
+    """Of thousands of grams in texts without any name hardly one is joined; names of several bytes a character are found where they stand, joined by hash or broadcast."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(3000)) for _ in range(20)] + ["xx Zürich-Straße 17 yy", "Zürich-Strasse 17", None, "", "ñ€𝄞 ok"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    names = spark.createDataFrame([(f"Customer#{k:09d}",) for k in range(300)] + [("Zürich-Straße 17",), ("€𝄞",), ("",), (None,)], "name string")
+    met, keep = [], lookup._met_grams
+    monkeypatch.setattr(lookup, "_met_grams", lambda *a: met.append(keep(*a)) or met[-1])
+    for bytes_ in (lookup.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(lookup, "BROADCAST_BYTES", bytes_)
+        assert sorted(r.id for r in lookup.named_in(rows, names, "text", "name", at_once=0).collect()) == [20, 24]
+        assert met[-1].count() <= 10
+
+
 # merging
 
 
