@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.resource import ResourceProfile, ResourceProfileBuilder, TaskResourceRequests
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from ..functions.text import blank, body_scenario, endpoint_command, owner_of, simple_name, strip_suffixes
 from ..operators.numbering import running
-from ..sources.files import written
+from ..sources.files import drop, written, written_counted
 
 _FIELD = "struct<name:string, type:string, pk:boolean, nullable:boolean>"
 _RULE = "struct<id:string, type:string, ensure:string>"
-#: Items whose texts are joined at once, before the texts of an aggregate meet.
-PIECE = 1_000
+#: Bytes of items whose texts are joined at once, before the texts of an aggregate meet.
+PIECE = 1 << 14
+#: Bytes of an aggregate's texts beyond which few of them are made at the same time.
+LONG = 1 << 23
+#: Bytes of long texts in a task where it takes several: a Parquet page of few rows holds them all, and less than 2 GB.
+HELD = 1 << 29
 
 
 def capitalized(c: Column) -> Column:
@@ -75,17 +82,108 @@ def draft_entities(types: DataFrame, entities: DataFrame) -> DataFrame:
     return found.select(strip_suffixes(simple_name(c("type_id"))).alias("aggregate"), "ordinal", "id_fields", name.alias("name"), c("table_name").alias("table"), fields.alias("fields"))
 
 
-def _gathered(rows: DataFrame, name: str, item: Column, first: Column, between: str, *order: str) -> DataFrame:
-    """(aggregate, name, first): the texts of each aggregate's items as one text in order, and the first value that there is.
+def _pieces(rows: DataFrame, part: int, between: str, *order: str) -> DataFrame:
+    """(aggregate, alone, part, piece, text, first, size): each aggregate's items as texts of about PIECE bytes, the first value that there is in each, and its bytes.
 
-    Items get their place by ranges and are joined PIECE at a time, so only texts of whole pieces meet in an aggregate's row.
+    Items get their place by ranges. `alone` is the part where the aggregate is null: such entities and commands don't meet.
     """
     c = F.col
-    placed = running(rows.select("aggregate", *order, item.alias("item"), first.alias("first")), ["aggregate"], order, "at")
-    joined = lambda at, text: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at, text))), lambda x: x[text]), between)
-    earliest = lambda at: F.min_by("first", F.when(c("first").isNotNull(), c(at))).alias("first")
-    pieces = placed.groupBy("aggregate", F.floor(c("at") / PIECE).alias("piece")).agg(F.when(F.count("item") > 0, joined("at", "item")).alias("text"), earliest("at"))
-    return pieces.groupBy("aggregate").agg(joined("piece", "text").alias(name), earliest("piece").alias(f"{name}_first"))
+    size = F.coalesce(F.octet_length("item"), F.lit(0)).cast("long") + 1  # more than 0, so places differ
+    placed = running(rows.select("aggregate", *order, "item", "first", size.alias("bytes")), ["aggregate"], order, "at", c("bytes"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "item"))), lambda x: x["item"]), between)
+    found = placed.groupBy("aggregate", F.floor(c("at") / PIECE).alias("piece")).agg(F.when(F.count("item") > 0, text).alias("text"), _known("at").alias("first"), F.sum("bytes").alias("size"))
+    return found.select("aggregate", F.when(c("aggregate").isNull(), part).alias("alone"), F.lit(part).alias("part"), "piece", "text", "first", "size")
+
+
+def _known(by: str) -> Column:
+    """The first value that there is."""
+    return F.min_by("first", F.when(F.col("first").isNotNull(), F.col(by)))
+
+
+def _typed(rows: DataFrame, e: DataFrame) -> DataFrame:
+    """Rows with `type`: that of their aggregate's entities' first field that is called `field`, else String."""
+    c = F.col
+    fields = e.select(c("aggregate").alias("_a"), "ordinal", "name", F.posexplode("fields").alias("at", "f"))
+    kinds = fields.groupBy("_a", c("f.name").alias("_field")).agg(F.min_by("f.type", F.struct("ordinal", "name", "at")).alias("_type"))
+    found = rows.join(kinds, c("aggregate").eqNullSafe(c("_a")) & (c("field") == c("_field")), "left")
+    return found.withColumn("type", F.coalesce("_type", F.lit("String"))).drop("_a", "_field", "_type")
+
+
+def _few_at_once(spark: SparkSession) -> ResourceProfile | None:
+    """Tasks that take half an executor's cores, so two run in it at once; None where that can't be had or the cores aren't known."""
+    sc = spark.sparkContext
+    if sc.master.startswith("local[") or sc.master == "local" or spark.conf.get("spark.dynamicAllocation.enabled", "false") == "true":
+        return None
+    cores = sc.getConf().get("spark.executor.cores")
+    if cores is None and sc.getConf().get("spark.default.parallelism") is None:
+        cores = sc.defaultParallelism // max(1, sc._jsc.sc().getExecutorMemoryStatus().size() - 1)  # all cores by executors; the driver is listed too
+    half = int(cores or 0) // 2
+    return ResourceProfileBuilder().require(TaskResourceRequests().cpus(half)).build if half > 1 else None
+
+
+def _joined(rows: DataFrame, between: str, profile: ResourceProfile | None = None) -> DataFrame:
+    """Partitions sorted by aggregate, each headed by its identity (part null) before its pieces -> (aggregate, field, type, entities, commands), one aggregate in memory."""
+    between = between.encode()
+
+    def strings(texts: list[bytearray | None]) -> pa.Array:
+        ends = np.cumsum([0, *(len(t or b"") for t in texts)])
+        if ends[-1] >= 1 << 31:
+            raise ValueError(f"a text of {ends[-1]:,} bytes: a row holds less than 2 GB")
+        data = texts[0] if len(texts) == 1 and texts[0] else b"".join(t or b"" for t in texts)  # a long text comes alone and isn't copied
+        return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data))
+
+    def made(found: list) -> pa.RecordBatch:
+        *named, entities, commands = zip(*found, strict=True)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.string()) for x in named), strings(entities), strings(commands)], ["aggregate", "field", "type", "entities", "commands"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
+        for batch in batches:
+            for aggregate, field, kind, part, text in zip(*(x.to_pylist() for x in batch.columns[:4]), batch.column(4).cast(pa.binary()).to_pylist(), strict=True):
+                if part is None:
+                    if held > PIECE:
+                        yield made(found)
+                        found, held = [], 0
+                    found.append([aggregate, field, kind, None, None])
+                elif text is not None:
+                    own = found[-1]
+                    if own[3 + part] is None:
+                        own[3 + part] = bytearray(text)
+                    else:
+                        own[3 + part] += between
+                        own[3 + part] += text
+                    held += len(text)
+        if found:
+            yield made(found)
+
+    ordered = rows.sortWithinPartitions("aggregate", "alone", "part", "piece").select("aggregate", "field", "type", "part", "text")
+    return ordered.mapInArrow(join, "aggregate string, field string, type string, entities string, commands string", profile=profile)
+
+
+def _as_texts(e: DataFrame, m: DataFrame, between: str) -> DataFrame:
+    """(aggregate, field, type, entities, commands): each aggregate's items as one text a kind.
+
+    No join or aggregation carries whole texts: identities come as rows beside the pieces, which are sorted and strung together. Behind that a
+    text is still held some six times (row, file buffers), and a file's writer holds all texts of its task. So an aggregate beyond LONG bytes has
+    a task of its own, of which two run in an executor at once. Where tasks can't ask for that, few tasks take the long ones one after the other.
+    """
+    c, key = F.col, ["aggregate", "alone"]
+    pieces = written(_pieces(e, 0, between, "ordinal", "name").unionByName(_pieces(m, 1, between, "name", "ordinal", "path")), "pieces")
+    drop(m)
+    heads = pieces.groupBy(*key, "part").agg(_known("piece").alias("first"), F.sum("size").alias("size"))
+    heads = _typed(heads.groupBy(*key).agg(_known("part").alias("field"), F.sum("size").alias("size")), e)
+    long, of_long = c("size") > LONG, F.sum(F.when(c("size") > LONG, c("size")))
+    heads, (n_long, held) = written_counted(heads, "heads", F.count(F.when(long, 1)), of_long)
+    rows = pieces.select(*key, "part", "piece", "text").unionByName(heads.select(*key, "field", "type"), allowMissingColumns=True)
+    if not n_long:
+        return _joined(rows.repartition(*key), between)
+    number = F.row_number().over(Window.orderBy(*key)) - 1
+    numbered = F.broadcast(heads.filter(long).select(c("aggregate").alias("_a"), c("alone").alias("_alone"), number.alias("_number")))
+    same = c("aggregate").eqNullSafe(c("_a")) & c("alone").eqNullSafe(c("_alone"))
+    profile = _few_at_once(rows.sparkSession)
+    alone = _joined(rows.join(numbered, same).repartitionById(n_long, c("_number")), between, profile)
+    alone = alone if profile else alone.coalesce(-(-held // HELD))
+    return alone.unionByName(_joined(rows.join(numbered, same, "left_anti").repartition(*key), between))
 
 
 def _listed(rows: DataFrame, name: str, item: Column, first: Column, *order: str) -> DataFrame:
@@ -94,6 +192,31 @@ def _listed(rows: DataFrame, name: str, item: Column, first: Column, *order: str
     return _in_order(rows, "aggregate", name, item, *order).join(found.withColumnRenamed("aggregate", "_a"), F.col("aggregate").eqNullSafe(F.col("_a"))).drop("_a")
 
 
+def _items(
+    types: DataFrame, methods: DataFrame, params: DataFrame, endpoints: DataFrame, entities: DataFrame, validations: DataFrame, securities: DataFrame, texts: tuple[Callable[[Column], Column], Callable[[Column], Column]] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Entities and commands as stored rows, each with its item (nested, or as text) and the first name that an identity may take."""
+    e, m = draft_entities(types, entities), draft_commands(methods, params, endpoints, validations, securities)
+    called = F.get(F.filter(F.transform("input", lambda f: f["name"]), lambda n: (F.lower(n) == "id") | n.endswith("Id")), F.lit(0))
+    entity, command = F.struct("name", "table", "fields"), F.struct("name", "method", "path", "input", "rules", "scenario")
+    if texts:
+        entity, command = texts[0](entity), texts[1](command)
+    own = F.substring_index(F.get("id_fields", F.lit(0)), "#", -1)
+    e = written(e.select("aggregate", "ordinal", "name", "fields", own.alias("first"), entity.alias("item")), "entities")
+    return e, written(m.select("aggregate", "name", "ordinal", "path", called.alias("first"), command.alias("item")), "commands")
+
+
+def draft_texts(
+    types: DataFrame, methods: DataFrame, params: DataFrame, endpoints: DataFrame, entities: DataFrame, validations: DataFrame, securities: DataFrame,
+    texts: tuple[Callable[[Column], Column], Callable[[Column], Column]], between: str = ";",
+) -> DataFrame:
+    """(aggregate, field, type, entities, commands): the draft with each aggregate's entities and commands as one text each, written in their own rows by `texts`; nothing nested is gathered.
+
+    A projection of the result holds each text once more; where texts are long, take the columns as they are.
+    """
+    return _as_texts(*_items(types, methods, params, endpoints, entities, validations, securities, texts), between)
+
+
 def draft(
     types: DataFrame, methods: DataFrame, params: DataFrame, endpoints: DataFrame, entities: DataFrame, validations: DataFrame, securities: DataFrame,
     texts: tuple[Callable[[Column], Column], Callable[[Column], Column]] | None = None, between: str = ";",
@@ -102,23 +225,16 @@ def draft(
 
     The identity is the first id field of the first entity that has one, else the first input called id or ending in Id; its type is that of the
     entities' field of this name, else String. Commands go by name. An aggregate's entities and commands meet in its row: as arrays, or, given
-    `texts` (how an entity and a command are written), as one text each; then each is written in its own row, and nothing nested is gathered.
+    `texts` (how an entity and a command are written), as one text each (see draft_texts).
     """
     c = F.col
-    e, m = draft_entities(types, entities), draft_commands(methods, params, endpoints, validations, securities)
-    called = F.get(F.filter(F.transform("input", lambda f: f["name"]), lambda n: (F.lower(n) == "id") | n.endswith("Id")), F.lit(0))
-    entity, command = F.struct("name", "table", "fields"), F.struct("name", "method", "path", "input", "rules", "scenario")
+    tables = (types, methods, params, endpoints, entities, validations, securities)
     if texts:
-        entity, command = texts[0](entity), texts[1](command)
-    e = written(e.select("aggregate", "ordinal", "name", "fields", F.get("id_fields", F.lit(0)).alias("first"), entity.alias("item")), "entities")
-    m = written(m.select("aggregate", "name", "ordinal", "path", called.alias("first"), command.alias("item")), "commands")
-    gathered = (lambda rows, name, *order: _gathered(rows, name, c("item"), c("first"), between, *order)) if texts else (lambda rows, name, *order: _listed(rows, name, c("item"), c("first"), *order))
-    both = gathered(e, "entities", "ordinal", "name").join(gathered(m, "commands", "name", "ordinal", "path"), "aggregate", "full_outer")
-    none = {"entities": e, "commands": m}
-    for name, rows in none.items():
-        both = both.withColumn(name, F.coalesce(name, F.lit("") if texts else F.array().cast(ArrayType(rows.schema["item"].dataType))))
-    both = both.withColumn("field", F.coalesce(F.substring_index("entities_first", "#", -1), "commands_first"))
-    fields = e.select(c("aggregate").alias("_a"), "ordinal", "name", F.posexplode("fields").alias("at", "f"))
-    kinds = fields.groupBy("_a", c("f.name").alias("_field")).agg(F.min_by("f.type", F.struct("ordinal", "name", "at")).alias("_type"))
-    both = both.join(kinds, c("aggregate").eqNullSafe(c("_a")) & (c("field") == c("_field")), "left")
-    return both.select("aggregate", F.struct(F.coalesce("_type", F.lit("String")).alias("type"), c("field")).alias("identity"), "entities", "commands")
+        both = draft_texts(*tables, texts, between)
+    else:
+        e, m = _items(*tables)
+        both = _listed(e, "entities", c("item"), c("first"), "ordinal", "name").join(_listed(m, "commands", c("item"), c("first"), "name", "ordinal", "path"), "aggregate", "full_outer")
+        for name, rows in {"entities": e, "commands": m}.items():
+            both = both.withColumn(name, F.coalesce(name, F.array().cast(ArrayType(rows.schema["item"].dataType))))
+        both = _typed(both.withColumn("field", F.coalesce("entities_first", "commands_first")), e)
+    return both.select("aggregate", F.struct("type", "field").alias("identity"), "entities", "commands")

@@ -599,8 +599,7 @@ def draft_specification(spark: SparkSession, sf: str) -> DataFrame:
     told = lambda s: F.when(s.isNull(), "").otherwise(F.concat(F.array_join(s["given"], "|"), F.lit(">"), F.array_join(s["then"], "|")))
     entity = lambda e: F.concat(e["name"], F.lit("("), listed(e["fields"], lambda f: F.concat_ws(":", f["name"], f["type"]), ","), F.lit(")"))
     command = lambda x: F.concat(x["name"], F.lit("("), listed(x["input"], lambda f: f["name"], ","), F.lit(")"), x["path"], F.lit("["), listed(x["rules"], lambda r: F.concat(r["id"], F.lit("="), r["ensure"]), ","), F.lit("]"), told(x["scenario"]))
-    found = draft.draft(types, m, p, ends, entities, checks, guards, (entity, command))
-    return found.select("aggregate", c("identity.field").alias("field"), c("identity.type").alias("type"), "entities", "commands")
+    return draft.draft_texts(types, m, p, ends, entities, checks, guards, (entity, command))
 
 
 # Chips and branch conditions

@@ -651,6 +651,24 @@ def test_draft_as_texts_says_what_the_nested_draft_says(spark, monkeypatch):
     assert [m["name"] for m in nested["V"].commands] == [f"Do{k}" for k in range(5)] and nested["W"].commands == [] and nested["U"].entities == []
 
 
+def test_long_draft_texts_meet_in_one_step(spark, monkeypatch):
+    """Texts beyond LONG beside short ones, from pieces of several items, null and equal ones too: the same rows, and no join or aggregation of them."""
+    commands = [(a, f"c{n // 2:02}", n, "/", None if n % 5 else f"{a}Id{n}", f"{a}{n}é" if n % 7 else None) for a, most in (("A", 60), ("B", 3), (None, 2)) for n in range(most)]
+    m = "aggregate string, name string, ordinal long, path string, first string, item string"
+    entities = [("B", 1, "y", [("key", "long")], "key", "b1"), ("B", 0, "x", [("key", "int")], None, "b0"), ("C", 0, "z", [], None, "c"), (None, 0, "n", [("Id0", "int")], None, "n"), ("D", 0, "d", [], None, None)]
+    e = "aggregate string, ordinal long, name string, fields array<struct<name:string, type:string>>, first string, item string"
+    texts = lambda a: ";".join(x[5] for x in commands if x[0] == a and x[5])
+    want = {("A", "AId0", "String", "", texts("A")), ("B", "key", "int", "b0;b1", texts("B")), ("C", None, "String", "c", ""), (None, None, "String", "n", ""), (None, "NoneId0", "String", "", texts(None)), ("D", None, "String", "", "")}
+    monkeypatch.setattr(draft, "PIECE", 16)
+    for long in (1 << 24, 100, 0):
+        monkeypatch.setattr(draft, "LONG", long)
+        made = [files.written(spark.createDataFrame(rows[::-1], kind), "made") for rows, kind in ((entities, e), (commands, m))]
+        found = draft._as_texts(*made, ";")
+        assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "Aggregate" not in plan.partition("Window")[0] and ("Coalesce 1" in plan) == (long < 1000)
+
+
 def test_rule_diagnostics_by_layer(spark):
     """Inputs replace an entity's fields, the machine's status both; each code; constants are texts; other commands' names are unknown."""
     symbols = [("c", "total", "double", 0, 1), ("c", "total", "boolean", 0, 2), ("c", "when", "Instant", 0, 1), ("c", "status", "int", 1, 1), ("c", "status", "enum(Life)", 2, 1), ("c", "took", "Duration", 1, 1), ("d", "only", "int", 0, 1)]
