@@ -40,11 +40,13 @@ def constraint_rules(methods: DataFrame, params: DataFrame, validations: DataFra
     """(method_id, number, kind, type, ensure): validations of a method or one of its parameters, then its security constraints, numbered from 1 per method."""
     targets = methods.select(F.col("id").alias("target_id"), F.col("id").alias("method_id"), F.col("name").alias("target"), F.lit(1).alias("rank"))
     targets = targets.unionByName(params.select(F.col("id").alias("target_id"), "method_id", F.col("name").alias("target"), F.lit(0).alias("rank")))
-    targets = targets.groupBy("target_id", "method_id").agg(F.min_by("target", "rank").alias("target"))
+    targets = targets.join(validations.select("target_id"), "target_id", "left_semi").groupBy("target_id", "method_id").agg(F.min_by("target", "rank").alias("target"))
     checked = validations.join(targets, "target_id").select("method_id", F.lit(0).alias("part"), "ordinal", "id", F.lit("validation").alias("kind"), F.lit("VALIDATION").alias("type"), F.concat("target", F.lit(" must satisfy @"), "annotation").alias("ensure"))
     guarded = securities.join(methods.select(F.col("id").alias("target_id")), "target_id", "left_semi")
     guarded = guarded.select(F.col("target_id").alias("method_id"), F.lit(1).alias("part"), "ordinal", "id", F.lit("security").alias("kind"), F.lit("GUARD").alias("type"), F.concat_ws(" ", F.col("kind"), F.col("expression")).alias("ensure"))
-    numbered = running(checked.unionByName(guarded), ["method_id"], ["part", "ordinal", "id"], "number")
+    found = written(checked.unionByName(guarded), "constraints")  # dealing to ranges reads its rows twice
+    numbered = running(found, ["method_id"], ["part", "ordinal", "id"], "number")
+    drop(found)
     return numbered.select("method_id", (F.col("number") + 1).alias("number"), "kind", "type", "ensure")
 
 
